@@ -62,13 +62,14 @@ def parse_options(c: Column | str) -> Column:
         value = F.when(cut > 0, part.substr(cut + 1, F.length(part))).otherwise(F.lit("true"))
         return F.struct(strip(key).alias("key"), strip(value).alias("value"))
 
-    entries = F.transform(split_list(c), entry)
-    keys = F.transform(entries, lambda e: e["key"])
+    def last_of_each(entries: Column) -> Column:
+        def overridden(e: Column, i: Column) -> Column:
+            return F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"])
 
-    def is_last(e: Column, i: Column) -> Column:
-        return i == F.size(keys) - F.array_position(F.reverse(keys), e["key"])
+        return F.map_from_entries(F.filter(entries, lambda e, i: ~overridden(e, i)))
 
-    return F.map_from_entries(F.filter(entries, is_last))
+    # The entries are held in a one-element array, so that they are built once and not once per comparison.
+    return F.transform(F.array(F.transform(split_list(c), entry)), last_of_each)[0]
 
 
 def option_on(options: Column, name: str) -> Column:

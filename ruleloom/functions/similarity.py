@@ -10,6 +10,7 @@ import sys
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -22,24 +23,102 @@ from ruleloom.functions.text import normalize_spaces
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CACHED_VALUES = 200_000  # memory bound of the per-task cache; it never changes a result
+SHORT_TEXT = 64  # texts up to here are scored in step; the measure itself changes its ways from 200 characters on
+CELLS = 4 << 20  # size of the comparison matrix of one step
 
 
-def sequence_similarity(a: str, b: str, matcher: SequenceMatcher | None = None) -> float:
+def sequence_similarity(a: str, b: str) -> float:
     """2 M / (len a + len b), M being the size of the matching blocks found greedily."""
-    if a == b:
-        return 1.0
-    if len(b) < 200:  # from 200 characters on, frequent characters of b are left out by the measure
-        shared = set(a) & set(b)
-        if not shared:
-            return 0.0
-        if len(shared) == 1:
-            ch = next(iter(shared))
-            if a.count(ch) == 1 or b.count(ch) == 1:
-                return 2.0 / (len(a) + len(b))
-    if matcher is None:
-        matcher = SequenceMatcher(None, "", b)
-    matcher.set_seq1(a)
-    return matcher.ratio()
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
+def _longest_blocks(equal: np.ndarray, some: np.ndarray, row: np.ndarray, stretch: tuple) -> tuple:
+    """The longest common block of each stretch, the earliest on ties: size and both starts.
+
+    ``equal[i, j]`` tells for all texts whether character i equals character j of the target. Size and place of a
+    block make up one number whose maximum is the block looked for.
+    """
+    a_lo, a_hi, b_lo, b_hi = stretch
+    n, width = len(row), equal.shape[1]
+    in_b = [(b_lo <= j) & (j < b_hi) for j in range(width)]
+    none = np.zeros(n, np.int64)
+    best = none.copy()
+    above = [none] * (width + 1)  # sizes of the blocks that end in the line before, one place to the left
+    for i in range(int(a_lo.min()), int(a_hi.max())):
+        in_a = (a_lo <= i) & (i < a_hi)
+        line = [none]
+        for j in range(width):
+            if not some[i, j]:
+                line.append(none)
+                continue
+            live = equal[i, j].take(row)
+            live &= in_a
+            live &= in_b[j]
+            size = above[j] + 1
+            size *= live
+            np.maximum(best, (size << 32) - (i * width + j), out=best, where=live)
+            line.append(size)
+        above = line
+    size = (best + 0xFFFFFFFF) >> 32
+    place = (size << 32) - best
+    return size, place // width + 1 - size, place % width + 1 - size
+
+
+def _matched_sizes(texts: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Total size of the matching blocks of many texts with one target, all texts in step.
+
+    Takes the longest common block of a stretch, then goes on left and right of it.
+    """
+    equal = np.ascontiguousarray(texts.T)[:, None, :] == target[None, :, None]
+    some = equal.any(axis=2)
+    matched = np.zeros(len(texts), np.int64)
+    row = np.flatnonzero(equal.any(axis=(0, 1)))
+    zero = np.zeros(len(row), np.int64)
+    stretch = (zero, lengths[row], zero, np.full(len(row), len(target)))
+    while len(row):
+        size, a_at, b_at = _longest_blocks(equal, some, row, stretch)
+        np.add.at(matched, row, size)
+        found = size > 0
+        size, a_at, b_at = size[found], a_at[found], b_at[found]
+        a_lo, a_hi, b_lo, b_hi = (side[found] for side in stretch)
+        sides = zip((a_lo, a_at, b_lo, b_at), (a_at + size, a_hi, b_at + size, b_hi))
+        row = np.tile(row[found], 2)
+        stretch = tuple(np.concatenate(pair) for pair in sides)
+        open_ = (stretch[0] < stretch[1]) & (stretch[2] < stretch[3])
+        row, stretch = row[open_], tuple(side[open_] for side in stretch)
+    return matched
+
+
+class TextBlock:
+    """Short texts of one batch as a matrix of characters; long ones are scored one by one."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.short = np.flatnonzero(lengths <= SHORT_TEXT)
+        self.long = np.flatnonzero(lengths > SHORT_TEXT)
+        self.lengths = lengths[self.short]
+        width = max(int(self.lengths.max(initial=0)), 1)
+        chars = np.array([texts[i] for i in self.short], dtype=f"U{width}")
+        self.chars = chars.view(np.uint32).reshape(len(self.short), width)
+
+    def sequence_ratios(self, target: str, only: np.ndarray | None = None) -> np.ndarray:
+        """Similarity of each text to the target; ``only`` marks the texts that matter, others get 0."""
+        out = np.zeros(len(self.texts))
+        wanted = np.ones(len(self.texts), bool) if only is None else only
+        vectorised = 0 < len(target) <= SHORT_TEXT
+        short = np.flatnonzero(wanted[self.short]) if vectorised else np.empty(0, np.int64)
+        rest = self.long if vectorised else np.arange(len(self.texts))
+        for i in rest[wanted[rest]]:
+            out[i] = sequence_similarity(self.texts[i], target)
+        if len(short):
+            wide = np.array([target]).view(np.uint32)
+            step = max(1, CELLS // (self.chars.shape[1] * len(target)))
+            for at in range(0, len(short), step):
+                part = short[at : at + step]
+                size = _matched_sizes(self.chars[part], self.lengths[part], wide)
+                out[self.short[part]] = 2.0 * size / (self.lengths[part] + len(target))
+        return out
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -78,13 +157,7 @@ def token_set_similarity(a: str, b: str) -> float:
     return best
 
 
-def _pair_measure(kind: str):
-    return sequence_similarity if kind == "sequence" else token_set_similarity
-
-
-def _pair_udf(kind: str):
-    measure = _pair_measure(kind)
-
+def _pair_udf(measure):
     @pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         cache: dict[tuple[str, str], float] = {}
@@ -104,12 +177,12 @@ def _pair_udf(kind: str):
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Matching-block ratio of two text columns; not symmetric, keep (value, target)."""
-    return _pair_udf("sequence")(a, b)
+    return _pair_udf(sequence_similarity)(a, b)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Word-set ratio in [0, 1] of two text columns."""
-    return _pair_udf("token_set")(a, b)
+    return _pair_udf(token_set_similarity)(a, b)
 
 
 def contains_similarity(a: Column, b: Column) -> Column:
@@ -117,65 +190,63 @@ def contains_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.contains(normalize_spaces(a), normalize_spaces(b)), F.lit(False)).cast("double")
 
 
-class Targets:
-    """The targets of all fuzzy rules of one column, ready to score one value after another."""
+def score_matrix(values: list[str], targets: list[str], kind: str) -> np.ndarray:
+    """Similarity of every value (row) to every target (column)."""
+    if kind == "sequence":
+        block = TextBlock(values)
+        columns = [block.sequence_ratios(t) for t in targets]
+    else:
+        columns = [np.array([token_set_similarity(v, t) for v in values]) for t in targets]
+    return np.column_stack(columns)
 
-    def __init__(self, texts: list[str], kind: str):
-        self.texts = texts
-        self.kind = kind
-        self.matchers = [SequenceMatcher(None, "", t) if kind == "sequence" else None for t in texts]
 
-    def scores(self, value: str) -> list[float]:
-        if self.kind == "sequence":
-            return [sequence_similarity(value, t, m) for t, m in zip(self.texts, self.matchers)]
-        return [token_set_similarity(value, t) for t in self.texts]
+def each_once(keys: list, cache: dict, compute) -> list:
+    """Results for the keys of a batch; ``compute`` gets the distinct keys not met before in this task."""
+    fresh = list(dict.fromkeys(k for k in keys if k not in cache))
+    if len(cache) + len(fresh) > CACHED_VALUES:
+        cache.clear()
+        fresh = list(dict.fromkeys(keys))
+    if fresh:
+        cache.update(zip(fresh, compute(fresh)))
+    return [cache[k] for k in keys]
 
 
-def fuzzy_scores(texts: list[str], kind: str):
+def fuzzy_scores(targets: list[str], kind: str):
     """UDF: value -> array of its similarity to every target."""
 
+    def compute(values: list[str]) -> list[list[float]]:
+        return score_matrix(values, targets, kind).tolist()
+
     @pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        targets = Targets(texts, kind)
         cache: dict[str, list[float]] = {}
         for values in batches:
-            out = []
-            for value in values.fillna(""):
-                scores = cache.get(value)
-                if scores is None:
-                    if len(cache) >= CACHED_VALUES:
-                        cache.clear()
-                    scores = cache[value] = targets.scores(value)
-                out.append(scores)
-            yield pd.Series(out)
+            yield pd.Series(each_once(values.fillna("").tolist(), cache, compute))
 
     return score.asNondeterministic()  # scored once: the optimizer must not copy it into a filter
 
 
-def fuzzy_fold(texts: list[str], codes: list[str], thresholds: list[float], weights: list[float], kind: str):
+def fuzzy_fold(targets: list[str], codes: list[str], thresholds: list[float], weights: list[float], kind: str):
     """UDF: (value, code) -> did any rule hit, did all hit, weighted score of all.
 
     ``codes[i]`` is the code that lets rule i hit outright, empty where it has none.
     """
 
+    def compute(pairs: list[tuple[str, str]]) -> list[tuple[bool, bool, float]]:
+        values, value_codes = zip(*pairs)
+        scores = score_matrix(list(values), targets, kind)
+        same = np.array([[c != "" and c == own for c in codes] for own in value_codes])
+        hits = same | (scores >= np.array(thresholds))
+        total = np.zeros(len(pairs))
+        for i, weight in enumerate(weights):  # added in rule order
+            total += np.where(same[:, i], 1.0, scores[:, i]) * weight
+        return list(zip(hits.any(axis=1).tolist(), hits.all(axis=1).tolist(), total.tolist()))
+
     @pandas_udf("any boolean, all boolean, total double")
     def fold(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        targets = Targets(texts, kind)
         cache: dict[tuple[str, str], tuple[bool, bool, float]] = {}
         for values, value_codes in batches:
-            out = []
-            for pair in zip(values.fillna(""), value_codes.fillna("")):
-                result = cache.get(pair)
-                if result is None:
-                    hits, total = [], 0.0
-                    for sim, code, least, weight in zip(targets.scores(pair[0]), codes, thresholds, weights):
-                        same = code != "" and code == pair[1]
-                        hits.append(same or sim >= least)
-                        total += (1.0 if same else sim) * weight
-                    if len(cache) >= CACHED_VALUES:
-                        cache.clear()
-                    result = cache[pair] = (any(hits), all(hits), total)
-                out.append(result)
-            yield pd.DataFrame(out, columns=["any", "all", "total"])
+            pairs = list(zip(values.fillna(""), value_codes.fillna("")))
+            yield pd.DataFrame(each_once(pairs, cache, compute), columns=["any", "all", "total"])
 
     return fold.asNondeterministic()

@@ -4,7 +4,8 @@ Each value takes its best-scoring requirement, the earliest one on ties:
 equal code 1.0, equal normalised text 0.95, one text inside the other 0.9, else the matching-block ratio.
 
 A short list travels inside the expressions, and every row is judged where it lies, without a shuffle. A long list
-is cut into blocks; distinct values meet the blocks by equi-join and the best of each value is joined back.
+is cut into blocks; distinct values meet the blocks by equi-join and the best of each value is joined back. What the
+long form needs twice is written to the shared folder, so it runs jobs when it is called.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from ruleloom.functions import text as X
 from ruleloom.functions.params import round4
 from ruleloom.operators.dedup import keep_first
 from ruleloom.schema import quoted
+from ruleloom.session import staged
 
 # The scores of the first three tiers.
 SAME_CODE, SAME_TEXT, INSIDE = 1.0, 0.95, 0.9
@@ -33,7 +35,7 @@ BARE_CODE = r"^[0-9]{4,6}[A-Z]{0,3}$"
 
 SHORT_LIST = 500  # requirements that travel inside the expressions
 BLOCK_SIZE = 256  # requirements per block of a long list
-BROADCAST_BYTES = 32 << 20  # text of a long list up to which its blocks are broadcast
+BROADCAST_BYTES = 32 << 20  # text up to which the blocks, or the scored values, are broadcast
 SALTS = 32  # copies of each block beyond that
 
 BLOCK_TYPE = "array<struct<pos:bigint,norm:string>>"
@@ -81,23 +83,29 @@ def _ladder(code_pos: Column, text_pos: Column, inside_pos: Column) -> Column:
     )
 
 
-def _best_ratio(value: str, score: float, pos: int | None, texts: list[tuple[int, str, SequenceMatcher]]):
-    """The best of the tiers so far and of the ratios of all texts outside those tiers."""
-    best, best_pos = score, pos
-    for at, text, matcher in texts:
-        if value == text or (value and text and (value in text or text in value)):
+def _best_ratios(keys: list[tuple[str, float, int | None]], items: list[tuple[int, str]]) -> list[tuple]:
+    """For (value, score, pos) of the first tiers: the best of it and of the ratios to all texts outside the tiers."""
+    values = [k[0] for k in keys]
+    best = np.array([k[1] for k in keys])
+    best_pos = np.array([np.inf if k[2] is None else k[2] for k in keys])
+    block = S.TextBlock(values)
+    lengths = np.array([len(v) for v in values])
+    for pos, text in items:
+        tiered = np.array([v == text or (v != "" and text != "" and (v in text or text in v)) for v in values])
+        bound = 2.0 * np.minimum(lengths, len(text)) / np.maximum(lengths + len(text), 1)
+        open_ = ~tiered & ((bound > best) | ((bound == best) & (pos < best_pos)))
+        if not open_.any():
             continue
-        bound = 2.0 * min(len(value), len(text)) / max(len(value) + len(text), 1)
-        if bound < best or (bound == best and best_pos is not None and at > best_pos):
-            continue
-        ratio = S.sequence_similarity(value, text, matcher)
-        if ratio > best or (ratio == best and ratio > 0.0 and best_pos is not None and at < best_pos):
-            best, best_pos = ratio, at
-    return best, best_pos
+        ratio = block.sequence_ratios(text, only=open_)
+        better = open_ & (ratio > 0.0) & ((ratio > best) | ((ratio == best) & (pos < best_pos)))
+        best = np.where(better, ratio, best)
+        best_pos = np.where(better, pos, best_pos)
+    return [(b, None if np.isinf(p) else int(p)) for b, p in zip(best.tolist(), best_pos.tolist())]
 
 
-def _matchers(items: list[tuple[int, str]]) -> list[tuple[int, str, SequenceMatcher]]:
-    return [(pos, text, SequenceMatcher(None, "", text)) for pos, text in items]
+def _keys(values: pd.Series, scores: pd.Series, positions: pd.Series) -> list[tuple[str, float, int | None]]:
+    known = [None if pd.isna(p) else int(p) for p in positions]
+    return list(zip(values, scores.tolist(), known))
 
 
 def _as_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -106,26 +114,18 @@ def _as_frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _ratio_tier(items: list[tuple[int, str]]):
-    """UDF over (normalised value, score, pos) for a short list; a score of 1.0 or more is final."""
+    """UDF over (normalised value, score, pos) for a short list; a score of 1.0 is final."""
+
+    def compute(keys: list[tuple]) -> list[tuple]:
+        tried = [k for k in keys if k[0] is not None and k[1] < SAME_CODE]
+        found = dict(zip(tried, _best_ratios(tried, items))) if tried else {}
+        return [found.get(k, k[1:]) for k in keys]
 
     @pandas_udf("score double, pos long")
     def tier(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        texts = _matchers(items)
         cache: dict[tuple, tuple] = {}
-        for values, scores, positions in batches:
-            out = []
-            for value, score, pos in zip(values, scores, positions):
-                pos = None if pd.isna(pos) else int(pos)
-                if score >= SAME_CODE or value is None:
-                    out.append((score, pos))
-                    continue
-                result = cache.get((value, score, pos))
-                if result is None:
-                    if len(cache) >= S.CACHED_VALUES:
-                        cache.clear()
-                    result = cache[value, score, pos] = _best_ratio(value, score, pos, texts)
-                out.append(result)
-            yield _as_frame(out)
+        for batch in batches:
+            yield _as_frame(S.each_once(_keys(*batch), cache, compute))
 
     return tier.asNondeterministic()
 
@@ -136,12 +136,12 @@ def _block_ratio_tier():
     @pandas_udf("score double, pos long")
     def tier(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for values, scores, positions, numbers, blocks in batches:
-            texts: dict[int, list] = {}
-            out = []
-            for value, score, pos, number, block in zip(values, scores, positions, numbers, blocks):
-                if number not in texts:
-                    texts[number] = _matchers([(int(b["pos"]), b["norm"]) for b in block])
-                out.append(_best_ratio(value, score, None if pd.isna(pos) else int(pos), texts[number]))
+            keys = _keys(values, scores, positions)
+            out: list = [None] * len(keys)
+            for rows in numbers.groupby(numbers).indices.values():
+                items = [(int(b["pos"]), b["norm"]) for b in blocks.iloc[rows[0]]]
+                for i, result in zip(rows, _best_ratios([keys[i] for i in rows], items)):
+                    out[i] = result
             yield _as_frame(out)
 
     return tier.asNondeterministic()
@@ -152,7 +152,7 @@ class _Listing:
     """A requirement list behind its size check; rows only where it is short."""
 
     frame: DataFrame
-    count: int
+    texts: int  # distinct normalised texts
     size: int
     rows: list | None
 
@@ -165,8 +165,8 @@ def _listing(reqs: DataFrame, short_list: int) -> _Listing:
         raise ValueError("the requirement list is empty")
     if len(head) <= short_list:
         return _Listing(reqs, len(head), 0, sorted(head, key=lambda r: r["req_idx"]))
-    count, size = reqs.agg(F.count("*"), F.sum(F.octet_length("norm") + 16)).first()
-    return _Listing(reqs, count, size, None)
+    texts, size = reqs.agg(F.count_distinct("norm"), F.sum(F.octet_length("norm") + 16)).first()
+    return _Listing(reqs, texts, size, None)
 
 
 def _literal(value, ddl: str) -> Column:
@@ -203,12 +203,13 @@ def _match_short(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame
 
 def _match_long(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame:
     """The same over distinct values and blocks of requirements."""
-    reqs = listing.frame
+    reqs = staged(listing.frame, "requirements")
     values = df.select("__norm", "__code").filter(F.col("__norm").isNotNull()).distinct()
     by_code = reqs.filter(F.col("code") != "").groupBy("code").agg(F.min("req_idx").alias("__code_pos"))
     coded = values.join(by_code, values["__code"] == by_code["code"], "left").drop("code")
+    coded = staged(coded, "values")  # read twice below, and the expensive part need not be preceded by a shuffle again
 
-    n_blocks = -(-listing.count // BLOCK_SIZE)
+    n_blocks = -(-listing.texts // BLOCK_SIZE)
     per_norm = reqs.groupBy("norm").agg(F.min("req_idx").alias("pos"))
     number = F.pmod(F.xxhash64("norm"), F.lit(n_blocks)).cast("int")
     blocks = per_norm.groupBy(number.alias("__block")).agg(F.collect_list(F.struct("pos", "norm")).alias("__reqs"))
@@ -238,7 +239,10 @@ def _match_long(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame:
         "__norm", "__code", F.lit(SAME_CODE).alias("__score"), F.col("__code_pos").alias("__pos")
     )
     chosen = reqs.select(F.col("req_idx").alias("__pos"), F.col("name").alias("__name"), F.col("code").alias("__mcode"))
-    scored = opened.unionByName(closed).join(chosen, "__pos", "left").drop("__pos")
+    scored = staged(opened.unionByName(closed).join(chosen, "__pos", "left").drop("__pos"), "scored")
+    size = scored.agg(F.sum(F.octet_length("__norm") + F.coalesce(F.octet_length("__name"), F.lit(0)) + 64)).first()[0]
+    if (size or 0) <= BROADCAST_BYTES:
+        scored = F.broadcast(scored)
     return df.join(scored, ["__norm", "__code"], "left")
 
 

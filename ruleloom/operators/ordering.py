@@ -28,7 +28,7 @@ def _cols(names: Sequence[str]) -> list[Column]:
 def _in_blocks(df: DataFrame, keys: Sequence[str], index: str, block_rows: int) -> DataFrame:
     """Add the group as one struct (never null itself, so joins keep null sources) and the block number."""
     group = F.struct(*_cols(keys)) if keys else F.struct(F.lit(0).alias("all"))
-    block = F.floor(F.col(quoted(index)) / F.lit(block_rows)).cast("long")
+    block = F.expr(f"{quoted(index)} div {block_rows}")
     return df.withColumns({"__g": group, "__block": block})
 
 

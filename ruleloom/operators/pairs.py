@@ -40,18 +40,17 @@ def pair_lines(
     ).filter(F.col("__text") != "")
     if skip_numbering:
         rows = rows.filter(~F.col("__text").rlike(NUMBERING))
-    rows = rows.withColumn("__block", F.floor(F.col("__i") / block_rows).cast("long"))
+    rows = rows.withColumn("__block", F.expr(f"__i div {block_rows}"))
 
     other = F.when(~F.col("__zh"), F.col("__i"))
     in_block = Window.partitionBy("__g", "__block")
     ahead = in_block.orderBy("__i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumn("__near", F.min(other).over(ahead))
-
     later = Window.partitionBy("__g").orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
-    firsts = rows.groupBy("__g", "__block").agg(F.min("__near").alias("__first"))
+    firsts = rows.groupBy("__g", "__block").agg(F.min(other).alias("__first"))
     firsts = firsts.select("__g", "__block", F.min("__first").over(later).alias("__later"))
 
-    paired = rows.join(firsts, ["__g", "__block"]).withColumn("pair_idx", F.coalesce("__near", "__later"))
+    paired = rows.withColumn("__near", F.min(other).over(ahead)).join(firsts, ["__g", "__block"])
+    paired = paired.withColumn("pair_idx", F.coalesce("__near", "__later"))
     zh_part = F.when(F.col("__zh"), F.struct("__i", "__text"))
     en_text = F.when(~F.col("__zh"), F.col("__text"))
     return (

@@ -25,6 +25,7 @@ from ruleloom.schema import quoted
 MODES = ("AND", "OR", "WEIGHTED")
 SIMILARITIES = ("sequence", "token_set", "contains")
 CHAINED_SUM = 100  # longer sums are written as one array fold, to keep expression trees shallow
+CHAINED_WORDS = 32  # more keywords are written as one test over an array, for the same reason
 SLACK = 1e-9  # rounding allowance where a bound decides which rows need no similarity
 MATCH, SCORE = "_match_all", "_score_all"
 
@@ -171,7 +172,10 @@ def _keyword_term(rules: list[Rule], features: Features) -> Term:
         hit = _single_hit(next(r for r in rules if r.folded), features)
     else:
         text = features.get(first.column, _fold_kind(first))
-        hit = F.exists(F.lit(words), lambda w: F.contains(text, w))
+        if len(words) <= CHAINED_WORDS:
+            hit = any_of([F.contains(text, F.lit(w)) for w in words])
+        else:
+            hit = F.exists(F.lit(words), lambda w: F.contains(text, w))
     return _single_term(first, hit, f"{first.column}:contains_any({distinct})")
 
 
@@ -187,8 +191,8 @@ def _is_lookup(rule: Rule) -> bool:
     return rule.type in ("enum", "code") or (rule.type, rule.operator) == ("text", "equals")
 
 
-def _lookup_term(rules: list[Rule], features: Features) -> Term:
-    """Rules that compare one (folded) column with sets of values."""
+def _lookup_term(rules: list[Rule], features: Features, audit: bool) -> Term:
+    """Rules that compare one (folded) column with sets of values; entries only for an audit."""
     first = rules[0]
     value = features.get(first.column, "code" if first.type == "code" else _fold_kind(first))
     if any("" in _lookup_keys(r) for r in rules):
@@ -201,12 +205,14 @@ def _lookup_term(rules: list[Rule], features: Features) -> Term:
     by_key: dict[str, list[Entry]] = {}
     entries = []
     for r in rules:
-        hit = is_in(_lookup_keys(r))
-        entry = Entry(r.rule_id, hit, F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)), r.desc, r.weight)
-        entries.append(entry)
         for k in _lookup_keys(r):
             weights[k] = weights.get(k, 0.0) + r.weight
-            by_key.setdefault(k, []).append(entry)
+        if audit:
+            hit = is_in(_lookup_keys(r))
+            entry = Entry(r.rule_id, hit, F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0)), r.desc, r.weight)
+            entries.append(entry)
+            for k in _lookup_keys(r):
+                by_key.setdefault(k, []).append(entry)
     common = set.intersection(*(set(_lookup_keys(r)) for r in rules))
     by_weight: dict[float, list[str]] = {}
     for k, w in weights.items():
@@ -289,7 +295,7 @@ def _build_terms(
         if kind == "never":
             terms.append(_single_term(members[0], F.lit(False)))
         elif kind == "lookup":
-            terms.append(_lookup_term(members, features))
+            terms.append(_lookup_term(members, features, audit))
         elif kind == "fuzzy":
             terms.append(_fuzzy_term(members, features, similarity, audit, udfs))
         elif kind == "keywords":

@@ -18,7 +18,7 @@ from ruleloom.operators import screen as S
 from ruleloom.plans import tables as T
 from ruleloom.plans.tables import table
 from ruleloom.plans.workbooks import workbooks_of
-from ruleloom.session import scratch_path
+from ruleloom.session import scratch_path, staged
 from ruleloom.sources import lines as L
 from ruleloom.sources import pairs as BP
 from ruleloom.sources import sinks as K
@@ -690,7 +690,7 @@ def excel_ingest(spark, folder):
     book = F.floor(F.col("o_orderkey") / BOOK_ROWS).cast("long").alias("book")
     build = workbooks_of(["o_orderkey", "o_orderpriority", "o_custkey"], "o_orderstatus")
     books = orders.groupBy(book).applyInPandas(build, "path string, content binary")
-    rows = workbook_rows(books, "*")
+    rows = workbook_rows(staged(books, "books"), "*")
     return rows.select("_source_file", "_sheet", "_row_idx", "o_orderkey", "o_orderpriority", "o_custkey")
 
 
