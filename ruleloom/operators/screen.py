@@ -480,12 +480,23 @@ def fold_hits(hits: DataFrame, keys: Sequence[str], n_entries: int, mode: str =
     return grouped.select(*(F.col(quoted(k)) for k in keys), match.alias(MATCH), P.round4(total).alias(SCORE))
 
 
-def hits_per_source(screened: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows and hits per source, and in total (the row whose source columns are all null)."""
-    counts = screened.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(F.col(MATCH)).alias("hits"))
+def _with_total(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The counts per source and one row for all, whose source columns are null."""
     sets = [[F.col(c) for c in by], []]
     return counts.groupingSets(sets, *by).agg(F.sum("rows").alias("rows"), F.sum("hits").alias("hits"))
 
 
+def hits_per_source(screened: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows and hits per source and in total, from rows that are screened but not yet filtered."""
+    counts = screened.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(F.col(MATCH)).alias("hits"))
+    return _with_total(counts, by)
+
+
+def source_totals(rows: DataFrame, hits: DataFrame, source: str) -> DataFrame:
+    """The same from counts taken apart: (source, rows) and (source, hits)."""
+    counts = rows.join(hits, source, "left").select(source, "rows", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return _with_total(counts, [source])
+
+
 def rows_per_source(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("rows"))

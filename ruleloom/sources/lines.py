@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.schema import ROW, SOURCE
+from ruleloom.sources.tables import file_path
 
 BOM = "\ufeff"
 
@@ -16,7 +17,7 @@ BOM = "\ufeff"
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """UTF-8 text, split over tasks: _source_file, _row_idx, line (a byte order mark is dropped)."""
     return spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias(SOURCE),
+        file_path().alias(SOURCE),
         F.monotonically_increasing_id().alias(ROW),
         F.regexp_replace("value", f"^{BOM}", "").alias("line"),
     )

@@ -72,6 +72,12 @@ def latest_version(spark: SparkSession, path: str) -> str | None:
     return f"{path}/{done[-1]}" if done else None
 
 
+def next_version(spark: SparkSession, path: str) -> str:
+    """The path for a new version of a result; no version is ever written over."""
+    versions = _versions(spark, path)
+    return f"{path}/v{(int(versions[-1][1:]) if versions else 0) + 1:06d}"
+
+
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     version = latest_version(spark, path)
     if version is None:
@@ -96,8 +102,7 @@ def append_result(
         merged = append(spark.read.parquet(old_path), df, order_by, key, column)
     else:
         merged = spark.read.parquet(old_path).unionByName(df, allowMissingColumns=True)
-    versions = _versions(spark, path)
-    target = f"{path}/v{(int(versions[-1][1:]) if versions else 0) + 1:06d}"
+    target = next_version(spark, path)
     write_table(merged, target)
     return target
 

@@ -6,7 +6,7 @@ import logging
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators.dedup import union_by_name
@@ -25,11 +25,16 @@ def present_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return found
 
 
+def file_path() -> Column:
+    """The path of the file a row comes from; Spark gives it with blanks and the like escaped."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def with_provenance(df: DataFrame) -> DataFrame:
     """Source path, empty sheet name and a row number that grows in read order within each file."""
     return df.select(
         *(F.col(quoted(c)) for c in df.columns),
-        F.col("_metadata.file_path").alias(SOURCE),
+        file_path().alias(SOURCE),
         F.lit("").alias(SHEET),
         F.monotonically_increasing_id().alias(ROW),
     )
@@ -56,8 +61,7 @@ def read_table(spark: SparkSession, path: str, sheet: str = "*") -> DataFrame:
         raw = spark.read.parquet(path)
         typed = [F.col(quoted(c)).cast("string").alias(c) for c in raw.columns]
         order = F.col("_metadata.row_index")  # the row number of the file itself
-        file = F.col("_metadata.file_path")
-        return raw.select(*typed, file.alias(SOURCE), F.lit("").alias(SHEET), order.alias(ROW))
+        return raw.select(*typed, file_path().alias(SOURCE), F.lit("").alias(SHEET), order.alias(ROW))
     if ending == ".json":
         return with_provenance(spark.read.json(path, primitivesAsString=True))
     return read_csv(spark, path)
@@ -87,6 +91,6 @@ def select_sheets(df: DataFrame, sheet: str, ordinal: str = "_sheet_no") -> Data
     return chosen
 
 
-def source_name(path_column: str = SOURCE):
+def source_name() -> Column:
     """The base name of a source path without folder and ending."""
-    return F.regexp_extract(F.col(path_column), r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return F.regexp_extract(F.col(SOURCE), r"([^/]*?)(?:\.[^./]*)?$", 1)
