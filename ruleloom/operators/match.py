@@ -83,29 +83,26 @@ def _ladder(code_pos: Column, text_pos: Column, inside_pos: Column) -> Column:
     )
 
 
-def _best_ratios(keys: list[tuple[str, float, int | None]], items: list[tuple[int, str]]) -> list[tuple]:
-    """For (value, score, pos) of the first tiers: the best of it and of the ratios to all texts outside the tiers."""
-    values = [k[0] for k in keys]
-    best = np.array([k[1] for k in keys])
-    best_pos = np.array([np.inf if k[2] is None else k[2] for k in keys])
+def _best_of(values: list[str], items: list[tuple[int, str]]) -> list[tuple[float, int | None]]:
+    """Best score and requirement position of each value by text (all tiers but the code)."""
+    best, best_pos = np.zeros(len(values)), np.full(len(values), np.inf)
     block = S.TextBlock(values)
     lengths = np.array([len(v) for v in values])
     for pos, text in items:
-        tiered = np.array([v == text or (v != "" and text != "" and (v in text or text in v)) for v in values])
+        score = np.array([_text_tier(v, text) for v in values])
         bound = 2.0 * np.minimum(lengths, len(text)) / np.maximum(lengths + len(text), 1)
-        open_ = ~tiered & ((bound > best) | ((bound == best) & (pos < best_pos)))
-        if not open_.any():
-            continue
-        ratio = block.sequence_ratios(text, only=open_)
-        better = open_ & (ratio > 0.0) & ((ratio > best) | ((ratio == best) & (pos < best_pos)))
-        best = np.where(better, ratio, best)
-        best_pos = np.where(better, pos, best_pos)
+        promising = (score == 0.0) & ((bound > best) | ((bound == best) & (pos < best_pos)))
+        if promising.any():
+            score = np.where(promising, block.sequence_ratios(text, only=promising), score)
+        better = (score > best) | ((score == best) & (score > 0.0) & (pos < best_pos))
+        best, best_pos = np.where(better, score, best), np.where(better, pos, best_pos)
     return [(b, None if np.isinf(p) else int(p)) for b, p in zip(best.tolist(), best_pos.tolist())]
 
 
-def _keys(values: pd.Series, scores: pd.Series, positions: pd.Series) -> list[tuple[str, float, int | None]]:
-    known = [None if pd.isna(p) else int(p) for p in positions]
-    return list(zip(values, scores.tolist(), known))
+def _text_tier(value: str, text: str) -> float:
+    if value == text:
+        return SAME_TEXT
+    return INSIDE if value and text and (value in text or text in value) else 0.0
 
 
 def _as_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -113,38 +110,37 @@ def _as_frame(rows: list[tuple]) -> pd.DataFrame:
     return frame.assign(pos=frame["pos"].astype("Int64"))
 
 
-def _ratio_tier(items: list[tuple[int, str]]):
-    """UDF over (normalised value, score, pos) for a short list; a score of 1.0 is final."""
+def _best_in_list(items: list[tuple[int, str]], by_code: dict[str, int]):
+    """UDF (normalised value, code) -> score, pos over a short list; each distinct value of a task is tried once."""
 
     def compute(keys: list[tuple]) -> list[tuple]:
-        tried = [k for k in keys if k[0] is not None and k[1] < SAME_CODE]
-        found = dict(zip(tried, _best_ratios(tried, items))) if tried else {}
-        return [found.get(k, k[1:]) for k in keys]
+        tried = [norm for norm, code in keys if norm is not None and code not in by_code]
+        found = dict(zip(tried, _best_of(tried, items))) if tried else {}
+        return [(SAME_CODE, by_code[code]) if code in by_code else found.get(norm, (0.0, None)) for norm, code in keys]
 
     @pandas_udf("score double, pos long")
-    def tier(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         cache: dict[tuple, tuple] = {}
-        for batch in batches:
-            yield _as_frame(S.each_once(_keys(*batch), cache, compute))
+        for norms, codes in batches:
+            yield _as_frame(S.each_once(list(zip(norms, codes)), cache, compute))
 
-    return tier.asNondeterministic()
+    return best.asNondeterministic()
 
 
-def _block_ratio_tier():
-    """UDF over (normalised value, score, pos, block number, block) for a long list."""
+def _best_in_block():
+    """UDF (normalised value, block number, block) -> score, pos over the requirements of the block."""
 
     @pandas_udf("score double, pos long")
-    def tier(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for values, scores, positions, numbers, blocks in batches:
-            keys = _keys(values, scores, positions)
-            out: list = [None] * len(keys)
+    def best(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for values, numbers, blocks in batches:
+            out: list = [None] * len(values)
             for rows in numbers.groupby(numbers).indices.values():
                 items = [(int(b["pos"]), b["norm"]) for b in blocks.iloc[rows[0]]]
-                for i, result in zip(rows, _best_ratios([keys[i] for i in rows], items)):
+                for i, result in zip(rows, _best_of([values.iloc[i] for i in rows], items)):
                     out[i] = result
             yield _as_frame(out)
 
-    return tier.asNondeterministic()
+    return best.asNondeterministic()
 
 
 @dataclass
@@ -183,14 +179,14 @@ def _match_short(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame
             by_code.setdefault(r["code"], pos)
         by_norm.setdefault(r["norm"], pos)
     norm, code = F.col("__norm"), F.col("__code")
-    blocks = _literal([{"pos": p, "norm": n} for n, p in by_norm.items()], BLOCK_TYPE)
-    code_pos = F.try_element_at(_literal(by_code, "map<string,int>"), code)
-    text_pos = F.try_element_at(_literal(by_norm, "map<string,int>"), norm)
-    inside = F.array_min(F.transform(F.filter(blocks, lambda r: _inside(norm, r["norm"])), lambda r: r["pos"]))
-    out = df.withColumn("__best", _ladder(code_pos, text_pos, inside))
     if similarity == "sequence":
-        tier = _ratio_tier([(p, n) for n, p in by_norm.items()])
-        out = out.withColumn("__best", tier("__norm", "__best.score", "__best.pos"))
+        out = df.withColumn("__best", _best_in_list([(p, n) for n, p in by_norm.items()], by_code)(norm, code))
+    else:
+        blocks = _literal([{"pos": p, "norm": n} for n, p in by_norm.items()], BLOCK_TYPE)
+        code_pos = F.try_element_at(_literal(by_code, "map<string,int>"), code)
+        text_pos = F.try_element_at(_literal(by_norm, "map<string,int>"), norm)
+        inside = F.array_min(F.transform(F.filter(blocks, lambda r: _inside(norm, r["norm"])), lambda r: r["pos"]))
+        out = df.withColumn("__best", _ladder(code_pos, text_pos, inside))
     names = _literal([{"n": r["name"], "c": r["code"]} for r in rows], "array<struct<n:string,c:string>>")
     chosen = F.try_element_at(names, F.col("__best.pos").cast("int"))
     return out.select(
@@ -227,11 +223,11 @@ def _match_long(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame:
     def first_pos(test) -> Column:
         return F.array_min(F.transform(F.filter("__reqs", lambda r: test(r["norm"])), lambda r: r["pos"]))
 
-    best = _ladder(F.lit(None), first_pos(lambda n: n == norm), first_pos(lambda n: _inside(norm, n)))
-    tried = tried.withColumn("__best", best)
     if similarity == "sequence":
-        args = ["__norm", "__best.score", "__best.pos", "__block", "__reqs"]
-        tried = tried.withColumn("__best", _block_ratio_tier()(*args))
+        best = _best_in_block()("__norm", "__block", "__reqs")
+    else:
+        best = _ladder(F.lit(None), first_pos(lambda n: n == norm), first_pos(lambda n: _inside(norm, n)))
+    tried = tried.withColumn("__best", best)
     rank = F.struct(F.col("__best.score").alias("score"), (-F.col("__best.pos")).alias("back"))
     opened = tried.groupBy("__norm", "__code").agg(F.max(rank).alias("__top"))
     opened = opened.select("__norm", "__code", F.col("__top.score").alias("__score"), (-F.col("__top.back")).alias("__pos"))

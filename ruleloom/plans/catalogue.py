@@ -15,9 +15,10 @@ from ruleloom.operators import ordering as O
 from ruleloom.operators import pairs as B
 from ruleloom.operators import rules as R
 from ruleloom.operators import screen as S
+from ruleloom.plans import jobs
 from ruleloom.plans import tables as T
 from ruleloom.plans.tables import table
-from ruleloom.plans.workbooks import workbooks_of
+from ruleloom.plans.samples import in_gbk, workbooks_of
 from ruleloom.session import scratch_path, staged
 from ruleloom.sources import lines as L
 from ruleloom.sources import pairs as BP
@@ -326,17 +327,28 @@ def fuzzy_contains(spark, folder):
     return S.screen(T.majors(spark, folder), FUZZY, similarity="contains")
 
 
-@query("fuzzy_sequence")
+def _fuzzy_sql(ratio: str, folded: str, first: str, second: str) -> str:
+    return f"""with recursive m as (select p_partkey, {T.MAJOR_SQL} as major, {folded} as n from part),
+    {ratio} select p_partkey, major, x.r >= 0.6::double or y.r >= 0.55::double as _match_all,
+      round_even(x.r * 0.5::double + y.r * 0.25::double, 4) as _score_all
+    from m join ratio x on x.a = n and x.b = '{first}' join ratio y on y.a = n and y.b = '{second}'"""
+
+
+@query("fuzzy_sequence", _fuzzy_sql(
+    T.block_ratio_sql("select distinct n, t from m, (values ('smallring'), ('widgetred')) w(t)"), T.strict_sql(T.MAJOR_SQL), "smallring", "widgetred"))
 def fuzzy_sequence(spark, folder):
     return S.screen(T.majors(spark, folder), FUZZY, similarity="sequence")
 
 
-@query("fuzzy_token_set")
+@query("fuzzy_token_set", _fuzzy_sql(
+    T.token_ratio_sql("select distinct n, t from m, (values ('small ring'), ('widget red')) w(t)"), T.spaces_sql(T.MAJOR_SQL), "small ring", "widget red"))
 def fuzzy_token_set(spark, folder):
     return S.screen(T.majors(spark, folder), FUZZY, similarity="token_set")
 
 
-@query("fuzzy_code_prefer")
+# The name shares nothing with any part, so that only the code can hit.
+@query("fuzzy_code_prefer", f"""select p_partkey, {T.MAJOR_SQL} as major, true as _match_all, 1.0::double as _score_all from part
+    where regexp_extract({T.MAJOR_SQL}, '[0-9]{{4,6}}') = '000017'""")
 def fuzzy_code_prefer(spark, folder):
     rules = [("major", "fuzzy", "similar", "互联网金融（000017）", "0.85", "3", "1.0", "normalize=true;code_prefer=true")]
     return S.screen(T.majors(spark, folder), rules, hits_only=True)
@@ -357,7 +369,15 @@ def screen_rule_table(spark, folder):
     return S.screen(_with_major(spark, folder), T.rule_table(spark, folder), similarity="contains")
 
 
-@query("screen_rule_table_fuzzy")
+@query("screen_rule_table_fuzzy", f"""with recursive m as (select p_partkey, p_brand, {T.MAJOR_SQL} as major, {T.strict_sql(T.MAJOR_SQL)} as n,
+      lpad(cast(p_partkey as varchar), 6, '0') as code, regexp_matches(p_brand, '#1[0-9]$') as branded from part),
+    q as (select {T.strict_sql("p_name")} as t, min(p_partkey) as k from part group by p_name),
+    {T.block_ratio_sql("select distinct n, t from m, q")},
+    x as (select p_partkey, sum(ratio.r order by q.k) as total, max(ratio.r) as best, bool_or(m.p_partkey = q.k) as coded
+      from m cross join q join ratio on ratio.a = m.n and ratio.b = q.t group by p_partkey)
+    select m.p_partkey, p_brand, major, x.best >= 0.85::double or coded or branded as _match_all,
+      round_even(x.total + case when coded then 1.0::double else 0 end + case when branded then 0.5::double else 0 end, 4) as _score_all
+    from m join x on m.p_partkey = x.p_partkey""")
 def screen_rule_table_fuzzy(spark, folder):
     return S.screen(_with_major(spark, folder), T.rule_table(spark, folder), similarity="sequence")
 
@@ -417,12 +437,16 @@ def rules_by_priority(spark, folder):
 # ---------------------------------------------------------------- requirement lists
 
 
-@query("parse_requirements", f"""with l as ({T.REQUIREMENT_LINES_SQL}), p as (select line as raw, req_idx, trim(line, {T.SPACE_SQL}) as t from l),
+PARSED_SQL = f"""l as ({T.REQUIREMENT_LINES_SQL}), p as (select line as raw, req_idx, trim(line, {T.SPACE_SQL}) as t from l),
     q as (select raw, req_idx, case when contains(t, '（') then trim(split_part(t, '（', 1)) when starts_with(t, '1 ') then
         regexp_extract(t, '[^ 　]+$') when regexp_matches(t, ' [0-9]{{4,6}}$') then regexp_extract(regexp_replace(t, ' [0-9]+$', ''), '[^ 　]+$')
         else regexp_extract(t, '[^ 　]+$') end as name, regexp_extract(t, '[0-9]{{4,6}}') as code from p where t <> ''),
-    n as (select raw, name, {T.strict_sql('name')} as norm, code, req_idx from q)
-    select raw, name, norm, code, req_idx from (select *, row_number() over (partition by norm, code order by req_idx) as r from n) where r = 1""")
+    u as (select raw, name, {T.strict_sql('name')} as norm, code, req_idx from q),
+    reqs as (select raw, name, norm, code, req_idx from
+      (select *, row_number() over (partition by norm, code order by req_idx) as k from u) where k = 1)"""
+
+
+@query("parse_requirements", f"with {PARSED_SQL} select raw, name, norm, code, req_idx from reqs")
 def parse_requirements(spark, folder):
     return M.parse_requirements(T.requirement_lines(spark, folder))
 
@@ -455,7 +479,19 @@ def best_match_long_list(spark, folder):
     return M.best_match(_candidates(spark, folder), "major", reqs, threshold=0.92, similarity="none", short_list=8)
 
 
-@query("best_match_full")
+@query("best_match_full", f"""with recursive {PARSED_SQL}, v as (select p_partkey, {T.NAME_OR_MAJOR_SQL} as major from part),
+    n as (select *, {T.strict_sql('major')} as norm, regexp_extract(major, '[0-9]{{4,6}}') as code from v),
+    r as (select norm, min(req_idx) as req_idx from reqs group by norm),
+    c as (select code, min(req_idx) as req_idx from reqs where code <> '' group by code),
+    {T.block_ratio_sql("select distinct n.norm, r.norm from n, r where n.code not in (select code from c)")},
+    s as (select ratio.a, r.req_idx, case when ratio.a = ratio.b then 0.95::double when contains(ratio.a, ratio.b) or contains(ratio.b, ratio.a) then 0.9::double
+        else ratio.r end as score from ratio join r on r.norm = ratio.b),
+    t as (select a, score, req_idx from (select *, row_number() over (partition by a order by score desc, req_idx) as k from s) where k = 1),
+    f as (select p_partkey, major, case when c.code is not null then 1.0::double else t.score end as score, coalesce(c.req_idx, t.req_idx) as req_idx
+      from n left join c on c.code = n.code left join t on t.a = n.norm)
+    select p_partkey, major, score >= 0.6::double as _match, case when score >= 0.6::double then reqs.name else '' end as _matched_name,
+      case when score >= 0.6::double then reqs.code else '' end as _matched_code, round_even(score, 4) as _score
+    from f join reqs on reqs.req_idx = f.req_idx""")
 def best_match_full(spark, folder):
     reqs = M.parse_requirements(T.requirement_lines(spark, folder))
     return M.best_match(_candidates(spark, folder), "major", reqs, threshold=0.6)
@@ -677,6 +713,67 @@ def text_lines(spark, folder):
     return L.read_lines(spark, path).select(F.col("line").alias("name"))
 
 
+@query("mixed_lines", f"""select p_partkey, unnest([p_name, {T.MAJOR_SQL}]) as line from part""")
+def mixed_lines(spark, folder):
+    """Small files, half of them in UTF-8 and half in GBK, made of a name and a major each."""
+    texts = table(spark, folder, "part").select(
+        F.col("p_partkey").cast("string").alias(C.SOURCE), F.concat_ws("\n", "p_name", F.expr(T.MAJOR)).alias("text"), "p_size"
+    )
+    utf8 = texts.filter("p_size <= 25").select(C.SOURCE, F.encode("text", "UTF-8").alias("content"))
+    gbk = texts.filter("p_size > 25").select(C.SOURCE, "text").mapInPandas(in_gbk, f"{C.SOURCE} string, content binary")
+    lines = L.split_lines(L.decoded_files(utf8.unionByName(gbk)))
+    return lines.select(F.col(C.SOURCE).cast("long").alias("p_partkey"), "line")
+
+
+@query("append_increment", """select o_orderkey, o_custkey, o_orderstatus from (select *, row_number() over
+    (partition by o_custkey order by case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end, o_orderkey) as r from orders) where r = 1""")
+def append_increment(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    path = scratch_path(spark, "increments")
+    for status in "FOP":
+        K.append_increment(orders.filter(F.col("o_orderstatus") == status), path, ["o_orderkey"], key="o_custkey")
+    return K.read_batches(spark, path).drop(K.BATCH)
+
+
+def _as_files(spark, rows: DataFrame, by: str, values: list[str]) -> list[str]:
+    """A CSV folder for each of a few values of a column."""
+    base = scratch_path(spark, "files")
+    for v in values:
+        K.write_table(rows.filter(F.col(by) == v), f"{base}/{v}", "csv")
+    return [f"{base}/{v}" for v in values]
+
+
+@query("job_screen_files", """select o_orderkey, round_even(case when o_totalprice >= 250000 then 1.0::double else 0 end
+    + case when o_orderpriority = '1-URGENT' then 0.5::double else 0 end, 4) as _score_all from (select *, row_number() over
+    (partition by o_custkey order by o_orderstatus, o_orderkey) as r from (select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority
+    from orders where o_totalprice >= 250000 or o_orderpriority = '1-URGENT')) where r = 1""")
+def job_screen_files(spark, folder):
+    """Three sources screened, deduplicated by customer, written per source and merged; the merged result."""
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    files = _as_files(spark, rows.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey"), "o_orderstatus", ["F", "O", "P"])
+    rules = [("o_totalprice", "number", "min", "250000"), ("o_orderpriority", "text", "equals", "1-urgent", "", "", "0.5", "ignore_case=true")]
+    out = scratch_path(spark, "job")
+    jobs.screen_files(spark, files, rules, out, key="o_custkey")
+    return K.read_result(spark, f"{out}/merged").select(F.col("o_orderkey").cast("long"), "_score_all")
+
+
+@query("job_match_files", f"""with r as ({T.REQUIREMENTS_SQL}), v as (select p_partkey, {T.NAME_OR_MAJOR_SQL} as major from part),
+    n as (select *, {T.strict_sql('major')} as norm, regexp_extract(major, '[0-9]{{4,6}}') as code from v)
+    select n.p_partkey, major, coalesce(c.name, t.name) as _matched_name, coalesce(c.code, t.code) as _matched_code,
+      case when c.name is not null then 1.0::double else 0.95::double end as _score
+    from n left join r c on c.code = n.code left join r t on t.norm = n.norm where c.name is not null or t.name is not null""")
+def job_match_files(spark, folder):
+    """A requirement file and a candidate folder; only equal codes and equal names reach the threshold."""
+    path = scratch_path(spark, "requirements")
+    T.requirements(spark, folder).orderBy("_row_idx").coalesce(1).select("line").write.text(path)
+    base = scratch_path(spark, "files")
+    K.write_table(_candidates(spark, folder), f"{base}/part", "csv")
+    out = scratch_path(spark, "job")
+    jobs.match_files(spark, [f"{base}/part"], path, out, column="major", threshold=0.95, deduplicate=False)
+    kept = ["major", "_matched_name", "_matched_code", "_score"]
+    return K.read_result(spark, f"{out}/merged").select(F.col("p_partkey").cast("long"), *kept)
+
+
 BOOK_ROWS = 5000  # orders per workbook in the query below
 
 
@@ -719,4 +816,4 @@ def stream_append(spark, folder):
     path = scratch_path(spark, "stream")
     stream = _event_stream(spark, folder).select("event_id", "user_id", "event_type")
     append_stream(stream, f"{path}/out", f"{path}/checkpoint", ["event_id"], key="user_id").awaitTermination()
-    return spark.read.parquet(f"{path}/out").drop("_batch")
+    return K.read_batches(spark, f"{path}/out").drop(K.BATCH)

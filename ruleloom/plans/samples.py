@@ -1,10 +1,11 @@
-"""Workbooks made from table rows, to have something the workbook source can read."""
+"""Files made from table rows that Spark itself does not write, to have something the sources can read."""
 
 from __future__ import annotations
 
 import io
 import sys
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -53,3 +54,10 @@ def workbooks_of(header: list[str], sheet_column: str):
         return pd.DataFrame({"path": [f"book-{key[0]}.xlsx"], "content": [workbook_bytes(sheets)]})
 
     return build
+
+
+def in_gbk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Function for mapInPandas: (name, text) to (name, content) in an encoding Spark does not write."""
+    for frame in frames:
+        name = frame.columns[0]
+        yield pd.DataFrame({name: frame[name], "content": [t.encode("gbk") for t in frame["text"]]})

@@ -99,3 +99,41 @@ def rule_table(spark: SparkSession, folder: str) -> DataFrame:
     ).filter(F.col("p_brand").rlike("#1[0-9]$"))
     ranked = fuzzy.unionByName(codes).orderBy("__k", F.col("type").desc()).drop("__k")
     return ranked.unionByName(words)
+
+
+def block_ratio_sql(pairs: str) -> str:
+    """CTEs that give ``ratio(a, b, r)``, the matching-block ratio, for the distinct pairs (a, b) of a query."""
+    best = """list_aggregate(flatten(list_transform(range(1, length(b) + 1), lambda j: list_transform(range(1, length(b) - j + 2),
+        lambda n: {'n': case when contains(a, substr(b, j, n)) then -n else 0 end, 'i': instr(a, substr(b, j, n)), 'j': j}))), 'min')"""
+    return f"""pairs(a, b) as ({pairs}),
+    stretch(a0, b0, a, b, size) as (select a, b, a, b, 0::bigint from pairs union all
+      select a0, b0, case when side = 0 then left(a, m.i - 1) else substr(a, m.i - m.n) end,
+        case when side = 0 then left(b, m.j - 1) else substr(b, m.j - m.n) end, case when side = 0 then -m.n else 0 end
+      from (select a0, b0, a, b, {best} as m from stretch where a <> '' and b <> '') cross join (values (0), (1)) s(side) where m.n < 0),
+    ratio as (select a0 as a, b0 as b, case when a0 = b0 then 1.0::double else 2.0::double * sum(size)::double / (length(a0) + length(b0)) end as r
+      from stretch group by a0, b0)"""
+
+
+def token_ratio_sql(pairs: str) -> str:
+    """CTEs that give ``ratio(a, b, r)``, the word-set ratio, for the distinct pairs (a, b) of a query."""
+
+    def words(text: str) -> str:
+        return f"list_distinct(list_filter(string_split({text}, ' '), lambda w: w <> ''))"
+
+    def joined(items: str) -> str:
+        return f"array_to_string(list_sort({items}), ' ')"
+
+    mask = "list_sum(list_transform(range(1, length(x) + 1), lambda i: case when substr(x, i, 1) = c then 1::bigint << (i - 1) else 0 end))"
+    full = "((1::bigint << length(x)) - 1)"
+    masks = f"list_transform(list_filter(string_split(y, ''), lambda c: c <> ''), lambda c: ({mask})::bigint)"
+    left = f"list_reduce([{full}] || {masks}, lambda s, m: (((s + (s & m)) | (s - (s & m))) & {full}))"
+    return f"""pairs(a, b) as ({pairs}),
+    split as (select a, b, {words('a')} as ta, {words('b')} as tb from pairs),
+    parts as (select a, b, ta, tb, {joined('list_intersect(ta, tb)')} as z, {joined('list_filter(ta, lambda w: not list_contains(tb, w))')} as x,
+      {joined('list_filter(tb, lambda w: not list_contains(ta, w))')} as y from split),
+    sizes as (select *, length(z) + case when z <> '' then 1 else 0 end as base,
+      case when x = '' then 0 else length(x) - bit_count({left}) end as common from parts),
+    ratio as (select a, b, case when len(ta) = 0 or len(tb) = 0 then 0.0::double when z <> '' and (x = '' or y = '') then 1.0::double
+      else greatest(2.0::double * (base + common) / (base + length(x) + base + length(y)),
+        case when z <> '' then 2.0::double * length(z) / (length(z) + base + length(x)) else 0 end,
+        case when z <> '' then 2.0::double * length(z) / (length(z) + base + length(y)) else 0 end) end as r from sizes)"""

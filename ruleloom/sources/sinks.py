@@ -11,12 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.operators.dedup import append, dedup
+from ruleloom.operators.dedup import append, dedup, dedup_keys
 from ruleloom.schema import RULE_COLUMNS, SOURCE
 from ruleloom.session import path_exists
 from ruleloom.sources.tables import source_name
 
 log = logging.getLogger(__name__)
+BATCH = "_batch"
+BROADCAST_KEYS = 500_000  # keys of one batch up to which they are broadcast to the old result
 FORMATS = ("parquet", "csv", "json", "orc")
 
 
@@ -58,12 +60,15 @@ def write_by_source(df: DataFrame, path: str, format: str = "parquet", paths: Se
     writer.save(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop_path) if s.getPath().getName().startswith("v"))
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return _children(spark, path, "v")
 
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
@@ -107,6 +112,49 @@ def append_result(
     return target
 
 
+def append_batch(
+    batch: DataFrame, batch_id: int, path: str, order_by: Sequence[str], key: str | None, column: str | None = None
+) -> None:
+    """Write the rows of one batch whose key no earlier batch has written; nothing older is rewritten.
+
+    A batch owns one folder and overwrites it, so a batch that is run again after a loss leaves the same rows.
+    Only the keys of earlier batches are read, and they are first cut down to the keys of this batch.
+    """
+    spark = batch.sparkSession
+    fresh = dedup(batch, order_by, key, column).persist()
+    rows = fresh
+    if any(n < batch_id for n in _batches(spark, path)):
+        old = read_batches(spark, path).filter(F.col(BATCH) < batch_id)
+        keyed = fresh.withColumn("__key", F.struct(*dedup_keys(fresh, key, column)))
+        batch_keys = keyed.select("__key")
+        if fresh.count() <= BROADCAST_KEYS:
+            batch_keys = F.broadcast(batch_keys)
+        known = old.select(F.struct(*dedup_keys(old, key, column)).alias("__key")).join(batch_keys, "__key", "left_semi")
+        rows = keyed.join(known.distinct(), "__key", "left_anti").drop("__key")
+    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    fresh.unpersist()
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches that are completely written."""
+    names = _children(spark, path, f"{BATCH}=")
+    return sorted(int(n.split("=")[1]) for n in names if path_exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    done = [f"{path}/{BATCH}={n}" for n in _batches(spark, path)]
+    return spark.read.option("basePath", path).parquet(*done)
+
+
+def append_increment(
+    df: DataFrame, path: str, order_by: Sequence[str], key: str | None = None, column: str | None = None
+) -> int:
+    """Add the rows with new keys as the next batch: for results too large to be written anew at every append."""
+    number = max(_batches(df.sparkSession, path), default=-1) + 1
+    append_batch(df, number, path, order_by, key, column)
+    return number
+
+
 def export_rules(rules: DataFrame, path: str) -> None:
     """A rule table as CSV with header, in one file since it is small by definition."""
     rules.select(*RULE_COLUMNS).coalesce(1).write.csv(path, header=True, quote='"', escape='"', emptyValue="")

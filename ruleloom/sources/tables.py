@@ -42,7 +42,8 @@ def with_provenance(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """One CSV table (file, folder or glob with one header) as text, nothing inferred."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', encoding=encoding, multiLine=multi_line)
+    settings = dict(header=True, quote='"', escape='"', encoding=encoding, multiLine=multi_line)
+    raw = spark.read.csv(path, enforceSchema=False, **settings)  # a file of the folder with other columns is an error
     return with_provenance(raw)
 
 

@@ -5,15 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ruleloom.operators.dedup import dedup, dedup_keys
 from ruleloom.operators.screen import screen
-from ruleloom.session import path_exists
-
-BATCH = "_batch"
-BROADCAST_KEYS = 500_000  # keys of one batch up to which they are broadcast to the old result
+from ruleloom.sources.sinks import append_batch
 
 
 def screen_stream(stream: DataFrame, rules, path: str, checkpoint: str, **settings) -> StreamingQuery:
@@ -28,29 +23,6 @@ def screen_stream(stream: DataFrame, rules, path: str, checkpoint: str, **settin
     )
 
 
-def append_batch(
-    batch: DataFrame, batch_id: int, path: str, order_by: Sequence[str], key: str | None, column: str | None
-) -> None:
-    """Write the rows of one batch whose key no earlier batch has written.
-
-    A batch owns one folder and overwrites it, so a batch that is run again after a loss leaves the same rows.
-    Only the keys of earlier batches are read, and they are first cut down to the keys of this batch.
-    """
-    spark = batch.sparkSession
-    fresh = dedup(batch, order_by, key, column).persist()
-    rows = fresh
-    if path_exists(spark, f"{path}/{BATCH}=*"):
-        old = spark.read.parquet(path).filter(F.col(BATCH) < batch_id)
-        keyed = fresh.withColumn("__key", F.struct(*dedup_keys(fresh, key, column)))
-        batch_keys = keyed.select("__key")
-        if fresh.count() <= BROADCAST_KEYS:
-            batch_keys = F.broadcast(batch_keys)
-        known = old.select(F.struct(*dedup_keys(old, key, column)).alias("__key")).join(batch_keys, "__key", "left_semi")
-        rows = keyed.join(known.distinct(), "__key", "left_anti").drop("__key")
-    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
-    fresh.unpersist()
-
-
 def append_stream(
     stream: DataFrame,
     path: str,

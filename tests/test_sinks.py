@@ -7,7 +7,7 @@ from ruleloom.operators import screen as S
 from ruleloom.plans import jobs
 from ruleloom.sources import sinks as K
 from ruleloom.sources import tables as C
-from ruleloom.streaming.screening import append_batch, append_stream, screen_stream
+from ruleloom.streaming.screening import append_stream, screen_stream
 
 
 def put(path, text):
@@ -141,12 +141,23 @@ def test_batch_can_be_run_again(spark, tmp_path):
     out = str(tmp_path / "out")
     first = spark.createDataFrame([("a", 1, 1.0)], SCHEMA)
     second = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 3.0)], SCHEMA)
-    append_batch(first, 0, out, ["i"], "k", None)
+    K.append_batch(first, 0, out, ["i"], "k", None)
     for _ in range(2):
-        append_batch(second, 1, out, ["i"], "k", None)
+        K.append_batch(second, 1, out, ["i"], "k", None)
     assert sorted(r["v"] for r in spark.read.parquet(out).collect()) == [1.0, 3.0]
 
 
+def test_append_increment(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    parts = [[("a", 2, 1.0), ("a", 1, 2.0)], [("a", 0, 3.0), (None, 1, 4.0)], [(None, 0, 5.0), ("b", 1, 6.0)]]
+    for limit, rows in zip((500_000, 0, 0), parts):
+        monkeypatch.setattr(K, "BROADCAST_KEYS", limit)
+        K.append_increment(spark.createDataFrame(rows, SCHEMA), out, ["i"], key="k")
+        broken = tmp_path / "out" / "_batch=9"  # a batch that broke off is neither read nor counted
+        broken.mkdir(exist_ok=True)
+    assert sorted((r["_batch"], r["v"]) for r in K.read_batches(spark, out).collect()) == [(0, 2.0), (1, 4.0), (2, 6.0)]
+
+
 def test_screening_is_the_same_on_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     df = spark.range(200).select(F.col("id").cast("string").alias("k"), F.col("id").cast("int").alias("i"), (F.col("id") / 7).alias("v"))

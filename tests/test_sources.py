@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ruleloom.plans.workbooks import workbook_bytes
+from ruleloom.plans.samples import workbook_bytes
 from ruleloom.sources import lines as L
 from ruleloom.sources import pairs as BP
 from ruleloom.sources import tables as C
@@ -31,6 +31,13 @@ def test_many_files_by_name(spark, tmp_path):
         C.read_tables(spark, [str(tmp_path / "absent.csv")])
 
 
+def test_other_columns_in_one_folder_are_an_error(spark, tmp_path):
+    put(tmp_path / "d" / "1.csv", "a,b\n1,2\n")
+    put(tmp_path / "d" / "2.csv", "b,a\n2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        C.read_csv(spark, str(tmp_path / "d")).select("a").collect()
+
+
 def test_row_numbers_follow_the_file(spark, tmp_path):
     path = put(tmp_path / "long.csv", "i\n" + "".join(f"{i}\n" for i in range(20000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
