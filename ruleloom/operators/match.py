@@ -11,22 +11,26 @@ long form needs twice is written to the shared folder, so it runs jobs when it i
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ruleloom.functions import similarity as S
 from ruleloom.functions import text as X
 from ruleloom.functions.params import round4
+from ruleloom.functions.similarity import TextBlock, each_once
 from ruleloom.operators.dedup import keep_first
 from ruleloom.schema import quoted
 from ruleloom.session import staged
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in the similarity module
+
 # The scores of the first three tiers.
 SAME_CODE, SAME_TEXT, INSIDE = 1.0, 0.95, 0.9
 # Fixed value: a requirement written as a name with its code in full-width brackets.
@@ -86,7 +90,7 @@ def _ladder(code_pos: Column, text_pos: Column, inside_pos: Column) -> Column:
 def _best_of(values: list[str], items: list[tuple[int, str]]) -> list[tuple[float, int | None]]:
     """Best score and requirement position of each value by text (all tiers but the code)."""
     best, best_pos = np.zeros(len(values)), np.full(len(values), np.inf)
-    block = S.TextBlock(values)
+    block = TextBlock(values)
     lengths = np.array([len(v) for v in values])
     for pos, text in items:
         score = np.array([_text_tier(v, text) for v in values])
@@ -122,21 +126,21 @@ def _best_in_list(items: list[tuple[int, str]], by_code: dict[str, int]):
     def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         cache: dict[tuple, tuple] = {}
         for norms, codes in batches:
-            yield _as_frame(S.each_once(list(zip(norms, codes)), cache, compute))
+            yield _as_frame(each_once(list(zip(norms, codes)), cache, compute))
 
     return best.asNondeterministic()
 
 
 def _best_in_block():
-    """UDF (normalised value, block number, block) -> score, pos over the requirements of the block."""
+    """UDF (normalised value, block number, block as JSON) -> score, pos over the requirements of the block."""
 
     @pandas_udf("score double, pos long")
     def best(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for values, numbers, blocks in batches:
             out: list = [None] * len(values)
             for rows in numbers.groupby(numbers).indices.values():
-                items = [(int(b["pos"]), b["norm"]) for b in blocks.iloc[rows[0]]]
-                for i, result in zip(rows, _best_of([values.iloc[i] for i in rows], items)):
+                items = [(b["pos"], b["norm"]) for b in json.loads(blocks.iloc[rows[0]])]
+                for i, result in zip(rows, _best_of(values.iloc[rows].tolist(), items)):
                     out[i] = result
             yield _as_frame(out)
 
@@ -161,6 +165,7 @@ def _listing(reqs: DataFrame, short_list: int) -> _Listing:
         raise ValueError("the requirement list is empty")
     if len(head) <= short_list:
         return _Listing(reqs, len(head), 0, sorted(head, key=lambda r: r["req_idx"]))
+    reqs = staged(reqs, "requirements")
     texts, size = reqs.agg(F.count_distinct("norm"), F.sum(F.octet_length("norm") + 16)).first()
     return _Listing(reqs, texts, size, None)
 
@@ -199,7 +204,7 @@ def _match_short(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame
 
 def _match_long(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame:
     """The same over distinct values and blocks of requirements."""
-    reqs = staged(listing.frame, "requirements")
+    reqs = listing.frame
     values = df.select("__norm", "__code").filter(F.col("__norm").isNotNull()).distinct()
     by_code = reqs.filter(F.col("code") != "").groupBy("code").agg(F.min("req_idx").alias("__code_pos"))
     coded = values.join(by_code, values["__code"] == by_code["code"], "left").drop("code")
@@ -212,6 +217,11 @@ def _match_long(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame:
     open_values = coded.filter(F.col("__code_pos").isNull()).select(
         "__norm", "__code", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__block")
     )
+    # A fixed number of tasks: the rows are few bytes but much work, and would be packed into too few by their size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_values = open_values.repartition(tasks, "__norm", "__code", "__block")
+    if similarity == "sequence":
+        blocks = blocks.withColumn("__reqs", F.to_json("__reqs"))  # one text instead of many values per row
     if listing.size <= BROADCAST_BYTES:
         tried = open_values.join(F.broadcast(blocks), "__block")
     else:

@@ -784,9 +784,10 @@ def excel_ingest(spark, folder):
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", F.lpad(F.col("o_custkey").cast("string"), 7, "0").alias("o_custkey")
     )
-    book = F.floor(F.col("o_orderkey") / BOOK_ROWS).cast("long").alias("book")
+    book = F.expr(f"o_orderkey div {BOOK_ROWS}")
     build = workbooks_of(["o_orderkey", "o_orderpriority", "o_custkey"], "o_orderstatus")
-    books = orders.groupBy(book).applyInPandas(build, "path string, content binary")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    books = orders.withColumn("book", book).repartition(tasks, "book").groupBy("book").applyInPandas(build, "path string, content binary")
     rows = workbook_rows(staged(books, "books"), "*")
     return rows.select("_source_file", "_sheet", "_row_idx", "o_orderkey", "o_orderpriority", "o_custkey")
 

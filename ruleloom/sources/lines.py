@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.schema import ROW, SOURCE
 from ruleloom.sources.tables import file_path
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BOM = "\ufeff"
 
 
