@@ -451,6 +451,14 @@ def parse_requirements(spark, folder):
     return M.parse_requirements(T.requirement_lines(spark, folder))
 
 
+@query("job_counts", """select o_orderstatus as _source, count(*) as rows, count(*) filter (where o_totalprice >= 250000) as hits from orders
+    group by grouping sets ((o_orderstatus), ())""")
+def job_counts(spark, folder):
+    """The rows and hits per source that a screening job reports."""
+    files = _as_files(spark, table(spark, folder, "orders"), "o_orderstatus", ["F", "O", "P"])
+    return jobs.screen_files(spark, files, [("o_totalprice", "number", "min", "250000")], scratch_path(spark, "job"), key="o_orderkey")
+
+
 def _candidates(spark, folder) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", F.expr(T.NAME_OR_MAJOR).alias("major"))
 
@@ -640,7 +648,7 @@ def roundtrip_csv(spark, folder):
     )
     path = scratch_path(spark, "by-source")
     hits = S.screen(rows, [("o_orderstatus", "enum", "in", "F;O")], hits_only=True)
-    K.write_by_source(hits.drop(S.MATCH, S.SCORE, C.ROW), path, format="csv")
+    K.write_by_source(K.with_output_name(hits.drop(S.MATCH, S.SCORE)), path, format="csv")
     back = C.read_csv(spark, path)
     return back.select("o_orderkey", "o_orderstatus", "o_orderpriority", "_source")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators.dedup import dedup_keys, keep_first
@@ -14,25 +14,35 @@ from ruleloom.operators.screen import screen, source_totals
 from ruleloom.schema import ROW, SHEET, SOURCE
 from ruleloom.session import staged
 from ruleloom.sources.lines import read_mixed_lines
-from ruleloom.sources.sinks import append_result, next_version, write_by_source, write_table
-from ruleloom.sources.tables import read_tables
+from ruleloom.sources.sinks import (
+    OUTPUT,
+    append_result,
+    next_version,
+    output_names,
+    with_output_name,
+    write_by_source,
+    write_table,
+)
+from ruleloom.sources.tables import present_paths, read_tables
 
 ORDER = [SOURCE, SHEET, ROW]
+OBSERVED = 50  # sources up to which their rows are counted in passing
 
 
 def _read(spark: SparkSession, paths: Sequence[str], sheet: str, limit: int | None) -> DataFrame:
     rows = read_tables(spark, paths, sheet)
-    return rows if limit is None else limit_per_source(rows, limit, [SOURCE, SHEET], ROW)
+    if limit is not None:
+        rows = limit_per_source(rows, limit, [SOURCE, SHEET], ROW)
+    return with_output_name(rows, paths)
 
 
-def _write(hits: DataFrame, out: str, paths: Sequence[str], key, column, merge_only, append, deduplicate, format) -> None:
+def _write(hits: DataFrame, out: str, key, column, merge_only, append, deduplicate, format) -> None:
     if not merge_only:
         part = hits
         if deduplicate:
-            keys = [F.col(SOURCE), *dedup_keys(hits, key, column)]
-            part = keep_first(hits, keys, [F.col(c) for c in ORDER])
-        write_by_source(part, f"{out}/by_source", format, paths)
-    merged = f"{out}/merged"
+            part = keep_first(hits, [F.col(OUTPUT), *dedup_keys(hits, key, column)], [F.col(c) for c in ORDER])
+        write_by_source(part, f"{out}/by_source", format)
+    merged, hits = f"{out}/merged", hits.drop(OUTPUT)
     if append:
         append_result(hits, merged, ORDER, key, column, deduplicate)
         return
@@ -41,6 +51,22 @@ def _write(hits: DataFrame, out: str, paths: Sequence[str], key, column, merge_o
     write_table(hits, next_version(hits.sparkSession, merged))
 
 
+def _run(rows: DataFrame, paths: Sequence[str], to_hits) -> tuple[DataFrame, DataFrame]:
+    """The hits, written once to the shared folder, and the rows read per source.
+
+    Text files are counted in the pass that screens them. Parquet knows its row numbers, and counting in passing
+    would keep predicates from its scan, so it is asked on its own; so are many sources.
+    """
+    spark = rows.sparkSession
+    if len(paths) > OBSERVED or all(p.rstrip("/").endswith(".parquet") for p in paths):
+        return staged(to_hits(rows), "hits"), rows.groupBy(OUTPUT).agg(F.count("*").alias("rows"))
+    names, seen = list(output_names(paths).values()), Observation()
+    counts = [F.count_if(F.col(OUTPUT) == n).alias(f"n{i}") for i, n in enumerate(names)]
+    hits = staged(to_hits(rows.observe(seen, *counts)), "hits")
+    read = [(n, seen.get[f"n{i}"]) for i, n in enumerate(names)]
+    return hits, spark.createDataFrame(read, f"{OUTPUT} string, rows long")
+
+
 def screen_files(
     spark: SparkSession,
     paths: Sequence[str],
@@ -56,17 +82,12 @@ def screen_files(
     format: str = "parquet",
     **settings,
 ) -> DataFrame:
-    """Screen all files, write the hits per source and merged, and return the rows and hits per source.
-
-    The rules run once: the hits are written to the shared folder, and outputs and counts are taken from there.
-    The row counts read no column of the files.
-    """
-    rows = _read(spark, paths, sheet, limit)
-    hits = staged(screen(rows, rules, hits_only=True, **settings), "hits")
-    _write(hits, out, paths, key, column, merge_only, append, deduplicate, format)
-    read = rows.groupBy(SOURCE).agg(F.count("*").alias("rows"))
-    found = hits.groupBy(SOURCE).agg(F.count("*").alias("hits"))
-    return source_totals(read, found, SOURCE)
+    """Screen all files, write the hits per source and merged, and return the rows and hits per source."""
+    found = present_paths(spark, paths)
+    rows = _read(spark, found, sheet, limit)
+    hits, read = _run(rows, found, lambda r: screen(r, rules, hits_only=True, **settings))
+    _write(hits, out, key, column, merge_only, append, deduplicate, format)
+    return source_totals(read, hits.groupBy(OUTPUT).agg(F.count("*").alias("hits")), OUTPUT)
 
 
 def match_files(
@@ -83,9 +104,11 @@ def match_files(
     append: bool = False,
     deduplicate: bool = True,
     format: str = "parquet",
-) -> None:
-    """Keep the rows whose column matches a requirement, with the matched name, code and score."""
+) -> DataFrame:
+    """Keep the rows whose column matches a requirement, with the matched name, code and score; counts as above."""
+    found = present_paths(spark, paths)
     reqs = parse_requirements(read_mixed_lines(spark, [requirements]))
-    matched = best_match(_read(spark, paths, sheet, limit), column, reqs, threshold)
-    hits = staged(matched.filter("_match"), "matched")
-    _write(hits, out, paths, key, column, merge_only, append, deduplicate, format)
+    rows = _read(spark, found, sheet, limit)
+    hits, read = _run(rows, found, lambda r: best_match(r, column, reqs, threshold).filter("_match"))
+    _write(hits, out, key, column, merge_only, append, deduplicate, format)
+    return source_totals(read, hits.groupBy(OUTPUT).agg(F.count("*").alias("hits")), OUTPUT)

@@ -18,6 +18,7 @@ from ruleloom.sources.tables import source_name
 
 log = logging.getLogger(__name__)
 BATCH = "_batch"
+OUTPUT = "_source"
 BROADCAST_KEYS = 500_000  # keys of one batch up to which they are broadcast to the old result
 FORMATS = ("parquet", "csv", "json", "orc")
 
@@ -37,24 +38,31 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "
     writer.save(path)
 
 
-def with_output_name(df: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
-    """Add ``_source``: the base name of the source; equal base names of different paths get a number."""
-    at_place = r"^[A-Za-z0-9]+:(?://[^/]*)?"  # the scheme and host of a path
-    place = F.regexp_replace(F.col(SOURCE), at_place, "")
-    name, used = source_name(), Counter()
+PLACE = r"^[A-Za-z0-9]+:(?://[^/]*)?"  # the scheme and host of a path
+
+
+def output_names(paths: Sequence[str]) -> dict[str, str]:
+    """Path to output name: the base name; equal base names of different paths get a number."""
+    used, names = Counter(), {}
     for p in paths:
         base = posixpath.splitext(posixpath.basename(p.rstrip("/")))[0]
         used[base] += 1
-        here = re.sub(at_place, "", p.rstrip("/"))
-        label = base if used[base] == 1 else f"{base}_{used[base]}"
+        names[p] = base if used[base] == 1 else f"{base}_{used[base]}"
+    return names
+
+
+def with_output_name(df: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
+    """Add ``_source``, the output name of the path a row comes from, or the base name of its file."""
+    place, name = F.regexp_replace(F.col(SOURCE), PLACE, ""), source_name()
+    for path, label in output_names(paths).items():
+        here = re.sub(PLACE, "", path.rstrip("/"))
         name = F.when((place == here) | place.startswith(here + "/"), F.lit(label)).otherwise(name)
-    return df.withColumn("_source", name)
+    return df.withColumn(OUTPUT, name)
 
 
-def write_by_source(df: DataFrame, path: str, format: str = "parquet", paths: Sequence[str] = ()) -> None:
-    """All sources in one job, a folder for each; a source with most of the rows is written by many tasks."""
-    named = with_output_name(df, paths).hint("rebalance", F.col("_source"))
-    writer = named.write.partitionBy("_source").format(_format(format))
+def write_by_source(df: DataFrame, path: str, format: str = "parquet") -> None:
+    """All sources (by ``_source``) in one job, a folder for each; a large source is written by many tasks."""
+    writer = df.hint("rebalance", F.col(OUTPUT)).write.partitionBy(OUTPUT).format(_format(format))
     if _format(format) == "csv":
         writer = writer.options(header=True, quote='"', escape='"')
     writer.save(path)

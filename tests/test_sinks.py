@@ -21,7 +21,7 @@ def test_one_folder_per_source(spark, tmp_path):
     paths.append(put(tmp_path / "z" / "名 单.csv", "a\nz1\n"))
     df = C.read_tables(spark, paths)
     out = str(tmp_path / "out")
-    K.write_by_source(df, out, format="csv", paths=paths)
+    K.write_by_source(K.with_output_name(df, paths), out, format="csv")
     back = C.read_csv(spark, out)
     found = sorted((r["a"], r["_source"]) for r in back.select("a", "_source").collect())
     assert found == [("x1", "t"), ("x2", "t"), ("y1", "t_2"), ("y2", "t_2"), ("z1", "名 单")]
@@ -64,8 +64,8 @@ def candidates(tmp_path):
 def test_screening_job(spark, tmp_path):
     out = str(tmp_path / "out")
     counts = jobs.screen_files(spark, candidates(tmp_path), RULES, out, key="PersonID")
-    assert sorted((os.path.basename(r["_source_file"] or "all"), r["rows"], r["hits"]) for r in counts.collect()) == [
-        ("all", 7, 5), ("one.csv", 4, 3), ("two.csv", 3, 2),
+    assert sorted((r["_source"] or "all", r["rows"], r["hits"]) for r in counts.collect()) == [
+        ("all", 7, 5), ("one", 4, 3), ("two", 3, 2),
     ]
     by_source = spark.read.parquet(f"{out}/by_source")
     assert sorted((r["_source"], r["PersonID"]) for r in by_source.collect()) == [
@@ -97,7 +97,16 @@ def test_no_hits_write_empty_outputs(spark, tmp_path):
 def test_job_limit(spark, tmp_path):
     out = str(tmp_path / "out")
     counts = jobs.screen_files(spark, candidates(tmp_path), RULES, out, key="PersonID", limit=2)
-    assert {os.path.basename(r["_source_file"] or "all"): r["rows"] for r in counts.collect()} == {"all": 4, "one.csv": 2, "two.csv": 2}
+    assert {r["_source"] or "all": r["rows"] for r in counts.collect()} == {"all": 4, "one": 2, "two": 2}
+
+
+def test_job_over_parquet_and_absent_path(spark, tmp_path):
+    paths = [str(tmp_path / f"{n}.parquet") for n in ("a", "b", "absent")]
+    for p, n in zip(paths, (10, 20)):
+        spark.range(n).selectExpr("id as PersonID", "id as x").write.parquet(p)
+    counts = jobs.screen_files(spark, paths, [("x", "number", "min", "8")], str(tmp_path / "out"), key="PersonID")
+    assert sorted((r["_source"] or "all", r["rows"], r["hits"]) for r in counts.collect()) == [("a", 10, 2), ("all", 30, 14), ("b", 20, 12)]
+    assert K.read_result(spark, str(tmp_path / "out" / "merged")).count() == 12
 
 
 def test_matching_job(spark, tmp_path):
