@@ -136,7 +136,10 @@ def common_subsequence(a: str, b: str) -> int:
 
 def token_set_similarity(a: str, b: str) -> float:
     """Best of the three ratios between shared words, shared + own words of a, shared + own words of b."""
-    left, right = set(a.split()), set(b.split())
+    return _word_set_similarity(set(a.split()), set(b.split()))
+
+
+def _word_set_similarity(left: set[str], right: set[str]) -> float:
     if not left or not right:
         return 0.0
     both = left & right
@@ -196,7 +199,8 @@ def score_matrix(values: list[str], targets: list[str], kind: str) -> np.ndarray
         block = TextBlock(values)
         columns = [block.sequence_ratios(t) for t in targets]
     else:
-        columns = [np.array([token_set_similarity(v, t) for v in values]) for t in targets]
+        words = [set(v.split()) for v in values]
+        columns = [np.array([_word_set_similarity(w, asked) for w in words]) for asked in (set(t.split()) for t in targets)]
     return np.column_stack(columns)
 
 

@@ -16,6 +16,7 @@ from ruleloom.schema import quoted
 from ruleloom.session import staged
 
 BLOCK_ROWS = 1 << 17
+SALTS = 64
 WINDOW_LIMIT = 1000  # up to here Spark itself cuts each task's rows before the shuffle
 BROADCAST_BLOCKS = 200_000  # blocks of a few dozen bytes each
 POSITION = "_position"
@@ -58,13 +59,20 @@ def with_position(
     return ranked.select(*_cols(df.columns), (F.col("__before") + F.col("__rank")).alias(POSITION))
 
 
+def _first_rows(df: DataFrame, n: int, group: Sequence[str], index: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*_cols(group)).orderBy(F.col(quoted(index))))
+    return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+
+
 def limit_per_source(
     df: DataFrame, n: int, group: Sequence[str], index: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """The first ``n`` rows of every source."""
     if n <= WINDOW_LIMIT:
-        rank = F.row_number().over(Window.partitionBy(*_cols(group)).orderBy(F.col(quoted(index))))
-        return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).select(*_cols(df.columns))
+        # Each task sends at most n rows of a source; the salt keeps those of a large source from meeting in one task.
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(quoted(index)), F.lit(SALTS)))
+        part = _first_rows(salted, n, [*group, "__salt"], index)
+        return _first_rows(part, n, group, index).select(*_cols(df.columns))
     rows = _in_blocks(df, group, index, block_rows)
     needed = staged(_block_offsets(rows, group, []).filter(F.col("__before") < n), "limit-blocks")
     if needed.count() <= BROADCAST_BLOCKS:

@@ -51,20 +51,24 @@ def _write(hits: DataFrame, out: str, key, column, merge_only, append, deduplica
     write_table(hits, next_version(hits.sparkSession, merged))
 
 
-def _run(rows: DataFrame, paths: Sequence[str], to_hits) -> tuple[DataFrame, DataFrame]:
+def _counted(rows: DataFrame, by: str, name: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.count("*").alias(name))
+
+
+def _screen_and_count(rows: DataFrame, paths: Sequence[str], rules, settings: dict) -> tuple[DataFrame, DataFrame]:
     """The hits, written once to the shared folder, and the rows read per source.
 
-    Text files are counted in the pass that screens them. Parquet knows its row numbers, and counting in passing
-    would keep predicates from its scan, so it is asked on its own; so are many sources.
+    Text files are counted in the pass that screens them; it has no shuffle after the count, so that a task that is
+    run again is not counted again. Parquet knows its row numbers, and counting in passing would keep predicates
+    from its scan, so it is asked on its own; so are many sources.
     """
-    spark = rows.sparkSession
     if len(paths) > OBSERVED or all(p.rstrip("/").endswith(".parquet") for p in paths):
-        return staged(to_hits(rows), "hits"), rows.groupBy(OUTPUT).agg(F.count("*").alias("rows"))
+        return staged(screen(rows, rules, hits_only=True, **settings), "hits"), _counted(rows, OUTPUT, "rows")
     names, seen = list(output_names(paths).values()), Observation()
     counts = [F.count_if(F.col(OUTPUT) == n).alias(f"n{i}") for i, n in enumerate(names)]
-    hits = staged(to_hits(rows.observe(seen, *counts)), "hits")
+    hits = staged(screen(rows.observe(seen, *counts), rules, hits_only=True, **settings), "hits")
     read = [(n, seen.get[f"n{i}"]) for i, n in enumerate(names)]
-    return hits, spark.createDataFrame(read, f"{OUTPUT} string, rows long")
+    return hits, rows.sparkSession.createDataFrame(read, f"{OUTPUT} string, rows long")
 
 
 def screen_files(
@@ -85,9 +89,9 @@ def screen_files(
     """Screen all files, write the hits per source and merged, and return the rows and hits per source."""
     found = present_paths(spark, paths)
     rows = _read(spark, found, sheet, limit)
-    hits, read = _run(rows, found, lambda r: screen(r, rules, hits_only=True, **settings))
+    hits, read = _screen_and_count(rows, found, rules, settings)
     _write(hits, out, key, column, merge_only, append, deduplicate, format)
-    return source_totals(read, hits.groupBy(OUTPUT).agg(F.count("*").alias("hits")), OUTPUT)
+    return source_totals(read, _counted(hits, OUTPUT, "hits"), OUTPUT)
 
 
 def match_files(
@@ -109,6 +113,6 @@ def match_files(
     found = present_paths(spark, paths)
     reqs = parse_requirements(read_mixed_lines(spark, [requirements]))
     rows = _read(spark, found, sheet, limit)
-    hits, read = _run(rows, found, lambda r: best_match(r, column, reqs, threshold).filter("_match"))
+    hits = staged(best_match(rows, column, reqs, threshold).filter("_match"), "matched")
     _write(hits, out, key, column, merge_only, append, deduplicate, format)
-    return source_totals(read, hits.groupBy(OUTPUT).agg(F.count("*").alias("hits")), OUTPUT)
+    return source_totals(_counted(rows, OUTPUT, "rows"), _counted(hits, OUTPUT, "hits"), OUTPUT)

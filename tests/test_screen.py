@@ -123,6 +123,24 @@ def test_keywords_ungrouped(people):
     assert rows_of(S.screen(people, rules))["7"] == (True, 0.75)
 
 
+def test_normalised_keywords(people):
+    rules = [("School", "text", "contains", w, "", "", "", "normalize=true") for w in ("大 学", "ＰＥＫＩＮＧ", "!!")]
+    assert {k for k, v in rows_of(S.screen(people, rules)).items() if v[0]} == {"1", "3", "5", "8"}
+
+
+def test_weighted_compares_the_unrounded_total(people):
+    rules = [("PersonID", "text", "equals", "1", "", "", "0.79996")]
+    assert rows_of(S.screen(people, rules, mode="WEIGHTED", threshold="80%"))["1"] == (False, 0.8)
+    assert rows_of(S.screen(people, rules, mode="WEIGHTED", threshold=0.79996))["1"] == (True, 0.8)
+
+
+def test_settings_are_checked(people):
+    with pytest.raises(ValueError, match="mode"):
+        S.screen(people, [], mode="XOR")
+    with pytest.raises(ValueError, match="similarity"):
+        S.screen(people, [], similarity="soundex")
+
+
 def test_many_keywords(people):
     words = [f"no{i}x" for i in range(200)] + ["ERP建设"]
     rules = [("Resume", "text", "contains", w, "", "", "", "ignore_case=true") for w in words]

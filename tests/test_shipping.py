@@ -8,7 +8,7 @@ SCRIPT = """
 import sys
 sys.path.insert(0, sys.argv[1])
 from pyspark.sql import SparkSession, functions as F
-spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 from ruleloom.functions.similarity import token_set_ratio
 from ruleloom.operators.match import best_match
 from ruleloom.operators.screen import screen

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ruleloom.operators import rules as R
 from ruleloom.operators import screen as S
 from ruleloom.plans import jobs
+from ruleloom.plans.samples import workbook_bytes
 from ruleloom.sources import sinks as K
 from ruleloom.sources import tables as C
 from ruleloom.streaming.screening import append_stream, screen_stream
@@ -109,6 +110,22 @@ def test_job_over_parquet_and_absent_path(spark, tmp_path):
     assert K.read_result(spark, str(tmp_path / "out" / "merged")).count() == 12
 
 
+def test_job_over_workbooks(spark, tmp_path):
+    rows = lambda n: [["PersonID", "GPA"], *([str(i), i] for i in range(n))]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.xlsx").write_bytes(workbook_bytes({"S1": rows(6), "S2": rows(3)}))
+    paths = [str(tmp_path / f"{name}.xlsx") for name in ("a", "b")]
+    rules = [("GPA", "number", "min", "1")]
+    counts = {}
+    for sheet, limit in (("", None), ("*", 2), ("S2,none", None)):
+        out = str(tmp_path / f"out{len(counts)}")
+        found = jobs.screen_files(spark, paths, rules, out, sheet=sheet, limit=limit, deduplicate=False)
+        counts[sheet] = {r["_source"] or "all": (r["rows"], r["hits"]) for r in found.collect()}
+    assert counts[""] == {"a": (6, 5), "b": (6, 5), "all": (12, 10)}
+    assert counts["*"] == {"a": (4, 2), "b": (4, 2), "all": (8, 4)}  # the limit holds per sheet
+    assert counts["S2,none"] == {"a": (3, 2), "b": (3, 2), "all": (6, 4)}
+
+
 def test_matching_job(spark, tmp_path):
     reqs = put(tmp_path / "require.txt", "信息资源管理（120503）\n数学 0701\n")
     out = str(tmp_path / "out")
