@@ -77,5 +77,5 @@ def option_on(options: Column, name: str) -> Column:
 
 
 def round4(c: Column | str) -> Column:
-    """Four decimals, half to even."""
-    return F.bround(_col(c), 4)
+    """Four decimals, half to even, on doubles as numpy does it."""
+    return F.rint(_col(c) * F.lit(10000.0)) / F.lit(10000.0)

@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from ruleloom.functions import params as P
@@ -57,5 +59,8 @@ def test_option_on(evaluate):
 
 
 def test_round4_is_half_even(spark):
-    df = spark.createDataFrame([(0.12345,), (0.12355,), (0.1,), (2 / 3,)], "x double")
-    assert [r[0] for r in df.select(P.round4("x")).collect()] == [0.1234, 0.1236, 0.1, 0.6667]
+    values = [0.12345, 0.12355, 0.1, 2 / 3, 1103.49825, -0.00005, 0.0] + [i / 32 / 1000 for i in range(2000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    found = [r["y"] for r in df.select("i", P.round4("x").alias("y")).orderBy("i").collect()]
+    assert found[:4] == [0.1234, 0.1236, 0.1, 0.6667]
+    assert found == np.round(np.array(values), 4).tolist()
