@@ -1,7 +1,7 @@
 """Screening: a rule set evaluated over a table as one projection, folded by AND, OR or WEIGHTED.
 
 All rules become column expressions of a single pass; no rule causes a shuffle. Rules that ask "is the value one
-of these" (text equality, enum, code) are grouped per column into one set test, keyword rules into one ``exists``,
+of these" (text equality, enum, code) are grouped per column into one set test, keyword rules into one search,
 fuzzy rules into one UDF call, so the plan grows with the groups and not with the rules.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ruleloom.functions import params as P
 from ruleloom.functions import text as X
+from ruleloom.functions.keywords import any_keyword
 from ruleloom.functions.similarity import fuzzy_fold, fuzzy_scores
 from ruleloom.operators.rules import Rule, RuleSet, as_rule_set
 from ruleloom.schema import quoted
@@ -25,7 +26,7 @@ from ruleloom.schema import quoted
 MODES = ("AND", "OR", "WEIGHTED")
 SIMILARITIES = ("sequence", "token_set", "contains")
 CHAINED_SUM = 100  # longer sums are written as one array fold, to keep expression trees shallow
-CHAINED_WORDS = 32  # more keywords are written as one test over an array, for the same reason
+NATIVE_WORDS = 64  # keywords of one group up to which each is a native test
 SLACK = 1e-9  # rounding allowance where a bound decides which rows need no similarity
 MATCH, SCORE = "_match_all", "_score_all"
 
@@ -50,7 +51,7 @@ class Term:
     total: Column
     entries: list[Entry]
     most: float = 0.0  # upper bound of the total
-    fuzzy: bool = False
+    costly: bool = False  # needs a UDF
     lookup: tuple[Column, dict[str, list[Entry]]] | None = None
 
 
@@ -161,8 +162,11 @@ def _single_term(rule: Rule, hit: Column, desc: str | None = None) -> Term:
     return Term(hit, hit, total, [entry], max(rule.weight, 0.0))
 
 
-def _keyword_term(rules: list[Rule], features: Features) -> Term:
-    """Any keyword of a (column, options) group; it counts once, with the weight of its first rule."""
+def _keyword_term(rules: list[Rule], features: Features, udfs: dict[str, Column]) -> Term:
+    """Any keyword of a (column, options) group; it counts once, with the weight of its first rule.
+
+    Few keywords are looked for natively, each in its own pass over the text; many in one pass by a UDF.
+    """
     first = rules[0]
     words = list(dict.fromkeys(r.folded for r in rules if r.folded))
     distinct = len({r.value for r in rules})
@@ -172,11 +176,15 @@ def _keyword_term(rules: list[Rule], features: Features) -> Term:
         hit = _single_hit(next(r for r in rules if r.folded), features)
     else:
         text = features.get(first.column, _fold_kind(first))
-        if len(words) <= CHAINED_WORDS:
+        if len(words) <= NATIVE_WORDS:
             hit = any_of([F.contains(text, F.lit(w)) for w in words])
         else:
-            hit = F.exists(F.lit(words), lambda w: F.contains(text, w))
-    return _single_term(first, hit, f"{first.column}:contains_any({distinct})")
+            name = f"__z{len(udfs)}"
+            udfs[name] = any_keyword(words)(text)
+            hit = F.col(name)
+    term = _single_term(first, hit, f"{first.column}:contains_any({distinct})")
+    term.costly = len(words) > NATIVE_WORDS
+    return term
 
 
 def _lookup_keys(rule: Rule) -> list[str]:
@@ -254,7 +262,7 @@ def _fuzzy_term(rules: list[Rule], features: Features, kind: str, audit: bool, u
             fold = fuzzy_fold(targets, prefer, [r.threshold for r in rules], [r.weight for r in rules], kind)
             udfs[name] = fold(text, F.lit("") if code is None else code)
             z = F.col(name)
-            return Term(z["any"], z["all"], z["total"], [], most, fuzzy=True)
+            return Term(z["any"], z["all"], z["total"], [], most, costly=True)
         udfs[name] = fuzzy_scores(targets, kind)(text)
         sims = [F.col(name)[i] for i in range(len(rules))]
     entries = [_fuzzy_entry(r, s, code) for r, s in zip(rules, sims)]
@@ -264,7 +272,7 @@ def _fuzzy_term(rules: list[Rule], features: Features, kind: str, audit: bool, u
         in_order_sum([e.score * F.lit(e.weight) for e in entries]),
         entries,
         most,
-        fuzzy=kind != "contains",
+        costly=kind != "contains",
     )
 
 
@@ -299,7 +307,7 @@ def _build_terms(
         elif kind == "fuzzy":
             terms.append(_fuzzy_term(members, features, similarity, audit, udfs))
         elif kind == "keywords":
-            terms.append(_keyword_term(members, features))
+            terms.append(_keyword_term(members, features, udfs))
         else:
             terms.append(_single_term(members[0], _single_hit(members[0], features)))
     return terms
@@ -335,15 +343,15 @@ class Screening:
         return self.total() >= F.lit(self.threshold)
 
     def _possible(self) -> Column | None:
-        """What a hit must fulfil before any similarity is known, if that excludes rows at all."""
-        fuzzy = [t for t in self.terms if t.fuzzy]
-        native = [t for t in self.terms if not t.fuzzy]
-        if not fuzzy or not native:
+        """What a hit must fulfil before any UDF has run, if that excludes rows at all."""
+        costly = [t for t in self.terms if t.costly]
+        native = [t for t in self.terms if not t.costly]
+        if not costly or not native:
             return None
         if self.mode == "AND":
             return all_of([t.all for t in native])
         if self.mode == "WEIGHTED":
-            reachable = sum(t.most for t in fuzzy) + SLACK
+            reachable = sum(t.most for t in costly) + SLACK
             return in_order_sum([t.total for t in native]) + F.lit(reachable) >= F.lit(self.threshold)
         return None
 

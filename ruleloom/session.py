@@ -15,8 +15,10 @@ def _unset_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, named by spark.checkpoint.dir; a fresh local one only if it is unset."""
+    """The folder all executors see, named by spark.checkpoint.dir; a fresh one only if it is unset and Spark is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     return (folder or _unset_folder()).rstrip("/")
 
 

@@ -27,7 +27,8 @@ def present_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 def file_path() -> Column:
     """The path of the file a row comes from; Spark gives it with blanks and the like escaped."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.col("_metadata.file_path")
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
@@ -48,7 +49,9 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line
 
 
 def as_text(df: DataFrame) -> DataFrame:
-    return df.select(*(F.col(quoted(c)).cast("string").alias(c) for c in df.columns))
+    """All columns but the provenance as text."""
+    data = [F.col(quoted(c)).cast("string").alias(c) for c in df.columns if c not in (SOURCE, SHEET, ROW)]
+    return df.select(*data, SOURCE, SHEET, ROW)
 
 
 def read_table(spark: SparkSession, path: str, sheet: str = "*") -> DataFrame:
@@ -59,21 +62,28 @@ def read_table(spark: SparkSession, path: str, sheet: str = "*") -> DataFrame:
 
         return read_workbooks(spark, [path], sheet)
     if ending == ".parquet":
-        raw = spark.read.parquet(path)
-        typed = [F.col(quoted(c)).cast("string").alias(c) for c in raw.columns]
         order = F.col("_metadata.row_index")  # the row number of the file itself
-        return raw.select(*typed, file_path().alias(SOURCE), F.lit("").alias(SHEET), order.alias(ROW))
+        return spark.read.parquet(path).select("*", file_path().alias(SOURCE), F.lit("").alias(SHEET), order.alias(ROW))
     if ending == ".json":
         return with_provenance(spark.read.json(path, primitivesAsString=True))
     return read_csv(spark, path)
 
 
 def read_tables(spark: SparkSession, paths: Sequence[str], sheet: str = "") -> DataFrame:
-    """All present tables in one, columns by name. A path stands for one source; give folders for many files."""
+    """All present tables in one, columns by name. A path stands for one source; give folders for many files.
+
+    Typed columns stay typed, so that number rules reach their scan, unless the tables disagree on a type.
+    """
     found = present_paths(spark, paths)
     if not found:
         raise FileNotFoundError("none of the paths exists")
-    return union_by_name([read_table(spark, p, sheet) for p in found])
+    parts = [read_table(spark, p, sheet) for p in found]
+    types: dict[str, set[str]] = {}
+    for name, kind in (t for p in parts for t in p.dtypes):
+        types.setdefault(name, set()).add(kind)
+    if any(len(kinds) > 1 for kinds in types.values()):
+        parts = [as_text(p) for p in parts]
+    return union_by_name(parts)
 
 
 def select_sheets(df: DataFrame, sheet: str, ordinal: str = "_sheet_no") -> DataFrame:

@@ -141,10 +141,27 @@ def test_settings_are_checked(people):
         S.screen(people, [], similarity="soundex")
 
 
-def test_many_keywords(people):
-    words = [f"no{i}x" for i in range(200)] + ["ERP建设"]
+@pytest.mark.parametrize("n", [3, 64, 65, 300])
+@pytest.mark.parametrize("mode", S.MODES)
+def test_many_keywords(people, n, mode):
+    words = [f"No{i}x" for i in range(n - 2)] + ["ERP建设", "(x|"]
     rules = [("Resume", "text", "contains", w, "", "", "", "ignore_case=true") for w in words]
-    assert {k for k, v in rows_of(S.screen(people, rules)).items() if v[0]} == {"1", "4"}
+    rules += [("GPA", "number", "min", "3"), ("Resume", "text", "contains", "java")]
+    assert rows_of(S.screen(people, rules, mode=mode)) == expected(rules, mode)
+    whole = S.keep_hits(S.screen(people, rules, mode=mode))
+    assert rows_of(S.screen(people, rules, mode=mode, hits_only=True)) == rows_of(whole)
+
+
+def test_keyword_search_without_the_automaton(monkeypatch):
+    import sys
+
+    from ruleloom.functions.keywords import _finder
+
+    words = ["a.b", "信息", "x|y"]
+    texts = ["a.b", "axb", "信 息", "电子信息", "x|y!", "", "xy"]
+    with_library = [_finder(words)(t) for t in texts]
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert [_finder(words)(t) for t in texts] == with_library == [True, False, False, True, True, False, False]
 
 
 def test_token_set_scores(people):

@@ -55,7 +55,11 @@ def test_parquet_and_json_tables(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.range(5).selectExpr("id", "id * 0.5 as x").coalesce(1).write.parquet(path)
     df = C.read_tables(spark, [path])
-    assert [(r["id"], r["_row_idx"]) for r in df.orderBy("_row_idx").collect()] == [(str(i), i) for i in range(5)]
+    assert [(r["id"], r["_row_idx"]) for r in df.orderBy("_row_idx").collect()] == [(i, i) for i in range(5)]
+    other = put(tmp_path / "t.csv", "x,id\n,007\n")
+    mixed = C.read_tables(spark, [path, other])
+    assert sorted((r["id"], r["x"]) for r in mixed.collect() if r["id"] > "0000") == [("007", None), *((str(i), str(i * 0.5)) for i in range(1, 5))]
+    assert mixed.schema["_row_idx"].dataType.simpleString() == "bigint"
     path = put(tmp_path / "t.json", '{"a": 1, "b": "x"}\n{"a": 2}\n')
     assert sorted((r["a"], r["b"]) for r in C.read_tables(spark, [path]).collect()) == [("1", "x"), ("2", None)]
 
