@@ -52,6 +52,7 @@ class Term:
     entries: list[Entry]
     most: float = 0.0  # upper bound of the total
     costly: bool = False  # needs a UDF
+    plain: bool = False  # needs neither a UDF nor a derived column, so it may reach the scan
     lookup: tuple[Column, dict[str, list[Entry]]] | None = None
 
 
@@ -89,6 +90,7 @@ class Features:
     def __init__(self, df: DataFrame):
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.made: dict[tuple[str, str], tuple[str, Column]] = {}
+        self.asked = 0  # how often any of them was asked for
 
     def raw(self, column: str) -> Column:
         return F.col(quoted(column))
@@ -110,12 +112,21 @@ class Features:
                 "number": P.to_number,
             }[kind](text)
             self.made[column, kind] = (f"__f{len(self.made)}", expr)
+        self.asked += 1
         return F.col(self.made[column, kind][0])
 
     def project(self, df: DataFrame) -> DataFrame:
         if not self.made:
             return df
-        return df.select("*", *(expr.alias(name) for name, expr in self.made.values()))
+        return df.select("*", *(e.alias(name) for name, e in self.made.values()), F.spark_partition_id().alias("__once"))
+
+    def settled(self, condition: Column) -> Column:
+        """The condition tied to the projection of the derived columns.
+
+        A filter that moves below them would derive each column anew wherever it is used, once per keyword say.
+        The partition number, of no effect on the result, is what the optimizer does not move a filter past.
+        """
+        return condition & (F.col("__once") >= 0) if self.made else condition
 
 
 def _fold_kind(rule: Rule) -> str:
@@ -300,6 +311,7 @@ def _build_terms(
         groups.setdefault(key, []).append(r)
     terms = []
     for (kind, *_), members in groups.items():
+        asked = features.asked
         if kind == "never":
             terms.append(_single_term(members[0], F.lit(False)))
         elif kind == "lookup":
@@ -310,6 +322,7 @@ def _build_terms(
             terms.append(_keyword_term(members, features, udfs))
         else:
             terms.append(_single_term(members[0], _single_hit(members[0], features)))
+        terms[-1].plain = features.asked == asked and not terms[-1].costly
     return terms
 
 
@@ -342,25 +355,31 @@ class Screening:
             return any_of([t.any for t in self.terms])
         return self.total() >= F.lit(self.threshold)
 
-    def _possible(self) -> Column | None:
-        """What a hit must fulfil before any UDF has run, if that excludes rows at all."""
-        costly = [t for t in self.terms if t.costly]
-        native = [t for t in self.terms if not t.costly]
-        if not costly or not native:
-            return None
+    def _with_udfs(self, df: DataFrame) -> DataFrame:
+        return df.select("*", *(u.alias(n) for n, u in self.udfs.items())) if self.udfs else df
+
+    def base(self) -> DataFrame:
+        """The table with derived columns and UDF results."""
+        return self._with_udfs(self.features.project(self.df))
+
+    def hits(self) -> DataFrame:
+        """The same for the hits alone; rows that can hit no more leave as early as they can."""
         if self.mode == "AND":
-            return all_of([t.all for t in native])
-        if self.mode == "WEIGHTED":
-            reachable = sum(t.most for t in costly) + SLACK
-            return in_order_sum([t.total for t in native]) + F.lit(reachable) >= F.lit(self.threshold)
-        return None
-
-    def base(self, hits_only: bool) -> DataFrame:
-        """The table with features and similarities; with ``hits_only`` hopeless rows leave before the UDF."""
+            plain = [t.all for t in self.terms if t.plain]
+            native = [t.all for t in self.terms if not t.plain and not t.costly]
+            costly = [t.all for t in self.terms if t.costly]
+            df = self.df.filter(all_of(plain)) if plain else self.df
+            df = self.features.project(df)
+            df = df.filter(self.features.settled(all_of(native))) if native else df
+            df = self._with_udfs(df)
+            return df.filter(all_of(costly)) if costly else df
         df = self.features.project(self.df)
-        if hits_only and (possible := self._possible()) is not None:
-            df = df.filter(possible)
-        return df.select("*", *(u.alias(n) for n, u in self.udfs.items())) if self.udfs else df
+        native = [t.total for t in self.terms if not t.costly]
+        if self.mode == "WEIGHTED" and self.udfs and native:
+            reachable = sum(t.most for t in self.terms if t.costly) + SLACK
+            possible = in_order_sum(native) + F.lit(reachable) >= F.lit(self.threshold)
+            df = df.filter(self.features.settled(possible))
+        return self._with_udfs(df).filter(self.features.settled(self.match()))
 
     def entries(self) -> list[Entry]:
         return sorted((e for t in self.terms for e in t.entries), key=lambda e: e.rule_id)
@@ -393,10 +412,8 @@ def screen(df: DataFrame, rules, audit: bool = False, hits_only: bool = False, *
     ``hits_only`` keeps the hits and gives the optimizer the bare predicate, so that it can reach the scan.
     """
     s = plan_screening(df, rules, audit=audit, **settings)
-    base = s.base(hits_only)
-    match = F.coalesce(s.match(), F.lit(False))
-    if hits_only:
-        base, match = base.filter(s.match()), F.lit(True)
+    base = s.hits() if hits_only else s.base()
+    match = F.lit(True) if hits_only else F.coalesce(s.match(), F.lit(False))
     out = [F.col(quoted(c)) for c in df.columns]
     if audit:
         for i, e in enumerate(s.entries(), start=1):
@@ -422,7 +439,7 @@ def audit_long(df: DataFrame, rules, keys: Sequence[str], **settings) -> DataFra
         )
         for i, e in enumerate(s.entries(), start=1)
     ]
-    return s.base(False).select(*(F.col(quoted(k)) for k in keys), F.inline(F.array(*facts)))
+    return s.base().select(*(F.col(quoted(k)) for k in keys), F.inline(F.array(*facts)))
 
 
 def hits_long(df: DataFrame, rules, keys: Sequence[str], **settings) -> DataFrame:
@@ -455,7 +472,7 @@ def hits_long(df: DataFrame, rules, keys: Sequence[str], **settings) -> DataFram
             facts += [fact(None, null, e.rule_id, e.hit, e.score, e.weight) for e in term.entries]
     telling = F.filter(F.array(*facts), lambda x: x["__group"].isNotNull() | (x["score"] != 0.0) | x["hit"])
     key_cols = [F.col(quoted(k)) for k in keys]
-    long = s.base(False).select(*key_cols, F.inline_outer(telling))
+    long = s.base().select(*key_cols, F.inline_outer(telling))
 
     columns = {"__group": pa.int32(), "__value": pa.string(), "__rule": pa.int32(), "__weight": pa.float64()}
     arrays = [pa.array([r[i] for r in rule_rows], t) for i, t in enumerate(columns.values())]

@@ -212,6 +212,17 @@ def test_bound_reaches_the_scan(spark, tmp_path):
     assert [r["id"] for r in found.collect()] == [995]
 
 
+def test_text_is_folded_once(people):
+    """The filter stays above the folded column; bare comparisons still go below it."""
+    words = [("Resume", "text", "contains", w, "", "", "", "ignore_case=true") for w in ("a", "b", "c", "d")]
+    plan = S.screen(people, words, hits_only=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(Resume") == 1
+    rules = [*words, ("School", "text", "equals", "x")]
+    plan = S.screen(people, rules, mode="AND", hits_only=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(Resume") == 1
+    assert plan.index("lower(Resume") < plan.rindex("= x")
+
+
 def test_similarity_runs_once_per_plan(people):
     plan = S.screen(people, RULES, hits_only=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
