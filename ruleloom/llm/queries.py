@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import decontaminate, licenses, mixing, quality
+from ruleloom.llm import decontaminate, licenses, minhash, mixing, quality
 from ruleloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,8 @@ def op5_quality(spark, folder):
 @query
 def op10_mix(spark, folder):
     return mixing.report(read_table(spark, folder, "documents"))
+
+
+@query
+def op3_minhash(spark, folder):
+    return minhash.report(read_table(spark, folder, "documents"))
