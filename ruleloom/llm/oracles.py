@@ -24,8 +24,8 @@ OP3 = f"""with recursive d as (select doc_id, {SPACED} as w from documents),
  sh as (select distinct doc_id, array_to_string(w[s + 1 : s + 5], ' ') as x
         from (select doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) as s from d where len(w) > 0)),
  n as (select doc_id, count(*) as n from sh group by 1),
- both as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b using (x) where a.doc_id <> b.doc_id group by all),
- link as (select a, b from both join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+ shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b using (x) where a.doc_id <> b.doc_id group by all),
+ link as (select a, b from shared join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
  walk(node, reached) as (select doc_id, doc_id from d union select walk.node, link.b from walk join link on link.a = walk.reached),
  root as (select node as doc_id, min(reached) as component_id from walk group by 1)
  select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from root left join n using (doc_id)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import decontaminate, licenses, minhash, mixing, quality
+from ruleloom.llm import decontaminate, licenses, lm, minhash, mixing, quality
 from ruleloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op10_mix(spark, folder):
 @query
 def op3_minhash(spark, folder):
     return minhash.report(read_table(spark, folder, "documents"))
+
+
+@query
+def op7_lm_score(spark, folder):
+    return lm.report(read_table(spark, folder, "documents"))
