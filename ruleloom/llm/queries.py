@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import decontaminate, licenses, lm, minhash, mixing, quality
+from ruleloom.llm import decontaminate, licenses, lm, minhash, mixing, quality, suffix_dedup
 from ruleloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op3_minhash(spark, folder):
 @query
 def op7_lm_score(spark, folder):
     return lm.report(read_table(spark, folder, "documents"))
+
+
+@query
+def op8_suffix_dedup(spark, folder):
+    return suffix_dedup.report(read_table(spark, folder, "documents"))
