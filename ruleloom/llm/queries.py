@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import decontaminate, licenses, lm, minhash, mixing, quality, suffix_dedup
+from ruleloom.llm import decontaminate, licenses, line_dedup, lm, minhash, mixing, quality, suffix_dedup
 from ruleloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op7_lm_score(spark, folder):
 @query
 def op8_suffix_dedup(spark, folder):
     return suffix_dedup.report(read_table(spark, folder, "documents"))
+
+
+@query
+def op2_line_dedup(spark, folder):
+    return line_dedup.report(read_table(spark, folder, "documents"))
