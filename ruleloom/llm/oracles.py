@@ -30,4 +30,21 @@ OP3 = f"""with recursive d as (select doc_id, {SPACED} as w from documents),
  root as (select node as doc_id, min(reached) as component_id from walk group by 1)
  select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from root left join n using (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op3_minhash": OP3}
+OP2 = """with d as (select doc_id, case when text is null then [] else string_split(text, chr(10)) end as ls from documents),
+ l as (select doc_id, no, regexp_extract_all(ls[no + 1], '[^\\x20\\x09-\\x0D]+') as w
+       from (select doc_id, ls, unnest(range(len(ls))) as no from d)),
+ k as (select w, len(w) as n, min((doc_id, no)) as o from l where len(w) > 0 group by w),
+ v as (select w, n, o, i, list_concat(w[1 : i], w[i + 2 : n]) as x from (select *, unnest(range(n)) as i from k where n >= 7)),
+ asked as (select a.w as w from v a join v b on a.x = b.x and a.i = b.i and b.o < a.o where greatest(a.n, b.n) >= 8
+   union all select a.w from v a join k b on a.x = b.w and b.o < a.o where greatest(a.n, b.n) >= 8
+   union all select b.w from v a join k b on a.x = b.w and a.o < b.o where greatest(a.n, b.n) >= 8),
+ near as (select distinct w from asked),
+ fate as (select l.doc_id, l.no, (l.doc_id, l.no) <> k.o as copy, near.w is not null as near
+          from l join k using (w) left join near using (w)),
+ f as (select d.doc_id, len(ls) as n_lines, coalesce(list(no) filter (copy), []) as c, coalesce(list(no) filter (near and not copy), []) as r
+       from d left join fate using (doc_id) group by all)
+ select doc_id, n_lines, cast(len(c) as bigint) as n_copies, cast(len(r) as bigint) as n_near,
+   sha256(array_to_string(list_filter(range(n_lines), lambda x: not list_contains(c, x) and not list_contains(r, x)), ',')) as kept_sha256
+ from f"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op3_minhash": OP3}
