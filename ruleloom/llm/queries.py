@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import decontaminate, licenses, line_dedup, lm, minhash, mixing, quality, suffix_dedup
+import corpus_pipeline
+from ruleloom.llm import decontaminate, language, licenses, line_dedup, lm, minhash, mixing, quality, suffix_dedup, toxicity
 from ruleloom.llm.common import read_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 
 
 def query(fn):
@@ -55,3 +56,13 @@ def op8_suffix_dedup(spark, folder):
 @query
 def op2_line_dedup(spark, folder):
     return line_dedup.report(read_table(spark, folder, "documents"))
+
+
+@query
+def op6_language(spark, folder):
+    return language.report(read_table(spark, folder, "documents"))
+
+
+@query
+def op9_toxicity(spark, folder):
+    return toxicity.report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
