@@ -56,3 +56,19 @@ def bounded(df: DataFrame, key: Column, bound: int, rows: int) -> DataFrame:
     if rows <= bound:
         return df
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * bound / rows))
+
+
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns as the struct ``row``, so that no name an operator uses can clash with them."""
+    return docs.select(F.struct(*(column(c) for c in docs.columns)).alias("row"), *more)
+
+
+def unwrapped(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text key are not among ``gone_id, gone_key``."""
+    rows = wrapped(docs, column(doc_id).alias("own_id"), text_key(column(text)).alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key"))
+    return unwrapped(rows.join(gone, same, "left_anti"))

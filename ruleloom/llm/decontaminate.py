@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import PLAIN_WORD, column, plain_words, text_key
+from ruleloom.llm.common import PLAIN_WORD, column, plain_words, text_key, without
 from ruleloom.session import staged
 
 SHINGLE = 3  # words of a token
@@ -143,9 +143,8 @@ def contamination(
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns."""
     places, _ = occurrences(docs, items, doc_id, text, names.get("item_id", "item_id"), names.get("item_text", "text"), names.get("window", 10))
-    bad = staged(places.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(), "contaminated")
-    same = column(doc_id).eqNullSafe(F.col("__id")) & (text_key(column(text)) == F.col("__key"))
-    return docs.join(bad, same, "left_anti")
+    gone = staged(places.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "contaminated")
+    return without(docs, gone, doc_id, text)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import column, spaced_words, text_key
+from ruleloom.llm.common import column, spaced_words, text_key, wrapped
 from ruleloom.session import staged
 
 MIN_WORDS = 8
@@ -159,16 +159,14 @@ def _dropped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns, the texts without the lines that are dropped."""
-    lost = _dropped(docs, doc_id, text)
-    same = column(doc_id).eqNullSafe(F.col("lost_id")) & (text_key(column(text)) == F.col("lost_key"))
-    joined = docs.join(lost.select("lost_id", "lost_key", F.array_union("copies", "near").alias("__gone")), same, "left")
+    lost = _dropped(docs, doc_id, text).select("lost_id", "lost_key", F.array_union("copies", "near").alias("gone"))
     lines = F.split(column(text), "\n", -1)
-    kept = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(F.col("__lines"), i)
-    )
-    joined = joined.withColumn("__lines", lines)
-    rest = F.when(F.col("__gone").isNull(), column(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(rest.alias(c) if c == text else column(c) for c in docs.columns))
+    rows = wrapped(docs, column(doc_id).alias("id"), text_key(column(text)).alias("key"), lines.alias("lines"))
+    joined = rows.join(lost, rows["id"].eqNullSafe(lost["lost_id"]) & (rows["key"] == lost["lost_key"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
+    whole = F.col("row")[text]
+    return joined.select(*(F.when(F.col("gone").isNull(), whole).otherwise(rest).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

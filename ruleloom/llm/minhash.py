@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ruleloom.llm import tokens as K
-from ruleloom.llm.common import column, text_key
+from ruleloom.llm.common import column, text_key, without
 from ruleloom.session import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -197,9 +197,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the one with the least id, with all its columns."""
     found = near_duplicates(docs, doc_id, text)
-    gone = staged(found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(), "copies")
-    same = column(doc_id).eqNullSafe(F.col("__id")) & (text_key(column(text)) == F.col("__key"))
-    return docs.join(gone, same, "left_anti")
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"))
+    return without(docs, staged(gone.distinct(), "copies"), doc_id, text)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import SPACES, bounded, column, spaced_words
+from ruleloom.llm.common import SPACES, bounded, column, spaced_words, unwrapped, wrapped
 
 MAX_LABELLED = 20_000
 MAX_RULES, MAX_CONDITIONS = 16, 3
@@ -200,22 +200,24 @@ def verdict(rules: list[list[Condition]], source: str = "__q") -> Column:
     return F.lit(0) if chain is None else chain.otherwise(F.lit(0))
 
 
-def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, rules: list[list[Condition]], text: str = "text") -> DataFrame:
     """All columns, the statistics ``__q``, ``__base_failed``, ``__rule`` and ``__kept``."""
-    rules = learn(docs, labels, doc_id, text)
     scored = statistics(docs, text)
     scored = scored.withColumn("__base_failed", _base_failed(F.col("__q"))).withColumn("__rule", verdict(rules))
     return scored.withColumn("__kept", ~F.col("__base_failed") & (F.col("__rule") == 0))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that neither the base rule nor the list rejects, with all their columns."""
+    rules = learn(docs, labels, doc_id, text)
     # The partition number keeps the filter above the statistics, which would be counted twice below it.
-    scored = judged(docs, labels, doc_id, text).withColumn("__at", F.spark_partition_id())
-    return scored.filter(F.col("__kept") & (F.col("__at") >= 0)).select(*(column(c) for c in docs.columns))
+    scored = judged(wrapped(docs, column(text).alias("text")), rules).withColumn("__at", F.spark_partition_id())
+    return unwrapped(scored.filter(F.col("__kept") & (F.col("__at") >= 0)))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judged(docs.select("doc_id", "text"), labels).select(
+    docs = docs.select("doc_id", "text")
+    return judged(docs, learn(docs, labels)).select(
         "doc_id",
         *(F.col(f"__q.{c}").alias(c) for c in COUNTS),
         F.col("__base_failed").alias("base_failed"),
