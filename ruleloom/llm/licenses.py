@@ -8,19 +8,21 @@ mandatory phrase agrees word for word.
 
 Beside it, the base phrases are looked for at every place.
 
-Defined results: null and empty texts have no words, no labels and score 0; rows that agree in id and text get the
-same row each; notices that repeat count once as a label; further columns are ignored.
+The index is a small constant, so that a text is scanned in its row, without a join or a shuffle.
+
+Defined results: null and empty texts have no words, no labels and score 0; repeated rows are scanned alike; notices
+that repeat count once as a label; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import column, plain_words, text_key
-from ruleloom.session import staged
+from ruleloom.llm.common import column, plain_words
 
 ANCHORS = 3
 THRESHOLD = 0.75
@@ -72,8 +74,8 @@ def _all(tests) -> Column:
     return whole
 
 
-def _index(worded: DataFrame, notices) -> DataFrame:
-    """One row per notice and anchor: ``word, offset, label, words, weights, needed`` (the mandatory places)."""
+def _index(worded: DataFrame, notices) -> list[dict]:
+    """One entry per notice and anchor, with the weights of the notice's words and the places that must agree."""
     spark = worded.sparkSession
     vocabulary = sorted({w for _, notice, _ in notices for w in notice.split()})
     # The vocabulary is that of the notices, so its size doesn't follow the data.
@@ -82,42 +84,51 @@ def _index(worded: DataFrame, notices) -> DataFrame:
     met = worded.filter(F.arrays_overlap("words", listed)).select(F.explode(F.array_distinct("words")).alias("word"))
     seen = {r["word"]: r["n"] for r in met.join(known, "word").groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = worded.count()
-    rows = []
+    entries = []
     for label, notice, phrase in notices:
         words, needed = notice.split(), phrase.split()
         weights = [math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-6 for w in words]
         first = next(i for i in range(len(words)) if words[i : i + len(needed)] == needed)
+        shared = {"label": label, "notice": words, "weights": weights, "whole": sum(weights), "needed": list(range(first, first + len(needed)))}
         for offset in sorted(range(len(words)), key=lambda i: (-weights[i], i))[:ANCHORS]:
-            rows.append((words[offset], offset, label, words, weights, list(range(first, first + len(needed)))))
-    return spark.createDataFrame(rows, "word string, offset int, label string, notice array<string>, weights array<double>, needed array<int>")
-
-
-def notices_found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices=NOTICES) -> DataFrame:
-    """``id, key, at, label, score`` of each notice and place that passes."""
-    worded = docs.select(column(doc_id).alias("id"), text_key(column(text)).alias("key"), plain_words(column(text)).alias("words"))
-    index = _index(worded, notices)
-    anchors = sorted({r["word"] for r in index.select("word").collect()})
-    worded = worded.filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in anchors])))
-    met = worded.select("*", F.posexplode("words").alias("at", "word")).join(F.broadcast(index), "word")
-    start = F.col("at") - F.col("offset")
-    # A place before the text's start or beyond its end agrees with nothing.
-    there = F.transform("notice", lambda w, i: F.coalesce(F.get(F.col("words"), start + i) == w, F.lit(False)))
-    met = met.withColumn("there", there)
-    agreed = F.aggregate(F.zip_with("there", "weights", lambda t, w: F.when(t, w).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
-    whole = F.aggregate("weights", F.lit(0.0), lambda a, b: a + b)
-    met = met.withColumn("score", agreed / whole).filter(F.forall("needed", lambda i: F.get(F.col("there"), i)))
-    return met.filter(F.col("score") >= THRESHOLD).select("id", "key", start.cast("long").alias("at"), "label", "score").distinct()
+            entries.append({"word": words[offset], "offset": offset, **shared})
+    return entries
+
+
+ENTRY = "array<struct<word:string,offset:int,label:string,notice:array<string>,weights:array<double>,whole:double,needed:array<int>>>"
+
+
+def _places_found(words: Column, entries: list[dict]) -> Column:
+    """``at, label, score`` of the notices of one text; the index is a constant of the expression."""
+    index = F.from_json(F.lit(json.dumps(entries)), ENTRY)
+    anchors = sorted({e["word"] for e in entries})
+    rare = F.array(*[F.lit(w) for w in anchors])
+    places = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda p: F.array_contains(rare, p["word"]))
+
+    def met(place: Column) -> Column:
+        def compared(e: Column) -> Column:
+            start = place["at"] - e["offset"]
+            # A place before the text's start or beyond its end agrees with nothing.
+            there = F.transform(e["notice"], lambda w, i: F.coalesce(F.get(words, start + i) == w, F.lit(False)))
+            agreed = F.aggregate(F.zip_with(there, e["weights"], lambda t, w: F.when(t, w).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+            certain = F.forall(e["needed"], lambda i: F.get(there, i))
+            score = F.when(certain, F.least(agreed / e["whole"], F.lit(1.0))).otherwise(0.0)
+            return F.struct(start.cast("long").alias("at"), e["label"].alias("label"), score.alias("score"))
+
+        postings = F.filter(index, lambda e: e["word"] == place["word"])
+        return F.filter(F.transform(postings, compared), lambda s: s["score"] >= THRESHOLD)
+
+    found = F.array_distinct(F.flatten(F.transform(places, met)))
+    return F.when(F.arrays_overlap(words, rare), found).otherwise(F.array().cast("array<struct<at:bigint,label:string,score:double>>"))
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", notices=NOTICES) -> DataFrame:
-    """Per document ``id, key, n_words, places`` (base) and ``found`` (labels of notices) with their best ``score``."""
-    places = staged(notices_found(docs, doc_id, text, notices), "notices")
-    best = places.groupBy("id", "key").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
-    best = best.withColumnsRenamed({"id": "hit_id", "key": "hit_key"})
-    words = docs.select(column(doc_id).alias("id"), text_key(column(text)).alias("key"), plain_words(column(text)).alias("words"))
-    base = words.select("id", "key", F.size("words").cast("long").alias("n_words"), base_places(F.col("words")).alias("places"))
-    same = base["id"].eqNullSafe(best["hit_id"]) & (base["key"] == best["hit_key"])
-    return base.join(best, same, "left").select("id", "key", "n_words", "places", F.coalesce("found", F.array().cast("array<string>")).alias("found"), "score")
+    """Per document ``id, n_words``, the ``places`` of base phrases, and the ``notices`` found (``at, label, score``)."""
+    words = docs.select(column(doc_id).alias("id"), plain_words(column(text)).alias("words"))
+    entries = _index(words, notices)
+    return words.select(
+        "id", F.size("words").cast("long").alias("n_words"), base_places(F.col("words")).alias("places"), _places_found(F.col("words"), entries).alias("notices")
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -125,6 +136,8 @@ def report(docs: DataFrame) -> DataFrame:
     starts = F.transform("places", lambda p: p["at"])
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     base_score = F.when(F.size("places") > 0, 1.0).otherwise(0.0)
+    labels = F.transform("notices", lambda p: p["label"])
+    score = F.coalesce(F.array_max(F.transform("notices", lambda p: p["score"])), F.lit(0.0))
     return found.select(
         F.col("id").alias("doc_id"),
         "n_words",
@@ -132,6 +145,6 @@ def report(docs: DataFrame) -> DataFrame:
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
         F.concat_ws(",", base).alias("base_labels"),
-        F.concat_ws(",", F.array_sort(F.array_union(base, F.col("found")))).alias("labels"),
-        F.least(F.greatest(base_score, F.coalesce("score", F.lit(0.0))), F.lit(1.0)).alias("score"),
+        F.concat_ws(",", F.array_sort(F.array_union(base, labels))).alias("labels"),
+        F.greatest(base_score, score).alias("score"),
     )
