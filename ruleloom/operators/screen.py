@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ruleloom.functions import params as P
 from ruleloom.functions import text as X
-from ruleloom.functions.keywords import any_keyword
 from ruleloom.functions.similarity import fuzzy_fold, fuzzy_scores
 from ruleloom.operators.rules import Rule, RuleSet, as_rule_set
 from ruleloom.schema import quoted
@@ -26,7 +25,7 @@ from ruleloom.schema import quoted
 MODES = ("AND", "OR", "WEIGHTED")
 SIMILARITIES = ("sequence", "token_set", "contains")
 CHAINED_SUM = 100  # longer sums are written as one array fold, to keep expression trees shallow
-NATIVE_WORDS = 64  # keywords of one group up to which each is a native test
+WORDS = 64  # keywords tested in one projected column; more of them stand in further columns
 SLACK = 1e-9  # rounding allowance where a bound decides which rows need no similarity
 MATCH, SCORE = "_match_all", "_score_all"
 
@@ -173,28 +172,29 @@ def _single_term(rule: Rule, hit: Column, desc: str | None = None) -> Term:
     return Term(hit, hit, total, [entry], max(rule.weight, 0.0))
 
 
-def _keyword_term(rules: list[Rule], features: Features, udfs: dict[str, Column]) -> Term:
+def _keyword_term(rules: list[Rule], features: Features, steps: dict[str, Column]) -> Term:
     """Any keyword of a (column, options) group; it counts once, with the weight of its first rule.
 
-    Few keywords are looked for natively, each in its own pass over the text; many in one pass by a UDF.
+    Each keyword is a native test. A long list is cut into projected columns, so that no expression grows with it.
     """
     first = rules[0]
     words = list(dict.fromkeys(r.folded for r in rules if r.folded))
     distinct = len({r.value for r in rules})
+    long_list = len(words) > WORDS
     if not words:
         hit = F.lit(False)
     elif len(words) == 1:
         hit = _single_hit(next(r for r in rules if r.folded), features)
     else:
         text = features.get(first.column, _fold_kind(first))
-        if len(words) <= NATIVE_WORDS:
-            hit = any_of([F.contains(text, F.lit(w)) for w in words])
-        else:
-            name = f"__z{len(udfs)}"
-            udfs[name] = any_keyword(words)(text)
-            hit = F.col(name)
+        tests = [any_of([F.contains(text, F.lit(w)) for w in words[i : i + WORDS]]) for i in range(0, len(words), WORDS)]
+        if long_list:
+            names = [f"__k{len(steps) + i}" for i in range(len(tests))]
+            steps.update(zip(names, tests))
+            tests = [F.col(n) for n in names]
+        hit = any_of(tests)
     term = _single_term(first, hit, f"{first.column}:contains_any({distinct})")
-    term.costly = len(words) > NATIVE_WORDS
+    term.costly = long_list
     return term
 
 
@@ -294,6 +294,7 @@ def _build_terms(
     similarity: str,
     audit: bool,
     udfs: dict[str, Column],
+    steps: dict[str, Column],
 ) -> list[Term]:
     """Rules gathered into groups, a group standing where its first rule stands."""
     groups: dict[tuple, list[Rule]] = {}
@@ -319,7 +320,7 @@ def _build_terms(
         elif kind == "fuzzy":
             terms.append(_fuzzy_term(members, features, similarity, audit, udfs))
         elif kind == "keywords":
-            terms.append(_keyword_term(members, features, udfs))
+            terms.append(_keyword_term(members, features, steps))
         else:
             terms.append(_single_term(members[0], _single_hit(members[0], features)))
         terms[-1].plain = features.asked == asked and not terms[-1].costly
@@ -341,11 +342,16 @@ class Screening:
     features: Features
     terms: list[Term]
     udfs: dict[str, Column]
+    steps: dict[str, Column]
     mode: str
     threshold: float
+    in_groups: bool  # whether the groups' own sums may be added up
 
     def total(self) -> Column:
-        return in_order_sum([t.total for t in self.terms])
+        """The scores in the order of the rules; by groups where that gives the same double."""
+        if self.in_groups:
+            return in_order_sum([t.total for t in self.terms])
+        return in_order_sum([e.score * F.lit(e.weight) for e in self.entries()])
 
     def match(self) -> Column:
         """May be null where a value is null; null means no hit."""
@@ -356,7 +362,8 @@ class Screening:
         return self.total() >= F.lit(self.threshold)
 
     def _with_udfs(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *(u.alias(n) for n, u in self.udfs.items())) if self.udfs else df
+        made = {**self.steps, **self.udfs}
+        return df.select("*", *(c.alias(n) for n, c in made.items())) if made else df
 
     def base(self) -> DataFrame:
         """The table with derived columns and UDF results."""
@@ -375,7 +382,7 @@ class Screening:
             return df.filter(all_of(costly)) if costly else df
         df = self.features.project(self.df)
         native = [t.total for t in self.terms if not t.costly]
-        if self.mode == "WEIGHTED" and self.udfs and native:
+        if self.mode == "WEIGHTED" and (self.udfs or self.steps) and native:
             reachable = sum(t.most for t in self.terms if t.costly) + SLACK
             possible = in_order_sum(native) + F.lit(reachable) >= F.lit(self.threshold)
             df = df.filter(self.features.settled(possible))
@@ -385,6 +392,18 @@ class Screening:
         return sorted((e for t in self.terms for e in t.entries), key=lambda e: e.rule_id)
 
 
+def _adds_exactly(rules: Sequence[Rule], similarity: str) -> bool:
+    """Whether no sum of these scores is ever rounded, so that their order doesn't matter.
+
+    That holds for scores of 0 and 1 with weights in whole 1/1024, and for a single group, which has its own order.
+    """
+    fuzzy = [r for r in rules if r.type == "fuzzy"]
+    if fuzzy and similarity != "contains":
+        return len(fuzzy) == len(rules) and len({r.column for r in rules}) == 1 and not any(r.problem for r in rules)
+    weights = [r.weight * 1024 for r in rules]
+    return all(w == int(w) for w in weights if abs(w) < 2**50) and sum(map(abs, weights)) < 2**50
+
+
 def plan_screening(
     df: DataFrame,
     rules,
@@ -401,9 +420,10 @@ def plan_screening(
         raise ValueError(f"similarity must be one of {SIMILARITIES}")
     rule_set: RuleSet = as_rule_set(df.sparkSession, rules)
     chosen = [r for r in rule_set.rules if not (on_invalid == "skip" and r.problem in ("bad number", "bad range"))]
-    features, udfs = Features(df), {}
-    terms = _build_terms(chosen, features, group_contains, similarity, audit, udfs)
-    return Screening(df, features, terms, udfs, mode, _threshold(threshold))
+    features, udfs, steps = Features(df), {}, {}
+    in_groups = _adds_exactly(chosen, similarity)
+    terms = _build_terms(chosen, features, group_contains, similarity, audit or not in_groups, udfs, steps)
+    return Screening(df, features, terms, udfs, steps, mode, _threshold(threshold), in_groups)
 
 
 def screen(df: DataFrame, rules, audit: bool = False, hits_only: bool = False, **settings) -> DataFrame:

@@ -370,7 +370,7 @@ def fuzzy_token_set(spark, folder):
 @query("fuzzy_code_prefer", f"""select p_partkey, {T.MAJOR_SQL} as major, true as _match_all, 1.0::double as _score_all from part
     where regexp_extract({T.MAJOR_SQL}, '[0-9]{{4,6}}') = '000017'""")
 def fuzzy_code_prefer(spark, folder):
-    rules = [("major", "fuzzy", "similar", "互联网金融（000017）", "0.85", "3", "1.0", "normalize=true;code_prefer=true")]
+    rules = [("major", "fuzzy", "similar", "橡木书桌（000017）", "0.9", "", "", "code_prefer=true")]
     return S.screen(T.majors(spark, folder), rules, hits_only=True)
 
 
@@ -395,7 +395,7 @@ def screen_rule_table(spark, folder):
     {T.block_ratio_sql("select distinct n, t from m, q")},
     x as (select p_partkey, sum(ratio.r order by q.k) as total, max(ratio.r) as best, bool_or(m.p_partkey = q.k) as coded
       from m cross join q join ratio on ratio.a = m.n and ratio.b = q.t group by p_partkey)
-    select m.p_partkey, p_brand, major, x.best >= 0.85::double or coded or branded as _match_all,
+    select m.p_partkey, p_brand, major, x.best >= 0.8::double or coded or branded as _match_all,
       round_even(x.total + case when coded then 1.0::double else 0 end + case when branded then 0.5::double else 0 end, 4) as _score_all
     from m join x on m.p_partkey = x.p_partkey""")
 def screen_rule_table_fuzzy(spark, folder):

@@ -84,8 +84,8 @@ def rule_table(spark: SparkSession, folder: str) -> DataFrame:
         cols = [v if not isinstance(v, str) else F.lit(v) for v in values]
         return names.select(*(c.alias(f) for c, f in zip(cols, fields)), F.col("k").alias("__k"))
 
-    fuzzy = rules("major", "fuzzy", "similar", F.col("p_name"), "0.85", "3", "1.0", "normalize=true;code_prefer=true")
-    codes = rules("major", "code", "equals", code, "", "2", "1.0", "")
+    fuzzy = rules("major", "fuzzy", "similar", F.col("p_name"), "0.8", "", "", "code_prefer=true")
+    codes = rules("major", "code", "equals", code, "", "6", "", "")
     brands = table(spark, folder, "part").select("p_brand").distinct()
     words = brands.select(
         F.lit("p_brand").alias("column"),

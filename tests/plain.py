@@ -105,21 +105,19 @@ def screen(rules, row, mode, threshold=0.8):
     return match, total
 
 
+def _agreement(own, own_code, name, req_code):
+    """The first tier of the contract that holds, else the ratio of matching blocks."""
+    norm = strict(name)
+    inside = "" not in (own, norm) and (own in norm or norm in own)
+    tiers = {1.0: own_code != "" and own_code == req_code, 0.95: own == norm, 0.9: inside}
+    return max((score for score, holds in tiers.items() if holds), default=SequenceMatcher(None, own, norm).ratio())
+
+
 def best(text, reqs, threshold):
-    """(match, name, code, score) for requirements given as (name, code)."""
-    top, chosen = 0.0, None
-    own, own_code = strict(text or ""), code(text or "")
-    for name, req_code in reqs if text else []:
-        norm = strict(name)
-        if own_code and own_code == req_code:
-            score = 1.0
-        elif own == norm:
-            score = 0.95
-        elif own and norm and (own in norm or norm in own):
-            score = 0.9
-        else:
-            score = SequenceMatcher(None, own, norm).ratio()
-        if score > top:
-            top, chosen = score, (name, req_code)
-    hit = chosen is not None and top >= threshold
-    return (hit, *(chosen if hit else ("", "")), top)
+    """(match, name, code, score): the highest score, of equals the earliest requirement, given as (name, code)."""
+    if not text:
+        return (False, "", "", 0.0)
+    ranked = [(_agreement(strict(text), code(text), *req), -place) for place, req in enumerate(reqs)]
+    score, place = max(ranked, default=(0.0, 0))
+    hit = score > 0 and score >= threshold
+    return (hit, *(reqs[-place] if hit else ("", "")), score)

@@ -93,17 +93,11 @@ def test_read_order(skewed):
 
 
 def plain_pairs(lines):
-    out, waiting = [], []
-    for i, text in lines:
-        text = text.strip()
-        if not text:
-            continue
-        if any("一" <= c <= "鿿" for c in text):
-            waiting.append(text)
-        elif waiting:
-            out.append((i, "".join(waiting), text))
-            waiting = []
-    return out
+    """Each line without Chinese, with the Chinese lines since the last such line; none if there are no Chinese ones."""
+    told = [(i, t.strip(), any("一" <= c <= "鿿" for c in t)) for i, t in lines if t.strip()]
+    others = [k for k, (_, _, chinese) in enumerate(told) if not chinese]
+    spans = zip([-1, *others], others)
+    return [(told[b][0], "".join(t for _, t, _ in told[a + 1 : b]), told[b][1]) for a, b in spans if b > a + 1]
 
 
 EDGE = ["first is English", "你好", "世界 ", "", " hello world", "second English", "1.", "再见", "bye", "末尾"]

@@ -47,18 +47,18 @@ def test_append_versions(spark, tmp_path):
 
 
 def test_rule_export(spark, tmp_path):
-    rows = [("a", "regex", "match", r'^\d+"x",\s$'), ("b", "text", "equals", "020309", "", "3", "0.5", "k=1;k=2")]
+    rows = [("a", "regex", "match", r'^\d+"x",\s$'), ("b", "text", "equals", "007741", "", "3", "0.5", "k=1;k=2")]
     K.export_rules(R.rule_frame(spark, rows), str(tmp_path / "rules"))
     back = R.load_rules(spark, str(tmp_path / "rules"))
     assert sorted(map(tuple, back.collect())) == sorted(tuple(r) + ("",) * (8 - len(r)) for r in rows)
 
 
-RULES = [("Major", "code", "equals", "120503"), ("GPA", "number", "min", "3.5", "", "", "0.5")]
+RULES = [("Weight", "number", "min", "7.5", "", "", "0.25"), ("Part", "code", "equals", "440871")]
 
 
 def candidates(tmp_path):
-    first = put(tmp_path / "in" / "one.csv", "PersonID,Major,GPA\n1,信息（120503）,3\n2,数学,3.9\n3,数学,2\n1,x,4\n")
-    second = put(tmp_path / "in" / "two.csv", "PersonID,Major\n2,信息 120503\n4,120503\n5,\n")
+    first = put(tmp_path / "in" / "one.csv", "PersonID,Part,Weight\n1,oak（440871）,3\n2,tile,8.9\n3,tile,2\n1,x,9\n")
+    second = put(tmp_path / "in" / "two.csv", "PersonID,Part\n2,oak 440871\n4,440871\n5,\n")
     return [first, second]
 
 
@@ -73,7 +73,7 @@ def test_screening_job(spark, tmp_path):
         ("one", "1"), ("one", "2"), ("two", "2"), ("two", "4"),
     ]
     merged = K.read_result(spark, f"{out}/merged")
-    assert sorted((r["PersonID"], r["_score_all"]) for r in merged.collect()) == [("1", 1.0), ("2", 0.5), ("4", 1.0)]
+    assert sorted((r["PersonID"], r["_score_all"]) for r in merged.collect()) == [("1", 1.0), ("2", 0.25), ("4", 1.0)]
 
 
 def test_screening_job_merge_only_and_append(spark, tmp_path):
@@ -82,14 +82,14 @@ def test_screening_job_merge_only_and_append(spark, tmp_path):
     jobs.screen_files(spark, paths[1:], RULES, out, key="PersonID", merge_only=True, append=True)
     assert not (tmp_path / "out" / "by_source").exists()
     merged = K.read_result(spark, f"{out}/merged")
-    assert sorted((r["PersonID"], r["_score_all"]) for r in merged.collect()) == [("1", 1.0), ("2", 0.5), ("4", 1.0)]
+    assert sorted((r["PersonID"], r["_score_all"]) for r in merged.collect()) == [("1", 1.0), ("2", 0.25), ("4", 1.0)]
     jobs.screen_files(spark, paths[1:], RULES, out, key="PersonID", merge_only=True)
     assert K.read_result(spark, f"{out}/merged").count() == 2
 
 
 def test_no_hits_write_empty_outputs(spark, tmp_path):
     out = str(tmp_path / "out")
-    counts = jobs.screen_files(spark, candidates(tmp_path), [("Major", "text", "equals", "none")], out, key="PersonID", audit=True)
+    counts = jobs.screen_files(spark, candidates(tmp_path), [("Part", "text", "equals", "none")], out, key="PersonID", audit=True)
     assert {r["hits"] for r in counts.collect()} == {0}
     merged = K.read_result(spark, f"{out}/merged")
     assert merged.count() == 0 and "_cond_1_match" in merged.columns
@@ -111,11 +111,11 @@ def test_job_over_parquet_and_absent_path(spark, tmp_path):
 
 
 def test_job_over_workbooks(spark, tmp_path):
-    rows = lambda n: [["PersonID", "GPA"], *([str(i), i] for i in range(n))]
+    rows = lambda n: [["PersonID", "Weight"], *([str(i), i] for i in range(n))]
     for name in ("a", "b"):
         (tmp_path / f"{name}.xlsx").write_bytes(workbook_bytes({"S1": rows(6), "S2": rows(3)}))
     paths = [str(tmp_path / f"{name}.xlsx") for name in ("a", "b")]
-    rules = [("GPA", "number", "min", "1")]
+    rules = [("Weight", "number", "min", "1")]
     counts = {}
     for sheet, limit in (("", None), ("*", 2), ("S2,none", None)):
         out = str(tmp_path / f"out{len(counts)}")
@@ -127,13 +127,13 @@ def test_job_over_workbooks(spark, tmp_path):
 
 
 def test_matching_job(spark, tmp_path):
-    reqs = put(tmp_path / "require.txt", "信息资源管理（120503）\n数学 0701\n")
+    reqs = put(tmp_path / "require.txt", "oak（440871）\ntile 5512\n")
     out = str(tmp_path / "out")
-    jobs.match_files(spark, candidates(tmp_path), reqs, out, column="Major", key=None)
+    jobs.match_files(spark, candidates(tmp_path), reqs, out, column="Part", key=None)
     merged = K.read_result(spark, f"{out}/merged")
     # without a key column, the normalised text with the matched code is the key
     assert sorted((r["PersonID"], r["_matched_name"], r["_score"]) for r in merged.collect()) == [
-        ("1", "信息资源管理", 1.0), ("2", "数学", 0.95), ("4", "信息资源管理", 1.0),
+        ("1", "oak", 1.0), ("2", "tile", 0.95), ("4", "oak", 1.0),
     ]
 
 
