@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +27,8 @@ def pair_lines(
     """Join consecutive Chinese lines and pair them with the next other line: group, pair_idx, zh, en.
 
     A Chinese line belongs to the nearest other line after it. Files are looked at in blocks of row numbers, and a
-    block that has no such line asks the blocks after it, so no file is ever in one task as a whole. Chinese lines
+    block that has no such line asks the blocks after it, so no file is ever in one task as a whole. The Chinese lines
+    of one pair do meet in one task, since they become one text. Chinese lines
     at the end of a file and other lines without Chinese before them give no pair. ``pair_idx`` is the row number
     of the pair's second line.
     """
@@ -73,5 +75,11 @@ def dataset_named(df: DataFrame, name: str) -> DataFrame:
 
 
 def sample_pairs(df: DataFrame, k: int = 3, seed: int | None = None) -> DataFrame:
-    """k random rows; every task keeps its k smallest draws, so k rows per task are all that moves."""
-    return df.withColumn("__draw", F.rand(seed)).orderBy("__draw").limit(k).drop("__draw")
+    """k random rows: those with the least hashes of seed and texts, so that the same seed draws the same rows.
+
+    Every task keeps its k smallest draws, so k rows per task are all that moves. Without a seed each run differs.
+    """
+    seed = random.getrandbits(32) if seed is None else seed
+    texts = [F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in df.columns]
+    draw = F.md5(F.concat_ws("\n", F.lit(str(seed)), *texts))
+    return df.withColumn("__draw", draw).orderBy("__draw").limit(k).drop("__draw")

@@ -8,8 +8,10 @@ fuzzy rules into one UDF call, so the plan grows with the groups and not with th
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import ROUND_CEILING, ROUND_FLOOR, Context, Decimal, localcontext
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,7 @@ SIMILARITIES = ("sequence", "token_set", "contains")
 CHAINED_SUM = 100  # longer sums are written as one array fold, to keep expression trees shallow
 WORDS = 64  # keywords tested in one projected column; more of them stand in further columns
 SLACK = 1e-9  # rounding allowance where a bound decides which rows need no similarity
+WHOLE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}  # bits
 MATCH, SCORE = "_match_all", "_score_all"
 
 
@@ -132,13 +135,42 @@ def _fold_kind(rule: Rule) -> str:
     return "strict" if rule.normalize else "lower" if rule.ignore_case else "text"
 
 
+def _exact_bounds(rule: Rule) -> tuple[Decimal | None, Decimal | None]:
+    """The bounds of a number rule as written, not as doubles; None where a side is open."""
+    if rule.operator == "between":
+        low, high = re.match(P.RANGE_TEXT, rule.value.replace(" ", "")).groups()
+        return Decimal(low), Decimal(high)
+    bound = Decimal(rule.value.strip())
+    return None if rule.operator == "max" else bound, None if rule.operator == "min" else bound
+
+
+def _typed_hit(c: Column, kind: T.DataType, low: Decimal | None, high: Decimal | None) -> Column:
+    """low <= c <= high in the column's own type, each bound moved to the nearest value that the type has inside."""
+    digits, scale = (kind.precision, kind.scale) if isinstance(kind, T.DecimalType) else (WHOLE[type(kind)], 0)
+    most = Decimal(10**digits - 1).scaleb(-scale) if isinstance(kind, T.DecimalType) else Decimal(2 ** (digits - 1) - 1)
+    least = -most if isinstance(kind, T.DecimalType) else -most - 1
+    step = Decimal(1).scaleb(-scale)
+    tests = [c.isNotNull()]
+    with localcontext(Context(prec=400)):
+        for bound, rounding, op in ((low, ROUND_CEILING, operator.ge), (high, ROUND_FLOOR, operator.le)):
+            if bound is None:
+                continue
+            if bound > most if op is operator.ge else bound < least:
+                return F.lit(False)
+            if least < bound < most:
+                inside = bound.quantize(step, rounding=rounding)
+                tests.append(op(c, F.lit(format(inside, "f")).cast(kind)))
+    return all_of(tests)
+
+
 def _number_hit(rule: Rule, features: Features) -> Column:
+    """Typed columns are compared as stored, so that the bound can reach the file scan."""
     kind = features.types[rule.column]
+    if isinstance(kind, (*WHOLE, T.DecimalType)):
+        return _typed_hit(features.raw(rule.column), kind, *_exact_bounds(rule))
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        c = features.raw(rule.column)  # compared as stored, so the bound can reach the file scan
+        c = features.raw(rule.column)
         low_guard = ~F.isnan(c)  # NaN would count as the largest number
-    elif isinstance(kind, T.NumericType):
-        c, low_guard = features.raw(rule.column).cast("double"), None
     else:
         c, low_guard = features.get(rule.column, "number"), None
     if rule.operator == "between":
@@ -539,7 +571,8 @@ def hits_per_source(screened: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def source_totals(rows: DataFrame, hits: DataFrame, source: str) -> DataFrame:
     """The same from counts taken apart: (source, rows) and (source, hits)."""
-    counts = rows.join(hits, source, "left").select(source, "rows", F.coalesce("hits", F.lit(0)).alias("hits"))
+    both = rows.join(hits, source, "full")
+    counts = both.select(source, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "hits")))
     return _with_total(counts, [source])
 
 

@@ -475,7 +475,7 @@ def parse_requirements(spark, folder):
     group by grouping sets ((o_orderstatus), ())""")
 def job_counts(spark, folder):
     """The rows and hits per source that a screening job reports."""
-    files = _as_files(spark, table(spark, folder, "orders"), "o_orderstatus", ["F", "O", "P"])
+    files = _as_files(spark, table(spark, folder, "orders"), "o_orderstatus")
     return jobs.screen_files(spark, files, [("o_totalprice", "number", "min", "250000")], scratch_path(spark, "job"), key="o_orderkey")
 
 
@@ -542,13 +542,15 @@ def dedup_fallback(spark, folder):
     return D.dedup(part, ["p_partkey"], key="PersonID", column="p_name")
 
 
-@query("union_sources", """select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F'
-    union all select o_orderkey, null, o_totalprice from orders where o_orderstatus = 'O'""")
+@query("union_sources", """select o_orderkey, case when o_orderstatus = 'F' then o_custkey end as o_custkey, o_totalprice,
+    case when o_orderstatus not in ('F', 'O') or o_orderstatus is null then o_orderpriority end as o_orderpriority from orders""")
 def union_sources(spark, folder):
+    """Finished, open and all other orders as tables with columns of their own."""
     orders = table(spark, folder, "orders")
     first = orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
     second = orders.filter("o_orderstatus = 'O'").select("o_totalprice", "o_orderkey")
-    return D.union_by_name([first, second])
+    rest = orders.filter("not coalesce(o_orderstatus in ('F', 'O'), false)").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return D.union_by_name([first, second, rest])
 
 
 def _sheets(spark, folder) -> DataFrame:
@@ -651,7 +653,8 @@ def pairs_by_dataset(spark, folder):
     return B.dataset_named(_named_pairs(spark, folder), "long")
 
 
-@query("sample_pairs")
+@query("sample_pairs", f"""select dataset, zh, en from (select case when length(zh) > 200 then 'long' else 'short' end as dataset, zh, en
+    from ({PAIRS_SQL}) where zh <> '' and en <> '') order by md5(concat_ws(chr(10), '7', dataset, zh, en)) limit 3""")
 def sample_pairs(spark, folder):
     return B.sample_pairs(_named_pairs(spark, folder), k=3, seed=7)
 
@@ -754,21 +757,26 @@ def mixed_lines(spark, folder):
 
 
 @query("append_increment", """select o_orderkey, o_custkey, o_orderstatus from (select *, row_number() over
-    (partition by o_custkey order by case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end, o_orderkey) as r from orders) where r = 1""")
+    (partition by o_custkey order by o_orderstatus, o_orderkey) as r from orders) where r = 1""")
 def append_increment(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     path = scratch_path(spark, "increments")
-    for status in "FOP":
+    for status in _values(orders, "o_orderstatus"):
         K.append_increment(orders.filter(F.col("o_orderstatus") == status), path, ["o_orderkey"], key="o_custkey")
     return K.read_batches(spark, path).drop(K.BATCH)
 
 
-def _as_files(spark, rows: DataFrame, by: str, values: list[str]) -> list[str]:
-    """A CSV folder for each of a few values of a column."""
+def _values(rows: DataFrame, by: str) -> list[str]:
+    """All values of a column of few values, in order."""
+    return sorted(r[0] for r in rows.select(by).filter(F.col(by).isNotNull()).distinct().collect())
+
+
+def _as_files(spark, rows: DataFrame, by: str) -> list[str]:
+    """A CSV folder for each of the few values of a column, in the order of the values."""
     base = scratch_path(spark, "files")
-    for v in values:
+    for v in _values(rows, by):
         K.write_table(rows.filter(F.col(by) == v), f"{base}/{v}", "csv")
-    return [f"{base}/{v}" for v in values]
+    return [f"{base}/{v}" for v in _values(rows, by)]
 
 
 @query("job_screen_files", """select o_orderkey, round_even(case when o_totalprice >= 250000 then 1.0::double else 0 end
@@ -778,7 +786,7 @@ def _as_files(spark, rows: DataFrame, by: str, values: list[str]) -> list[str]:
 def job_screen_files(spark, folder):
     """Three sources screened, deduplicated by customer, written per source and merged; the merged result."""
     rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    files = _as_files(spark, rows.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey"), "o_orderstatus", ["F", "O", "P"])
+    files = _as_files(spark, rows.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey"), "o_orderstatus")
     rules = [("o_totalprice", "number", "min", "250000"), ("o_orderpriority", "text", "equals", "1-urgent", "", "", "0.5", "ignore_case=true")]
     out = scratch_path(spark, "job")
     jobs.screen_files(spark, files, rules, out, key="o_custkey")
@@ -839,6 +847,77 @@ def stream_screen(spark, folder):
     return spark.read.parquet(f"{path}/out")
 
 
+@query("job_append_by_source", """select o_orderkey, o_orderstatus as _source from (select *, row_number() over
+    (partition by o_orderstatus, o_custkey order by o_orderkey >= 30000, o_orderkey) as r from orders where o_totalprice >= 200000.25) where r = 1""")
+def job_append_by_source(spark, folder):
+    """Two runs into one result: the second brings only customers that their source does not have."""
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    out, rules = scratch_path(spark, "job"), [("o_totalprice", "number", "min", "200000.25")]
+    for part in (rows.filter("o_orderkey < 30000"), rows.filter("o_orderkey >= 30000")):
+        jobs.screen_files(spark, _as_files(spark, part.coalesce(1).sortWithinPartitions("o_orderkey"), "o_orderstatus"), rules, out, key="o_custkey", append=True)
+    return K.read_by_source(spark, f"{out}/by_source").select(F.col("o_orderkey").cast("long"), F.col(K.OUTPUT).cast("string"))
+
+
+@query("job_patterns", """select o_orderstatus as _source, count(*) as rows, count(*) filter (where o_totalprice >= 200000) as hits
+    from orders group by grouping sets ((o_orderstatus), ())""")
+def job_patterns(spark, folder):
+    """The sources as one pattern: what it finds is counted under the names of the folders."""
+    files = _as_files(spark, table(spark, folder, "orders"), "o_orderstatus")
+    rules = [("o_totalprice", "number", "min", "200000")]
+    return jobs.screen_files(spark, [files[0].rpartition("/")[0] + "/*"], rules, scratch_path(spark, "job"), key="o_orderkey", merge_only=True)
+
+
+@query("job_source_order", """select o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderstatus desc, o_orderkey) as r
+    from orders where o_totalprice >= 200000) where r = 1""")
+def job_source_order(spark, folder):
+    """Sources given in reverse order of their names, merged as CSV: the first source given keeps its row."""
+    rows = table(spark, folder, "orders").coalesce(1).sortWithinPartitions("o_orderkey")
+    files, out = _as_files(spark, rows, "o_orderstatus")[::-1], scratch_path(spark, "job")
+    jobs.screen_files(spark, files, [("o_totalprice", "number", "min", "200000")], out, key="o_custkey", format="csv", reading={"multi_line": False})
+    return K.read_result(spark, f"{out}/merged").select(F.col("o_orderkey").cast("long"))
+
+
+@query("csv_line_breaks", """select cast(doc_id as varchar) as doc_id, text from documents where text not like '%' || chr(13) || '%'""")
+def csv_line_breaks(spark, folder):
+    """Texts with line breaks and quotes through CSV."""
+    docs, path = table(spark, folder, "documents").select("doc_id", "text"), scratch_path(spark, "texts")
+    K.write_table(docs.filter(~F.contains("text", F.lit("\r"))), path, "csv")
+    return C.read_tables(spark, [path], format="csv").select("doc_id", "text")
+
+
+@query("number_long", """select o_orderkey from (select o_orderkey, 9007199254740992 + o_orderkey as k from orders)
+    where k between 9007199254740993 and 9007199254750993""")
+def number_long(spark, folder):
+    """Whole numbers beyond the doubles' exact range."""
+    rows = table(spark, folder, "orders").select("o_orderkey", (F.lit(9007199254740992) + F.col("o_orderkey")).alias("k"))
+    return S.screen(rows, [("k", "number", "between", "9007199254740993-9007199254750993")], hits_only=True).select("o_orderkey")
+
+
+@query("screen_weighted_boundary", """select o_orderkey, 0.1::double + case when o_totalprice >= 100000.5 then 0.1::double else 0 end
+    + case when o_orderstatus in ('F', 'O') then 0.6::double else 0 end >= 0.8::double as _match_all from orders where o_orderstatus = 'F'""")
+def screen_weighted_boundary(spark, folder):
+    """Scores that meet the threshold only if they are added in the order of the rules."""
+    rows = table(spark, folder, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    rules = [
+        ("o_orderstatus", "text", "equals", "F", "", "", "0.1"),
+        ("o_totalprice", "number", "min", "100000.5", "", "", "0.1"),
+        ("o_orderstatus", "enum", "in", "F;O", "", "", "0.6"),
+    ]
+    return S.screen(rows, rules, mode="WEIGHTED", threshold=0.8).select("o_orderkey", "_match_all")
+
+
+@query("rule_diagnostics", """select * from (values (1, 'bad range'), (2, 'missing column'), (3, 'bad pattern')) t(rule_id, problem)
+    where (select count(*) from orders) > 0""")
+def rule_diagnostics(spark, folder):
+    """What a rule table gets wrong about a table of orders."""
+    rules = R.as_rule_set(spark, [
+        ("o_totalprice", "number", "between", "low-high"), ("o_absent", "boolean", "is", "no"), ("o_orderstatus", "regex", "match", "["),
+    ])
+    orders = table(spark, folder, "orders")
+    found = rules.diagnostics(spark, orders.columns).select("rule_id", "problem")
+    return found.join(orders.limit(1).select(F.lit(1).alias("there"))).drop("there")
+
+
 @query("stream_append", """select event_id, user_id, event_type from (select *, row_number() over (partition by user_id order by event_id) as r
     from events) where r = 1""")
 def stream_append(spark, folder):

@@ -2,75 +2,67 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators.dedup import dedup_keys, keep_first
 from ruleloom.operators.match import best_match, parse_requirements
 from ruleloom.operators.ordering import limit_per_source
+from ruleloom.operators.rules import as_rule_set
 from ruleloom.operators.screen import screen, source_totals
 from ruleloom.schema import ROW, SHEET, SOURCE
 from ruleloom.session import staged
 from ruleloom.sources.lines import read_mixed_lines
 from ruleloom.sources.sinks import (
+    NUMBER,
     OUTPUT,
     append_result,
     next_version,
-    output_names,
+    read_by_source,
     with_output_name,
     write_by_source,
     write_table,
 )
 from ruleloom.sources.tables import present_paths, read_tables
 
-ORDER = [SOURCE, SHEET, ROW]
-OBSERVED = 50  # sources up to which their rows are counted in passing
+log = logging.getLogger(__name__)
+ORDER = [NUMBER, SOURCE, SHEET, ROW]  # as the sources were given
 
 
-def _read(spark: SparkSession, paths: Sequence[str], sheet: str, limit: int | None) -> DataFrame:
-    rows = read_tables(spark, paths, sheet)
-    if limit is not None:
-        rows = limit_per_source(rows, limit, [SOURCE, SHEET], ROW)
-    return with_output_name(rows, paths)
+def _read(spark: SparkSession, paths: Sequence[str], sheet: str, limit: int | None, reading: dict) -> DataFrame:
+    rows = with_output_name(read_tables(spark, paths, sheet, **reading), paths)
+    return rows if limit is None else limit_per_source(rows, limit, [SOURCE, SHEET], ROW)
 
 
 def _write(hits: DataFrame, out: str, key, column, merge_only, append, deduplicate, format) -> None:
+    order = [F.col(c) for c in ORDER]
     if not merge_only:
         part = hits
         if deduplicate:
-            part = keep_first(hits, [F.col(OUTPUT), *dedup_keys(hits, key, column)], [F.col(c) for c in ORDER])
-        write_by_source(part, f"{out}/by_source", format)
-    merged, hits = f"{out}/merged", hits.drop(OUTPUT)
+            part = keep_first(hits, [F.col(OUTPUT), *dedup_keys(hits, key, column)], order)
+        old = read_by_source(hits.sparkSession, f"{out}/by_source", format) if append else None
+        if old is not None and deduplicate:
+            # Only rows with keys that their source has not been written with; nothing older is rewritten.
+            keyed = part.withColumn("__key", F.struct(F.col(OUTPUT), *(k.cast("string") for k in dedup_keys(part, key, column))))
+            known = old.select(F.struct(F.col(OUTPUT).cast("string"), *(k.cast("string") for k in dedup_keys(old, key, column))).alias("__old"))
+            part = keyed.join(known.distinct(), F.col("__key").eqNullSafe(F.col("__old")), "left_anti").drop("__key")
+        write_by_source(part.drop(NUMBER), f"{out}/by_source", format, append)
+    merged = f"{out}/merged"
     if append:
-        append_result(hits, merged, ORDER, key, column, deduplicate)
+        append_result(hits.drop(OUTPUT), merged, ORDER, key, column, deduplicate, format)
         return
     if deduplicate:
-        hits = keep_first(hits, dedup_keys(hits, key, column), [F.col(c) for c in ORDER])
-    write_table(hits, next_version(hits.sparkSession, merged))
+        hits = keep_first(hits, dedup_keys(hits, key, column), order)
+    write_table(hits.drop(OUTPUT), next_version(hits.sparkSession, merged), format)
 
 
 def _counted(rows: DataFrame, by: str, name: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias(name))
 
 
-def _screen_and_count(rows: DataFrame, paths: Sequence[str], rules, settings: dict) -> tuple[DataFrame, DataFrame]:
-    """The hits, written once to the shared folder, and the rows read per source.
-
-    Text files are counted in the pass that screens them; it has no shuffle after the count, so that a task that is
-    run again is not counted again. Parquet knows its row numbers, and counting in passing would keep predicates
-    from its scan, so it is asked on its own; so are many sources.
-    """
-    if len(paths) > OBSERVED or all(p.rstrip("/").endswith(".parquet") for p in paths):
-        return staged(screen(rows, rules, hits_only=True, **settings), "hits"), _counted(rows, OUTPUT, "rows")
-    names, seen = list(output_names(paths).values()), Observation()
-    counts = [F.count_if(F.col(OUTPUT) == n).alias(f"n{i}") for i, n in enumerate(names)]
-    hits = staged(screen(rows.observe(seen, *counts), rules, hits_only=True, **settings), "hits")
-    read = [(n, seen.get[f"n{i}"]) for i, n in enumerate(names)]
-    return hits, rows.sparkSession.createDataFrame(read, f"{OUTPUT} string, rows long")
-
-
 def screen_files(
     spark: SparkSession,
     paths: Sequence[str],
@@ -84,14 +76,26 @@ def screen_files(
     append: bool = False,
     deduplicate: bool = True,
     format: str = "parquet",
+    reading: dict | None = None,
     **settings,
 ) -> DataFrame:
-    """Screen all files, write the hits per source and merged, and return the rows and hits per source."""
+    """Screen all files, write the hits per source and merged, and return the rows and hits per source.
+
+    ``reading`` are settings of ``read_tables``: format, encoding, multi_line. The diagnostics of the rules are
+    written beside the result, with one row per finding.
+    """
     found = present_paths(spark, paths)
-    rows = _read(spark, found, sheet, limit)
-    hits, read = _screen_and_count(rows, found, rules, settings)
+    rows = _read(spark, found, sheet, limit, reading or {})
+    if deduplicate:
+        dedup_keys(rows, key, column)  # before any work, if there is nothing to deduplicate by
+    rule_set = as_rule_set(spark, rules)
+    findings = rule_set.diagnostics(spark, rows.columns)
+    for f in findings.collect():  # at most a few per rule
+        log.warning("rule %s on %s: %s", f["rule_id"], f["column"], f["problem"])
+    write_table(findings, next_version(spark, f"{out}/diagnostics"))
+    hits = staged(screen(rows, rule_set, hits_only=True, **settings), "hits")
     _write(hits, out, key, column, merge_only, append, deduplicate, format)
-    return source_totals(read, _counted(hits, OUTPUT, "hits"), OUTPUT)
+    return source_totals(_counted(rows, OUTPUT, "rows"), _counted(hits, OUTPUT, "hits"), OUTPUT)
 
 
 def match_files(
@@ -108,11 +112,14 @@ def match_files(
     append: bool = False,
     deduplicate: bool = True,
     format: str = "parquet",
+    reading: dict | None = None,
 ) -> DataFrame:
     """Keep the rows whose column matches a requirement, with the matched name, code and score; counts as above."""
     found = present_paths(spark, paths)
     reqs = parse_requirements(read_mixed_lines(spark, [requirements]))
-    rows = _read(spark, found, sheet, limit)
+    rows = _read(spark, found, sheet, limit, reading or {})
+    if deduplicate:
+        dedup_keys(rows, key, column)
     hits = staged(best_match(rows, column, reqs, threshold).filter("_match"), "matched")
     _write(hits, out, key, column, merge_only, append, deduplicate, format)
     return source_totals(_counted(rows, OUTPUT, "rows"), _counted(hits, OUTPUT, "hits"), OUTPUT)

@@ -34,8 +34,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(hadoop_path)
-    return found is not None and len(found) > 0
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def full_paths(spark: SparkSession, path: str) -> list[str]:
+    """The complete paths that a path or pattern stands for; none if there is nothing."""
+    fs, hadoop_path = _file_system(spark, path)
+    return [s.getPath().toString() for s in fs.globStatus(hadoop_path) or []]
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The names of the data files in a folder, also one partitioned by columns."""
+    fs, hadoop_path = _file_system(spark, path)
+    if not fs.exists(hadoop_path) or fs.getFileStatus(hadoop_path).isFile():
+        return []
+    names, files = [], fs.listFiles(hadoop_path, True)
+    while files.hasNext():
+        names.append(files.next().getPath().getName())
+    return [n for n in names if not n.startswith(("_", "."))]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(full_paths(spark, path))

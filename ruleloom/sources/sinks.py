@@ -7,18 +7,20 @@ import posixpath
 import re
 from collections import Counter
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators.dedup import append, dedup, dedup_keys
-from ruleloom.schema import RULE_COLUMNS, SOURCE
-from ruleloom.session import path_exists
-from ruleloom.sources.tables import source_name
+from ruleloom.schema import RULE_COLUMNS, SOURCE, quoted
+from ruleloom.session import data_files, path_exists
+from ruleloom.sources.tables import format_of, source_name
 
 log = logging.getLogger(__name__)
 BATCH = "_batch"
-OUTPUT = "_source"
+OUTPUT, NUMBER = "_source", "_source_no"
+BROADCAST_FILES = 100_000  # names of files, a few hundred bytes each
 BROADCAST_KEYS = 500_000  # keys of one batch up to which they are broadcast to the old result
 FORMATS = ("parquet", "csv", "json", "orc")
 
@@ -30,14 +32,6 @@ def _format(name: str) -> str:
     return "csv"
 
 
-def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write a result; a format Spark does not write becomes CSV."""
-    writer = df.write.mode(mode).format(_format(format))
-    if _format(format) == "csv":
-        writer = writer.options(header=True, quote='"', escape='"')
-    writer.save(path)
-
-
 PLACE = r"^[A-Za-z0-9]+:(?://[^/]*)?"  # the scheme and host of a path
 
 
@@ -51,23 +45,56 @@ def output_names(paths: Sequence[str]) -> dict[str, str]:
     return names
 
 
+def _place(path: str) -> str:
+    return re.sub(PLACE, "", unquote(path)).rstrip("/")
+
+
 def with_output_name(df: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
-    """Add ``_source``, the output name of the path a row comes from, or the base name of its file."""
-    place, name = F.regexp_replace(F.col(SOURCE), PLACE, ""), source_name()
-    for path, label in output_names(paths).items():
-        here = re.sub(PLACE, "", path.rstrip("/"))
-        name = F.when((place == here) | place.startswith(here + "/"), F.lit(label)).otherwise(name)
-    return df.withColumn(OUTPUT, name)
+    """Add ``_source``, the output name of the path a row comes from (else of its file), and ``_source_no``, its place
+    in the list of paths. The names are joined by file; the table of files is that of the scan's own listing."""
+    named = {_place(p): (number, name) for number, (p, name) in enumerate(output_names(paths).items())}
+    rows = []
+    for file in {_place(f) for f in df.inputFiles()} if named else ():
+        above = file
+        while above and above not in named:
+            above = above.rpartition("/")[0]
+        if above:
+            rows.append((file, *named[above]))
+    if not rows:
+        return df.withColumns({OUTPUT: source_name(), NUMBER: F.lit(0)})
+    known = df.sparkSession.createDataFrame(rows, f"__file string, {NUMBER} int, __name string")
+    place = F.regexp_replace(F.col(SOURCE), PLACE, "")
+    joined = df.join(F.broadcast(known) if len(rows) <= BROADCAST_FILES else known, place == F.col("__file"), "left")
+    return joined.select(*(F.col(quoted(c)) for c in df.columns), F.coalesce("__name", source_name()).alias(OUTPUT), NUMBER)
 
 
-def write_by_source(df: DataFrame, path: str, format: str = "parquet") -> None:
+def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists") -> None:
+    """Write a result; a format Spark does not write becomes CSV."""
+    writer = df.write.mode(mode).format(_format(format))
+    if _format(format) == "csv":
+        writer = writer.options(header=True, quote='"', escape='"')
+    writer.save(path)
+
+
+def write_by_source(df: DataFrame, path: str, format: str = "parquet", append: bool = False) -> None:
     """All sources (by ``_source``) in one job, a folder for each; a large source is written by many tasks."""
-    writer = df.hint("rebalance", F.col(OUTPUT)).write.partitionBy(OUTPUT).format(_format(format))
+    spread = df.hint("rebalance", F.col(OUTPUT))
+    writer = spread.write.mode("append" if append else "errorifexists").partitionBy(OUTPUT).format(_format(format))
     if _format(format) == "csv":
         writer = writer.options(header=True, quote='"', escape='"')
     writer.save(path)
 
 
+def read_by_source(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame | None:
+    """What earlier runs have written per source; None if there is nothing."""
+    if not data_files(spark, path):
+        return None
+    reader = spark.read.format(_format(format))
+    if _format(format) == "csv":
+        reader = reader.options(header=True, quote='"', escape='"', multiLine=True)
+    return reader.load(path)
+
+
 def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -95,7 +122,14 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
     version = latest_version(spark, path)
     if version is None:
         raise FileNotFoundError(f"no finished result below {path}")
-    return spark.read.parquet(version)
+    return _read_version(spark, version)
+
+
+def _read_version(spark: SparkSession, version: str) -> DataFrame:
+    kind = format_of(spark, version)
+    if kind == "csv":
+        return spark.read.csv(version, header=True, quote='"', escape='"', multiLine=True)
+    return spark.read.format(kind).load(version)
 
 
 def append_result(
@@ -105,6 +139,7 @@ def append_result(
     key: str | None = None,
     column: str | None = None,
     deduplicate: bool = True,
+    format: str = "parquet",
 ) -> str:
     """Add rows to the result below ``path``: the next version is written beside the one being read."""
     spark = df.sparkSession
@@ -112,14 +147,20 @@ def append_result(
     if old_path is None:
         merged = dedup(df, order_by, key, column) if deduplicate else df
     elif deduplicate:
-        merged = append(spark.read.parquet(old_path), df, order_by, key, column)
+        merged = append(_alike(_read_version(spark, old_path), df), df, order_by, key, column)
     else:
-        merged = spark.read.parquet(old_path).unionByName(df, allowMissingColumns=True)
+        merged = _alike(_read_version(spark, old_path), df).unionByName(df, allowMissingColumns=True)
     target = next_version(spark, path)
-    write_table(merged, target)
+    write_table(merged, target, format)
     return target
 
 
+def _alike(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Old rows in the types of the new ones, which a text format does not keep."""
+    types = dict(new.dtypes)
+    return old.select(*(F.col(quoted(c)).cast(types[c]).alias(c) if types.get(c, t) != t else F.col(quoted(c)) for c, t in old.dtypes))
+
+
 def append_batch(
     batch: DataFrame, batch_id: int, path: str, order_by: Sequence[str], key: str | None, column: str | None = None
 ) -> None:

@@ -11,20 +11,40 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators.dedup import union_by_name
 from ruleloom.schema import ROW, SHEET, SOURCE, quoted
-from ruleloom.session import path_exists
+from ruleloom.session import data_files, full_paths
 
 log = logging.getLogger(__name__)
 
 
+# Endings of files and folders, and the format each stands for.
+ENDINGS = {".csv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc", ".xlsx": "xlsx"}
+
+
 def present_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The paths that exist; the others are reported and skipped."""
-    found = [p for p in paths if path_exists(spark, p)]
+    """The paths that exist, in the order given, complete and with patterns filled in; the others are reported.
+
+    A file that a pattern finds is a source of its own, a folder is one source.
+    """
+    found: list[str] = []
     for p in paths:
-        if p not in found:
+        here = full_paths(spark, p)
+        if not here:
             log.warning("no such path, skipped: %s", p)
+        found += [h for h in here if h not in found]
     return found
 
 
+def format_of(spark: SparkSession, path: str) -> str:
+    """The format by the ending of a path, or of the data files in a folder without one; unknown ones are an error."""
+    ending = os.path.splitext(path.rstrip("/"))[1].lower()
+    if ending in ENDINGS:
+        return ENDINGS[ending]
+    inside = {ENDINGS.get(os.path.splitext(f)[1].lower()) for f in data_files(spark, path)}
+    if len(inside) == 1 and None not in inside:
+        return inside.pop()
+    raise ValueError(f"the format of {path!r} is not known by its ending; name it")
+
+
 def file_path() -> Column:
     """The path of the file a row comes from; Spark gives it with blanks and the like escaped."""
     path = F.col("_metadata.file_path")
@@ -41,8 +61,11 @@ def with_provenance(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
-    """One CSV table (file, folder or glob with one header) as text, nothing inferred."""
+def read_csv(spark: SparkSession, path, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """CSV (file, folder, glob, or a list with one header) as text, nothing inferred.
+
+    Fields may hold line breaks; where none does, ``multi_line=False`` lets Spark split large files.
+    """
     settings = dict(header=True, quote='"', escape='"', encoding=encoding, multiLine=multi_line)
     raw = spark.read.csv(path, enforceSchema=False, **settings)  # a file of the folder with other columns is an error
     return with_provenance(raw)
@@ -54,34 +77,56 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*data, SOURCE, SHEET, ROW)
 
 
-def read_table(spark: SparkSession, path: str, sheet: str = "*") -> DataFrame:
-    """One table by the ending of its path."""
-    ending = os.path.splitext(path.rstrip("/"))[1].lower()
-    if ending == ".xlsx":
+def read_table(
+    spark: SparkSession, path, sheet: str = "*", format: str | None = None, encoding: str = "UTF-8", multi_line: bool = True
+) -> DataFrame:
+    """One table, or a list of paths of one format and header."""
+    paths = [path] if isinstance(path, str) else list(path)
+    kind = format or format_of(spark, paths[0])
+    if kind == "xlsx":
         from ruleloom.sources.workbook import read_workbooks
 
-        return read_workbooks(spark, [path], sheet)
-    if ending == ".parquet":
+        return read_workbooks(spark, paths, sheet)
+    if kind == "parquet":
         order = F.col("_metadata.row_index")  # the row number of the file itself
-        return spark.read.parquet(path).select("*", file_path().alias(SOURCE), F.lit("").alias(SHEET), order.alias(ROW))
-    if ending == ".json":
-        return with_provenance(spark.read.json(path, primitivesAsString=True))
-    return read_csv(spark, path)
-
-
-def read_tables(spark: SparkSession, paths: Sequence[str], sheet: str = "") -> DataFrame:
-    """All present tables in one, columns by name. A path stands for one source; give folders for many files.
+        return spark.read.parquet(*paths).select("*", file_path().alias(SOURCE), F.lit("").alias(SHEET), order.alias(ROW))
+    if kind == "json":
+        return with_provenance(spark.read.json(paths, primitivesAsString=True))
+    if kind == "orc":
+        return with_provenance(spark.read.orc(paths))
+    if kind == "csv":
+        return read_csv(spark, paths, encoding, multi_line)
+    raise ValueError(f"format {kind!r} is not read")
+
+
+def _schema_key(spark: SparkSession, path: str, kind: str, encoding: str) -> tuple:
+    """What paths must share to be read by one scan."""
+    if kind == "csv":
+        return tuple(spark.read.csv(path, header=True, quote='"', escape='"', encoding=encoding).columns)
+    if kind in ("parquet", "orc"):
+        return tuple(spark.read.format(kind).load(path).dtypes)
+    return (path,) if kind == "json" else ()
+
+
+def read_tables(
+    spark: SparkSession, paths: Sequence[str], sheet: str = "", format: str | None = None, encoding: str = "UTF-8", multi_line: bool = True
+) -> DataFrame:
+    """All present tables in one, columns by name; there is a scan for each format and header, not for each path.
 
     Typed columns stay typed, so that number rules reach their scan, unless the tables disagree on a type.
     """
     found = present_paths(spark, paths)
     if not found:
         raise FileNotFoundError("none of the paths exists")
-    parts = [read_table(spark, p, sheet) for p in found]
+    alike: dict[tuple, list[str]] = {}
+    for p in found:
+        kind = format or format_of(spark, p)
+        alike.setdefault((kind, _schema_key(spark, p, kind, encoding)), []).append(p)
+    parts = [read_table(spark, ps, sheet, kind, encoding, multi_line) for (kind, _), ps in alike.items()]
     types: dict[str, set[str]] = {}
-    for name, kind in (t for p in parts for t in p.dtypes):
-        types.setdefault(name, set()).add(kind)
-    if any(len(kinds) > 1 for kinds in types.values()):
+    for name, dtype in (t for p in parts for t in p.dtypes):
+        types.setdefault(name, set()).add(dtype)
+    if any(len(dtypes) > 1 for dtypes in types.values()):
         parts = [as_text(p) for p in parts]
     return union_by_name(parts)
 

@@ -10,6 +10,7 @@ import io
 import re
 import sys
 import zipfile
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.schema import ROW, SHEET, SOURCE
+from ruleloom.session import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -99,7 +101,10 @@ def _sheet_rows(book: zipfile.ZipFile, part_name: str, strings: list[str]) -> It
 
 
 def _header_names(row: dict[int, str | None]) -> dict[int, str]:
-    return {i: (name.strip() if name and name.strip() else f"_c{i}") for i, name in row.items()}
+    """Names by place; an empty one becomes ``_c`` and its place, a repeated one gets its place behind it."""
+    names = {i: (name or "").strip() for i, name in row.items()}
+    often = Counter(n.lower() for n in names.values())
+    return {i: f"_c{i}" if not n else n if often[n.lower()] == 1 else f"{n}{i}" for i, n in names.items()}
 
 
 def _read_rows(header_only: bool):
@@ -138,10 +143,12 @@ def workbook_rows(files: DataFrame, sheet: str = "") -> DataFrame:
     from ruleloom.sources.tables import select_sheets
 
     files = files.select("path", "content")
-    headers = select_sheets(files.mapInPandas(_read_rows(True), ROWS_SCHEMA), sheet)
+    # Sheets are chosen by their headers, so that one without rows is a sheet too; there is a row per sheet.
+    headers = staged(select_sheets(files.mapInPandas(_read_rows(True), ROWS_SCHEMA), sheet), "headers")
     names = headers.select(SHEET_NO, F.posexplode(F.map_keys("cells")).alias("at", "name"))
     found = names.groupBy("name").agg(F.min(F.struct(SHEET_NO, "at")).alias("first")).orderBy("first", "name").collect()
-    rows = select_sheets(files.mapInPandas(_read_rows(False), ROWS_SCHEMA), sheet)
+    chosen = F.broadcast(headers.select(SOURCE, SHEET_NO).distinct())
+    rows = files.mapInPandas(_read_rows(False), ROWS_SCHEMA).join(chosen, [SOURCE, SHEET_NO], "left_semi")
     cells = [F.try_element_at("cells", F.lit(r["name"])).alias(r["name"]) for r in found]
     return rows.select(*cells, SOURCE, SHEET, ROW)
 

@@ -190,6 +190,24 @@ def test_typed_columns(spark):
         assert [r["_match_all"] for r in S.screen(df, [rule]).collect()] == hits
 
 
+def test_bounds_in_the_type_of_the_column(spark, tmp_path):
+    from decimal import Decimal
+
+    big = 2**53
+    df = spark.createDataFrame([(big + 1, Decimal("1.25")), (-5, Decimal("-1.20")), (None, None)], "a long, b decimal(10,2)")
+    for rule, hits in [
+        (("a", "number", "equals", str(big)), []), (("a", "number", "equals", f"{big + 1}.0"), [big + 1]), (("a", "number", "max", "-4.5"), [-5]),
+        (("a", "number", "min", "-4.5"), [big + 1]), (("a", "number", "equals", "-4.5"), []), (("a", "number", "min", "1e30"), []),
+        (("a", "number", "max", "1e30"), [-5, big + 1]), (("a", "number", "min", "-inf"), [-5, big + 1]), (("a", "number", "between", "-5.5--4.5"), [-5]),
+        (("b", "number", "equals", "1.250"), [big + 1]), (("b", "number", "min", "1.251"), []), (("b", "number", "max", "1.251"), [-5, big + 1]),
+    ]:
+        assert sorted(r["a"] for r in S.screen(df, [rule], hits_only=True).collect()) == hits, rule
+    df.write.parquet(str(tmp_path / "t"))
+    for rule, test in ((("a", "number", "min", "3.5"), "GreaterThanOrEqual(a,4)"), (("b", "number", "max", "7"), "LessThanOrEqual(b,7.00)")):
+        plan = S.screen(spark.read.parquet(str(tmp_path / "t")), [rule], hits_only=True)._jdf.queryExecution().executedPlan().toString()
+        assert test in plan
+
+
 def test_odd_column_names(spark):
     df = spark.createDataFrame([("x",), ("y",)], ["a.b `c"])
     assert S.screen(df, [("a.b `c", "text", "equals", "x")], hits_only=True).count() == 1

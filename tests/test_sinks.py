@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ruleloom.operators import rules as R
@@ -87,6 +88,43 @@ def test_screening_job_merge_only_and_append(spark, tmp_path):
     assert K.read_result(spark, f"{out}/merged").count() == 2
 
 
+def test_runs_append_per_source(spark, tmp_path):
+    out, paths = str(tmp_path / "out"), candidates(tmp_path)
+    for format in ("parquet", "csv"):
+        for _ in range(2):
+            counts = jobs.screen_files(spark, paths, RULES, f"{out}/{format}", key="PersonID", append=True, format=format)
+        assert {r["_source"]: r["hits"] for r in counts.collect()} == {"one": 3, "two": 2, None: 5}
+        by_source = K.read_by_source(spark, f"{out}/{format}/by_source", format)
+        assert sorted((r["_source"], str(r["PersonID"])) for r in by_source.collect()) == [("one", "1"), ("one", "2"), ("two", "2"), ("two", "4")]
+        assert K.read_result(spark, f"{out}/{format}/merged").count() == 3
+        assert K.format_of(spark, K.latest_version(spark, f"{out}/{format}/merged")) == format
+
+
+def test_first_source_given_wins(spark, tmp_path):
+    paths = [put(tmp_path / f"{n}.csv", f"PersonID,v\n1,{n}\n") for n in "za"]
+    jobs.screen_files(spark, paths, [("PersonID", "number", "min", "0")], str(tmp_path / "out"), key="PersonID")
+    assert [r["v"] for r in K.read_result(spark, str(tmp_path / "out" / "merged")).collect()] == ["z"]
+
+
+def test_patterns_and_relative_folders(spark, tmp_path, monkeypatch):
+    candidates(tmp_path)
+    monkeypatch.chdir(tmp_path)
+    for given in (str(tmp_path / "in" / "*.csv"), "in/*.csv"):
+        try:
+            counts = jobs.screen_files(spark, [f"file:{given}" if given[0] == "/" else given], RULES, str(tmp_path / f"out{len(given)}"), key="PersonID")
+        except FileNotFoundError:  # a session started elsewhere resolves relative paths against its own folder
+            assert given[0] != "/"
+            continue
+        assert {r["_source"]: (r["rows"], r["hits"]) for r in counts.collect()} == {"one": (4, 3), "two": (3, 2), None: (7, 5)}
+
+
+def test_nothing_to_deduplicate_by(spark, tmp_path):
+    path = put(tmp_path / "x.csv", "a\n1\n")
+    with pytest.raises(ValueError, match="deduplicate"):
+        jobs.screen_files(spark, [path], RULES, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
 def test_no_hits_write_empty_outputs(spark, tmp_path):
     out = str(tmp_path / "out")
     counts = jobs.screen_files(spark, candidates(tmp_path), [("Part", "text", "equals", "none")], out, key="PersonID", audit=True)

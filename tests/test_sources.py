@@ -43,7 +43,7 @@ def test_row_numbers_follow_the_file(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        df = C.read_csv(spark, path)
+        df = C.read_csv(spark, path, multi_line=False)
         assert df.rdd.getNumPartitions() > 4
         assert [int(r["i"]) for r in df.orderBy("_row_idx").collect()] == list(range(20000))
     finally:
@@ -162,3 +162,34 @@ def test_pair_export_and_import(spark, tmp_path):
     assert names == ["user_x", "user_x_1", "user_x_2"]
     assert BP.dataset_names(spark, root) == ["d2", "d3", *names]
     assert BP.read_datasets(spark, root).filter(F.col("dataset") == "user_x_2").count() == 2
+
+
+def test_fields_with_line_breaks(spark, tmp_path):
+    path = put(tmp_path / "q.csv", 'a,b\n1,"two\nlines, ""quoted"""\n2,x\n')
+    assert [(r["a"], r["b"]) for r in C.read_tables(spark, [path]).collect()] == [("1", 'two\nlines, "quoted"'), ("2", "x")]
+    (tmp_path / "l.csv").write_bytes("a\né\n".encode("latin-1"))
+    assert C.read_tables(spark, [str(tmp_path / "l.csv")], encoding="ISO-8859-1").first()["a"] == "é"
+
+
+def test_formats_by_ending(spark, tmp_path):
+    folder = str(tmp_path / "result")
+    spark.range(3).write.parquet(folder)
+    assert C.read_tables(spark, [folder]).count() == 3
+    odd = put(tmp_path / "t.xls", "a\n1\n")
+    with pytest.raises(ValueError, match="format"):
+        C.read_tables(spark, [odd])
+    assert C.read_tables(spark, [odd], format="csv").count() == 1
+
+
+def test_one_scan_for_many_files(spark, tmp_path):
+    paths = [put(tmp_path / f"f{i}.csv", f"a,b\n{i},x\n") for i in range(12)] + [put(tmp_path / "g.csv", "b,c\ny,z\n")]
+    df = C.read_tables(spark, paths)
+    assert df.count() == 13 and df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_workbook_headers(spark, tmp_path):
+    book = {"First": [["h", "h", "x"]], "Second": [["h", "h"], ["1", "2"]]}
+    (tmp_path / "b.xlsx").write_bytes(workbook_bytes(book))
+    path = [str(tmp_path / "b.xlsx")]
+    assert W.read_workbooks(spark, path, "").count() == 0  # the first sheet is the first, also without rows
+    assert [(r["h0"], r["h1"]) for r in W.read_workbooks(spark, path, "*").collect()] == [("1", "2")]
