@@ -3,9 +3,10 @@
 Each value takes its best-scoring requirement, the earliest one on ties:
 equal code 1.0, equal normalised text 0.95, one text inside the other 0.9, else the matching-block ratio.
 
-A short list travels inside the expressions, and every row is judged where it lies, without a shuffle. A long list
-is cut into blocks; distinct values meet the blocks by equi-join and the best of each value is joined back. What the
-long form needs twice is written to the shared folder, so it runs jobs when it is called.
+Rows are judged where they lie: nothing is joined or shuffled, whatever the list's length. The list travels to the
+tasks in blocks of at most ``BLOCK_BYTES`` of text, a block is one search over the distinct values of a task, and the
+best of the blocks is taken. So neither a value without text nor a popular one makes a task larger, and no pair of
+value and requirement becomes a row.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,8 @@ from ruleloom.functions import text as X
 from ruleloom.functions.params import round4
 from ruleloom.functions.similarity import TextBlock, each_once
 from ruleloom.operators.dedup import keep_first
-from ruleloom.schema import quoted
-from ruleloom.session import staged
+from ruleloom.operators.ordering import POSITION, with_position
+from ruleloom.schema import SOURCE, quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in the similarity module
 
@@ -37,16 +37,18 @@ SAME_CODE, SAME_TEXT, INSIDE = 1.0, 0.95, 0.9
 BRACKETED = r"(?U)^(.*?)（\s*([0-9]{4,6}[A-Z]{0,3})\s*）"
 BARE_CODE = r"^[0-9]{4,6}[A-Z]{0,3}$"
 
-SHORT_LIST = 500  # requirements that travel inside the expressions
-BLOCK_SIZE = 256  # requirements per block of a long list
-BROADCAST_BYTES = 32 << 20  # text up to which the blocks, or the scored values, are broadcast
-SALTS = 32  # copies of each block beyond that
-
+PLAIN_LIST = 500  # requirements up to which the exact tiers are native expressions; longer lists use the same search
+BLOCK_BYTES = 16 << 20  # text of the requirements that one search holds
 BLOCK_TYPE = "array<struct<pos:bigint,norm:string>>"
 
 
 def parse_requirements(lines: DataFrame, line: str = "line", index: str = "_row_idx") -> DataFrame:
-    """Lines to requirements ``raw, name, norm, code, req_idx``; distinct on (norm, code), the first line stays."""
+    """Lines to requirements ``raw, name, norm, code, req_idx``; distinct on (norm, code), the first line stays.
+
+    Lines of several files are numbered on, file by file, so that a number names one line.
+    """
+    if SOURCE in lines.columns:
+        lines = with_position(lines, [SOURCE, index]).withColumn(index, F.col(POSITION) - 1)
     raw = F.col(quoted(line))
     text = X.strip(X.blank_null(raw))
     words = F.split(F.regexp_replace(text, X.WHITESPACE_RUN, " "), " ")
@@ -87,7 +89,7 @@ def _ladder(code_pos: Column, text_pos: Column, inside_pos: Column) -> Column:
     )
 
 
-def _best_of(values: list[str], items: list[tuple[int, str]]) -> list[tuple[float, int | None]]:
+def _best_of(values: list[str], items: list[tuple[int, str]], ratios: bool) -> list[tuple[float, int | None]]:
     """Best score and requirement position of each value by text (all tiers but the code)."""
     best, best_pos = np.zeros(len(values)), np.full(len(values), np.inf)
     block = TextBlock(values)
@@ -95,7 +97,7 @@ def _best_of(values: list[str], items: list[tuple[int, str]]) -> list[tuple[floa
     for pos, text in items:
         score = np.array([_text_tier(v, text) for v in values])
         bound = 2.0 * np.minimum(lengths, len(text)) / np.maximum(lengths + len(text), 1)
-        promising = (score == 0.0) & ((bound > best) | ((bound == best) & (pos < best_pos)))
+        promising = ratios & (score == 0.0) & ((bound > best) | ((bound == best) & (pos < best_pos)))
         if promising.any():
             score = np.where(promising, block.sequence_ratios(text, only=promising), score)
         better = (score > best) | ((score == best) & (score > 0.0) & (pos < best_pos))
@@ -109,156 +111,79 @@ def _text_tier(value: str, text: str) -> float:
     return INSIDE if value and text and (value in text or text in value) else 0.0
 
 
-def _as_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["score", "pos"])
-    return frame.assign(pos=frame["pos"].astype("Int64"))
-
-
-def _best_in_list(items: list[tuple[int, str]], by_code: dict[str, int]):
-    """UDF (normalised value, code) -> score, pos over a short list; each distinct value of a task is tried once."""
+def _search(block: list[tuple[int, str, str, str]], ratios: bool):
+    """UDF (normalised value, code) -> score, pos, name, code over (pos, name, norm, code) of a block; each distinct
+    value of a task is tried once."""
+    by_pos = {pos: (name, code) for pos, name, _, code in block}
+    by_code: dict[str, int] = {}
+    by_norm: dict[str, int] = {}
+    for pos, _, norm, code in block:
+        if code:
+            by_code.setdefault(code, pos)
+        by_norm.setdefault(norm, pos)
+    items = [(pos, norm) for norm, pos in by_norm.items()]
 
     def compute(keys: list[tuple]) -> list[tuple]:
         tried = [norm for norm, code in keys if norm is not None and code not in by_code]
-        found = dict(zip(tried, _best_of(tried, items))) if tried else {}
-        return [(SAME_CODE, by_code[code]) if code in by_code else found.get(norm, (0.0, None)) for norm, code in keys]
+        found = dict(zip(tried, _best_of(tried, items, ratios))) if tried else {}
+        best = [(SAME_CODE, by_code[code]) if code in by_code else found.get(norm, (0.0, None)) for norm, code in keys]
+        return [(score, pos, *by_pos.get(pos, (None, None))) for score, pos in best]
 
-    @pandas_udf("score double, pos long")
+    @pandas_udf("score double, pos long, name string, code string")
     def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         cache: dict[tuple, tuple] = {}
         for norms, codes in batches:
-            yield _as_frame(each_once(list(zip(norms, codes)), cache, compute))
+            rows = each_once(list(zip(norms, codes)), cache, compute)
+            frame = pd.DataFrame(rows, columns=["score", "pos", "name", "code"])
+            yield frame.assign(pos=frame["pos"].astype("Int64"))
 
     return best.asNondeterministic()
 
 
-def _best_in_block():
-    """UDF (normalised value, block number, block as JSON) -> score, pos over the requirements of the block."""
-
-    @pandas_udf("score double, pos long")
-    def best(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for values, numbers, blocks in batches:
-            out: list = [None] * len(values)
-            for rows in numbers.groupby(numbers).indices.values():
-                items = [(b["pos"], b["norm"]) for b in json.loads(blocks.iloc[rows[0]])]
-                for i, result in zip(rows, _best_of(values.iloc[rows].tolist(), items)):
-                    out[i] = result
-            yield _as_frame(out)
-
-    return best.asNondeterministic()
-
-
-@dataclass
-class _Listing:
-    """A requirement list behind its size check; rows only where it is short."""
-
-    frame: DataFrame
-    texts: int  # distinct normalised texts
-    size: int
-    rows: list | None
-
-
-def _listing(reqs: DataFrame, short_list: int) -> _Listing:
-    fields = [F.col("name"), F.col("norm"), F.col("code"), F.col("req_idx")]
-    reqs = reqs.select(*fields)
-    head = reqs.limit(short_list + 1).collect()
-    if not head:
-        raise ValueError("the requirement list is empty")
-    if len(head) <= short_list:
-        return _Listing(reqs, len(head), 0, sorted(head, key=lambda r: r["req_idx"]))
-    reqs = staged(reqs, "requirements")
-    texts, size = reqs.agg(F.count_distinct("norm"), F.sum(F.octet_length("norm") + 16)).first()
-    return _Listing(reqs, texts, size, None)
-
-
 def _literal(value, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
 
 
-def _match_short(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame:
-    """df has __norm and __code (null where there is no text); adds __score, __name, __mcode. No shuffle."""
-    rows = listing.rows
+def _native(norm: Column, code: Column, rows: list[tuple[int, str, str, str]]) -> Column:
+    """The exact tiers of a short list without Python."""
     by_code: dict[str, int] = {}
     by_norm: dict[str, int] = {}
-    for pos, r in enumerate(rows, start=1):
-        if r["code"]:
-            by_code.setdefault(r["code"], pos)
-        by_norm.setdefault(r["norm"], pos)
-    norm, code = F.col("__norm"), F.col("__code")
-    if similarity == "sequence":
-        out = df.withColumn("__best", _best_in_list([(p, n) for n, p in by_norm.items()], by_code)(norm, code))
-    else:
-        blocks = _literal([{"pos": p, "norm": n} for n, p in by_norm.items()], BLOCK_TYPE)
-        code_pos = F.try_element_at(_literal(by_code, "map<string,int>"), code)
-        text_pos = F.try_element_at(_literal(by_norm, "map<string,int>"), norm)
-        inside = F.array_min(F.transform(F.filter(blocks, lambda r: _inside(norm, r["norm"])), lambda r: r["pos"]))
-        out = df.withColumn("__best", _ladder(code_pos, text_pos, inside))
-    names = _literal([{"n": r["name"], "c": r["code"]} for r in rows], "array<struct<n:string,c:string>>")
-    chosen = F.try_element_at(names, F.col("__best.pos").cast("int"))
-    return out.select(
-        *(F.col(quoted(c)) for c in df.columns),
-        F.col("__best.score").alias("__score"),
-        chosen["n"].alias("__name"),
-        chosen["c"].alias("__mcode"),
-    )
-
-
-def _match_long(df: DataFrame, listing: _Listing, similarity: str) -> DataFrame:
-    """The same over distinct values and blocks of requirements."""
-    reqs = listing.frame
-    values = df.select("__norm", "__code").filter(F.col("__norm").isNotNull()).distinct()
-    by_code = reqs.filter(F.col("code") != "").groupBy("code").agg(F.min("req_idx").alias("__code_pos"))
-    coded = values.join(by_code, values["__code"] == by_code["code"], "left").drop("code")
-    coded = staged(coded, "values")  # read twice below, and the expensive part need not be preceded by a shuffle again
-
-    n_blocks = -(-listing.texts // BLOCK_SIZE)
-    per_norm = reqs.groupBy("norm").agg(F.min("req_idx").alias("pos"))
-    number = F.pmod(F.xxhash64("norm"), F.lit(n_blocks)).cast("int")
-    blocks = per_norm.groupBy(number.alias("__block")).agg(F.collect_list(F.struct("pos", "norm")).alias("__reqs"))
-    open_values = coded.filter(F.col("__code_pos").isNull()).select(
-        "__norm", "__code", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("__block")
-    )
-    # A fixed number of tasks: the rows are few bytes but much work, and would be packed into too few by their size.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_values = open_values.repartition(tasks, "__norm", "__code", "__block")
-    if similarity == "sequence":
-        blocks = blocks.withColumn("__reqs", F.to_json("__reqs"))  # one text instead of many values per row
-    if listing.size <= BROADCAST_BYTES:
-        tried = open_values.join(F.broadcast(blocks), "__block")
-    else:
-        salted = blocks.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = open_values.withColumn("__salt", F.pmod(F.xxhash64("__norm", "__code"), F.lit(SALTS)).cast("int"))
-        tried = spread.join(salted, ["__block", "__salt"]).drop("__salt")
-    norm = F.col("__norm")
-
-    def first_pos(test) -> Column:
-        return F.array_min(F.transform(F.filter("__reqs", lambda r: test(r["norm"])), lambda r: r["pos"]))
-
-    if similarity == "sequence":
-        best = _best_in_block()("__norm", "__block", "__reqs")
-    else:
-        best = _ladder(F.lit(None), first_pos(lambda n: n == norm), first_pos(lambda n: _inside(norm, n)))
-    tried = tried.withColumn("__best", best)
-    rank = F.struct(F.col("__best.score").alias("score"), (-F.col("__best.pos")).alias("back"))
-    opened = tried.groupBy("__norm", "__code").agg(F.max(rank).alias("__top"))
-    opened = opened.select("__norm", "__code", F.col("__top.score").alias("__score"), (-F.col("__top.back")).alias("__pos"))
-    closed = coded.filter(F.col("__code_pos").isNotNull()).select(
-        "__norm", "__code", F.lit(SAME_CODE).alias("__score"), F.col("__code_pos").alias("__pos")
-    )
-    chosen = reqs.select(F.col("req_idx").alias("__pos"), F.col("name").alias("__name"), F.col("code").alias("__mcode"))
-    scored = staged(opened.unionByName(closed).join(chosen, "__pos", "left").drop("__pos"), "scored")
-    size = scored.agg(F.sum(F.octet_length("__norm") + F.coalesce(F.octet_length("__name"), F.lit(0)) + 64)).first()[0]
-    if (size or 0) <= BROADCAST_BYTES:
-        scored = F.broadcast(scored)
-    return df.join(scored, ["__norm", "__code"], "left")
+    for pos, _, text, number in rows:
+        if number:
+            by_code.setdefault(number, pos)
+        by_norm.setdefault(text, pos)
+    blocks = _literal([{"pos": p, "norm": n} for n, p in by_norm.items()], BLOCK_TYPE)
+    code_pos = F.try_element_at(_literal(by_code, "map<string,int>"), code)
+    text_pos = F.try_element_at(_literal(by_norm, "map<string,int>"), norm)
+    inside = F.array_min(F.transform(F.filter(blocks, lambda r: _inside(norm, r["norm"])), lambda r: r["pos"]))
+    names = _literal([{"n": name, "c": c} for _, name, _, c in rows], "array<struct<n:string,c:string>>")
+
+    def named(best: Column) -> Column:
+        chosen = F.try_element_at(names, best["pos"].cast("int"))
+        return F.struct(best["score"].alias("score"), best["pos"].alias("pos"), chosen["n"].alias("name"), chosen["c"].alias("code"))
+
+    return F.element_at(F.transform(F.array(_ladder(code_pos, text_pos, inside)), named), 1)
+
+
+def _blocks(reqs: DataFrame) -> Iterator[list[tuple[int, str, str, str]]]:
+    """The list in blocks of (pos, name, norm, code) of a bounded size, numbered in its order."""
+    order = ["req_idx", "norm", "code", "name"]
+    block, size, empty = [], 0, True
+    for pos, r in enumerate(reqs.select(*order).orderBy(*order).toLocalIterator(), start=1):
+        block.append((pos, r["name"], r["norm"], r["code"] or ""))
+        size += len(r["norm"]) + len(r["name"]) + 64
+        empty = False
+        if size > BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+    if empty:
+        raise ValueError("the requirement list is empty")
+    if block:
+        yield block
 
 
 def best_match(
-    df: DataFrame,
-    column: str,
-    reqs: DataFrame,
-    threshold: float = 0.8,
-    similarity: str = "sequence",
-    short_list: int = SHORT_LIST,
+    df: DataFrame, column: str, reqs: DataFrame, threshold: float = 0.8, similarity: str = "sequence", plain_list: int | None = None
 ) -> DataFrame:
     """Add ``_match, _matched_name, _matched_code, _score``; ``similarity="none"`` leaves the last tier out."""
     if column not in df.columns:
@@ -270,14 +195,24 @@ def best_match(
         F.when(has_text, X.normalize_strict(text)).alias("__norm"),
         F.when(has_text, X.extract_code(text)).alias("__code"),
     )
-    listing = _listing(reqs, short_list)
-    scored = (_match_long if listing.rows is None else _match_short)(prepared, listing, similarity)
-    score = F.coalesce("__score", F.lit(0.0))
-    hit = F.col("__name").isNotNull() & (score >= F.lit(float(threshold)))
+    found = []
+    for number, block in enumerate(_blocks(reqs)):
+        if similarity != "sequence" and number == 0 and len(block) <= (PLAIN_LIST if plain_list is None else plain_list):
+            one = _native(F.col("__norm"), F.col("__code"), block)
+        else:
+            one = _search(block, similarity == "sequence")(F.col("__norm"), F.col("__code"))
+        found.append(f"__best{number}")
+        prepared = prepared.withColumn(found[-1], one)
+    best = F.col(found[0])
+    for other in found[1:]:  # a later block holds later requirements, so it has to be better
+        best = F.when(F.col(other)["score"] > best["score"], F.col(other)).otherwise(best)
+    scored = prepared.withColumn("__best", best)
+    score = F.coalesce("__best.score", F.lit(0.0))
+    hit = F.col("__best.name").isNotNull() & (score >= F.lit(float(threshold)))
     return scored.select(
         *(F.col(quoted(c)) for c in df.columns),
         hit.alias("_match"),
-        F.when(hit, F.col("__name")).otherwise(F.lit("")).alias("_matched_name"),
-        F.when(hit, F.col("__mcode")).otherwise(F.lit("")).alias("_matched_code"),
+        F.when(hit, F.col("__best.name")).otherwise(F.lit("")).alias("_matched_name"),
+        F.when(hit, F.col("__best.code")).otherwise(F.lit("")).alias("_matched_code"),
         round4(score).alias("_score"),
     )

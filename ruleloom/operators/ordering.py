@@ -1,8 +1,7 @@
 """Row positions and per-source limits that hold when one source has most of the rows.
 
-A plain ``row_number`` over a source puts the whole source into one task. Here a source is cut into blocks of
-neighbouring row numbers; only the block sizes, a table smaller than the data by the block size, are added up in
-order, and the rows are numbered within their blocks.
+A plain ``row_number`` over a source, or over the table, puts it into one task. Here the rows are dealt into ranges of
+their order; the sizes of the ranges, a row for each, are added up in order, and the rows are numbered in their range.
 """
 
 from __future__ import annotations
@@ -17,8 +16,7 @@ from ruleloom.session import staged
 
 BLOCK_ROWS = 1 << 17
 SALTS = 64
-WINDOW_LIMIT = 1000  # up to here Spark itself cuts each task's rows before the shuffle
-BROADCAST_BLOCKS = 200_000  # blocks of a few dozen bytes each
+WINDOW_LIMIT = 1000  # up to here Spark itself cuts each task's rows before the shuffle; beyond, rows are numbered
 POSITION = "_position"
 
 
@@ -26,37 +24,23 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(quoted(n)) for n in names]
 
 
-def _in_blocks(df: DataFrame, keys: Sequence[str], index: str, block_rows: int) -> DataFrame:
-    """Add the group as one struct (never null itself, so joins keep null sources) and the block number."""
-    group = F.struct(*_cols(keys)) if keys else F.struct(F.lit(0).alias("all"))
-    block = F.expr(f"{quoted(index)} div {block_rows}")
-    return df.withColumns({"__g": group, "__block": block})
-
-
-def _block_offsets(rows: DataFrame, group: Sequence[str], lead: Sequence[str]) -> DataFrame:
-    """Rows before each block, in its group."""
-    sizes = rows.groupBy("__g", "__block").agg(F.count("*").alias("__rows"))
-    before = (
-        Window.partitionBy(*([F.col("__g")[g] for g in group] or [F.lit(0)]))
-        .orderBy(*(F.col("__g")[c].asc_nulls_first() for c in lead), "__block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return sizes.select("__g", "__block", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-
-
-def _rank_in_block(index: str) -> Column:
-    return F.row_number().over(Window.partitionBy("__g", "__block").orderBy(F.col(quoted(index)))).cast("long")
-
-
-def with_position(
-    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Add ``_position``, 1-based in read order within ``group``; the last order column is a whole number."""
-    *lead, index = order
-    rows = _in_blocks(df, [*group, *lead], index, block_rows)
-    offsets = _block_offsets(rows, group, lead)
-    ranked = rows.withColumn("__rank", _rank_in_block(index)).join(offsets, ["__g", "__block"])
-    return ranked.select(*_cols(df.columns), (F.col("__before") + F.col("__rank")).alias(POSITION))
+def with_position(df: DataFrame, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
+    """Add ``_position``, 1-based in read order within ``group``; null comes first."""
+    sort = _cols([*group, *order])
+    # Written once, since the ranges are drawn from a sample and have to stay as they are.
+    rows = staged(df.repartitionByRange(*sort).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__rows"))
+    # A row per range: as many as there are tasks, however many rows the table has.
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*sort)).cast("long")
+    ranked = rows.withColumn("__rank", rank).join(F.broadcast(offsets), "__range")
+    place = F.col("__before") + F.col("__rank")
+    if not group:
+        return ranked.select(*_cols(df.columns), place.alias(POSITION))
+    ranked = ranked.withColumns({"__place": place, "__g": F.struct(*_cols(group))})
+    starts = ranked.groupBy("__g").agg((F.min("__place") - 1).alias("__start"))
+    return ranked.join(starts, "__g").select(*_cols(df.columns), (F.col("__place") - F.col("__start")).alias(POSITION))
 
 
 def _first_rows(df: DataFrame, n: int, group: Sequence[str], index: str) -> DataFrame:
@@ -64,21 +48,14 @@ def _first_rows(df: DataFrame, n: int, group: Sequence[str], index: str) -> Data
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
 
 
-def limit_per_source(
-    df: DataFrame, n: int, group: Sequence[str], index: str, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """The first ``n`` rows of every source."""
-    if n <= WINDOW_LIMIT:
-        # Each task sends at most n rows of a source; the salt keeps those of a large source from meeting in one task.
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(quoted(index)), F.lit(SALTS)))
-        part = _first_rows(salted, n, [*group, "__salt"], index)
-        return _first_rows(part, n, group, index).select(*_cols(df.columns))
-    rows = _in_blocks(df, group, index, block_rows)
-    needed = staged(_block_offsets(rows, group, []).filter(F.col("__before") < n), "limit-blocks")
-    if needed.count() <= BROADCAST_BLOCKS:
-        needed = F.broadcast(needed)
-    kept = rows.join(needed, ["__g", "__block"]).withColumn("__rank", _rank_in_block(index))
-    return kept.filter(F.col("__before") + F.col("__rank") <= n).select(*_cols(df.columns))
+def limit_per_source(df: DataFrame, n: int, group: Sequence[str], index: str) -> DataFrame:
+    """The first ``n`` rows of every source; a null index comes first."""
+    if n > WINDOW_LIMIT:
+        return with_position(df, [index], group).filter(F.col(POSITION) <= n).select(*_cols(df.columns))
+    # Each task sends at most n rows of a source; the salt keeps those of a large source from meeting in one task.
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(quoted(index)), F.lit(SALTS)))
+    part = _first_rows(salted, n, [*group, "__salt"], index)
+    return _first_rows(part, n, group, index).select(*_cols(df.columns))
 
 
 def in_read_order(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -502,9 +502,10 @@ def best_match_exact(spark, folder):
 
 @query("best_match_long_list", BEST_MATCH_SQL)
 def best_match_long_list(spark, folder):
-    """The form for lists beyond the size that travels inside expressions."""
-    reqs = M.parse_requirements(T.requirements(spark, folder))
-    return M.best_match(_candidates(spark, folder), "major", reqs, threshold=0.92, similarity="none", short_list=8)
+    """Requirements in several files, whose line numbers repeat, and the search that long lists take."""
+    lines = T.requirements(spark, folder).withColumn("_source_file", F.format_string("%06d", F.expr("_row_idx div 8")))
+    reqs = M.parse_requirements(lines.withColumn("_row_idx", F.col("_row_idx") % 8))
+    return M.best_match(_candidates(spark, folder), "major", reqs, threshold=0.92, similarity="none", plain_list=0)
 
 
 @query("best_match_full", f"""with recursive {PARSED_SQL}, v as (select p_partkey, {T.NAME_OR_MAJOR_SQL} as major from part),
@@ -848,12 +849,12 @@ def stream_screen(spark, folder):
 
 
 @query("job_append_by_source", """select o_orderkey, o_orderstatus as _source from (select *, row_number() over
-    (partition by o_orderstatus, o_custkey order by o_orderkey >= 30000, o_orderkey) as r from orders where o_totalprice >= 200000.25) where r = 1""")
+    (partition by o_orderstatus, o_custkey order by o_orderpriority >= '3', o_orderkey) as r from orders where o_totalprice >= 200000.25) where r = 1""")
 def job_append_by_source(spark, folder):
     """Two runs into one result: the second brings only customers that their source does not have."""
-    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     out, rules = scratch_path(spark, "job"), [("o_totalprice", "number", "min", "200000.25")]
-    for part in (rows.filter("o_orderkey < 30000"), rows.filter("o_orderkey >= 30000")):
+    for part in (rows.filter("o_orderpriority < '3'"), rows.filter("not o_orderpriority < '3'")):
         jobs.screen_files(spark, _as_files(spark, part.coalesce(1).sortWithinPartitions("o_orderkey"), "o_orderstatus"), rules, out, key="o_custkey", append=True)
     return K.read_by_source(spark, f"{out}/by_source").select(F.col("o_orderkey").cast("long"), F.col(K.OUTPUT).cast("string"))
 

@@ -37,13 +37,14 @@ TEXTS = ["信息资源管理（120503）", "信息资源管理", "信息资源",
          "。。。", "数学", "智能体育", "体育智能工程", "Software", "工程软件", "12050"]
 
 
-@pytest.mark.parametrize("short_list", [500, 3])
+@pytest.mark.parametrize("block_bytes", [M.BLOCK_BYTES, 100])
 @pytest.mark.parametrize("threshold", [0.0, 0.8, 0.92])
-def test_against_plain(spark, lines, short_list, threshold):
+def test_against_plain(spark, lines, monkeypatch, block_bytes, threshold):
+    monkeypatch.setattr(M, "BLOCK_BYTES", block_bytes)
     reqs = M.parse_requirements(lines)
     listed = [(r["name"], r["code"]) for r in reqs.orderBy("req_idx").collect()]
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, major string")
-    found = matched(M.best_match(df, "major", reqs, threshold, short_list=short_list))
+    found = matched(M.best_match(df, "major", reqs, threshold))
     for i, text in enumerate(TEXTS):
         hit, name, code, score = plain.best(text, listed, threshold)
         assert found[i] == (hit, name, code, pytest.approx(score, abs=5.1e-5)), text
@@ -63,11 +64,8 @@ def test_near_name_beats_equal_name(spark):
     assert hit[1] == long[:-1] + "x" and hit[3] == pytest.approx(2 * 56 / 114, abs=1e-4)
 
 
-@pytest.mark.parametrize("broadcast_bytes", [M.BROADCAST_BYTES, 0])
-def test_long_list_against_plain(spark, monkeypatch, broadcast_bytes):
-    """Blocks, salts and the join back, with one value that holds a third of all rows."""
-    monkeypatch.setattr(M, "BLOCK_SIZE", 7)
-    monkeypatch.setattr(M, "BROADCAST_BYTES", broadcast_bytes)
+def test_list_in_blocks_against_plain(spark, monkeypatch):
+    """A list cut into blocks gives what the whole list gives; one value holds a third of all rows."""
     rng = random.Random(11)
     names = list(dict.fromkeys("".join(rng.choice("信息工程管理科学ab") for _ in range(rng.randint(1, 6))) for _ in range(80)))
     reqs = [(n, n, f"{i:04d}" if i % 3 == 0 else "", i) for i, n in enumerate(names)]
@@ -75,13 +73,37 @@ def test_long_list_against_plain(spark, monkeypatch, broadcast_bytes):
     texts += [f"x{i:04d}" for i in range(0, 30, 3)] + ["信息工程"] * 40 + [None, None, ""]
     frame = spark.createDataFrame(reqs, "name string, norm string, code string, req_idx long")
     df = spark.createDataFrame(list(enumerate(texts)), "id int, major string")
-    found = matched(M.best_match(df, "major", frame, 0.5, short_list=10))
+    whole = matched(M.best_match(df, "major", frame, 0.5))
+    monkeypatch.setattr(M, "BLOCK_BYTES", 700)
+    found = matched(M.best_match(df, "major", frame, 0.5))
     assert len(found) == len(texts)
     listed = [(n, c) for n, _, c, _ in reqs]
     for i, text in enumerate(texts):
         hit, name, code, score = plain.best(text, listed, 0.5)
         assert found[i] == (hit, name, code, pytest.approx(score, abs=5.1e-5)), text
-    assert found == matched(M.best_match(df, "major", frame, 0.5))
+    assert found == whole
+    exact = matched(M.best_match(df, "major", frame, 0.5, similarity="none"))
+    monkeypatch.setattr(M, "BLOCK_BYTES", 1 << 20)
+    for most in (500, 10):
+        monkeypatch.setattr(M, "PLAIN_LIST", most)
+        assert matched(M.best_match(df, "major", frame, 0.5, similarity="none")) == exact
+
+
+@pytest.mark.parametrize("similarity", ["sequence", "none"])
+@pytest.mark.parametrize("plain_list", [500, 1])
+def test_requirements_in_two_files(spark, monkeypatch, tmp_path, similarity, plain_list):
+    """Line numbers repeat from file to file; each line stays a requirement of its own."""
+    from ruleloom.sources.lines import read_mixed_lines
+
+    monkeypatch.setattr(M, "PLAIN_LIST", plain_list)
+    for name, text in (("1.txt", "oak\npine（1111）\n"), ("2.txt", "ash\nelm（2222）\noak\n")):
+        (tmp_path / name).write_text(text)
+    reqs = M.parse_requirements(read_mixed_lines(spark, [str(tmp_path)]))
+    assert [(r["req_idx"], r["name"]) for r in reqs.orderBy("req_idx").collect()] == [(0, "oak"), (1, "pine"), (2, "ash"), (3, "elm")]
+    df = spark.createDataFrame([(0, "ash"), (1, "x 2222"), (2, "oak"), (3, None), (4, "ash")], "id int, major string")
+    found = M.best_match(df, "major", reqs, 0.9, similarity=similarity)
+    assert found.count() == 5
+    assert {i: r[1] for i, r in matched(found).items()} == {0: "ash", 1: "elm", 2: "oak", 3: "", 4: "ash"}
 
 
 def test_errors(spark, lines):

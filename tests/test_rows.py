@@ -60,27 +60,34 @@ def test_append_old_rows_win(spark):
     assert found == [("a", 5, "old", None), ("b", 7, "old", None), ("c", 1, None, 3.0)]
 
 
-@pytest.mark.parametrize("block", [1, 64, 1 << 17])
-def test_positions_per_source(skewed, block):
-    found = O.with_position(skewed, ["idx"], group=["src"], block_rows=block).collect()
+def test_positions_per_source(skewed):
+    found = O.with_position(skewed, ["idx"], group=["src"]).collect()
     assert len(found) == 800
     for source in ("big", "small", None):
         mine = sorted((r["idx"], r["_position"]) for r in found if r["src"] == source)
         assert [p for _, p in mine] == list(range(1, len(mine) + 1))
 
 
-@pytest.mark.parametrize("block", [16, 1 << 17])
-def test_positions_over_all(skewed, block):
-    found = sorted((r["_position"], r["src"] or "", r["idx"]) for r in O.with_position(skewed, ["src", "idx"], block_rows=block).collect())
+def test_positions_over_all(skewed):
+    found = sorted((r["_position"], r["src"] or "", r["idx"]) for r in O.with_position(skewed, ["src", "idx"]).collect())
     assert [p for p, _, _ in found] == list(range(1, 801))
     assert [(s, i) for _, s, i in found] == sorted((s, i) for _, s, i in found)
 
 
+@pytest.mark.parametrize("window_limit", [0, 1000])
+def test_null_index_is_a_row(spark, monkeypatch, window_limit):
+    monkeypatch.setattr(O, "WINDOW_LIMIT", window_limit)
+    df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), (None, 3, 3)], "src string, idx long, v int")
+    assert sorted(r["v"] for r in O.limit_per_source(df, 5, ["src"], "idx").collect()) == [1, 2, 3]
+    assert sorted(r["v"] for r in O.limit_per_source(df, 1, ["src"], "idx").collect()) == [1, 3]
+    assert sorted((r["_position"], r["v"]) for r in O.with_position(df, ["idx"], ["src"]).collect()) == [(1, 1), (1, 3), (2, 2)]
+
+
 @pytest.mark.parametrize("n", [1, 50, 500])
 @pytest.mark.parametrize("window_limit", [0, 1000])
 def test_limit_per_source(skewed, monkeypatch, n, window_limit):
     monkeypatch.setattr(O, "WINDOW_LIMIT", window_limit)
-    found = O.limit_per_source(skewed, n, ["src"], "idx", block_rows=128).collect()
+    found = O.limit_per_source(skewed, n, ["src"], "idx").collect()
     rows = [(r["src"], r["idx"]) for r in skewed.collect()]
     for source in ("big", "small", None):
         expected = sorted(i for s, i in rows if s == source)[:n]
