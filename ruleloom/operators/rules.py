@@ -18,7 +18,7 @@ from ruleloom.functions import params as P
 from ruleloom.functions import text as X
 from ruleloom.schema import DIAGNOSTIC_SCHEMA, RULE_COLUMNS
 
-MAX_RULES = 5000  # the documented limit for users is 500
+MAX_RULES = 5000  # rules travel inside expressions; a longer table is refused, not cut (the documented limit for users is 500)
 
 # The rule types and the operators of each.
 OPERATORS = {
@@ -139,8 +139,9 @@ def _problem(row) -> str | None:
     return None
 
 
-def compile_rules(rules: DataFrame) -> RuleSet:
-    """Check and type a rule table."""
+def compile_rules(rules: DataFrame, max_rules: int | None = None) -> RuleSet:
+    """Check and type a rule table; one of more than ``max_rules`` is an error."""
+    most = MAX_RULES if max_rules is None else max_rules
     spark = rules.sparkSession
     value, opts = F.col("value"), F.col("opts")
     typed = clean_rules(rules).withColumn("opts", P.parse_options("options"))
@@ -174,9 +175,9 @@ def compile_rules(rules: DataFrame) -> RuleSet:
         X.digits_only(value).alias("digits"),
         X.extract_code(value).alias("code"),
     )
-    rows = typed.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table holds at most {MAX_RULES} rules")
+    rows = typed.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a rule table holds at most {most} rules")
     out = []
     for i, row in enumerate(rows, start=1):
         problem, notes = _problem(row), []

@@ -654,6 +654,26 @@ def pairs_by_dataset(spark, folder):
     return B.dataset_named(_named_pairs(spark, folder), "long")
 
 
+@query("pairs_json", f"select zh, en from ({PAIRS_SQL}) where zh <> '' and en <> '' and turn % 3 <> 0")
+def pairs_json(spark, folder):
+    """Pairs through JSON; some rows are written with a number or nothing for a side, which is no text."""
+    path = scratch_path(spark, "pairs")
+    sides = _pairs(spark, folder).select("turn", "zh", "en")
+    odd = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct("turn", F.col("turn").alias("zh"), "en"))).otherwise(F.to_json(F.struct("zh", "en")))
+    sides.select(odd.alias("value")).write.text(path)
+    return BP.read_pairs_json(spark, path, array_file=False)
+
+
+@query("job_merge_only", """select o_orderkey from (select *, row_number() over (partition by o_custkey order by o_orderstatus, o_orderkey) as r
+    from orders where o_totalprice >= 250000) where r = 1""")
+def job_merge_only(spark, folder):
+    """A job that writes the merged result alone."""
+    rows = table(spark, folder, "orders").coalesce(1).sortWithinPartitions("o_orderkey")
+    out = scratch_path(spark, "job")
+    jobs.screen_files(spark, _as_files(spark, rows, "o_orderstatus"), [("o_totalprice", "number", "min", "250000")], out, key="o_custkey", merge_only=True)
+    return K.read_result(spark, f"{out}/merged").select(F.col("o_orderkey").cast("long"))
+
+
 @query("sample_pairs", f"""select dataset, zh, en from (select case when length(zh) > 200 then 'long' else 'short' end as dataset, zh, en
     from ({PAIRS_SQL}) where zh <> '' and en <> '') order by md5(concat_ws(chr(10), '7', dataset, zh, en)) limit 3""")
 def sample_pairs(spark, folder):

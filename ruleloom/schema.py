@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # The columns of a rule table, in order.
 RULE_COLUMNS = ("column", "type", "operator", "value", "threshold", "priority", "weight", "options")
 
-RULE_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RULE_COLUMNS])
-
 DIAGNOSTIC_SCHEMA = "rule_id int, column string, type string, operator string, value string, problem string"
 
-PAIR_SCHEMA = T.StructType([T.StructField("zh", T.StringType()), T.StructField("en", T.StringType())])
-
 # Provenance columns that every table source adds.
 SOURCE, SHEET, ROW = "_source_file", "_sheet", "_row_idx"
 

@@ -22,9 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or _unset_folder()).rstrip("/")
 
 
+@cache
+def _scratch_folder(spark: SparkSession, folder: str, application: str) -> str:
+    """The application's own folder; it is removed when the application ends."""
+    path = f"{folder}/ruleloom/{application}"
+    fs, hadoop_path = _file_system(spark, path)
+    fs.mkdirs(hadoop_path)
+    fs.deleteOnExit(hadoop_path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/ruleloom/{name}-{uuid.uuid4().hex}"
+    folder = _scratch_folder(spark, shared_folder(spark), spark.sparkContext.applicationId)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.functions import text as X
 from ruleloom.operators.pairs import complete_pairs, pair_lines
-from ruleloom.schema import PAIR_SCHEMA, ROW, SOURCE
+from ruleloom.schema import ROW, SOURCE
 from ruleloom.session import path_exists
 from ruleloom.sources.lines import read_lines
 
 
+def _side(item: Column, name: str) -> Column:
+    """A side of a pair if it is a text; numbers, lists and the like are none."""
+    value = F.try_variant_get(item, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(item, f"$.{name}", "string")).alias(name)
+
+
 def read_pairs_json(spark: SparkSession, path: str, array_file: bool = True) -> DataFrame:
     """Pairs from JSON: whole files that hold one array, or (``array_file=False``) one object per line."""
-    return complete_pairs(spark.read.json(path, schema=PAIR_SCHEMA, multiLine=array_file))
+    raw = spark.read.text(path, wholetext=array_file)
+    item = F.explode(F.from_json("value", "array<variant>")) if array_file else F.try_parse_json("value")
+    items = raw.select(item.alias("item"))
+    return complete_pairs(items.select(_side(F.col("item"), "zh"), _side(F.col("item"), "en")))
 
 
 def read_pairs_markdown(spark: SparkSession, path: str, skip_numbering: bool = False) -> DataFrame:
@@ -22,8 +31,9 @@ def read_pairs_markdown(spark: SparkSession, path: str, skip_numbering: bool = F
 
 
 def read_datasets(spark: SparkSession, root: str) -> DataFrame:
-    """All data sets below a folder, with their name in ``dataset``."""
-    return spark.read.json(root, schema="zh string, en string, dataset string")
+    """All data sets below a folder, with their name in ``dataset``; sides that are no text are null."""
+    items = spark.read.schema("value string, dataset string").text(root).select(F.try_parse_json("value").alias("item"), "dataset")
+    return items.select(_side(F.col("item"), "zh"), _side(F.col("item"), "en"), "dataset")
 
 
 def dataset_names(spark: SparkSession, root: str) -> list[str]:

@@ -138,8 +138,9 @@ def test_lines_of_any_encoding(spark, tmp_path):
 
 def test_pair_files(spark, tmp_path):
     path = put(tmp_path / "p.json", '[{"zh": "你好", "en": "hello"}, {"zh": "", "en": "x"}, {"zh": "a"}, {"zh": 5, "en": "y", "z": 1}]')
-    found = sorted(map(tuple, BP.read_pairs_json(spark, path).collect()))
-    assert ("你好", "hello") in found and all(zh and en for zh, en in found)
+    assert [tuple(r) for r in BP.read_pairs_json(spark, path).collect()] == [("你好", "hello")]
+    path = put(tmp_path / "q.json", '[{"zh": ["a"], "en": "y"}, 7, "s", null, {"en": "b", "zh": "一"}]')
+    assert [tuple(r) for r in BP.read_pairs_json(spark, path).collect()] == [("一", "b")]
     path = put(tmp_path / "p.md", "你好\n世界\n\nhello world\n\n再见\nbye\n多余\n")
     pairs = BP.read_pairs_markdown(spark, path).orderBy("pair_idx").collect()
     assert [(r["zh"], r["en"]) for r in pairs] == [("你好世界", "hello world"), ("再见", "bye")]
