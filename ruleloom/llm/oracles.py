@@ -47,4 +47,18 @@ OP2 = """with d as (select doc_id, case when text is null then [] else string_sp
    sha256(array_to_string(list_filter(range(n_lines), lambda x: not list_contains(c, x) and not list_contains(r, x)), ',')) as kept_sha256
  from f"""
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op3_minhash": OP3}
+OP8 = """with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+ w as (select doc_id, s, md5(b[s + 1 : s + 400]) as m
+       from (select doc_id, b, unnest(range(0, octet_length(b) - 399)) as s from d where octet_length(b) >= 400)),
+ twice as (select m from w group by m having count(*) > 1),
+ hit as (select doc_id, s, s - lag(s) over (partition by doc_id order by s) as step from w semi join twice using (m)),
+ runs as (select doc_id, min(s) as lo, max(s) + 400 as hi
+          from (select *, sum(case when step <= 400 then 0 else 1 end) over (partition by doc_id order by s) as run from hit) group by doc_id, run),
+ cuts as (select *, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as before from runs),
+ kept as (select doc_id, count(*) as n, sum(hi - lo) as removed, max(hi) as last, string_agg(hex(b[before + 1 : lo]), '' order by lo) as x
+          from cuts join d using (doc_id) group by doc_id)
+ select doc_id, octet_length(b) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(n, 0) as n_spans,
+   sha256(case when n is null then b else unhex(x || hex(b[last + 1 : octet_length(b)])) end) as kept_sha256
+ from d left join kept using (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op3_minhash": OP3, "op8_suffix_dedup": OP8}
