@@ -27,7 +27,7 @@ from ruleloom.llm.common import column, spaced_words, text_key, wrapped
 from ruleloom.session import staged
 
 MIN_WORDS = 8
-BROADCAST_ROWS = 1_000_000  # lines of fixed-size numbers; more meet the texts by a shuffle
+BROADCAST_BYTES = 16 << 20  # places of lines up to which they go to the texts; more meet them by a shuffle
 STEP = 32  # words folded at a time in the running xor
 
 
@@ -105,7 +105,8 @@ def _partnered(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Dat
     likely = staged(kinds.join(likely, "line", "left_semi").select("line", "n", "first"), "likely")
     place = likely.select("line", "n", F.col("first.id").alias("at_id"), F.col("first.key").alias("at_key"), F.col("first.line_no").alias("at_no"))
     rows = docs.select(column(doc_id).alias("id"), text_key(column(text)).alias("key"), column(text).cast("string").alias("text"))
-    if place.count() <= BROADCAST_ROWS:
+    size = place.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("at_id").cast("string")), F.lit(0)) + 36), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
         lines = rows.select("id", "key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "content"))
         there = lines["id"].eqNullSafe(place["at_id"]) & (lines["key"] == place["at_key"]) & (lines["line_no"] == place["at_no"])
         found = lines.join(F.broadcast(place), there).select("line", "n", "at_id", "at_key", "at_no", "content")

@@ -88,7 +88,7 @@ def test_lines_by_a_shuffle(documents, by_id, monkeypatch):
         words[rng.randrange(len(words))] = f"new{rng.randrange(3)}"
         texts.append("\n".join([" ".join(words), rng.choice(lines)]))
     found = by_id(line_dedup.report(documents(texts)))
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
     assert by_id(line_dedup.report(documents(texts))) == found
 
     def near(a, b):
