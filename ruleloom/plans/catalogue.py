@@ -939,10 +939,14 @@ def rule_diagnostics(spark, folder):
     return found.join(orders.limit(1).select(F.lit(1).alias("there"))).drop("there")
 
 
-@query("stream_append", """select event_id, user_id, event_type from (select *, row_number() over (partition by user_id order by event_id) as r
+@query("stream_append", """select event_id, user_id, event_type from (select *, row_number() over (partition by user_id order by event_type, event_id) as r
     from events) where r = 1""")
 def stream_append(spark, folder):
+    """A file per type of event, read one by one: keys of earlier batches keep their rows."""
     path = scratch_path(spark, "stream")
-    stream = _event_stream(spark, folder).select("event_id", "user_id", "event_type")
-    append_stream(stream, f"{path}/out", f"{path}/checkpoint", ["event_id"], key="user_id").awaitTermination()
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    for kind in _values(events, "event_type"):
+        K.write_table(events.filter(F.col("event_type") == kind).coalesce(1), f"{path}/in", mode="append")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        append_stream(stream, f"{path}/out", f"{path}/checkpoint", ["event_id"], key="user_id").awaitTermination()
     return K.read_batches(spark, f"{path}/out").drop(K.BATCH)

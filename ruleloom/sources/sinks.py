@@ -21,7 +21,8 @@ log = logging.getLogger(__name__)
 BATCH = "_batch"
 OUTPUT, NUMBER = "_source", "_source_no"
 BROADCAST_FILES = 100_000  # names of files, a few hundred bytes each
-BROADCAST_KEYS = 500_000  # keys of one batch up to which they are broadcast to the old result
+PART, PARTS = "_part", 64  # appended rows lie by the hash of their key, so that a batch reads the parts it has keys of
+BROADCAST_BYTES = 32 << 20  # keys of one batch, as text, up to which they are broadcast to the old result
 FORMATS = ("parquet", "csv", "json", "orc")
 
 
@@ -167,20 +168,25 @@ def append_batch(
     """Write the rows of one batch whose key no earlier batch has written; nothing older is rewritten.
 
     A batch owns one folder and overwrites it, so a batch that is run again after a loss leaves the same rows.
-    Only the keys of earlier batches are read, and they are first cut down to the keys of this batch.
+    Of earlier batches only the keys are read, only in the parts that this batch has keys of, and they are first cut
+    down to the keys of this batch.
     """
     spark = batch.sparkSession
-    fresh = dedup(batch, order_by, key, column).persist()
+    hashed = F.pmod(F.xxhash64(*dedup_keys(batch, key, column)), F.lit(PARTS)).cast("int")
+    fresh = dedup(batch, order_by, key, column).withColumn(PART, hashed).persist()
     rows = fresh
-    if any(n < batch_id for n in _batches(spark, path)):
-        old = read_batches(spark, path).filter(F.col(BATCH) < batch_id)
+    old = _read_batches(spark, path)
+    if old is not None:
+        parts = [r[0] for r in fresh.select(PART).distinct().collect()]  # PARTS numbers at most
+        old = old.filter((F.col(BATCH) < batch_id) & F.col(PART).isin(parts))
         keyed = fresh.withColumn("__key", F.struct(*dedup_keys(fresh, key, column)))
         batch_keys = keyed.select("__key")
-        if fresh.count() <= BROADCAST_KEYS:
+        size = batch_keys.agg(F.sum(F.octet_length(F.to_json("__key")))).first()[0] or 0
+        if size <= BROADCAST_BYTES:
             batch_keys = F.broadcast(batch_keys)
         known = old.select(F.struct(*dedup_keys(old, key, column)).alias("__key")).join(batch_keys, "__key", "left_semi")
         rows = keyed.join(known.distinct(), "__key", "left_anti").drop("__key")
-    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    rows.write.mode("overwrite").partitionBy(PART).parquet(f"{path}/{BATCH}={batch_id}")
     fresh.unpersist()
 
 
@@ -190,9 +196,18 @@ def _batches(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in names if path_exists(spark, f"{path}/{n}/_SUCCESS"))
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
+def _read_batches(spark: SparkSession, path: str) -> DataFrame | None:
+    """All finished batches; one without rows has no files. None if no batch has any."""
     done = [f"{path}/{BATCH}={n}" for n in _batches(spark, path)]
-    return spark.read.option("basePath", path).parquet(*done)
+    done = [d for d in done if data_files(spark, d)]
+    return spark.read.option("basePath", path).parquet(*done) if done else None
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    batches = _read_batches(spark, path)
+    if batches is None:
+        raise FileNotFoundError(f"no row has been appended below {path}")
+    return batches.drop(PART)
 
 
 def append_increment(

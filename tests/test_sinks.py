@@ -211,11 +211,21 @@ def test_batch_can_be_run_again(spark, tmp_path):
     assert sorted(r["v"] for r in spark.read.parquet(out).collect()) == [1.0, 3.0]
 
 
+def test_empty_batches(spark, tmp_path):
+    out, none = str(tmp_path / "out"), spark.createDataFrame([], SCHEMA)
+    K.append_increment(none, out, ["i"], key="k")
+    with pytest.raises(FileNotFoundError):
+        K.read_batches(spark, out)
+    K.append_increment(spark.createDataFrame([("a", 1, 1.0)], SCHEMA), out, ["i"], key="k")
+    K.append_increment(none, out, ["i"], key="k")
+    assert [(r["k"], r["_batch"]) for r in K.read_batches(spark, out).collect()] == [("a", 1)]
+
+
 def test_append_increment(spark, tmp_path, monkeypatch):
     out = str(tmp_path / "out")
     parts = [[("a", 2, 1.0), ("a", 1, 2.0)], [("a", 0, 3.0), (None, 1, 4.0)], [(None, 0, 5.0), ("b", 1, 6.0)]]
     for limit, rows in zip((500_000, 0, 0), parts):
-        monkeypatch.setattr(K, "BROADCAST_KEYS", limit)
+        monkeypatch.setattr(K, "BROADCAST_BYTES", limit)
         K.append_increment(spark.createDataFrame(rows, SCHEMA), out, ["i"], key="k")
         broken = tmp_path / "out" / "_batch=9"  # a batch that broke off is neither read nor counted
         broken.mkdir(exist_ok=True)
