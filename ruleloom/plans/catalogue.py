@@ -389,7 +389,7 @@ def screen_rule_table(spark, folder):
     return S.screen(_with_major(spark, folder), T.rule_table(spark, folder), similarity="contains")
 
 
-@query("screen_rule_table_fuzzy", f"""with recursive m as (select p_partkey, p_brand, {T.MAJOR_SQL} as major, {T.strict_sql(T.MAJOR_SQL)} as n,
+RULE_TABLE_SQL = f"""with recursive m as (select p_partkey, p_brand, {T.MAJOR_SQL} as major, {T.strict_sql(T.MAJOR_SQL)} as n,
       lpad(cast(p_partkey as varchar), 6, '0') as code, regexp_matches(p_brand, '#1[0-9]$') as branded from part),
     q as (select {T.strict_sql("p_name")} as t, min(p_partkey) as k from part group by p_name),
     {T.block_ratio_sql("select distinct n, t from m, q")},
@@ -397,11 +397,24 @@ def screen_rule_table(spark, folder):
       from m cross join q join ratio on ratio.a = m.n and ratio.b = q.t group by p_partkey)
     select m.p_partkey, p_brand, major, x.best >= 0.8::double or coded or branded as _match_all,
       round_even(x.total + case when coded then 1.0::double else 0 end + case when branded then 0.5::double else 0 end, 4) as _score_all
-    from m join x on m.p_partkey = x.p_partkey""")
+    from m join x on m.p_partkey = x.p_partkey"""
+
+
+@query("screen_rule_table_fuzzy", RULE_TABLE_SQL)
 def screen_rule_table_fuzzy(spark, folder):
     return S.screen(_with_major(spark, folder), T.rule_table(spark, folder), similarity="sequence")
 
 
+@query("screen_lineitem_rules", f"""select l_orderkey, l_linenumber, _match_all, _score_all from lineitem
+    join ({RULE_TABLE_SQL}) on p_partkey = l_partkey""")
+def screen_lineitem_rules(spark, folder):
+    """The largest table by the whole rule table; rows of a part lie together, so that a task scores its text once."""
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_partkey")
+    rows = items.join(_with_major(spark, folder), F.col("l_partkey") == F.col("p_partkey"))
+    found = S.screen(rows, T.rule_table(spark, folder), similarity="sequence")
+    return found.select("l_orderkey", "l_linenumber", "_match_all", "_score_all")
+
+
 # ---------------------------------------------------------------- audit, long form
 
 AUDIT_DESC = ["o_orderstatus:enum/in=F; O", "o_totalprice:number/between=100000-300000", "o_orderpriority:contains_any(2)"]
