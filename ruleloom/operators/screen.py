@@ -28,6 +28,7 @@ MODES = ("AND", "OR", "WEIGHTED")
 SIMILARITIES = ("sequence", "token_set", "contains")
 CHAINED_SUM = 100  # longer sums are written as one array fold, to keep expression trees shallow
 WORDS = 64  # keywords tested in one projected column; more of them stand in further columns
+BROADCAST_BYTES = 32 << 20  # values of set rules up to which they are broadcast
 SLACK = 1e-9  # rounding allowance where a bound decides which rows need no similarity
 WHOLE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}  # bits
 MATCH, SCORE = "_match_all", "_score_all"
@@ -499,7 +500,7 @@ def hits_long(df: DataFrame, rules, keys: Sequence[str], **settings) -> DataFram
 
     Rules that neither hit nor score are left out; a table row without any gives one row of nulls.
     Set rules (text equality, enum, code) are found by an equi-join of the row's values with the rules' values,
-    which does not grow with the number of rules. The rules' side is bounded by the rule limit, hence broadcast.
+    which does not grow with the number of rules. The rules' side is broadcast up to a measured size.
     """
     s = plan_screening(df, rules, audit=True, **settings)
     null = F.lit(None)
@@ -529,8 +530,10 @@ def hits_long(df: DataFrame, rules, keys: Sequence[str], **settings) -> DataFram
     columns = {"__group": pa.int32(), "__value": pa.string(), "__rule": pa.int32(), "__weight": pa.float64()}
     arrays = [pa.array([r[i] for r in rule_rows], t) for i, t in enumerate(columns.values())]
     lookup = df.sparkSession.createDataFrame(pa.table(arrays, names=list(columns)))
+    size = sum(len(r[1].encode()) + 32 for r in rule_rows)
+    lookup = F.broadcast(lookup) if size <= BROADCAST_BYTES else lookup
     found = F.col("__rule").isNotNull()
-    return long.join(F.broadcast(lookup), ["__group", "__value"], "left").select(
+    return long.join(lookup, ["__group", "__value"], "left").select(
         *key_cols,
         F.coalesce("__rule", "rule_id").alias("rule_id"),
         (found | F.col("hit")).alias("hit"),
