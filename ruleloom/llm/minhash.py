@@ -5,9 +5,10 @@ the least of a bin is its value, and an empty bin takes that of the first filled
 own. ``BANDS`` bands of ``ROWS`` bins are the buckets. Equal sets are folded into one node before anything is paired.
 
 Candidates are stars: each member of a bucket meets one centre, not each other. Links are confirmed on the full sets,
-and joined to components. Where a bucket still spans several components, further centres are drawn, four times as many
-each round, and meet the members of other components, until all pairs that could join two components are settled. So
-no pair of a bucket is lost, while a group of near copies costs one pair a member.
+and joined to components. Where a bucket still spans several components, further centres are drawn, eight times as many
+each round, and meet the members of other components whose size and shared shingles allow a link, until all pairs that
+could join two components are settled. So no link of a bucket is lost, while a group of near copies costs about one
+pair a member.
 
 At a similarity of 0.85 a pair shares no bucket with a probability of (1 - 0.85**5)**25, less than one in a million.
 
@@ -38,7 +39,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 BINS, BANDS, ROWS = 128, 25, 5
 SIMILAR, OF = 85, 100  # linked from SIMILAR/OF on
-FIRST_CENTRES = 8
+FIRST_CENTRES = 32
+BROADCAST_LINKS = 1_000_000  # pairs of numbers, 16 MB
 _rng = np.random.default_rng(7)
 TOURS = np.array([_rng.permutation(BINS) for _ in range(BINS)])
 ROW_FACTORS = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
@@ -114,22 +116,32 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(_signed(id_type), schema)
 
 
+def _small(rows: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(rows) if few else rows
+
+
+def _stars(edges: DataFrame, few: bool) -> DataFrame:
+    """One large star and one small star: all neighbours of a node move to its least one."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.filter("v > u").join(_small(least, few), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    hops = large.join(_small(least, few), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hops.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Links ``a, b`` to ``node, root``, the least node reachable, by alternating large and small stars."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges, before = staged(edges, name), None
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), name)
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        hops = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = staged(hops.filter("u != v").distinct(), name)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        # Few links are numbers of a known size, and are broadcast; more of them are joined by shuffles.
+        few = edges.count() <= BROADCAST_LINKS
+        parents = _small(edges.select(F.col("v").alias("u")).distinct(), few)
+        hanging = edges.join(parents, "u", "left_semi").select("u")
+        twice = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        if hanging.unionByName(twice).isEmpty():  # each node has one parent, and no parent has one
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        edges = staged(_stars(edges, few), name)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,18 +154,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.filter(OF * common >= SIMILAR * union).select("a", "b")
 
 
+def _shared_sizes(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, common``: how many of a node's shingles occur in any other of these nodes.
+
+    No pair of them can have more in common, which settles most pairs before they are formed: of two copies with
+    edits of their own, each has shingles that nobody shares.
+    """
+    parts = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    kept = parts.groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("n")).filter("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = rest.select("node", "n").distinct()
+    return sizes.join(kept, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row ``id, key, n, component``: the least id of the rows it is linked with, directly or not."""
     rows = staged(signatures(docs, doc_id, text), "signatures")
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"))
     one = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
     buckets = one.select("node", "n", F.posexplode("bands").alias("band", "hash"))
-    buckets = buckets.select("node", "n", F.xxhash64("band", "hash").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).filter("size > 1")
-    members = staged(buckets.join(shared, "bucket").select("bucket", "node", "n", "centre"), "members")
+    buckets = buckets.select("node", "n", "band", F.xxhash64("band", "hash").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = staged(buckets.join(shared, "bucket"), "members")
 
     # Only nodes that share a bucket need their full set; one text of each is read again.
     wanted = members.select("node").distinct()
+    banded = staged(one.join(wanted, "node", "left_semi").select("node", "bands"), "banded")
     chosen = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "key")).alias("row"))
     chosen = chosen.select("node", F.col("row.id").alias("row_id"), F.col("row.key").alias("row_key"))
     texts = docs.select(column(doc_id).alias("id"), text_key(column(text)).alias("key"), column(text).cast("string").alias("text"))
@@ -161,31 +186,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = texts.join(chosen, same).select("node", "text")
     sets = staged(texts.mapInArrow(_node_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-    sized = members.select(F.col("node").alias("centre"), F.col("n").alias("centre_n")).distinct()
+    # The centre of a bucket is the member that meets most others: of a text and its copies, most likely the text.
+    meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
+    middle = members.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node", "n")).alias("c"))
+    members = staged(members.join(middle.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "bucket"), "members")
     near = (OF * F.least("n", "centre_n") >= SIMILAR * F.greatest("n", "centre_n")) & (F.col("node") != F.col("centre"))
-    stars = members.select("node", "n", "centre").distinct().join(sized, "centre").filter(near)
-    links = staged(_confirmed(stars.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets), "links")
+    stars = members.filter(near).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = staged(_confirmed(stars, sets), "links")
     roots = components(links)
-    rest = members.filter("node != centre").drop("centre")
+    rest = members.filter("node != centre").select("bucket", "band", "node", "n")
     centres = FIRST_CENTRES
     while True:
         rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_buckets = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-        rest = rest.join(open_buckets.filter("low < high").select("bucket", "size"), "bucket")
         slices = F.ceil(F.col("size") / centres)
+        rest = rest.join(open_buckets.filter("low < high").select("bucket", "size"), "bucket")
         rest = staged(rest.withColumn("is_centre", F.pmod(F.xxhash64("node", "bucket", F.lit(centres)), slices) == 0), "rest")
         if rest.isEmpty():
             break
-        drawn = rest.filter("is_centre").select("bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-        near = (F.col("root") != F.col("ar")) & (OF * F.least("n", "an") >= SIMILAR * F.greatest("n", "an"))
-        # Of two centres the smaller asks, so that a pair is tried once.
+        for _ in range(2):  # what the first pass drops makes more shingles unshared
+            sizes = _shared_sizes(rest, sets)
+            rest = rest.drop("common").join(sizes, "node").filter(OF * F.col("common") >= SIMILAR * F.col("n"))
+        rest = staged(rest.join(banded, "node"), "rest")
+        drawn = rest.filter("is_centre").select(
+            "bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("common").alias("ac"), F.col("bands").alias("ab")
+        )
+        most = F.least("common", "ac")
+        near = (F.col("root") != F.col("ar")) & (OF * most >= SIMILAR * (F.col("n") + F.col("an") - most))
+        # Of two centres the smaller asks, and of the buckets that two nodes share the first, so that a pair is tried once.
         near = near & (~F.col("is_centre") | (F.col("node") > F.col("a")))
-        pairs = rest.join(drawn, "bucket").filter(near).select("a", F.col("node").alias("b")).distinct()
+        first_shared = F.array_position(F.zip_with("bands", "ab", lambda x, y: x == y), True) == F.col("band") + 1
+        pairs = rest.join(drawn, "bucket").filter(near & first_shared).select("a", F.col("node").alias("b")).distinct()
         found = staged(_confirmed(pairs, sets), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = components(links)
-        rest, centres = rest.filter("not is_centre").select("bucket", "node", "n"), centres * 4
+        rest, centres = rest.filter("not is_centre").select("bucket", "band", "node", "n"), centres * 8
 
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component"))
