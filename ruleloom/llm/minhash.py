@@ -39,7 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 BINS, BANDS, ROWS = 128, 25, 5
 SIMILAR, OF = 85, 100  # linked from SIMILAR/OF on
-FIRST_CENTRES = 32
+FIRST_CENTRES = 1024
 BROADCAST_LINKS = 1_000_000  # pairs of numbers, 16 MB
 _rng = np.random.default_rng(7)
 TOURS = np.array([_rng.permutation(BINS) for _ in range(BINS)])
