@@ -17,6 +17,9 @@ from ruleloom.llm.common import read_table
 from ruleloom.session import staged
 
 
+NEAR = 80  # hundredths of shingles that near copies share at least
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list accept."""
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
@@ -32,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_first_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, similar=NEAR)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

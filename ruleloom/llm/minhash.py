@@ -2,7 +2,8 @@
 
 A text is the set of its five-word shingles (64-bit hashes). One hash per shingle fills ``BINS`` bins by its upper bits,
 the least of a bin is its value, and an empty bin takes that of the first filled one on a fixed random tour of its
-own. ``BANDS`` bands of ``ROWS`` bins are the buckets. Equal sets are folded into one node before anything is paired.
+own. Bands of a few bins are the buckets (``BANDS``, ``ROWS``). Equal sets are folded into one node before anything is
+paired.
 
 Candidates are stars: each member of a bucket meets one centre, not each other. Links are confirmed on the full sets,
 and joined to components. Where a bucket still spans several components, further centres are drawn, eight times as many
@@ -10,7 +11,9 @@ each round, and meet the members of other components whose size and shared shing
 could join two components are settled. So no link of a bucket is lost, while a group of near copies costs about one
 pair a member.
 
-At a similarity of 0.85 a pair shares no bucket with a probability of (1 - 0.85**5)**25, less than one in a million.
+Linked are pairs from a similarity on that the caller gives in hundredths, ``SIMILAR`` unless told otherwise. A pair of
+0.85 shares no bucket with a probability of (1 - 0.85**5)**25; below that, bands are shorter and more, and a pair of 0.80
+shares none with (1 - 0.80**4)**32. Both are less than one in a million.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of fewer than five words
 is one shingle; repeated rows and equal texts are one component; the representative is the least id, null ids last;
@@ -38,7 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
 BINS, BANDS, ROWS = 128, 25, 5
-SIMILAR, OF = 85, 100  # linked from SIMILAR/OF on
+WIDE_BANDS, WIDE_ROWS = 32, 4  # for similarities below SIMILAR/OF
+SIMILAR, OF = 85, 100  # linked from SIMILAR/OF on, unless the caller gives another similarity
 FIRST_CENTRES = 1024
 BROADCAST_LINKS = 1_000_000  # pairs of numbers, 16 MB
 _rng = np.random.default_rng(7)
@@ -46,6 +50,7 @@ TOURS = np.array([_rng.permutation(BINS) for _ in range(BINS)])
 ROW_FACTORS = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 BAND_SEEDS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 SHINGLE_FACTORS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+BAND_SEEDS = np.concatenate([BAND_SEEDS, _rng.integers(1, 1 << 63, WIDE_BANDS - BANDS, dtype=np.uint64)])
 
 
 def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -60,7 +65,12 @@ def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(K.mix(total))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def layout(similar: int) -> tuple[int, int]:
+    """Bands, and bins of a band, that lose less than one in a million of the pairs as similar as that."""
+    return (BANDS, ROWS) if similar >= SIMILAR else (WIDE_BANDS, WIDE_ROWS)
+
+
+def signature(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Band hashes of a sorted set."""
     bins = (shingles >> np.uint64(57)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
@@ -69,8 +79,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     if len(first) < BINS:
         donors = TOURS[np.arange(BINS), filled[TOURS].argmax(axis=1)]
         values = np.where(filled, values, values[donors])
-    rows = values[: BANDS * ROWS].reshape(BANDS, ROWS)
-    return K.mix((K.mix(rows) * ROW_FACTORS).sum(axis=1, dtype=np.uint64) + BAND_SEEDS)
+    cells = values[: bands * rows].reshape(bands, rows)
+    return K.mix((K.mix(cells) * ROW_FACTORS[:rows]).sum(axis=1, dtype=np.uint64) + BAND_SEEDS[:bands])
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -86,14 +96,14 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _signed(id_type: T.DataType):
+def _signed(id_type: T.DataType, n_bands: int, n_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, bands = [], [], []
             for found in _sets(batch):
                 sizes.append(len(found))
                 nodes.append(_node(found) if len(found) else None)
-                bands.append(K.as_long(signature(found)) if len(found) else None)
+                bands.append(K.as_long(signature(found, n_bands, n_rows)) if len(found) else None)
             arrays = [batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "key", "n", "node", "bands"])
 
@@ -106,14 +116,14 @@ def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def signatures(docs: DataFrame, doc_id: str, text: str, similar: int = SIMILAR) -> DataFrame:
     """``id, key, n, node, bands`` per row; rows of one node have the same set."""
     rows = docs.select(column(doc_id).alias("id"), text_key(column(text)).alias("key"), column(text).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     )
-    return rows.mapInArrow(_signed(id_type), schema)
+    return rows.mapInArrow(_signed(id_type, *layout(similar)), schema)
 
 
 def _small(rows: DataFrame, few: bool) -> DataFrame:
@@ -144,14 +154,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         edges = staged(_stars(edges, few), name)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Pairs ``a, b`` of nodes whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     met = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return met.filter(OF * common >= SIMILAR * union).select("a", "b")
+    return met.filter(OF * common >= similar * union).select("a", "b")
 
 
 def _shared_sizes(rest: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,9 +176,14 @@ def _shared_sizes(rest: DataFrame, sets: DataFrame) -> DataFrame:
     return sizes.join(kept, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row ``id, key, n, component``: the least id of the rows it is linked with, directly or not."""
-    rows = staged(signatures(docs, doc_id, text), "signatures")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
+    """Per row ``id, key, n, component``: the least id of the rows it is linked with, directly or not.
+
+    Linked are rows of a similarity of ``similar`` hundredths or more.
+    """
+    if not 80 <= similar <= OF:
+        raise ValueError("the bands are laid out for similarities of 80 to 100 hundredths")
+    rows = staged(signatures(docs, doc_id, text, similar), "signatures")
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"))
     one = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
     buckets = one.select("node", "n", F.posexplode("bands").alias("band", "hash"))
@@ -190,9 +205,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     meets = members.groupBy("node").agg(F.sum("size").alias("meets"))
     middle = members.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node", "n")).alias("c"))
     members = staged(members.join(middle.select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "bucket"), "members")
-    near = (OF * F.least("n", "centre_n") >= SIMILAR * F.greatest("n", "centre_n")) & (F.col("node") != F.col("centre"))
+    near = (OF * F.least("n", "centre_n") >= similar * F.greatest("n", "centre_n")) & (F.col("node") != F.col("centre"))
     stars = members.filter(near).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(_confirmed(stars, sets), "links")
+    links = staged(_confirmed(stars, sets, similar), "links")
     roots = components(links)
     rest = members.filter("node != centre").select("bucket", "band", "node", "n")
     centres = FIRST_CENTRES
@@ -206,18 +221,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             break
         for _ in range(2):  # what the first pass drops makes more shingles unshared
             sizes = _shared_sizes(rest, sets)
-            rest = rest.drop("common").join(sizes, "node").filter(OF * F.col("common") >= SIMILAR * F.col("n"))
+            rest = rest.drop("common").join(sizes, "node").filter(OF * F.col("common") >= similar * F.col("n"))
         rest = staged(rest.join(banded, "node"), "rest")
         drawn = rest.filter("is_centre").select(
             "bucket", F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"), F.col("common").alias("ac"), F.col("bands").alias("ab")
         )
         most = F.least("common", "ac")
-        near = (F.col("root") != F.col("ar")) & (OF * most >= SIMILAR * (F.col("n") + F.col("an") - most))
+        near = (F.col("root") != F.col("ar")) & (OF * most >= similar * (F.col("n") + F.col("an") - most))
         # Of two centres the smaller asks, and of the buckets that two nodes share the first, so that a pair is tried once.
         near = near & (~F.col("is_centre") | (F.col("node") > F.col("a")))
         first_shared = F.array_position(F.zip_with("bands", "ab", lambda x, y: x == y), True) == F.col("band") + 1
         pairs = rest.join(drawn, "bucket").filter(near & first_shared).select("a", F.col("node").alias("b")).distinct()
-        found = staged(_confirmed(pairs, sets), "links")
+        found = staged(_confirmed(pairs, sets, similar), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = components(links)
@@ -230,9 +245,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.filter(F.col("node").isNotNull()).join(placed, "node").select("id", "key", "n", "component").unionByName(plain)
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """One document of each group, the one with the least id, with all its columns."""
-    found = near_duplicates(docs, doc_id, text)
+    found = near_duplicates(docs, doc_id, text, similar)
     gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"))
     return without(docs, staged(gone.distinct(), "copies"), doc_id, text)
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from ruleloom.llm import decontaminate, licenses, line_dedup, minhash, mixing, quality, suffix_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -155,6 +156,19 @@ def test_a_chain_through_buckets_is_joined(documents, by_id, monkeypatch):
     assert [found[i]["component_id"] for i in range(12)] == grouped(chain)
 
 
+def test_the_stage_takes_near_copies_from_080_on(documents, by_id, spark):
+    def pair(seed, n, changed):  # one run of words replaced in the middle
+        words = prose(seed, n, 10**9).split()
+        return [" ".join(words), " ".join(words[: n // 2] + [f"c{seed}-{k}" for k in range(changed)] + words[n // 2 + changed :])]
+
+    texts = pair(20, 104, 6) + pair(21, 94, 5) + pair(22, 104, 8) + pair(23, 104, 2)
+    sets = [shingles(t) for t in texts]
+    assert [round(len(a & b) / len(a | b), 2) for a, b in zip(sets[::2], sets[1::2])] == [0.82, 0.82, 0.79, 0.89]
+    kept = corpus_pipeline.keep_first_of_near(spark, documents(texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 5, 6]
+    assert [r["kept"] for _, r in sorted(by_id(minhash.report(documents(texts))).items())] == [True] * 7 + [False]
+
+
 def test_near_duplicates_of_odd_rows(odd, documents):
     rows = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.report(odd).collect()]
     assert len(rows) == 9 and rows.count((3, 1, 3, True)) == 2 and (4, 1, 3, False) in rows
