@@ -72,3 +72,10 @@ def without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str) -> DataFra
     rows = wrapped(docs, column(doc_id).alias("own_id"), text_key(column(text)).alias("own_key"))
     same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key"))
     return unwrapped(rows.join(gone, same, "left_anti"))
+
+
+def one_of_each(docs: DataFrame, named: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` for each id and text key among ``gone_id, gone_key``."""
+    rows = wrapped(docs, column(doc_id).alias("own_id"), text_key(column(text)).alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key"))
+    return unwrapped(rows.join(named, same, "left_semi").dropDuplicates(["own_id", "own_key"]))

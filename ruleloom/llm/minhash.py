@@ -17,7 +17,8 @@ shares none with (1 - 0.80**4)**32. Both are less than one in a million.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of fewer than five words
 is one shingle; repeated rows and equal texts are one component; the representative is the least id, null ids last;
-an empty table gives no rows; further columns are kept by ``deduplicated``.
+an empty table gives no rows; further columns are kept by ``deduplicated``. That leaves one row of each component, by
+(id, text key), and one of the rows that agree in id and text, also where the text has no shingles.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ruleloom.llm import tokens as K
-from ruleloom.llm.common import column, text_key, without
+from ruleloom.llm.common import column, one_of_each, text_key, without
 from ruleloom.session import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -179,12 +180,12 @@ def _shared_sizes(rest: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """Per row ``id, key, n, component``: the least id of the rows it is linked with, directly or not.
 
-    Linked are rows of a similarity of ``similar`` hundredths or more.
+    ``component_key`` is the text key of that row; of rows with this id, or of rows without ids, the least. Linked are rows of a similarity of ``similar`` hundredths or more.
     """
     if not 80 <= similar <= OF:
         raise ValueError("the bands are laid out for similarities of 80 to 100 hundredths")
     rows = staged(signatures(docs, doc_id, text, similar), "signatures")
-    nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"))
+    nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("least"))
     one = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"))
     buckets = one.select("node", "n", F.posexplode("bands").alias("band", "hash"))
     buckets = buckets.select("node", "n", "band", F.xxhash64("band", "hash").alias("bucket"))
@@ -239,17 +240,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rest, centres = rest.filter("not is_centre").select("bucket", "band", "node", "n"), centres * 8
 
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    placed = rooted.join(heads, "root").select("node", "component")
-    plain = rows.filter(F.col("node").isNull()).select("id", "key", "n", F.col("id").alias("component"))
-    return rows.filter(F.col("node").isNotNull()).join(placed, "node").select("id", "key", "n", "component").unionByName(plain)
+    heads = rooted.groupBy("root").agg(F.min("least").alias("head"))
+    placed = rooted.join(heads, "root").select("node", F.col("head.id").alias("component"), F.col("head.key").alias("component_key"))
+    plain = rows.filter(F.col("node").isNull()).select("id", "key", "n", F.col("id").alias("component"), F.col("key").alias("component_key"))
+    return rows.filter(F.col("node").isNotNull()).join(placed, "node").select(*plain.columns).unionByName(plain)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """One document of each group, the one with the least id, with all its columns."""
-    found = near_duplicates(docs, doc_id, text, similar)
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"))
-    return without(docs, staged(gone.distinct(), "copies"), doc_id, text)
+    found = staged(near_duplicates(docs, doc_id, text, similar), "found")
+    first = F.col("id").eqNullSafe(F.col("component")) & (F.col("key") == F.col("component_key"))
+    names = [F.col("id").alias("gone_id"), F.col("key").alias("gone_key")]
+    gone = found.filter(~first).select(*names).distinct()
+    # Rows that the name doesn't tell apart are taken out, and one of each name is put back.
+    twice = staged(found.filter(first).groupBy("id", "key").agg(F.count("*").alias("rows")).filter("rows > 1").select(*names), "twice")
+    kept = without(docs, staged(gone.unionByName(twice), "copies"), doc_id, text)
+    if twice.isEmpty():
+        return kept
+    return kept.unionByName(one_of_each(docs, twice, doc_id, text))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -169,6 +169,19 @@ def test_the_stage_takes_near_copies_from_080_on(documents, by_id, spark):
     assert [r["kept"] for _, r in sorted(by_id(minhash.report(documents(texts))).items())] == [True] * 7 + [False]
 
 
+def test_one_row_of_each_group_stays(documents):
+    base = [prose(i, 60) for i in range(4)]
+    near = base[0] + " more"
+    texts = [base[0], near, base[1], None, "", base[2], base[2] + " more", base[3]]
+    once = documents(texts, ids=[4, 2, 3, 5, 6, None, None, None])
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in minhash.deduplicated(once).collect())
+    assert [i for i, _ in kept] == ["2", "3", "5", "6", "None", "None"] and ("None", base[3]) in kept
+    appended = minhash.deduplicated(once.unionByName(once))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in appended.collect()) == kept and appended.columns == once.columns
+    same_id = documents([base[0], near, base[1]], ids=[7, 7, 7])
+    assert minhash.deduplicated(same_id).count() == 2
+
+
 def test_near_duplicates_of_odd_rows(odd, documents):
     rows = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.report(odd).collect()]
     assert len(rows) == 9 and rows.count((3, 1, 3, True)) == 2 and (4, 1, 3, False) in rows
