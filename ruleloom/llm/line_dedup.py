@@ -13,6 +13,16 @@ has ``MIN_WORDS`` words at least (so 1/8 of a line at most; shorter lines have t
    meets another's shortened form differs by that word. Each line asks for the earliest of its class only, so a class
    of a million lines makes a million pairs. The edit is then verified on the words.
 
+With ``grown`` the bound grows with the line: lines of ``2 * EDIT_WORDS`` words or more may differ by one word in each
+``EDIT_WORDS`` of the longer one. Such lines are found by their passages of ``PASSAGE`` words:
+
+1. The mark of a passage is the least hash of its runs of ``GRAM`` words. A line has the marks of all its passages.
+2. Cut into passages side by side, a line has more of them than edits are allowed, and an edit spoils one at most. So a
+   partner has the mark of one of any ``allowed + 1`` passages. The line asks by the rarest; marks no other line has are
+   the first of these, and a line with more of them than edits leaves.
+3. A line asks the earliest line of each mark, and only if that is none, all earlier ones of a length that is allowed.
+   The edit distance is then verified on the words.
+
 Defined results: a null text has no lines; an empty one has one blank line; ids that are null come first; repeated rows
 are later copies of each other that share an order, so they keep or lose the same lines; a very long line is a line;
 an empty table gives no rows; further columns are kept by ``cleaned``.
@@ -28,6 +38,8 @@ from ruleloom.session import staged
 
 MIN_WORDS = 8
 BROADCAST_BYTES = 16 << 20  # places of lines up to which they go to the texts; more meet them by a shuffle
+EDIT_WORDS = 20  # words to an edit of long lines
+GRAM, PASSAGE = 5, 12  # (allowed + 1) * PASSAGE words are in any line that may have a partner, whatever its bound from 2 on
 STEP = 32  # words folded at a time in the running xor
 
 
@@ -97,12 +109,8 @@ def _one_edit(a: Column, b: Column) -> Column:
     return same | longer | shorter
 
 
-def _partnered(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The lines ``line, n`` that have an earlier partner within one edit."""
-    halves = kinds.select("line", F.explode("halves").alias("half"))
-    common = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low < high").select("half")
-    likely = halves.join(common, "half").select("line").distinct()
-    likely = staged(kinds.join(likely, "line", "left_semi").select("line", "n", "first"), "likely")
+def _worded(likely: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``line, n, order, words`` of lines ``line, n, first``, whose texts are read again."""
     place = likely.select("line", "n", F.col("first.id").alias("at_id"), F.col("first.key").alias("at_key"), F.col("first.line_no").alias("at_no"))
     rows = docs.select(column(doc_id).alias("id"), text_key(column(text)).alias("key"), column(text).cast("string").alias("text"))
     size = place.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("at_id").cast("string")), F.lit(0)) + 36), F.lit(0))).first()[0]
@@ -116,7 +124,16 @@ def _partnered(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Dat
         met = rows.join(listed, there).select("at_id", "at_key", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
         found = met.select("w.line", "w.n", "at_id", "at_key", "w.at_no", F.get("lines", F.col("w.at_no")).alias("content"))
     order = F.struct(F.col("at_id").alias("id"), F.col("at_key").alias("key"), F.col("at_no").alias("no"), "line", "n")
-    worded = staged(found.select("line", "n", order.alias("order"), spaced_words(F.col("content")).alias("words")), "worded")
+    return staged(found.select("line", "n", order.alias("order"), spaced_words(F.col("content")).alias("words")), "worded")
+
+
+def _partnered(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The lines ``line, n`` that have an earlier partner within one edit."""
+    halves = kinds.select("line", F.explode("halves").alias("half"))
+    common = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low < high").select("half")
+    likely = halves.join(common, "half").select("line").distinct()
+    likely = staged(kinds.join(likely, "line", "left_semi").select("line", "n", "first"), "likely")
+    worded = _worded(likely, docs, doc_id, text)
 
     near = worded.select("line", "n", "order", F.explode(_neighbours(F.col("words"))).alias("v"))
     near = staged(near.select("line", "n", "order", "v.variant", "v.at"), "neighbours")
@@ -137,30 +154,108 @@ def _partnered(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Dat
     return verified.select("line", "n").distinct()
 
 
-def line_fates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _allowed(a: Column, b: Column) -> Column:
+    """The edits between two long lines of that many words."""
+    return F.floor(F.greatest(a, b) / EDIT_WORDS).cast("int")
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``line, n, marks, own`` of the lines that may have a partner with two edits or more; ``own`` are those of passages side by side."""
+    lines = docs.select(F.explode(F.split(column(text).cast("string"), "\n", -1)).alias("content"))
+    lines = lines.select(spaced_words(F.col("content")).alias("words"))
+    words, n = F.col("words"), F.size("words")
+    grams = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.xxhash64(F.slice(words, i, GRAM)))
+    starts = F.sequence(F.lit(1), n - PASSAGE + 1)
+    # Transforms over one element name what is used at many places.
+    least = lambda g: F.transform(starts, lambda i: F.array_min(F.slice(g, i, PASSAGE - GRAM + 1)))
+    side_by_side = F.sequence(F.lit(0), F.floor(n / PASSAGE).cast("int") - 1)
+    both = lambda m: F.struct(
+        F.array_distinct(m).alias("marks"), F.array_distinct(F.transform(side_by_side, lambda k: F.get(m, k * PASSAGE))).alias("own")
+    )
+    found = F.element_at(F.transform(F.transform(F.array(grams), least), both), 1)
+    long = lines.filter(n >= 2 * (EDIT_WORDS - 1))
+    return long.select(F.xxhash64("words").alias("line"), n.alias("n"), found.alias("m")).select("line", "n", "m.marks", "m.own")
+
+
+def _within(a: Column, b: Column, bound: Column) -> Column:
+    """Whether two lists of words differ by ``bound`` words put in, left out or replaced, or fewer."""
+
+    def close(x: Column) -> Column:
+        # Each word of the pair is a character of its own, from the first plane beyond the surrogates on.
+        letter = lambda w: F.lpad(F.hex(F.array_position(x["all"], w) + 0xFFFF), 8, "0")
+        letters = lambda words: F.decode(F.unhex(F.array_join(F.transform(words, letter), "")), "UTF-32")
+        return F.call_function("levenshtein", letters(x["a"]), letters(x["b"]), x["bound"]) >= 0
+
+    pair = F.struct(a.alias("a"), b.alias("b"), bound.alias("bound"), F.array_distinct(F.concat(a, b)).alias("all"))
+    few = (F.size(F.array_except(a, b)) <= bound) & (F.size(F.array_except(b, a)) <= bound)
+    return few & F.element_at(F.transform(F.array(pair), close), 1)
+
+
+def _verified(asks: DataFrame, kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The lines ``line, n`` of the pairs ``line, n, other_line, other_n`` that are within the grown bound."""
+    asks = staged(asks.distinct(), "asks")
+    wanted = asks.select("line", "n").unionByName(asks.select(F.col("other_line").alias("line"), F.col("other_n").alias("n"))).distinct()
+    likely = staged(kinds.join(wanted, ["line", "n"], "left_semi").select("line", "n", "first"), "likely")
+    one = _worded(likely, docs, doc_id, text).select("line", "n", "words").dropDuplicates(["line", "n"])
+    other = one.select(F.col("line").alias("other_line"), F.col("n").alias("other_n"), F.col("words").alias("other_words"))
+    met = asks.join(one, ["line", "n"]).join(other, ["other_line", "other_n"])
+    return met.filter(_within(F.col("words"), F.col("other_words"), _allowed(F.col("n"), F.col("other_n")))).select("line", "n").distinct()
+
+
+def _grown(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The lines ``line, n`` that have an earlier partner within a bound of two edits or more."""
+    # No line is without marks; explode alone would have the optimizer make them once more, to filter by their number.
+    marked = _marked(docs, doc_id, text)
+    every = marked.select("line", F.explode_outer("marks").alias("mark"))
+    common = every.groupBy("mark").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.count("*").alias("many"))
+    common = staged(common.filter("low < high").select("mark", "many"), "common-marks")
+    listed = F.broadcast(common) if common.count() * 16 <= BROADCAST_BYTES else common
+    each = marked.select("line", "n", F.size("own").alias("n_own"), "own", F.explode_outer("marks").alias("mark")).join(listed, "mark")
+    each = each.select("line", "n", "n_own", "mark", "many", F.array_contains("own", F.col("mark")).alias("is_own")).dropDuplicates(["line", "n", "mark"])
+    each = staged(each.join(kinds.select("line", "n", F.col("first").alias("order")), ["line", "n"]), "marked")
+
+    most = F.floor(F.col("n") / (EDIT_WORDS - 1)).cast("int")  # allowed with a longer partner
+    shared = each.filter("is_own").groupBy("line", "n", "n_own", "order").agg(F.array_sort(F.collect_list(F.struct("many", "mark"))).alias("shared"))
+    asked = F.slice("shared", 1, F.greatest(most + 1 - (F.col("n_own") - F.size("shared")), F.lit(0)))
+    askers = staged(shared.select("line", "n", "order", F.explode(asked).alias("by")).select("line", "n", "order", "by.mark"), "askers")
+
+    others = each.select("mark", F.struct(F.col("order"), "line", "n").alias("other"))
+    bound = _allowed(F.col("n"), F.col("other.n"))
+    apt = (F.col("other.order") < F.col("order")) & (bound >= 2) & (F.abs(F.col("n") - F.col("other.n")) <= bound)
+    pair = ["line", "n", F.col("other.line").alias("other_line"), F.col("other.n").alias("other_n")]
+    earliest = others.groupBy("mark").agg(F.min("other").alias("other"))
+    near = staged(_verified(askers.join(earliest, "mark").filter(apt).select(*pair), kinds, docs, doc_id, text), "near")
+    left = askers.join(near, ["line", "n"], "left_anti")
+    return near.unionByName(_verified(left.join(others, "mark").filter(apt).select(*pair), kinds, docs, doc_id, text))
+
+
+def line_fates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grown: bool = False) -> DataFrame:
     """Per line with words ``id, key, line_no, copy`` (an equal line is earlier) and ``near`` (a similar line is)."""
     lines = staged(_lines(docs, doc_id, text).filter("n > 0"), "lines")
     kinds = lines.groupBy("line", "n").agg(F.min(F.struct("id", "key", "line_no")).alias("first"), F.first("halves").alias("halves"))
     kinds = staged(kinds, "kinds")
-    near = _partnered(kinds.filter(F.size("halves") > 0), docs, doc_id, text).withColumn("near", F.lit(True))
+    near = _partnered(kinds.filter(F.size("halves") > 0), docs, doc_id, text)
+    if grown:
+        near = near.unionByName(_grown(kinds, docs, doc_id, text)).distinct()
+    near = near.withColumn("near", F.lit(True))
     judged = kinds.select("line", "n", "first").join(near, ["line", "n"], "left")
     order = F.struct("id", "key", "line_no")
     found = lines.select("id", "key", "line_no", "line", "n").join(judged, ["line", "n"])
     return found.select("id", "key", "line_no", (~order.eqNullSafe(F.col("first"))).alias("copy"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def _dropped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _dropped(docs: DataFrame, doc_id: str, text: str, grown: bool = False) -> DataFrame:
     """``id, key, copies, near``: the numbers of the lines that go, of the texts that lose any."""
-    fates = line_fates(docs, doc_id, text).filter("copy or near")
+    fates = line_fates(docs, doc_id, text, grown).filter("copy or near")
     copies = F.sort_array(F.collect_set(F.when(F.col("copy"), F.col("line_no")))).alias("copies")
     near = F.sort_array(F.collect_set(F.when(~F.col("copy"), F.col("line_no")))).alias("near")
     # A text has no more lines than bytes, so its lists are bounded by the text itself.
     return staged(fates.groupBy(F.col("id").alias("lost_id"), F.col("key").alias("lost_key")).agg(copies, near), "dropped")
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grown: bool = False) -> DataFrame:
     """All rows and columns, the texts without the lines that are dropped."""
-    lost = _dropped(docs, doc_id, text).select("lost_id", "lost_key", F.array_union("copies", "near").alias("gone"))
+    lost = _dropped(docs, doc_id, text, grown).select("lost_id", "lost_key", F.array_union("copies", "near").alias("gone"))
     lines = F.split(column(text), "\n", -1)
     rows = wrapped(docs, column(doc_id).alias("id"), text_key(column(text)).alias("key"), lines.alias("lines"))
     joined = rows.join(lost, rows["id"].eqNullSafe(lost["lost_id"]) & (rows["key"] == lost["lost_key"]), "left")

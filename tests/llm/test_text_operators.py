@@ -106,6 +106,48 @@ def test_lines_by_a_shuffle(documents, by_id, monkeypatch):
         assert found[i]["n_copies"] + found[i]["n_near"] == sum(lost), i
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_the_bound_of_the_stage_grows_with_the_line(documents, by_id, spark):
+    rng = random.Random(11)
+    passage = prose(99, 25, 9_000)  # common, but not enough of a line
+    bases = [prose(i, n, 9_000).split() for i, n in enumerate([12, 38, 39, 40, 41, 60, 100, 260])]
+    lines = []
+    for k in range(90):
+        words = list(rng.choice(bases))
+        for e in range(rng.randrange(len(words) // 20 + 3)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [f"n{k}-{e}"] * rng.randrange(2)
+        lines.append(words)
+    lines += [f"{prose(200 + i, 30, 9_000)} {passage}".split() for i in range(12)]
+    rng.shuffle(lines)
+
+    def near(a, b):
+        n = max(len(a), len(b))
+        return word_edits(a, b) <= (0 if n < line_dedup.MIN_WORDS else max(1, n // line_dedup.EDIT_WORDS))
+
+    expected = [any(near(x, y) for y in lines[:i]) for i, x in enumerate(lines)]
+    found = by_id(corpus_pipeline.drop_lines(spark, documents([" ".join(x) for x in lines]).withColumnRenamed("size", "n_chars"), ""))
+    assert [found[i]["text"] == "" for i in range(len(lines))] == expected and 20 < sum(expected) < 80
+
+
+def test_grown_bound_of_odd_rows(odd, documents):
+    assert line_dedup.cleaned(odd, grown=True).count() == 9 and line_dedup.cleaned(documents([]), grown=True).count() == 0
+    # Longer by rare characters and by words that only look alike, with the last words of a text in a document of its own.
+    words = [f"ü{i}𝒳" for i in range(80)]
+    other = [w.upper() if i in (3, 30, 50, 70) else w for i, w in enumerate(words)]
+    more = [*other[:20], "x", *other[20:]]
+    found = line_dedup.cleaned(documents([" ".join(x) for x in (words, other, more)], ids=[None, 5, 6]), grown=True)
+    assert sorted(r["text"] != "" for r in found.collect()) == [False, False, True]
+
+
 def test_lines_of_odd_rows(odd, documents):
     rows = line_dedup.report(odd).collect()
     assert sum(r["n_copies"] for r in rows) == 1 and {r["n_lines"] for r in rows if r["doc_id"] == 2} == {2}
