@@ -191,11 +191,12 @@ def _within(a: Column, b: Column, bound: Column) -> Column:
     return few & F.element_at(F.transform(F.array(pair), close), 1)
 
 
-def _verified(asks: DataFrame, kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The lines ``line, n`` of the pairs ``line, n, other_line, other_n`` that are within the grown bound."""
+def _verified(asks: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The lines ``line, n`` of the pairs ``line, n, order, other`` that are within the grown bound."""
     asks = staged(asks.distinct(), "asks")
-    wanted = asks.select("line", "n").unionByName(asks.select(F.col("other_line").alias("line"), F.col("other_n").alias("n"))).distinct()
-    likely = staged(kinds.join(wanted, ["line", "n"], "left_semi").select("line", "n", "first"), "likely")
+    others = asks.select("other.line", "other.n", F.col("other.order").alias("first"))
+    likely = staged(asks.select("line", "n", F.col("order").alias("first")).unionByName(others).distinct(), "likely")
+    asks = asks.select("line", "n", F.col("other.line").alias("other_line"), F.col("other.n").alias("other_n"))
     one = _worded(likely, docs, doc_id, text).select("line", "n", "words").dropDuplicates(["line", "n"])
     other = one.select(F.col("line").alias("other_line"), F.col("n").alias("other_n"), F.col("words").alias("other_words"))
     met = asks.join(one, ["line", "n"]).join(other, ["other_line", "other_n"])
@@ -210,9 +211,11 @@ def _grown(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
     common = every.groupBy("mark").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.count("*").alias("many"))
     common = staged(common.filter("low < high").select("mark", "many"), "common-marks")
     listed = F.broadcast(common) if common.count() * 16 <= BROADCAST_BYTES else common
-    each = marked.select("line", "n", F.size("own").alias("n_own"), "own", F.explode_outer("marks").alias("mark")).join(listed, "mark")
-    each = each.select("line", "n", "n_own", "mark", "many", F.array_contains("own", F.col("mark")).alias("is_own")).dropDuplicates(["line", "n", "mark"])
-    each = staged(each.join(kinds.select("line", "n", F.col("first").alias("order")), ["line", "n"]), "marked")
+    each = marked.select("line", "n", F.size("own").alias("n_own"), "own", F.explode_outer("marks").alias("mark"))
+    each = each.select("line", "n", "n_own", "mark", F.array_contains("own", F.col("mark")).alias("is_own")).join(listed, "mark")
+    each = each.dropDuplicates(["line", "n", "mark"])
+    long = kinds.filter(F.col("n") >= 2 * (EDIT_WORDS - 1))
+    each = staged(each.join(long.select("line", "n", F.col("first").alias("order")), ["line", "n"]), "marked")
 
     most = F.floor(F.col("n") / (EDIT_WORDS - 1)).cast("int")  # allowed with a longer partner
     shared = each.filter("is_own").groupBy("line", "n", "n_own", "order").agg(F.array_sort(F.collect_list(F.struct("many", "mark"))).alias("shared"))
@@ -222,11 +225,11 @@ def _grown(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
     others = each.select("mark", F.struct(F.col("order"), "line", "n").alias("other"))
     bound = _allowed(F.col("n"), F.col("other.n"))
     apt = (F.col("other.order") < F.col("order")) & (bound >= 2) & (F.abs(F.col("n") - F.col("other.n")) <= bound)
-    pair = ["line", "n", F.col("other.line").alias("other_line"), F.col("other.n").alias("other_n")]
+    pair = ["line", "n", "order", "other"]
     earliest = others.groupBy("mark").agg(F.min("other").alias("other"))
-    near = staged(_verified(askers.join(earliest, "mark").filter(apt).select(*pair), kinds, docs, doc_id, text), "near")
+    near = staged(_verified(askers.join(earliest, "mark").filter(apt).select(*pair), docs, doc_id, text), "near")
     left = askers.join(near, ["line", "n"], "left_anti")
-    return near.unionByName(_verified(left.join(others, "mark").filter(apt).select(*pair), kinds, docs, doc_id, text))
+    return near.unionByName(_verified(left.join(others, "mark").filter(apt).select(*pair), docs, doc_id, text))
 
 
 def line_fates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grown: bool = False) -> DataFrame:
