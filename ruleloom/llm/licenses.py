@@ -1,9 +1,9 @@
 """Licence scans with a positional rare-token index.
 
 The index holds the words of licence notices with their places. A word's weight is its rarity in the corpus (IDF), and
-a notice is looked up by its ``ANCHORS`` rarest words only: wherever a file has one, the word's place in the notice
-gives the only possible start, and the postings of the whole notice are intersected with the file at that relative
-position. The score is the weight of the words that agree. A notice counts if the score reaches ``THRESHOLD`` and its
+a notice is looked up by the rarest word of its mandatory phrase, which any notice that counts must have: wherever a
+file has it, the word's place in the notice gives the only possible start, and the postings of the whole notice are
+intersected with the file at that relative position. The score is the weight of the words that agree. A notice counts if the score reaches ``THRESHOLD`` and its
 mandatory phrase agrees word for word.
 
 Beside it, the base phrases are looked for at every place.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.common import column, plain_words
 
-ANCHORS = 3
 THRESHOLD = 0.75
 
 # The base phrases and their labels.
@@ -75,7 +74,7 @@ def _all(tests) -> Column:
 
 
 def _index(worded: DataFrame, notices) -> list[dict]:
-    """One entry per notice and anchor, with the weights of the notice's words and the places that must agree."""
+    """One entry per notice, under the rarest word of its phrase, with the weights of the notice's words and the places that must agree."""
     spark = worded.sparkSession
     vocabulary = sorted({w for _, notice, _ in notices for w in notice.split()})
     # The vocabulary is that of the notices, so its size doesn't follow the data.
@@ -90,8 +89,8 @@ def _index(worded: DataFrame, notices) -> list[dict]:
         weights = [math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-6 for w in words]
         first = next(i for i in range(len(words)) if words[i : i + len(needed)] == needed)
         shared = {"label": label, "notice": words, "weights": weights, "whole": sum(weights), "needed": list(range(first, first + len(needed)))}
-        for offset in sorted(range(len(words)), key=lambda i: (-weights[i], i))[:ANCHORS]:
-            entries.append({"word": words[offset], "offset": offset, **shared})
+        offset = min(shared["needed"], key=lambda i: (-weights[i], i))
+        entries.append({"word": words[offset], "offset": offset, **shared})
     return entries
 
 

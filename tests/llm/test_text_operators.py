@@ -246,6 +246,13 @@ def test_licences(documents, by_id):
     assert found[5]["first_word"] is None and found[4]["n_words"] == 0 and 0 < found[3]["score"] <= 1
 
 
+def test_a_licence_without_its_rarest_words_is_found(documents, by_id):
+    notice = next(words for label, words, _ in licenses.NOTICES if label == "cc0")
+    text = notice.replace("extent", "scope").replace("possible", "feasible").replace("law", "statute")
+    found = by_id(licenses.report(documents([text] + ["filler"] * 400)))
+    assert found[0]["labels"] == "cc0" and 0.75 <= found[0]["score"] < 0.8 and found[1]["labels"] == ""
+
+
 def test_licences_base_equals_brute_force(documents, by_id):
     rng, parts = random.Random(2), "cc by general public license all rights reserved BY CC x".split()
     texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(40)]
