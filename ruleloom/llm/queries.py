@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ruleloom.llm import decontaminate, language, licenses, line_dedup, lm, minhash, mixing, quality, suffix_dedup, toxicity
+from ruleloom.llm import decontaminate, language, licenses, line_dedup, lm, minhash, mixing, pieces, quality, suffix_dedup, toxicity
 from ruleloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -66,3 +66,8 @@ def op6_language(spark, folder):
 @query
 def op9_toxicity(spark, folder):
     return toxicity.report(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op11_sentencepiece(spark, folder):
+    return pieces.report(read_table(spark, folder, "documents"), pieces.model_path(spark, "piece_bpe_32k.model"))
