@@ -61,4 +61,41 @@ OP8 = """with d as (select doc_id, encode(coalesce(text, '')) as b from document
    sha256(case when n is null then b else unhex(x || hex(b[last + 1 : octet_length(b)])) end) as kept_sha256
  from d left join kept using (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op3_minhash": OP3, "op8_suffix_dedup": OP8}
+# crc32 of the bytes of "<doc_id>:<run>", by a table that is made here; letters from U+00C0 on are two bytes.
+OP13 = """with steps as (select list(c order by b) as t from (
+   select b, list_reduce(list_prepend(b, range(8)), lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+   from (select unnest(range(256)) as b))),
+ r as (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+ u as (select doc_id, run, count(*) as n from r where length(run) >= 5 group by all),
+ spelt as (select *, flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''),
+          lambda c: case when ord(c) < 128 then [cast(ord(c) as bigint)] else [195, cast(ord(c) - 64 as bigint)] end)) as bytes from u),
+ h as (select run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) as h from spelt, steps),
+ m as (select n, case when h % 97 = 0 then run[: h % length(run)] || run[h % length(run) + 2 :] else run end as word from h),
+ k as (select word, cast(sum(n) as bigint) as n from m where length(word) >= 5 group by 1 having sum(n) >= 3),
+ v as (select word, n, i, word[: i] || word[i + 2 :] as x from (select *, unnest(range(length(word))) as i from k)),
+ near as (select a.word as word, a.n as n, b.word as other, b.n as m from v a join v b on a.x = b.x and a.i = b.i and a.word <> b.word
+   union select v.word, v.n, k.word, k.n from v join k on v.x = k.word
+   union select k.word, k.n, v.word, v.n from v join k on v.x = k.word),
+ best as (select word, count(*) as n_near, first(other order by m desc, other) as other, max(m) as m, any_value(n) as n from near group by 1),
+ form as (select word, other as form, m as form_n from best where m >= 2 * n),
+ walk as (with recursive w(word, reached) as (select word, form from form union all select w.word, form.form from w join form on w.reached = form.word) select * from w),
+ root as (select word, reached as root from walk where reached not in (select word from form))
+ select k.word as word, form, coalesce(root, k.word) as root, k.n as n, coalesce(n_near, 0) as n_near, form_n
+ from k left join best using (word) left join form using (word) left join root using (word)"""
+
+OP12 = """with e as (select vec_id, cast(case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as bigint) as label,
+     list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+   from embeddings where label is not null and vec_id is not null and embedding is not null
+     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+   from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+ p as (select anchor_id, other as positive_id, score as positive_score from s where same
+   qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+ select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, other) as int) as rank,
+   other as negative_id, positive_score, score as negative_score
+ from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+ qualify rank <= 3"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": OP1, "op2_line_dedup": OP2, "op3_minhash": OP3, "op8_suffix_dedup": OP8, "op12_hard_negatives": OP12, "op13_spelling_variants": OP13
+}

@@ -125,13 +125,6 @@ def _chunks(part: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np
     return place, bodies, np.append(place[1:], n)
 
 
-def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The stretches of an array, one after the other."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return data[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
-
-
 def _hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(part):
         return K.mix(np.zeros(len(starts), np.uint64))
@@ -152,10 +145,7 @@ def _distinct_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for _, part, _, _, low, high in _slices(batch):
             if len(low):
                 _, at, times = np.unique(_hashes(part, low, high), return_index=True, return_counts=True)
-                sizes = high[at] - low[at]
-                flat = _gathered(part, low[at], sizes)
-                ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                bodies = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(flat))
+                bodies = K.as_strings(part, low[at], high[at] - low[at])
                 yield pa.RecordBatch.from_arrays([bodies, pa.array(times)], names=["body", "n"])
 
 
@@ -215,7 +205,7 @@ class _Table:
         known = (self.hashes[row] == hashes) & (self.size[row] == high - low)
         some = np.flatnonzero(known)
         sizes = self.size[row[some]]
-        wrong = _gathered(part, low[some], sizes) != _gathered(self.flat, self.start[row[some]], sizes)
+        wrong = K.gathered(part, low[some], sizes) != K.gathered(self.flat, self.start[row[some]], sizes)
         if wrong.any():
             known[some[np.unique(np.repeat(np.arange(len(some)), sizes)[wrong])]] = False
         return row, known
@@ -236,7 +226,7 @@ def _slice_ids(table: _Table, model: bytes, part: np.ndarray, low: np.ndarray, h
         first = np.append(first, len(ids) + np.append(0, np.cumsum(more)[:-1]))
         many = np.append(many, more)
         ids = np.concatenate([ids, *(np.array(x, "<u4") for x in found)])
-    return _gathered(ids, first[row], many[row]), many[row]
+    return K.gathered(ids, first[row], many[row]), many[row]
 
 
 class _Surfaces:
@@ -257,7 +247,7 @@ class _Surfaces:
         self.unknown = processor.unk_id()
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
-        return _gathered(self.flat, self.start[ids], self.size[ids])
+        return K.gathered(self.flat, self.start[ids], self.size[ids])
 
 
 def _encoding(model: bytes, table, digests: bool):

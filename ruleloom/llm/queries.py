@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ruleloom.llm import decontaminate, language, licenses, line_dedup, lm, minhash, mixing, pieces, quality, suffix_dedup, toxicity
+from ruleloom.llm import decontaminate, language, licenses, line_dedup, lm, minhash, mixing, negatives, pieces, quality, suffix_dedup, toxicity, variants
 from ruleloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -71,3 +71,13 @@ def op9_toxicity(spark, folder):
 @query
 def op11_sentencepiece(spark, folder):
     return pieces.report(read_table(spark, folder, "documents"), pieces.model_path(spark, "piece_bpe_32k.model"))
+
+
+@query
+def op12_hard_negatives(spark, folder):
+    return negatives.report(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op13_spelling_variants(spark, folder):
+    return variants.report(read_table(spark, folder, "documents"))

@@ -106,3 +106,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def as_long(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of an array, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return data[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def as_strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The stretches of the bytes of texts as strings."""
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(gathered(data, starts, sizes)))
