@@ -21,6 +21,8 @@ With ``grown`` the bound grows with the line: lines of ``2 * EDIT_WORDS`` words
    partner has the mark of one of any ``allowed + 1`` passages. The line asks by the rarest; marks no other line has are
    the first of these, and a line with more of them than edits leaves.
 3. A line asks the earliest line of each mark, and only if that is none, all earlier ones of a length that is allowed.
+   An edit takes one word from the set of a line and adds one, so pairs whose sets lack more words of each other than
+   edits are allowed are not formed; the sets are maps of ``64 * MAPS`` bits there, in which words may only coincide.
    The edit distance is then verified on the words.
 
 Defined results: a null text has no lines; an empty one has one blank line; ids that are null come first; repeated rows
@@ -41,6 +43,7 @@ BROADCAST_BYTES = 16 << 20  # places of lines up to which they go to the texts;
 EDIT_WORDS = 20  # words to an edit of long lines
 GRAM, PASSAGE = 5, 12  # (allowed + 1) * PASSAGE words are in any line that may have a partner, whatever its bound from 2 on
 STEP = 32  # words folded at a time in the running xor
+MAPS = 8  # numbers of 64 bits that stand for the set of words of a long line
 
 
 def _half(words: Column, side: str, length: Column) -> Column:
@@ -191,18 +194,49 @@ def _within(a: Column, b: Column, bound: Column) -> Column:
     return few & F.element_at(F.transform(F.array(pair), close), 1)
 
 
-def _verified(asks: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The lines ``line, n`` of the pairs ``line, n, order, other`` that are within the grown bound."""
-    asks = staged(asks.distinct(), "asks")
-    others = asks.select("other.line", "other.n", F.col("other.order").alias("first"))
-    likely = staged(asks.select("line", "n", F.col("order").alias("first")).unionByName(others).distinct(), "likely")
-    asks = asks.select("line", "n", F.col("other.line").alias("other_line"), F.col("other.n").alias("other_n"))
-    one = _worded(likely, docs, doc_id, text).select("line", "n", "words").dropDuplicates(["line", "n"])
-    other = one.select(F.col("line").alias("other_line"), F.col("n").alias("other_n"), F.col("words").alias("other_words"))
-    met = asks.join(one, ["line", "n"]).join(other, ["other_line", "other_n"])
+def _words_of(places: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``line, n, words`` of the lines ``line, n, order``."""
+    likely = staged(places.select("line", "n", F.col("order").alias("first")).distinct(), "likely")
+    return _worded(likely, docs, doc_id, text).select("line", "n", "words").dropDuplicates(["line", "n"])
+
+
+def _verified(asks: DataFrame, words: DataFrame) -> DataFrame:
+    """The lines ``line, n`` of the pairs ``line, n, other_line, other_n`` that are within the grown bound."""
+    other = words.select(F.col("line").alias("other_line"), F.col("n").alias("other_n"), F.col("words").alias("other_words"))
+    met = asks.join(words, ["line", "n"]).join(other, ["other_line", "other_n"])
     return met.filter(_within(F.col("words"), F.col("other_words"), _allowed(F.col("n"), F.col("other_n")))).select("line", "n").distinct()
 
 
+def _maps(words: Column) -> Column:
+    """The set of words as bits."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    of = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(MAPS - 1)) == k)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    bits = lambda k: F.aggregate(of(k), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(bit(h)))
+    return F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), bits)
+
+
+def _lacking(a: list[Column], b: list[Column]) -> Column:
+    """How many bits of ``a`` are not in ``b``."""
+    return sum((F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(a, b)), F.lit(0))
+
+
+def _alike(left: DataFrame, others: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The lines ``line, n`` of ``left`` that are within the bound of any earlier line with one of the marks they ask by."""
+    pool = staged(others.join(left.select("mark").distinct(), "mark", "left_semi").select("mark", "other.*"), "pool")
+    words = staged(_words_of(left.select("line", "n", "order").unionByName(pool.select("line", "n", "order")), docs, doc_id, text), "words")
+    sets = staged(words.select("line", "n", _maps(F.col("words")).alias("maps")), "maps")
+    sets = sets.select("line", "n", *(F.get("maps", F.lit(k)).alias(f"map{k}") for k in range(MAPS)))
+    asking = left.join(sets, ["line", "n"])
+    asked = pool.join(sets, ["line", "n"]).select(*(F.col(c).alias(c if c == "mark" else f"other_{c}") for c in [*pool.columns, *sets.columns[2:]]))
+    own, theirs = ([F.col(f"{side}map{k}") for k in range(MAPS)] for side in ("", "other_"))
+    bound = _allowed(F.col("n"), F.col("other_n"))
+    apt = (F.col("other_order") < F.col("order")) & (bound >= 2) & (F.abs(F.col("n") - F.col("other_n")) <= bound)
+    apt = apt & (_lacking(own, theirs) <= bound) & (_lacking(theirs, own) <= bound)
+    pairs = asking.join(asked, (asking["mark"] == asked["mark"]) & apt).select("line", "n", "other_line", "other_n").distinct()
+    return _verified(staged(pairs, "pairs"), words)
+
+
 def _grown(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The lines ``line, n`` that have an earlier partner within a bound of two edits or more."""
     # No line is without marks; explode alone would have the optimizer make them once more, to filter by their number.
@@ -225,11 +259,13 @@ def _grown(kinds: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
     others = each.select("mark", F.struct(F.col("order"), "line", "n").alias("other"))
     bound = _allowed(F.col("n"), F.col("other.n"))
     apt = (F.col("other.order") < F.col("order")) & (bound >= 2) & (F.abs(F.col("n") - F.col("other.n")) <= bound)
-    pair = ["line", "n", "order", "other"]
     earliest = others.groupBy("mark").agg(F.min("other").alias("other"))
-    near = staged(_verified(askers.join(earliest, "mark").filter(apt).select(*pair), docs, doc_id, text), "near")
-    left = askers.join(near, ["line", "n"], "left_anti")
-    return near.unionByName(_verified(left.join(others, "mark").filter(apt).select(*pair), docs, doc_id, text))
+    asks = staged(askers.join(earliest, "mark").filter(apt).select("line", "n", "order", "other").distinct(), "asks")
+    words = _words_of(asks.select("line", "n", "order").unionByName(asks.select("other.line", "other.n", "other.order")), docs, doc_id, text)
+    asks = asks.select("line", "n", F.col("other.line").alias("other_line"), F.col("other.n").alias("other_n"))
+    near = staged(_verified(asks, words), "near")
+    left = staged(askers.join(near, ["line", "n"], "left_anti"), "left")
+    return near.unionByName(_alike(left, others, docs, doc_id, text))
 
 
 def line_fates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grown: bool = False) -> DataFrame:
@@ -256,8 +292,8 @@ def _dropped(docs: DataFrame, doc_id: str, text: str, grown: bool = False) -> Da
     return staged(fates.groupBy(F.col("id").alias("lost_id"), F.col("key").alias("lost_key")).agg(copies, near), "dropped")
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grown: bool = False) -> DataFrame:
-    """All rows and columns, the texts without the lines that are dropped."""
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grown: bool = False, emptied: bool = True) -> DataFrame:
+    """All columns, the texts without the lines that are dropped; rows whose texts lose all words go unless ``emptied``."""
     lost = _dropped(docs, doc_id, text, grown).select("lost_id", "lost_key", F.array_union("copies", "near").alias("gone"))
     lines = F.split(column(text), "\n", -1)
     rows = wrapped(docs, column(doc_id).alias("id"), text_key(column(text)).alias("key"), lines.alias("lines"))
@@ -265,6 +301,8 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", grown:
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     rest = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
     whole = F.col("row")[text]
+    if not emptied:
+        joined = joined.filter(F.col("gone").isNull() | rest.rlike(r"[^\x20\x09-\x0D]"))
     return joined.select(*(F.when(F.col("gone").isNull(), whole).otherwise(rest).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 

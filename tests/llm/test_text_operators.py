@@ -63,6 +63,12 @@ def test_contamination_of_odd_rows(odd, items, documents):
 # ---------------------------------------------------------------- line dedup
 
 
+def test_texts_that_lose_all_words(documents):
+    texts = ["one\ntwo", "two\n\n one", None, "", " \n", "two\nthree"]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(documents(texts), emptied=False).collect()}
+    assert kept == {0: "one\ntwo", 2: None, 3: "", 4: " \n", 5: "three"}
+
+
 def test_lines_within_one_word(documents, by_id):
     line = "a b c d e f g h i j"
     texts = [
