@@ -26,8 +26,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier line equals or nearly equals, by a word in 20; ``n_chars`` follows the text."""
-    cleaned = line_dedup.cleaned(docs, grown=True)
+    """The documents without lines that an earlier line equals or nearly equals, by a word in 20; ``n_chars`` follows the text.
+
+    Documents that lose every word are copies as a whole, and go.
+    """
+    cleaned = line_dedup.cleaned(docs, grown=True, emptied=False)
     return cleaned.select(
         *((F.char_length("text").cast(t).alias(c) if c == "n_chars" else F.col(c)) for c, t in cleaned.dtypes)
     )
