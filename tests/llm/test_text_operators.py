@@ -140,8 +140,12 @@ def test_the_bound_of_the_stage_grows_with_the_line(documents, by_id, spark):
         return word_edits(a, b) <= (0 if n < line_dedup.MIN_WORDS else max(1, n // line_dedup.EDIT_WORDS))
 
     expected = [any(near(x, y) for y in lines[:i]) for i, x in enumerate(lines)]
-    found = by_id(corpus_pipeline.drop_lines(spark, documents([" ".join(x) for x in lines]).withColumnRenamed("size", "n_chars"), ""))
+    docs = documents([" ".join(x) for x in lines])
+    found = by_id(line_dedup.cleaned(docs, grown=True))
     assert [found[i]["text"] == "" for i in range(len(lines))] == expected and 20 < sum(expected) < 80
+    # In the pipeline a document that has lost all its lines goes.
+    left = by_id(corpus_pipeline.drop_lines(spark, docs.withColumnRenamed("size", "n_chars"), ""))
+    assert [i not in left for i in range(len(lines))] == expected
 
 
 def test_grown_bound_of_odd_rows(odd, documents):
