@@ -3,10 +3,14 @@
 Each value takes its best-scoring requirement, the earliest one on ties:
 equal code 1.0, equal normalised text 0.95, one text inside the other 0.9, else the matching-block ratio.
 
-Rows are judged where they lie: nothing is joined or shuffled, whatever the list's length. The list travels to the
-tasks in blocks of at most ``BLOCK_BYTES`` of text, a block is one search over the distinct values of a task, and the
-best of the blocks is taken. So neither a value without text nor a popular one makes a task larger, and no pair of
-value and requirement becomes a row.
+A list of up to ``SHIPPED_LIST`` requirements goes to the rows, which are judged where they lie. A longer one stays a table:
+
+1. Equal codes and equal texts are joins of the distinct values with the earliest requirement of each key.
+2. One text lies inside another only if the other has its rarest pair of characters; texts meet by that pair, and
+   containment is then tested. Texts of one character meet by it.
+3. Ratios: values and texts are dealt into blocks, and each block of values meets each block of texts in one task, which
+   measures only pairs whose bounds on shared characters and common subsequences reach the best score known.
+4. The rows are joined with the results of their values. A popular value has one result, however many rows it has.
 """
 
 from __future__ import annotations
@@ -17,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ruleloom.functions import text as X
+from ruleloom.functions.nearest import nearest
 from ruleloom.functions.params import round4
-from ruleloom.functions.similarity import TextBlock, each_once
+from ruleloom.functions.similarity import each_once
 from ruleloom.operators.dedup import keep_first
 from ruleloom.operators.ordering import POSITION, with_position
 from ruleloom.schema import SOURCE, quoted
+from ruleloom.session import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # as in the similarity module
 
@@ -38,7 +45,9 @@ BRACKETED = r"(?U)^(.*?)（\s*([0-9]{4,6}[A-Z]{0,3})\s*）"
 BARE_CODE = r"^[0-9]{4,6}[A-Z]{0,3}$"
 
 PLAIN_LIST = 500  # requirements up to which the exact tiers are native expressions; longer lists use the same search
-BLOCK_BYTES = 16 << 20  # text of the requirements that one search holds
+SHIPPED_LIST = 2000  # requirements up to which the list goes to the rows
+BLOCK = 4096  # values, and texts of a longer list, that meet in one task
+RESULT_BYTES = 32 << 20  # results of distinct values up to which they are broadcast to the rows
 BLOCK_TYPE = "array<struct<pos:bigint,norm:string>>"
 
 
@@ -92,16 +101,12 @@ def _ladder(code_pos: Column, text_pos: Column, inside_pos: Column) -> Column:
 def _best_of(values: list[str], items: list[tuple[int, str]], ratios: bool) -> list[tuple[float, int | None]]:
     """Best score and requirement position of each value by text (all tiers but the code)."""
     best, best_pos = np.zeros(len(values)), np.full(len(values), np.inf)
-    block = TextBlock(values)
-    lengths = np.array([len(v) for v in values])
     for pos, text in items:
         score = np.array([_text_tier(v, text) for v in values])
-        bound = 2.0 * np.minimum(lengths, len(text)) / np.maximum(lengths + len(text), 1)
-        promising = ratios & (score == 0.0) & ((bound > best) | ((bound == best) & (pos < best_pos)))
-        if promising.any():
-            score = np.where(promising, block.sequence_ratios(text, only=promising), score)
         better = (score > best) | ((score == best) & (score > 0.0) & (pos < best_pos))
         best, best_pos = np.where(better, score, best), np.where(better, pos, best_pos)
+    if ratios:
+        nearest(values, best, best_pos, [text for _, text in items], np.array([pos for pos, _ in items]))
     return [(b, None if np.isinf(p) else int(p)) for b, p in zip(best.tolist(), best_pos.tolist())]
 
 
@@ -165,27 +170,112 @@ def _native(norm: Column, code: Column, rows: list[tuple[int, str, str, str]]) -
     return F.element_at(F.transform(F.array(_ladder(code_pos, text_pos, inside)), named), 1)
 
 
-def _blocks(reqs: DataFrame) -> Iterator[list[tuple[int, str, str, str]]]:
-    """The list in blocks of (pos, name, norm, code) of a bounded size, numbered in its order."""
-    order = ["req_idx", "norm", "code", "name"]
-    block, size, empty = [], 0, True
-    for pos, r in enumerate(reqs.select(*order).orderBy(*order).toLocalIterator(), start=1):
-        block.append((pos, r["name"], r["norm"], r["code"] or ""))
-        size += len(r["norm"]) + len(r["name"]) + 64
-        empty = False
-        if size > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if empty:
+ORDER = ["req_idx", "norm", "code", "name"]
+
+
+def _shipped(reqs: DataFrame, most: int) -> list[tuple[int, str, str, str]] | None:
+    """A short list as (pos, name, norm, code), numbered in its order; None if it is longer."""
+    rows = reqs.select(*ORDER).limit(most + 1).collect()
+    if not rows:
         raise ValueError("the requirement list is empty")
-    if block:
-        yield block
+    if len(rows) > most:
+        return None
+    first = sorted(rows, key=lambda r: (r["req_idx"], r["norm"], r["code"] or "", r["name"]))
+    return [(pos, r["name"], r["norm"], r["code"] or "") for pos, r in enumerate(first, start=1)]
+
+
+def _score(score, pos: Column) -> Column:
+    """Orders by score and then by position, the earliest first."""
+    return F.struct((F.lit(score) if isinstance(score, float) else score).alias("score"), (-pos).alias("before"))
+
+
+def _pairs_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2))))
+
+
+def _holding(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """Pairs ``needle, hay`` of different texts, one inside the other, of tables of distinct texts ``needle`` and ``hay``."""
+    size = F.char_length("needle")
+    places = hay.filter(F.char_length("hay") > 1)
+    grams = staged(places.select("hay", F.explode(_pairs_of(F.col("hay"))).alias("gram")), "grams")
+    many = grams.groupBy("gram").agg(F.count("*").alias("many"))
+    asked = needles.filter(size > 1).select("needle", F.explode(_pairs_of(F.col("needle"))).alias("gram"))
+    # A pair of characters that no text has rules its needle out: it is the rarest, and meets nothing.
+    rarest = asked.join(many, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "gram")).alias("x"))
+    met = rarest.filter("x.many > 0").select("needle", F.col("x.gram").alias("gram")).join(grams, "gram")
+    single = needles.filter(size == 1)
+    letters = places.select("hay", F.explode(F.array_distinct(F.split("hay", ""))).alias("needle"))
+    met = met.select("needle", "hay").unionByName(letters.join(single, "needle").select("needle", "hay"))
+    return met.filter((F.col("needle") != F.col("hay")) & F.contains("hay", F.col("needle")))
+
+
+def _nearest_of_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+    values, texts = left.column("norm").to_pylist(), right.column("norm").to_pylist()
+    best = left.column("score").to_numpy().astype(np.float64)
+    best_pos = left.column("pos").to_numpy(zero_copy_only=False).astype(np.float64)
+    best_pos = np.where(np.isnan(best_pos), np.inf, best_pos)
+    if values and texts:
+        nearest(values, best, best_pos, texts, right.column("pos").to_numpy())
+    found = np.isfinite(best_pos)
+    pos = pa.array(np.where(found, best_pos, 0).astype(np.int64))
+    return pa.table({"norm": left.column("norm"), "score": pa.array(best), "pos": pos}).filter(pa.array(found))
+
+
+def _blocks_of(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // BLOCK))
+
+
+def _text_results(texts: DataFrame, by_norm: DataFrame, ratios: bool) -> DataFrame:
+    """``norm, score, pos`` of the distinct texts ``norm`` that have any, by all tiers but the code."""
+    best = F.max("best").alias("best")
+    same = texts.join(by_norm, "norm").select("norm", _score(SAME_TEXT, F.col("pos")).alias("best"))
+    mine, listed = texts.filter("norm != ''"), by_norm.filter("norm != ''")
+    value, text = (lambda name: mine.select(F.col("norm").alias(name))), (lambda name: listed.select(F.col("norm").alias(name)))
+    inside = _holding(text("needle"), value("hay")).select(F.col("hay").alias("norm"), F.col("needle").alias("text"))
+    inside = inside.unionByName(_holding(value("needle"), text("hay")).select(F.col("needle").alias("norm"), F.col("hay").alias("text")))
+    inside = inside.join(listed.select(F.col("norm").alias("text"), "pos"), "text").select("norm", _score(INSIDE, F.col("pos")).alias("best"))
+    found = same.unionByName(inside).groupBy("norm").agg(best)
+    found = staged(found.select("norm", "best.score", (-F.col("best.before")).alias("pos")), "exact-tiers")
+    if not ratios:
+        return found
+    parts, blocks = _blocks_of(mine), _blocks_of(listed)
+    dealt = lambda n: F.pmod(F.xxhash64("norm"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = mine.join(found, "norm", "left").select("norm", F.coalesce("score", F.lit(0.0)).alias("score"), "pos", dealt(parts).alias("part"))
+    left = left.select("*", every(blocks).alias("block"))
+    right = listed.select("norm", "pos", dealt(blocks).alias("block")).select("*", every(parts).alias("part"))
+    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_nearest_of_blocks, "norm string, score double, pos long")
+    met = met.select("norm", _score(F.col("score"), F.col("pos")).alias("best")).groupBy("norm").agg(best)
+    blank = found.filter("norm = ''")
+    return met.select("norm", "best.score", (-F.col("best.before")).alias("pos")).unionByName(blank)
+
+
+def _joined(prepared: DataFrame, reqs: DataFrame, ratios: bool) -> DataFrame:
+    """The rows with ``__best`` of a list of any length."""
+    listed = with_position(reqs.select(*ORDER), ORDER).withColumnRenamed(POSITION, "pos")
+    listed = staged(listed.select("name", "norm", "code", "pos"), "list")
+    least = F.min("pos").alias("pos")
+    by_code, by_norm = listed.filter("code != ''").groupBy("code").agg(least), staged(listed.groupBy("norm").agg(least), "texts")
+    values = prepared.filter(F.col("__norm").isNotNull()).select(F.col("__norm").alias("norm"), F.coalesce("__code", F.lit("")).alias("code")).distinct()
+    values = staged(values.join(by_code, "code", "left"), "values")
+    coded = values.filter("pos is not null").select("norm", "code", F.lit(SAME_CODE).alias("score"), "pos")
+    other = values.filter("pos is null").select("norm", "code")
+    results = other.join(_text_results(staged(other.select("norm").distinct(), "norms"), by_norm, ratios), "norm")
+    results = coded.unionByName(results.select(*coded.columns)).join(listed.select("pos", "name", F.col("code").alias("found")), "pos")
+    best = F.struct("score", "pos", "name", F.coalesce("found", F.lit("")).alias("code")).alias("__best")
+    results = staged(results.select(F.col("norm").alias("__n"), F.col("code").alias("__c"), best), "results")
+    size = results.agg(F.coalesce(F.sum(F.octet_length("__n") + F.octet_length("__best.name") + 80), F.lit(0))).first()[0]
+    same = (F.col("__norm") == F.col("__n")) & (F.coalesce("__code", F.lit("")) == F.col("__c"))
+    return prepared.join(F.broadcast(results) if size <= RESULT_BYTES else results, same, "left")
 
 
 def best_match(
-    df: DataFrame, column: str, reqs: DataFrame, threshold: float = 0.8, similarity: str = "sequence", plain_list: int | None = None
+    df: DataFrame, column: str, reqs: DataFrame, threshold: float = 0.8, similarity: str = "sequence", plain_list: int | None = None, shipped_list: int | None = None
 ) -> DataFrame:
-    """Add ``_match, _matched_name, _matched_code, _score``; ``similarity="none"`` leaves the last tier out."""
+    """Add ``_match, _matched_name, _matched_code, _score``; ``similarity="none"`` leaves the last tier out.
+
+    ``plain_list`` and ``shipped_list`` set how long a list may be for the ways that need no join; no result depends on them.
+    """
     if column not in df.columns:
         raise ValueError(f"column {column!r} does not exist")
     text = F.col(quoted(column)).cast("string")
@@ -195,18 +285,14 @@ def best_match(
         F.when(has_text, X.normalize_strict(text)).alias("__norm"),
         F.when(has_text, X.extract_code(text)).alias("__code"),
     )
-    found = []
-    for number, block in enumerate(_blocks(reqs)):
-        if similarity != "sequence" and number == 0 and len(block) <= (PLAIN_LIST if plain_list is None else plain_list):
-            one = _native(F.col("__norm"), F.col("__code"), block)
-        else:
-            one = _search(block, similarity == "sequence")(F.col("__norm"), F.col("__code"))
-        found.append(f"__best{number}")
-        prepared = prepared.withColumn(found[-1], one)
-    best = F.col(found[0])
-    for other in found[1:]:  # a later block holds later requirements, so it has to be better
-        best = F.when(F.col(other)["score"] > best["score"], F.col(other)).otherwise(best)
-    scored = prepared.withColumn("__best", best)
+    ratios = similarity == "sequence"
+    block = _shipped(reqs, SHIPPED_LIST if shipped_list is None else shipped_list)
+    if block is None:
+        scored = _joined(prepared, reqs, ratios)
+    elif not ratios and len(block) <= (PLAIN_LIST if plain_list is None else plain_list):
+        scored = prepared.withColumn("__best", _native(F.col("__norm"), F.col("__code"), block))
+    else:
+        scored = prepared.withColumn("__best", _search(block, ratios)(F.col("__norm"), F.col("__code")))
     score = F.coalesce("__best.score", F.lit(0.0))
     hit = F.col("__best.name").isNotNull() & (score >= F.lit(float(threshold)))
     return scored.select(

@@ -521,7 +521,7 @@ def best_match_long_list(spark, folder):
     return M.best_match(_candidates(spark, folder), "major", reqs, threshold=0.92, similarity="none", plain_list=0)
 
 
-@query("best_match_full", f"""with recursive {PARSED_SQL}, v as (select p_partkey, {T.NAME_OR_MAJOR_SQL} as major from part),
+BEST_MATCH_FULL_SQL = f"""with recursive {PARSED_SQL}, v as (select p_partkey, {T.NAME_OR_MAJOR_SQL} as major from part),
     n as (select *, {T.strict_sql('major')} as norm, regexp_extract(major, '[0-9]{{4,6}}') as code from v),
     r as (select norm, min(req_idx) as req_idx from reqs group by norm),
     c as (select code, min(req_idx) as req_idx from reqs where code <> '' group by code),
@@ -533,12 +533,44 @@ def best_match_long_list(spark, folder):
       from n left join c on c.code = n.code left join t on t.a = n.norm)
     select p_partkey, major, score >= 0.6::double as _match, case when score >= 0.6::double then reqs.name else '' end as _matched_name,
       case when score >= 0.6::double then reqs.code else '' end as _matched_code, round_even(score, 4) as _score
-    from f join reqs on reqs.req_idx = f.req_idx""")
+    from f join reqs on reqs.req_idx = f.req_idx"""
+
+
+@query("best_match_full", BEST_MATCH_FULL_SQL)
 def best_match_full(spark, folder):
     reqs = M.parse_requirements(T.requirement_lines(spark, folder))
     return M.best_match(_candidates(spark, folder), "major", reqs, threshold=0.6)
 
 
+@query("best_match_joined", BEST_MATCH_FULL_SQL)
+def best_match_joined(spark, folder):
+    """The same by the joins and blocks that a list of any length takes."""
+    reqs = M.parse_requirements(T.requirement_lines(spark, folder))
+    return M.best_match(_candidates(spark, folder), "major", reqs, threshold=0.6, shipped_list=0)
+
+
+KINDS = "concat(p_type, ' ', cast(p_size as {text}), ' ', p_brand)"
+
+
+@query("best_match_growing", f"""with r as (select {KINDS.format(text='varchar')} as name, min(p_partkey) as req_idx from part group by 1),
+    l as (select name, req_idx, {T.strict_sql('name')} as norm from r),
+    v as (select p_partkey, concat(p_name, ' ', p_type, ' ', cast(p_size as varchar), ' ', p_brand) as kind from part),
+    n as (select *, {T.strict_sql('kind')} as norm from v),
+    s as (select p_partkey, name, case when n.norm = l.norm then 0.95::double else 0.9::double end as score, req_idx
+      from n join l on contains(n.norm, l.norm) or contains(l.norm, n.norm)),
+    b as (select * from (select *, row_number() over (partition by p_partkey order by score desc, req_idx) as k from s) where k = 1)
+    select p_partkey, kind, name is not null as _match, coalesce(name, '') as _matched_name, '' as _matched_code, coalesce(score, 0.0::double) as _score
+    from v left join b using (p_partkey)""")
+def best_match_growing(spark, folder):
+    """Values and a list that both grow with the table, matched by what lies inside what."""
+    part = table(spark, folder, "part")
+    name = F.expr(KINDS.format(text="string"))
+    listed = part.groupBy(name.alias("name")).agg(F.min("p_partkey").alias("req_idx"))
+    reqs = listed.select("name", X.normalize_strict("name").alias("norm"), F.lit("").alias("code"), "req_idx")
+    values = part.select("p_partkey", F.concat("p_name", F.lit(" "), name).alias("kind"))
+    return M.best_match(values, "kind", reqs, threshold=0.9, similarity="none", shipped_list=0)
+
+
 # ---------------------------------------------------------------- dedup, unions, order, limits
 
 

@@ -37,10 +37,10 @@ TEXTS = ["信息资源管理（120503）", "信息资源管理", "信息资源",
          "。。。", "数学", "智能体育", "体育智能工程", "Software", "工程软件", "12050"]
 
 
-@pytest.mark.parametrize("block_bytes", [M.BLOCK_BYTES, 100])
+@pytest.mark.parametrize("shipped", [M.SHIPPED_LIST, 3])
 @pytest.mark.parametrize("threshold", [0.0, 0.8, 0.92])
-def test_against_plain(spark, lines, monkeypatch, block_bytes, threshold):
-    monkeypatch.setattr(M, "BLOCK_BYTES", block_bytes)
+def test_against_plain(spark, lines, monkeypatch, shipped, threshold):
+    monkeypatch.setattr(M, "SHIPPED_LIST", shipped)
     reqs = M.parse_requirements(lines)
     listed = [(r["name"], r["code"]) for r in reqs.orderBy("req_idx").collect()]
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, major string")
@@ -74,7 +74,8 @@ def test_list_in_blocks_against_plain(spark, monkeypatch):
     frame = spark.createDataFrame(reqs, "name string, norm string, code string, req_idx long")
     df = spark.createDataFrame(list(enumerate(texts)), "id int, major string")
     whole = matched(M.best_match(df, "major", frame, 0.5))
-    monkeypatch.setattr(M, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(M, "SHIPPED_LIST", 10)
+    monkeypatch.setattr(M, "BLOCK", 16)
     found = matched(M.best_match(df, "major", frame, 0.5))
     assert len(found) == len(texts)
     listed = [(n, c) for n, _, c, _ in reqs]
@@ -83,7 +84,9 @@ def test_list_in_blocks_against_plain(spark, monkeypatch):
         assert found[i] == (hit, name, code, pytest.approx(score, abs=5.1e-5)), text
     assert found == whole
     exact = matched(M.best_match(df, "major", frame, 0.5, similarity="none"))
-    monkeypatch.setattr(M, "BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr(M, "RESULT_BYTES", 0)
+    assert matched(M.best_match(df, "major", frame, 0.5, similarity="none")) == exact
+    monkeypatch.setattr(M, "SHIPPED_LIST", 1000)
     for most in (500, 10):
         monkeypatch.setattr(M, "PLAIN_LIST", most)
         assert matched(M.best_match(df, "major", frame, 0.5, similarity="none")) == exact
