@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import logging
 import posixpath
-import re
 from collections import Counter
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +13,8 @@ from pyspark.sql import functions as F
 from ruleloom.operators.dedup import append, dedup, dedup_keys
 from ruleloom.schema import RULE_COLUMNS, SOURCE, quoted
 from ruleloom.session import data_files, path_exists
-from ruleloom.sources.tables import format_of, source_name
+from ruleloom.sources.delimited import WRITTEN, headers, read_records
+from ruleloom.sources.tables import PLACE, format_of, place_of, source_name
 
 log = logging.getLogger(__name__)
 BATCH = "_batch"
@@ -33,9 +32,6 @@ def _format(name: str) -> str:
     return "csv"
 
 
-PLACE = r"^[A-Za-z0-9]+:(?://[^/]*)?"  # the scheme and host of a path
-
-
 def output_names(paths: Sequence[str]) -> dict[str, str]:
     """Path to output name: the base name; equal base names of different paths get a number."""
     used, names = Counter(), {}
@@ -46,16 +42,12 @@ def output_names(paths: Sequence[str]) -> dict[str, str]:
     return names
 
 
-def _place(path: str) -> str:
-    return re.sub(PLACE, "", unquote(path)).rstrip("/")
-
-
 def with_output_name(df: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
     """Add ``_source``, the output name of the path a row comes from (else of its file), and ``_source_no``, its place
     in the list of paths. The names are joined by file; the table of files is that of the scan's own listing."""
-    named = {_place(p): (number, name) for number, (p, name) in enumerate(output_names(paths).items())}
+    named = {place_of(p): (number, name) for number, (p, name) in enumerate(output_names(paths).items())}
     rows = []
-    for file in {_place(f) for f in df.inputFiles()} if named else ():
+    for file in {place_of(f) for f in df.inputFiles()} if named else ():
         above = file
         while above and above not in named:
             above = above.rpartition("/")[0]
@@ -73,7 +65,7 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "
     """Write a result; a format Spark does not write becomes CSV."""
     writer = df.write.mode(mode).format(_format(format))
     if _format(format) == "csv":
-        writer = writer.options(header=True, quote='"', escape='"')
+        writer = writer.options(**WRITTEN)
     writer.save(path)
 
 
@@ -82,7 +74,7 @@ def write_by_source(df: DataFrame, path: str, format: str = "parquet", append: b
     spread = df.hint("rebalance", F.col(OUTPUT))
     writer = spread.write.mode("append" if append else "errorifexists").partitionBy(OUTPUT).format(_format(format))
     if _format(format) == "csv":
-        writer = writer.options(header=True, quote='"', escape='"')
+        writer = writer.options(**WRITTEN)
     writer.save(path)
 
 
@@ -90,10 +82,16 @@ def read_by_source(spark: SparkSession, path: str, format: str = "parquet") -> D
     """What earlier runs have written per source; None if there is nothing."""
     if not data_files(spark, path):
         return None
-    reader = spark.read.format(_format(format))
     if _format(format) == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=True)
-    return reader.load(path)
+        return _read_csv_result(spark, path)
+    return spark.read.format(_format(format)).load(path)
+
+
+def _read_csv_result(spark: SparkSession, path: str) -> DataFrame:
+    listed = headers(spark, path)
+    if not listed:
+        return spark.read.csv(path, header=True)
+    return read_records(spark, path, listed[0][1], provenance=False)
 
 
 def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
@@ -129,7 +127,7 @@ def read_result(spark: SparkSession, path: str) -> DataFrame:
 def _read_version(spark: SparkSession, version: str) -> DataFrame:
     kind = format_of(spark, version)
     if kind == "csv":
-        return spark.read.csv(version, header=True, quote='"', escape='"', multiLine=True)
+        return _read_csv_result(spark, version)
     return spark.read.format(kind).load(version)
 
 
@@ -221,4 +219,4 @@ def append_increment(
 
 def export_rules(rules: DataFrame, path: str) -> None:
     """A rule table as CSV with header, in one file since it is small by definition."""
-    rules.select(*RULE_COLUMNS).coalesce(1).write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+    rules.select(*RULE_COLUMNS).coalesce(1).write.csv(path, **WRITTEN | {"emptyValue": ""})

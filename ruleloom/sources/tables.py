@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 import os
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from ruleloom.operators.dedup import union_by_name
 from ruleloom.schema import ROW, SHEET, SOURCE, quoted
 from ruleloom.session import data_files, full_paths
+from ruleloom.sources.delimited import ASCII_BASED, headers, read_records
 
 log = logging.getLogger(__name__)
 
@@ -64,11 +67,16 @@ def with_provenance(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """CSV (file, folder, glob, or a list with one header) as text, nothing inferred.
 
-    Fields may hold line breaks; where none does, ``multi_line=False`` lets Spark split large files.
+    Fields may hold line breaks, and come back as they were written; large files are split all the same. Where no field
+    holds a line break, ``multi_line=False`` lets Spark read the records by itself. An encoding that is not based on
+    ASCII takes one task per file.
     """
+    if multi_line and encoding.upper() in ASCII_BASED:
+        listed = headers(spark, path, encoding)
+        if listed:
+            return read_records(spark, path, listed[0][1], encoding)  # a file of the folder with other columns is an error
     settings = dict(header=True, quote='"', escape='"', encoding=encoding, multiLine=multi_line)
-    raw = spark.read.csv(path, enforceSchema=False, **settings)  # a file of the folder with other columns is an error
-    return with_provenance(raw)
+    return with_provenance(spark.read.csv(path, enforceSchema=False, **settings))
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -99,13 +107,23 @@ def read_table(
     raise ValueError(f"format {kind!r} is not read")
 
 
-def _schema_key(spark: SparkSession, path: str, kind: str, encoding: str) -> tuple:
-    """What paths must share to be read by one scan."""
-    if kind == "csv":
-        return tuple(spark.read.csv(path, header=True, quote='"', escape='"', encoding=encoding).columns)
-    if kind in ("parquet", "orc"):
-        return tuple(spark.read.format(kind).load(path).dtypes)
-    return (path,) if kind == "json" else ()
+PLACE = r"^[A-Za-z0-9]+:(?://[^/]*)?"  # the scheme and host of a path
+
+
+def place_of(path: str) -> str:
+    """A path without scheme, host and escapes."""
+    return re.sub(PLACE, "", unquote(path)).rstrip("/")
+
+
+def _csv_columns(spark: SparkSession, paths: list[str], encoding: str) -> dict[str, list[str]]:
+    """The columns of each path; one job reads the headers of all files."""
+    named, columns = {place_of(p): p for p in paths}, {}
+    for file, found in headers(spark, paths, encoding):
+        above = place_of(file)
+        while above and above not in named:
+            above = above.rpartition("/")[0]
+        columns.setdefault(named.get(above), found)
+    return columns
 
 
 def read_tables(
@@ -118,11 +136,17 @@ def read_tables(
     found = present_paths(spark, paths)
     if not found:
         raise FileNotFoundError("none of the paths exists")
+    kinds = {p: format or format_of(spark, p) for p in found}
+    texts = [p for p, kind in kinds.items() if kind == "csv"]
+    ascii_based = encoding.upper() in ASCII_BASED
+    columns = _csv_columns(spark, texts, encoding) if texts and ascii_based else {}
     alike: dict[tuple, list[str]] = {}
-    for p in found:
-        kind = format or format_of(spark, p)
-        alike.setdefault((kind, _schema_key(spark, p, kind, encoding)), []).append(p)
-    parts = [read_table(spark, ps, sheet, kind, encoding, multi_line) for (kind, _), ps in alike.items()]
+    for p, kind in kinds.items():
+        alike.setdefault((kind, _schema_key(spark, p, kind, encoding, columns)), []).append(p)
+    parts = []
+    for (kind, key), ps in alike.items():
+        split = kind == "csv" and multi_line and ascii_based and key
+        parts.append(read_records(spark, ps, list(key), encoding) if split else read_table(spark, ps, sheet, kind, encoding, multi_line))
     types: dict[str, set[str]] = {}
     for name, dtype in (t for p in parts for t in p.dtypes):
         types.setdefault(name, set()).add(dtype)
@@ -131,6 +155,17 @@ def read_tables(
     return union_by_name(parts)
 
 
+def _schema_key(spark: SparkSession, path: str, kind: str, encoding: str, columns: dict[str, list[str]]) -> tuple:
+    """What paths must share to be read by one scan."""
+    if kind == "csv":
+        if encoding.upper() in ASCII_BASED:
+            return tuple(columns.get(path, ()))
+        return tuple(spark.read.csv(path, header=True, quote='"', escape='"', encoding=encoding).columns)
+    if kind in ("parquet", "orc"):
+        return tuple(spark.read.format(kind).load(path).dtypes)
+    return (path,) if kind == "json" else ()
+
+
 def select_sheets(df: DataFrame, sheet: str, ordinal: str = "_sheet_no") -> DataFrame:
     """'' takes the first sheet of every file, 'A,B' the named ones, '*' all; naming only absent ones is an error."""
     wanted = sheet.strip()
