@@ -713,7 +713,7 @@ def pairs_json(spark, folder):
     from orders where o_totalprice >= 250000) where r = 1""")
 def job_merge_only(spark, folder):
     """A job that writes the merged result alone."""
-    rows = table(spark, folder, "orders").coalesce(1).sortWithinPartitions("o_orderkey")
+    rows = table(spark, folder, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
     out = scratch_path(spark, "job")
     jobs.screen_files(spark, _as_files(spark, rows, "o_orderstatus"), [("o_totalprice", "number", "min", "250000")], out, key="o_custkey", merge_only=True)
     return K.read_result(spark, f"{out}/merged").select(F.col("o_orderkey").cast("long"))
@@ -920,7 +920,7 @@ def job_append_by_source(spark, folder):
     rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     out, rules = scratch_path(spark, "job"), [("o_totalprice", "number", "min", "200000.25")]
     for part in (rows.filter("o_orderpriority < '3'"), rows.filter("not o_orderpriority < '3'")):
-        jobs.screen_files(spark, _as_files(spark, part.coalesce(1).sortWithinPartitions("o_orderkey"), "o_orderstatus"), rules, out, key="o_custkey", append=True)
+        jobs.screen_files(spark, _as_files(spark, part.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey"), "o_orderstatus"), rules, out, key="o_custkey", append=True)
     return K.read_by_source(spark, f"{out}/by_source").select(F.col("o_orderkey").cast("long"), F.col(K.OUTPUT).cast("string"))
 
 
@@ -937,20 +937,46 @@ def job_patterns(spark, folder):
     from orders where o_totalprice >= 200000) where r = 1""")
 def job_source_order(spark, folder):
     """Sources given in reverse order of their names, merged as CSV: the first source given keeps its row."""
-    rows = table(spark, folder, "orders").coalesce(1).sortWithinPartitions("o_orderkey")
+    rows = table(spark, folder, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
     files, out = _as_files(spark, rows, "o_orderstatus")[::-1], scratch_path(spark, "job")
     jobs.screen_files(spark, files, [("o_totalprice", "number", "min", "200000")], out, key="o_custkey", format="csv", reading={"multi_line": False})
     return K.read_result(spark, f"{out}/merged").select(F.col("o_orderkey").cast("long"))
 
 
-@query("csv_line_breaks", """select cast(doc_id as varchar) as doc_id, text from documents where text not like '%' || chr(13) || '%'""")
+ODD_TEXTS_SQL = """case doc_id % 6 when 0 then null when 1 then replace(text, chr(10), chr(13) || chr(10)) when 2 then text || chr(13)
+    when 3 then '  ' || text || chr(9) when 4 then chr(13) || replace(text, ' ', chr(13)) || chr(10) else text end"""
+
+
+@query("csv_line_breaks", f"""select cast(doc_id as varchar) as doc_id, {ODD_TEXTS_SQL} as text from documents
+    union all select 'empty' || cast(doc_id as varchar), '' from documents""")
 def csv_line_breaks(spark, folder):
-    """Texts with line breaks and quotes through CSV."""
-    docs, path = table(spark, folder, "documents").select("doc_id", "text"), scratch_path(spark, "texts")
-    K.write_table(docs.filter(~F.contains("text", F.lit("\r"))), path, "csv")
+    """Texts with line feeds, carriage returns, quotes, outer blanks, nothing, and empty ones through CSV."""
+    docs, path = table(spark, folder, "documents"), scratch_path(spark, "texts")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.expr(ODD_TEXTS_SQL).alias("text"))
+    empty = docs.select(F.concat(F.lit("empty"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit("").alias("text"))
+    K.write_table(texts.unionByName(empty), path, "csv")
     return C.read_tables(spark, [path], format="csv").select("doc_id", "text")
 
 
+BLANKS_SQL = "concat(case o_orderkey % 3 when 0 then ' ' when 1 then chr(9) else '  ' end, o_orderpriority, case o_orderkey % 2 when 0 then ' ' else chr(10) end)"
+
+
+@query("csv_blanks_by_source", f"""select o_orderkey, o_orderstatus as _source, {BLANKS_SQL} as priority from orders
+    union all select o_orderkey, 'merged', priority from (select *, {BLANKS_SQL} as priority, row_number() over
+      (partition by o_custkey order by o_orderkey) as r from orders) where r = 1""")
+def csv_blanks_by_source(spark, folder):
+    """Values with blanks around them per source and in an appended result, as CSV."""
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.expr(BLANKS_SQL).alias("priority"), F.col("o_orderstatus").alias(K.OUTPUT))
+    path = scratch_path(spark, "blanks")
+    K.write_by_source(rows, f"{path}/by_source", "csv")
+    for part in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1"):
+        K.append_result(rows.filter(part).drop(K.OUTPUT), f"{path}/merged", ["o_orderkey"], deduplicate=False, format="csv")
+    merged = D.dedup(K.read_result(spark, f"{path}/merged").withColumn("number", F.col("o_orderkey").cast("long")), ["number"], key="o_custkey")
+    out = K.read_by_source(spark, f"{path}/by_source", "csv").select("o_orderkey", K.OUTPUT, "priority")
+    out = out.unionByName(merged.select("o_orderkey", F.lit("merged").alias(K.OUTPUT), "priority"))
+    return out.withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
 @query("number_long", """select o_orderkey from (select o_orderkey, 9007199254740992 + o_orderkey as k from orders)
     where k between 9007199254740993 and 9007199254750993""")
 def number_long(spark, folder):
@@ -959,11 +985,11 @@ def number_long(spark, folder):
     return S.screen(rows, [("k", "number", "between", "9007199254740993-9007199254750993")], hits_only=True).select("o_orderkey")
 
 
-@query("screen_weighted_boundary", """select o_orderkey, 0.1::double + case when o_totalprice >= 100000.5 then 0.1::double else 0 end
-    + case when o_orderstatus in ('F', 'O') then 0.6::double else 0 end >= 0.8::double as _match_all from orders where o_orderstatus = 'F'""")
+@query("screen_weighted_boundary", """select o_orderkey, case when o_orderstatus = 'F' then 0.1::double else 0 end + case when o_totalprice >= 100000.5 then 0.1::double else 0 end
+    + case when o_orderstatus in ('F', 'O') then 0.6::double else 0 end >= 0.8::double as _match_all from orders""")
 def screen_weighted_boundary(spark, folder):
     """Scores that meet the threshold only if they are added in the order of the rules."""
-    rows = table(spark, folder, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     rules = [
         ("o_orderstatus", "text", "equals", "F", "", "", "0.1"),
         ("o_totalprice", "number", "min", "100000.5", "", "", "0.1"),
@@ -972,16 +998,24 @@ def screen_weighted_boundary(spark, folder):
     return S.screen(rows, rules, mode="WEIGHTED", threshold=0.8).select("o_orderkey", "_match_all")
 
 
-@query("rule_diagnostics", """select * from (values (1, 'bad range'), (2, 'missing column'), (3, 'bad pattern')) t(rule_id, problem)
-    where (select count(*) from orders) > 0""")
+@query("rule_diagnostics", """with g as (select p_brand, p_size, min(p_name) as name from part group by all)
+    select case p_size % 4 when 0 then 'p_retailprice' when 1 then concat('no ', p_brand, ' ', p_size) else 'p_type' end as "column",
+      case p_size % 4 when 0 then concat(name, '-', p_brand, p_size) when 1 then p_brand else concat('[', p_brand, p_size) end as "value",
+      case p_size % 4 when 0 then 'bad range' when 1 then 'missing column' else 'bad pattern' end as problem from g where p_size % 4 <> 3""")
 def rule_diagnostics(spark, folder):
-    """What a rule table gets wrong about a table of orders."""
-    rules = R.as_rule_set(spark, [
-        ("o_totalprice", "number", "between", "low-high"), ("o_absent", "boolean", "is", "no"), ("o_orderstatus", "regex", "match", "["),
-    ])
-    orders = table(spark, folder, "orders")
-    found = rules.diagnostics(spark, orders.columns).select("rule_id", "problem")
-    return found.join(orders.limit(1).select(F.lit(1).alias("there"))).drop("there")
+    """What a rule table gets wrong about the parts it is made from: a rule for each brand and size, three of four bad."""
+    part = table(spark, folder, "part")
+    groups = part.groupBy("p_brand", "p_size").agg(F.min("p_name").alias("name"))
+    kinds = [
+        ("p_retailprice", "number", "between", F.concat("name", F.lit("-"), "p_brand", F.col("p_size").cast("string"))),
+        (F.concat(F.lit("no "), "p_brand", F.lit(" "), F.col("p_size").cast("string")), "boolean", "is", F.col("p_brand")),
+        ("p_type", "regex", "match", F.concat(F.lit("["), "p_brand", F.col("p_size").cast("string"))),
+        ("p_size", "number", "min", F.col("p_size").cast("string")),
+    ]
+    rules = [F.struct(*((F.lit(f) if isinstance(f, str) else f).alias(c) for f, c in zip(k, R.RULE_COLUMNS))) for k in kinds]
+    made = groups.select(F.get(F.array(*rules), F.col("p_size") % 4).alias("r")).select("r.*")
+    made = made.select("*", *(F.lit("").alias(c) for c in R.RULE_COLUMNS if c not in made.columns))
+    return R.as_rule_set(spark, made).diagnostics(spark, part.columns).select("column", "value", "problem")
 
 
 @query("stream_append", """select event_id, user_id, event_type from (select *, row_number() over (partition by user_id order by event_type, event_id) as r

@@ -7,6 +7,7 @@ lines are gathered and sent to the task that holds its beginning. Records are pa
 
 Lines end with a line feed, with or without a carriage return before it. Inside quotes nothing is changed: carriage
 returns, line feeds and blanks come back as they are. A field that is nothing is null, two quotes are the empty text.
+A header has to end within the first split of its file.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 WRITTEN = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 NOTHING = "\x00nothing\x00"  # stands for a field without characters while a record is parsed; two quotes are not null then
 PARSED = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "lineSep": "\n", "nullValue": NOTHING}
-ASCII_BASED = ("UTF-8", "UTF8", "US-ASCII", "ISO-8859-1", "WINDOWS-1252", "GBK", "GB2312")  # quotes and line feeds are bytes of their own
+ASCII_BASED = ("UTF-8", "UTF8", "US-ASCII", "ISO-8859-1")  # quotes and line feeds are bytes of their own, and Spark decodes a line
 
 
 def file_lines(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
