@@ -58,8 +58,9 @@ def test_a_field_longer_than_many_splits(spark, tmp_path, split_at):
 
 def test_names_encodings_and_many_headers(spark, tmp_path):
     assert D.column_names("a,,A,b\r") == ["a0", "_c1", "A2", "b"]
-    (tmp_path / "g.csv").write_bytes('名,值\n"一\n二",三\n'.encode("gbk"))
-    assert C.read_csv(spark, str(tmp_path / "g.csv"), encoding="GBK").select("名", "值").collect() == [("一\n二", "三")]
+    for encoding in ("UTF-16", "ISO-8859-1"):
+        (tmp_path / "g.csv").write_bytes('é,b\n"ü\nx",ß\n'.encode(encoding))
+        assert C.read_csv(spark, str(tmp_path / "g.csv"), encoding=encoding).select("é", "b").collect() == [("ü\nx", "ß")]
     for i in range(20):
         (tmp_path / f"{i}.csv").write_text(f"a,{'b' if i % 2 else 'c'}\n{i},x\n")
     df = C.read_tables(spark, [str(tmp_path / f"{i}.csv") for i in range(20)])
