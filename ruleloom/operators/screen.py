@@ -560,6 +560,39 @@ def fold_hits(hits: DataFrame, keys: Sequence[str], n_entries: int, mode: str =
     return grouped.select(*(F.col(quoted(k)) for k in keys), match.alias(MATCH), P.round4(total).alias(SCORE))
 
 
+def fold_rows(df: DataFrame, rules, keys: Sequence[str], mode: str = "OR", threshold: float = 0.8, **settings) -> DataFrame:
+    """``fold_hits`` of ``hits_long`` within each row: the facts of a row stay an array, so no row is shuffled.
+
+    Set rules are found by one broadcast join for each column and kind of text; beyond the measured size of a broadcast
+    that join is a shuffle. Repeated keys stay rows of their own. The arrays grow with the rules that hit, not with all.
+    """
+    s = plan_screening(df, rules, audit=True, **settings)
+    fact = "struct<rule_id:int,hit:boolean,x:double>"
+    own, base, found = [], s.base(), []
+    for group, term in enumerate(s.terms):
+        if not term.lookup:
+            hits = [(e.rule_id, F.coalesce(e.hit, F.lit(False)), F.coalesce(e.score, F.lit(0.0)) * F.lit(float(e.weight))) for e in term.entries]
+            own += [F.struct(F.lit(i).alias("rule_id"), hit.alias("hit"), x.alias("x")).cast(fact) for i, hit, x in hits]
+            continue
+        value, by_key = term.lookup
+        base = base.withColumn(f"__value{group}", value.cast("string"))
+        found.append((group, by_key))
+    facts = F.array(*own) if own else F.array().cast(f"array<{fact}>")
+    telling = F.filter(facts, lambda f: f["hit"] | (f["x"] != 0.0)).alias("__facts")
+    rows = base.select(*(F.col(quoted(k)) for k in keys), *(f"__value{group}" for group, _ in found), telling)
+    for group, by_key in found:
+        listed = [(k, [(e.rule_id, True, float(e.weight)) for e in es]) for k, es in by_key.items()]
+        size = sum(len(k.encode()) + 32 * len(es) for k, es in listed)
+        lookup = df.sparkSession.createDataFrame(listed, f"__value{group} string, __found array<{fact}>")
+        rows = rows.join(F.broadcast(lookup) if size <= BROADCAST_BYTES else lookup, f"__value{group}", "left")
+        more = F.when(F.col("__found").isNull(), F.col("__facts")).otherwise(F.concat("__facts", "__found"))
+        rows = rows.withColumn("__facts", more).drop("__found", f"__value{group}")
+    total = F.aggregate(F.array_sort("__facts"), F.lit(0.0), lambda a, f: a + f["x"])
+    n = F.size(F.filter("__facts", lambda f: f["hit"]))
+    match = {"AND": n == len(s.entries()), "OR": n > 0, "WEIGHTED": total >= F.lit(_threshold(threshold))}[mode]
+    return rows.select(*(F.col(quoted(k)) for k in keys), match.alias(MATCH), P.round4(total).alias(SCORE))
+
+
 def _with_total(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """The counts per source and one row for all, whose source columns are null."""
     sets = [[F.col(c) for c in by], []]

@@ -25,7 +25,7 @@ from ruleloom.sources import pairs as BP
 from ruleloom.sources import sinks as K
 from ruleloom.sources import tables as C
 from ruleloom.sources.workbook import workbook_rows
-from ruleloom.streaming.screening import append_stream, screen_stream
+from ruleloom.streaming.screening import append_stream, dedup_stream, screen_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -447,6 +447,15 @@ def rules_long_form(spark, folder):
     return S.fold_hits(hits, ["o_orderkey"], n_entries=5, mode="WEIGHTED", threshold=0.8)
 
 
+@query("rules_row_fold", f"""with {ORDER_HITS_SQL} select o_orderkey, total + case when o_orderstatus = 'F' then 0.25::double else 0 end
+    + case when left(cast(o_orderkey as varchar), 6) = '12345' then 2.0::double else 0 end >= 0.8::double as _match_all,
+    round_even(total + case when o_orderstatus = 'F' then 0.25::double else 0 end
+    + case when left(cast(o_orderkey as varchar), 6) = '12345' then 2.0::double else 0 end, 4) as _score_all from s""")
+def rules_row_fold(spark, folder):
+    """The long form without its shuffle: the facts of a row are folded where they are."""
+    return S.fold_rows(_orders(spark, folder), LONG_RULES, ["o_orderkey"], mode="WEIGHTED", threshold=0.8)
+
+
 @query("hits_per_source", """select event_type, count(*) as rows, count(*) filter (where value >= 20) as hits
     from events group by grouping sets ((event_type), ())""")
 def hits_per_source(spark, folder):
@@ -879,10 +888,8 @@ def job_match_files(spark, folder):
 BOOK_ROWS = 5000  # orders per workbook in the query below
 
 
-@query("excel_ingest", f"""select concat('book-', cast(o_orderkey // {BOOK_ROWS} as varchar), '.xlsx') as _source_file, o_orderstatus as _sheet,
-    row_number() over (partition by o_orderkey // {BOOK_ROWS}, o_orderstatus order by o_orderkey) - 1 as _row_idx,
-    cast(o_orderkey as varchar) as o_orderkey, o_orderpriority, lpad(cast(o_custkey as varchar), 7, '0') as o_custkey from orders""")
-def excel_ingest(spark, folder):
+def _books(spark, folder) -> DataFrame:
+    """A workbook for each block of orders, a sheet for each status."""
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", F.lpad(F.col("o_custkey").cast("string"), 7, "0").alias("o_custkey")
     )
@@ -890,10 +897,30 @@ def excel_ingest(spark, folder):
     build = workbooks_of(["o_orderkey", "o_orderpriority", "o_custkey"], "o_orderstatus")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     books = orders.withColumn("book", book).repartition(tasks, "book").groupBy("book").applyInPandas(build, "path string, content binary")
-    rows = workbook_rows(staged(books, "books"), "*")
+    return staged(books, "books")
+
+
+@query("excel_ingest", f"""select concat('book-', cast(o_orderkey // {BOOK_ROWS} as varchar), '.xlsx') as _source_file, o_orderstatus as _sheet,
+    row_number() over (partition by o_orderkey // {BOOK_ROWS}, o_orderstatus order by o_orderkey) - 1 as _row_idx,
+    cast(o_orderkey as varchar) as o_orderkey, o_orderpriority, lpad(cast(o_custkey as varchar), 7, '0') as o_custkey from orders""")
+def excel_ingest(spark, folder):
+    rows = workbook_rows(_books(spark, folder), "*")
     return rows.select("_source_file", "_sheet", "_row_idx", "o_orderkey", "o_orderpriority", "o_custkey")
 
 
+@query("excel_sheets", f"""with b as (select o_orderkey // {BOOK_ROWS} as book, o_orderstatus as s, o_orderkey as k,
+      row_number() over (partition by o_orderkey // {BOOK_ROWS}, o_orderstatus order by o_orderkey) - 1 as r from orders)
+    select 'named' as choice, concat('book-', cast(book as varchar), '.xlsx') as _source_file, s as _sheet, r as _row_idx, cast(k as varchar) as o_orderkey
+    from b where s in ('F', 'P') union all select 'first', concat('book-', cast(book as varchar), '.xlsx'), s, r, cast(k as varchar)
+    from b where s = (select min(c.s) from b c where c.book = b.book)""")
+def excel_sheets(spark, folder):
+    """Sheets by name, and the first of each book; the reader opens no other."""
+    books = _books(spark, folder)
+    kept = ["_source_file", "_sheet", "_row_idx", "o_orderkey"]
+    parts = [workbook_rows(books, sheet).select(F.lit(choice).alias("choice"), *kept) for choice, sheet in (("named", "F, P, absent"), ("first", ""))]
+    return parts[0].unionByName(parts[1])
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -1029,3 +1056,28 @@ def stream_append(spark, folder):
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
         append_stream(stream, f"{path}/out", f"{path}/checkpoint", ["event_id"], key="user_id").awaitTermination()
     return K.read_batches(spark, f"{path}/out").drop(K.BATCH)
+
+
+@query("stream_dedup", """select event_id, user_id, event_type from (select *, row_number() over (partition by user_id order by half, event_id) as r
+    from (select *, case when event_type >= 'p' then 0 else 1 end as half from events)) where r = 1""")
+def stream_dedup(spark, folder):
+    """Two runs of a stream whose state knows the users: those of the first run keep their rows."""
+    path = scratch_path(spark, "stream")
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    for half in ("event_type >= 'p'", "not event_type >= 'p'"):
+        K.write_table(events.filter(half), f"{path}/in", mode="append")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        dedup_stream(stream, f"{path}/out", f"{path}/checkpoint", ["event_id"], key="user_id").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("append_layers", """select l_orderkey, l_linenumber, l_suppkey from (select *, row_number() over (partition by l_partkey
+    order by l_linenumber, l_orderkey, l_suppkey) as r from lineitem) where r = 1""")
+def append_layers(spark, folder):
+    """A run for each line number, each a layer with the parts not seen before; then all layers as one version."""
+    path = scratch_path(spark, "layers")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    for number in _values(lines, "l_linenumber"):
+        K.append_result(lines.filter(F.col("l_linenumber") == number), path, ["l_orderkey", "l_suppkey"], key="l_partkey")
+    K.compact(spark, path)
+    return K.read_result(spark, path).drop("l_partkey")

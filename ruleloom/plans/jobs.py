@@ -22,8 +22,10 @@ from ruleloom.sources.sinks import (
     append_result,
     next_version,
     read_by_source,
+    unknown_keys,
     with_output_name,
     write_by_source,
+    write_result,
     write_table,
 )
 from ruleloom.sources.tables import present_paths, read_tables
@@ -46,17 +48,12 @@ def _write(hits: DataFrame, out: str, key, column, merge_only, append, deduplica
         old = read_by_source(hits.sparkSession, f"{out}/by_source", format) if append else None
         if old is not None and deduplicate:
             # Only rows with keys that their source has not been written with; nothing older is rewritten.
-            keyed = part.withColumn("__key", F.struct(F.col(OUTPUT), *(k.cast("string") for k in dedup_keys(part, key, column))))
-            known = old.select(F.struct(F.col(OUTPUT).cast("string"), *(k.cast("string") for k in dedup_keys(old, key, column))).alias("__old"))
-            part = keyed.join(known.distinct(), F.col("__key").eqNullSafe(F.col("__old")), "left_anti").drop("__key")
+            keys = lambda d: [k.cast("string") for k in (F.col(OUTPUT), *dedup_keys(d, key, column))]
+            part = unknown_keys(staged(part, "part"), old, keys)
         write_by_source(part.drop(NUMBER), f"{out}/by_source", format, append)
     merged = f"{out}/merged"
-    if append:
-        append_result(hits.drop(OUTPUT), merged, ORDER, key, column, deduplicate, format)
-        return
-    if deduplicate:
-        hits = keep_first(hits, dedup_keys(hits, key, column), order)
-    write_table(hits.drop(OUTPUT), next_version(hits.sparkSession, merged), format)
+    write = append_result if append else write_result
+    write(hits.drop(OUTPUT), merged, ORDER, key, column, deduplicate, format)
 
 
 def _counted(rows: DataFrame, by: str, name: str) -> DataFrame:

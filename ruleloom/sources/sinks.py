@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import posixpath
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.operators.dedup import append, dedup, dedup_keys
+from ruleloom.operators.dedup import MATCHED_CODE, append, dedup, dedup_keys, union_by_name
 from ruleloom.schema import RULE_COLUMNS, SOURCE, quoted
-from ruleloom.session import data_files, path_exists
+from ruleloom.session import data_files, path_exists, staged
 from ruleloom.sources.delimited import WRITTEN, headers, read_records
 from ruleloom.sources.tables import PLACE, format_of, place_of, source_name
 
@@ -22,6 +23,8 @@ OUTPUT, NUMBER = "_source", "_source_no"
 BROADCAST_FILES = 100_000  # names of files, a few hundred bytes each
 PART, PARTS = "_part", 64  # appended rows lie by the hash of their key, so that a batch reads the parts it has keys of
 BROADCAST_BYTES = 32 << 20  # keys of one batch, as text, up to which they are broadcast to the old result
+LAYER, MOST_LAYERS = "-", 16  # a layer's folder is its version's name, this and a number
+KEYED = "_keyed"  # file beside the rows that notes what they are deduplicated by
 FORMATS = ("parquet", "csv", "json", "orc")
 
 
@@ -101,27 +104,50 @@ def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(n for n in names if n.startswith(prefix))
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    return _children(spark, path, "v")
+def _finished(spark: SparkSession, path: str) -> list[str]:
+    """Versions and their layers, oldest first; one whose writing broke off has no success mark."""
+    return [n for n in _children(spark, path, "v") if path_exists(spark, f"{path}/{n}/_SUCCESS")]
 
 
 def latest_version(spark: SparkSession, path: str) -> str | None:
-    """The newest finished version of a result; one whose writing broke off has no success mark."""
-    done = [v for v in _versions(spark, path) if path_exists(spark, f"{path}/{v}/_SUCCESS")]
+    """The newest finished version of a result, without the layers upon it."""
+    done = [n for n in _finished(spark, path) if LAYER not in n]
     return f"{path}/{done[-1]}" if done else None
 
 
 def next_version(spark: SparkSession, path: str) -> str:
     """The path for a new version of a result; no version is ever written over."""
-    versions = _versions(spark, path)
-    return f"{path}/v{(int(versions[-1][1:]) if versions else 0) + 1:06d}"
+    names = _children(spark, path, "v")
+    return f"{path}/v{(int(names[-1][1:].split(LAYER)[0]) if names else 0) + 1:06d}"
+
+
+def _layers(spark: SparkSession, path: str) -> list[str]:
+    """The newest version and the finished layers upon it, in the order they were written; none if there is no version."""
+    base = latest_version(spark, path)
+    name = posixpath.basename(base) if base else None
+    return [f"{path}/{n}" for n in _finished(spark, path) if n == name or n.startswith(f"{name}{LAYER}")] if base else []
+
+
+def _next_layer(spark: SparkSession, path: str, base: str) -> str:
+    taken = _children(spark, path, f"{posixpath.basename(base)}{LAYER}")
+    return f"{base}{LAYER}{(int(taken[-1].split(LAYER)[1]) if taken else 0) + 1:06d}"
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
-    version = latest_version(spark, path)
-    if version is None:
+    layers = _layers(spark, path)
+    if not layers:
         raise FileNotFoundError(f"no finished result below {path}")
-    return _read_version(spark, version)
+    return _read_layers(spark, layers)
+
+
+def _read_layers(spark: SparkSession, layers: Sequence[str]) -> DataFrame:
+    """Rows of all layers, columns by name, in the types of the newest layer that has them; one without files adds none."""
+    filled = [layer for layer in layers if data_files(spark, layer)] or list(layers[:1])
+    rows = _read_version(spark, filled[0])
+    for layer in filled[1:]:
+        added = _read_version(spark, layer)
+        rows = _alike(rows, added).unionByName(added, allowMissingColumns=True)
+    return rows
 
 
 def _read_version(spark: SparkSession, version: str) -> DataFrame:
@@ -131,6 +157,53 @@ def _read_version(spark: SparkSession, version: str) -> DataFrame:
     return spark.read.format(kind).load(version)
 
 
+def _keyed_by(df: DataFrame, key: str | None, column: str | None) -> str:
+    """What rows are told apart by, as a result notes it beside its rows."""
+    return json.dumps([key] if key and key in df.columns else [column, MATCHED_CODE in df.columns])
+
+
+def _note(spark: SparkSession, path: str, text: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{KEYED}")
+    out = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop_path, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _noted(spark: SparkSession, path: str) -> str | None:
+    """The note of a version or layer; one written without deduplication, or broken off before its note, has none."""
+    if not path_exists(spark, f"{path}/{KEYED}"):
+        return None
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{KEYED}")
+    note = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(note, "UTF-8")
+    finally:
+        note.close()
+
+
+def _write_noted(df: DataFrame, target: str, format: str, note: str | None) -> str:
+    write_table(df, target, format)
+    if note is not None:
+        _note(df.sparkSession, target, note)
+    return target
+
+
+def write_result(
+    df: DataFrame,
+    path: str,
+    order_by: Sequence[str],
+    key: str | None = None,
+    column: str | None = None,
+    deduplicate: bool = True,
+    format: str = "parquet",
+) -> str:
+    """Write the next version of the result below ``path`` from these rows alone."""
+    target = next_version(df.sparkSession, path)
+    if not deduplicate:
+        return _write_noted(df, target, format, None)
+    return _write_noted(dedup(df, order_by, key, column), target, format, _keyed_by(df, key, column))
+
+
 def append_result(
     df: DataFrame,
     path: str,
@@ -140,18 +213,62 @@ def append_result(
     deduplicate: bool = True,
     format: str = "parquet",
 ) -> str:
-    """Add rows to the result below ``path``: the next version is written beside the one being read."""
+    """Add rows to the result below ``path`` as a layer upon its newest version; old rows win.
+
+    A layer holds only rows with keys that no older layer has, and of those only the keys are read. Where older rows
+    were not deduplicated, or by another key, and at every ``MOST_LAYERS``-th layer, the result is written anew as the
+    next version, so that reading never meets many layers.
+    """
     spark = df.sparkSession
-    old_path = latest_version(spark, path)
-    if old_path is None:
-        merged = dedup(df, order_by, key, column) if deduplicate else df
-    elif deduplicate:
-        merged = append(_alike(_read_version(spark, old_path), df), df, order_by, key, column)
+    layers = _layers(spark, path)
+    if not layers:
+        return write_result(df, path, order_by, key, column, deduplicate, format)
+    old = _read_layers(spark, layers)
+    alike = _alike(old, df)
+    note = _keyed_by(union_by_name([alike.limit(0), df.limit(0)]), key, column) if deduplicate else None
+    full = len(layers) >= MOST_LAYERS
+    if not deduplicate:
+        rows = alike.unionByName(df, allowMissingColumns=True) if full else df
+    elif full or any(_noted(spark, layer) != note for layer in layers):
+        full, rows = True, append(alike, df, order_by, key, column)
     else:
-        merged = _alike(_read_version(spark, old_path), df).unionByName(df, allowMissingColumns=True)
-    target = next_version(spark, path)
-    write_table(merged, target, format)
-    return target
+        fresh = staged(dedup(df, order_by, key, column), "fresh")
+        rows = unknown_keys(fresh, alike, lambda d: dedup_keys(d, key, column))
+    target = next_version(spark, path) if full else _next_layer(spark, path, layers[0])
+    return _write_noted(rows, target, format, note)
+
+
+def compact(spark: SparkSession, path: str, format: str = "parquet") -> str:
+    """Write the newest version and its layers as one new version."""
+    layers = _layers(spark, path)
+    notes = {_noted(spark, layer) for layer in layers}
+    note = notes.pop() if len(notes) == 1 else None
+    return _write_noted(read_result(spark, path), next_version(spark, path), format, note)
+
+
+def drop_older(spark: SparkSession, path: str) -> list[str]:
+    """Remove the finished versions before the newest one, with their layers; nobody may be reading them."""
+    kept = _layers(spark, path)
+    older = [n for n in _finished(spark, path) if kept and n < posixpath.basename(kept[0])]
+    for name in older:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    return older
+
+
+def unknown_keys(fresh: DataFrame, old: DataFrame, keys: Callable[[DataFrame], list[Column]]) -> DataFrame:
+    """The rows of ``fresh``, which is read twice, with keys that no old row has.
+
+    Of the old rows only the keys are read, and they are first cut down to the fresh ones, which are broadcast up to a
+    measured size; so the old side is shuffled only against many new keys.
+    """
+    keyed = fresh.withColumn("__key", F.struct(*keys(fresh)))
+    wanted = keyed.select("__key")
+    size = wanted.agg(F.sum(F.octet_length(F.to_json("__key")))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    known = old.select(F.struct(*keys(old)).alias("__key")).join(wanted, "__key", "left_semi")
+    return keyed.join(known.distinct(), "__key", "left_anti").drop("__key")
 
 
 def _alike(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -171,21 +288,14 @@ def append_batch(
     """
     spark = batch.sparkSession
     hashed = F.pmod(F.xxhash64(*dedup_keys(batch, key, column)), F.lit(PARTS)).cast("int")
-    fresh = dedup(batch, order_by, key, column).withColumn(PART, hashed).persist()
-    rows = fresh
+    fresh = dedup(batch, order_by, key, column).withColumn(PART, hashed)
+    fresh = rows = staged(fresh, "fresh")
     old = _read_batches(spark, path)
     if old is not None:
         parts = [r[0] for r in fresh.select(PART).distinct().collect()]  # PARTS numbers at most
         old = old.filter((F.col(BATCH) < batch_id) & F.col(PART).isin(parts))
-        keyed = fresh.withColumn("__key", F.struct(*dedup_keys(fresh, key, column)))
-        batch_keys = keyed.select("__key")
-        size = batch_keys.agg(F.sum(F.octet_length(F.to_json("__key")))).first()[0] or 0
-        if size <= BROADCAST_BYTES:
-            batch_keys = F.broadcast(batch_keys)
-        known = old.select(F.struct(*dedup_keys(old, key, column)).alias("__key")).join(batch_keys, "__key", "left_semi")
-        rows = keyed.join(known.distinct(), "__key", "left_anti").drop("__key")
+        rows = unknown_keys(fresh, old, lambda d: dedup_keys(d, key, column))
     rows.write.mode("overwrite").partitionBy(PART).parquet(f"{path}/{BATCH}={batch_id}")
-    fresh.unpersist()
 
 
 def _batches(spark: SparkSession, path: str) -> list[int]:

@@ -1,6 +1,8 @@
-"""Excel workbooks (.xlsx): one task per workbook streams its sheets into rows of text cells.
+"""Excel workbooks (.xlsx): one task per workbook streams the chosen sheets into rows of text cells.
 
 A workbook is a zip of XML parts and cannot be split, but the format itself bounds a sheet to about a million rows.
+The choice of sheets reaches the reader, which opens no part of another sheet. A first pass reads the headers alone, and
+of the shared texts as many as a header refers to.
 Numbers stay as the file holds them, so codes with leading zeros survive; dates stay serial numbers.
 """
 
@@ -12,6 +14,7 @@ import sys
 import zipfile
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.schema import ROW, SHEET, SOURCE
-from ruleloom.session import staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -60,19 +62,29 @@ def _plain_text(item) -> str:
     return "".join(t.text or "" for t in _parts(item, "t") if id(t) not in guides)
 
 
-def _shared_strings(book: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in book.namelist():
-        return []
-    out = []
-    with book.open("xl/sharedStrings.xml") as part:
-        for _, element in ElementTree.iterparse(part):
-            if _local(element.tag) == "si":
-                out.append(_plain_text(element))
-                element.clear()
-    return out
+class _SharedStrings:
+    """The texts that cells refer to by number, read as far as they are asked for."""
+
+    def __init__(self, book: zipfile.ZipFile):
+        self.known: list[str] = []
+        self.rest = self._read(book)
+
+    @staticmethod
+    def _read(book: zipfile.ZipFile) -> Iterator[str]:
+        if "xl/sharedStrings.xml" not in book.namelist():
+            return
+        with book.open("xl/sharedStrings.xml") as part:
+            for _, element in ElementTree.iterparse(part):
+                if _local(element.tag) == "si":
+                    yield _plain_text(element)
+                    element.clear()
+
+    def __getitem__(self, number: int) -> str:
+        self.known += islice(self.rest, max(0, number + 1 - len(self.known)))
+        return self.known[number]
 
 
-def _cell_text(cell, strings: list[str]) -> str | None:
+def _cell_text(cell, strings: _SharedStrings) -> str | None:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
         return _plain_text(cell)
@@ -87,7 +99,7 @@ def _cell_text(cell, strings: list[str]) -> str | None:
     return text
 
 
-def _sheet_rows(book: zipfile.ZipFile, part_name: str, strings: list[str]) -> Iterator[dict[int, str | None]]:
+def _sheet_rows(book: zipfile.ZipFile, part_name: str, strings: _SharedStrings) -> Iterator[dict[int, str | None]]:
     with book.open(part_name) as part:
         for _, element in ElementTree.iterparse(part):
             if _local(element.tag) == "row":
@@ -107,7 +119,25 @@ def _header_names(row: dict[int, str | None]) -> dict[int, str]:
     return {i: f"_c{i}" if not n else n if often[n.lower()] == 1 else f"{n}{i}" for i, n in names.items()}
 
 
-def _read_rows(header_only: bool):
+def wanted_sheets(sheet: str) -> list[str] | None:
+    """'' takes the first sheet of every file (no names), 'A,B' the named ones, '*' all (None)."""
+    return None if sheet.strip() == "*" else [n.strip() for n in sheet.split(",") if n.strip()]
+
+
+def _chosen_sheets(book: zipfile.ZipFile, wanted: list[str] | None, strings: _SharedStrings) -> Iterator[tuple]:
+    """Number, name, header and rows of the chosen sheets; one without a header is no sheet."""
+    for number, (name, part) in enumerate(_sheet_parts(book)):
+        if wanted and name not in wanted:
+            continue
+        rows = _sheet_rows(book, part, strings)
+        header = _header_names(next(rows, {}))
+        if header:
+            yield number, name, header, rows
+            if wanted == []:
+                return
+
+
+def _read_rows(header_only: bool, wanted: list[str] | None):
     """Function for mapInPandas over (path, content)."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,42 +145,31 @@ def _read_rows(header_only: bool):
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    strings = _shared_strings(book)
-                    for number, (name, part) in enumerate(_sheet_parts(book)):
-                        rows = _sheet_rows(book, part, strings)
-                        names = _header_names(next(rows, {}))
-                        if not names:
-                            continue
+                    for number, name, header, rows in _chosen_sheets(book, wanted, _SharedStrings(book)):
                         if header_only:
-                            header = {n: None for n in names.values()}
-                            yield pd.DataFrame([(path, name, number, -1, header)], columns=columns)
+                            cells = {n: None for n in header.values()}
+                            yield pd.DataFrame([(path, name, number, -1, cells)], columns=columns)
                             continue
-                        batch = []
-                        for i, row in enumerate(rows):
-                            cells = {n: row.get(at) for at, n in names.items()}
-                            batch.append((path, name, number, i, cells))
-                            if len(batch) >= BATCH_ROWS:
-                                yield pd.DataFrame(batch, columns=columns)
-                                batch = []
-                        if batch:
+                        found = ((path, name, number, i, {n: row.get(at) for at, n in header.items()}) for i, row in enumerate(rows))
+                        while batch := list(islice(found, BATCH_ROWS)):
                             yield pd.DataFrame(batch, columns=columns)
 
     return read
 
 
 def workbook_rows(files: DataFrame, sheet: str = "") -> DataFrame:
-    """(path, content) of workbooks to one table of text columns with provenance."""
-    from ruleloom.sources.tables import select_sheets
+    """(path, content) of workbooks to one table of text columns with provenance; naming only absent sheets is an error.
 
-    files = files.select("path", "content")
-    # Sheets are chosen by their headers, so that one without rows is a sheet too; there is a row per sheet.
-    headers = staged(select_sheets(files.mapInPandas(_read_rows(True), ROWS_SCHEMA), sheet), "headers")
+    Columns come in the order of their first appearance in the sheets.
+    """
+    files, wanted = files.select("path", "content"), wanted_sheets(sheet)
+    headers = files.mapInPandas(_read_rows(True, wanted), ROWS_SCHEMA)
     names = headers.select(SHEET_NO, F.posexplode(F.map_keys("cells")).alias("at", "name"))
     found = names.groupBy("name").agg(F.min(F.struct(SHEET_NO, "at")).alias("first")).orderBy("first", "name").collect()
-    chosen = F.broadcast(headers.select(SOURCE, SHEET_NO).distinct())
-    rows = files.mapInPandas(_read_rows(False), ROWS_SCHEMA).join(chosen, [SOURCE, SHEET_NO], "left_semi")
+    if wanted and not found:
+        raise ValueError(f"none of the sheets {wanted} exists")
     cells = [F.try_element_at("cells", F.lit(r["name"])).alias(r["name"]) for r in found]
-    return rows.select(*cells, SOURCE, SHEET, ROW)
+    return files.mapInPandas(_read_rows(False, wanted), ROWS_SCHEMA).select(*cells, SOURCE, SHEET, ROW)
 
 
 def read_workbooks(spark: SparkSession, paths: Sequence[str], sheet: str = "") -> DataFrame:

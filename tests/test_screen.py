@@ -113,7 +113,16 @@ def test_long_form_equals_single_pass(parts, mode):
     n = len(RULES) - 1
     hits = S.hits_long(parts, RULES, ["Tag"])
     folded = S.fold_hits(hits, ["Tag"], n, mode, threshold=3.0)
-    assert rows_of(folded) == rows_of(S.screen(parts, RULES, mode=mode, threshold=3.0))
+    expected = rows_of(S.screen(parts, RULES, mode=mode, threshold=3.0))
+    assert rows_of(folded) == expected
+    assert rows_of(S.fold_rows(parts, RULES, ["Tag"], mode, threshold=3.0)) == expected
+
+
+def test_row_fold_shuffles_nothing(parts):
+    plan = S.fold_rows(parts, RULES, ["Tag"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+    twice = S.fold_rows(parts.unionAll(parts), RULES, ["Tag"])  # repeated keys stay rows of their own
+    assert twice.count() == 2 * parts.count()
 
 
 def test_keywords_ungrouped(parts):
@@ -144,6 +153,7 @@ def test_scores_are_added_in_rule_order(spark):
     assert S.screen(df, rules, mode="WEIGHTED", threshold=0.8, hits_only=True).count() == 1
     folded = S.fold_hits(S.hits_long(df, rules, ["b"]), ["b"], 3, "WEIGHTED", 0.8)
     assert [tuple(r)[1:] for r in folded.collect()] == [(True, 0.8)]
+    assert [tuple(r)[1:] for r in S.fold_rows(df, rules, ["b"], "WEIGHTED", 0.8).collect()] == [(True, 0.8)]
 
 
 def test_settings_are_checked(parts):

@@ -9,7 +9,7 @@ from ruleloom.plans import jobs
 from ruleloom.plans.samples import workbook_bytes
 from ruleloom.sources import sinks as K
 from ruleloom.sources import tables as C
-from ruleloom.streaming.screening import append_stream, screen_stream
+from ruleloom.streaming.screening import append_stream, dedup_stream, screen_stream
 
 
 def put(path, text):
@@ -41,10 +41,38 @@ def test_append_versions(spark, tmp_path):
     K.append_result(first, path, ["i"], key="k")
     K.append_result(second, path, ["i"], key="k")
     assert sorted(map(tuple, K.read_result(spark, path).collect())) == [("a", 1), ("b", 2), ("c", 1)]
-    (tmp_path / "r" / "v000003").mkdir()  # a run that broke off
-    assert K.latest_version(spark, path).endswith("v000002")
-    assert K.append_result(second, path, ["i"], deduplicate=False).endswith("v000004")
+    assert K.latest_version(spark, path).endswith("v000001")  # the second run is a layer that holds its new key alone
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/v000001-000001").collect()] == [("c", 1)]
+    (tmp_path / "r" / "v000003").mkdir()  # runs that broke off
+    (tmp_path / "r" / "v000001-000002").mkdir()
+    assert K.append_result(second, path, ["i"], deduplicate=False).endswith("v000001-000003")
     assert K.read_result(spark, path).count() == 5
+    # Rows that were not deduplicated, or by another key, are so by a whole new version.
+    assert K.append_result(second, path, ["i"], key="k").endswith("v000004")
+    assert sorted(map(tuple, K.read_result(spark, path).collect())) == [("a", 1), ("b", 0), ("c", 1)]
+    assert K.append_result(first, path, ["k"], key="i").endswith("v000005")
+    assert sorted(r["i"] for r in K.read_result(spark, path).collect()) == [0, 1, 2, 3]
+    assert K.drop_older(spark, path) == ["v000001", "v000001-000001", "v000001-000003", "v000004"]
+    assert K.read_result(spark, path).count() == 4
+
+
+def test_layers_of_other_columns_and_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "MOST_LAYERS", 3)
+    for format in ("parquet", "csv"):
+        path = str(tmp_path / format)
+        runs = [
+            ("k string, i int", [("a", 1), (None, 2)]),
+            ("k string, i int, more string", [("a", 0, "x"), (None, 0, "y"), ("b", 3, " z ")]),
+            ("more string, k string, i int", []),
+            ("k string, i int", [("b", 0), ("c", 4)]),
+        ]
+        made = [K.append_result(spark.createDataFrame(rows, schema), path, ["i"], key="k", format=format) for schema, rows in runs]
+        assert [m.rpartition("/")[2] for m in made] == ["v000001", "v000001-000001", "v000001-000002", "v000002"]
+        found = K.read_result(spark, path).select("k", F.col("i").cast("int"), "more").collect()
+        assert sorted(map(tuple, found), key=str) == sorted([("a", 1, None), (None, 2, None), ("b", 3, " z "), ("c", 4, None)], key=str)
+        assert K.compact(spark, path, format).endswith("v000003")
+        assert K.append_result(spark.createDataFrame([("c", 0), ("d", 5)], "k string, i int"), path, ["i"], key="k", format=format).endswith("v000003-000001")
+        assert K.read_result(spark, path).count() == 5
 
 
 def test_rule_export(spark, tmp_path):
@@ -201,6 +229,46 @@ def test_stream_append(spark, tmp_path):
     assert found == [("", 5.0), ("a", 1.0), ("b", 2.0), ("c", 4.0)]
 
 
+def test_stream_dedup(spark, tmp_path, monkeypatch):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    big = 2**53 + 1
+    batches = [[("a", 2, 0.0), ("a", None, 1.0), ("b", 1, None)], [("a", 0, 3.0), ("c", 5, 4.0)], [(None, 1, 5.0), ("c", 1, 6.0)], [(None, 0, 7.0)]]
+    schema = SCHEMA + ", n long"
+
+    def run(suffix: str = ""):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        dedup_stream(stream, out + suffix, str(tmp_path / ("cp" + suffix)), ["i"], key="k").awaitTermination()
+
+    for rows in batches:
+        spark.createDataFrame([(*r, big) for r in rows], schema).coalesce(1).write.mode("append").parquet(src)
+        run()
+    found = sorted(((r["k"] or "", r["v"], r["n"]) for r in spark.read.parquet(out).collect()), key=lambda r: r[0])
+    assert found == [("", 5.0, big), ("a", 1.0, big), ("b", None, big), ("c", 4.0, big)]  # nulls come first in the order
+
+
+def test_stream_dedup_goes_on_after_a_failed_batch(spark, tmp_path):
+    src, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    @F.udf("string")
+    def same(v):
+        if v == "bad" and (tmp_path / "fail").exists():
+            raise ValueError(v)
+        return v
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        dedup_stream(stream.withColumn("k", same("k")), out, checkpoint, ["i"], key="k").awaitTermination()
+
+    spark.createDataFrame([("a", 1, 1.0)], SCHEMA).coalesce(1).write.parquet(src)
+    run()
+    (tmp_path / "fail").touch()
+    spark.createDataFrame([("a", 0, 2.0), ("bad", 1, 3.0), ("bad", 2, 4.0)], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(Exception):
+        run()
+    (tmp_path / "fail").unlink()
+    run()
+    assert sorted(r["v"] for r in spark.read.parquet(out).collect()) == [1.0, 3.0]
+
+
 def test_batch_can_be_run_again(spark, tmp_path):
     out = str(tmp_path / "out")
     first = spark.createDataFrame([("a", 1, 1.0)], SCHEMA)

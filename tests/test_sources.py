@@ -1,3 +1,5 @@
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,9 +97,21 @@ def test_workbook_sheets(spark, books):
         W.read_workbooks(spark, books, "Nowhere")
 
 
+def test_other_sheets_are_not_parsed(spark, tmp_path):
+    """A sheet that is no XML is harmless unless it is chosen."""
+    whole, path = tmp_path / "whole.xlsx", tmp_path / "broken.xlsx"
+    whole.write_bytes(workbook_bytes({"A": [["v"], ["1"]], "B": [["v"], ["2"]], "C": [["v"], ["3"]]}))
+    with zipfile.ZipFile(whole) as book, zipfile.ZipFile(path, "w") as copy:
+        for name in book.namelist():
+            copy.writestr(name, b"<no" if name.endswith("s2.xml") else book.read(name))
+    for sheet, values in (("", ["1"]), ("C, A", ["1", "3"]), ("C", ["3"])):
+        assert sorted(r["v"] for r in W.read_workbooks(spark, [str(path)], sheet).collect()) == values
+    with pytest.raises(Exception):
+        W.read_workbooks(spark, [str(path)], "*").collect()
+
+
 def test_workbook_shared_strings(spark, tmp_path):
     """Shared strings with rich text and phonetic guides, rows with gaps and cell references."""
-    import zipfile
 
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     relations = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
