@@ -263,6 +263,56 @@ def test_a_licence_without_its_rarest_words_is_found(documents, by_id):
     assert found[0]["labels"] == "cc0" and 0.75 <= found[0]["score"] < 0.8 and found[1]["labels"] == ""
 
 
+DRIFTING = (
+    ("permission is hereby granted free of charge to any person or firm obtaining a copy of this software", "mit"),
+    ("permission is hereby granted at no cost and free of charge to any person obtaining a copy of this software", "mit"),
+    ("Redistribution and use in source form and binary forms, with or without modification, are permitted.", "bsd"),
+    ("// SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("made available under the terms of the Eclipse Public License v2.0", "epl-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("the mandatory phrase alone, free of charge to any person", ""),
+)
+
+
+def test_licences_with_words_put_in(documents, by_id):
+    found = by_id(licenses.report(documents([t for t, _ in DRIFTING] + ["filler"] * 400)))
+    assert [found[i]["labels"] for i in range(len(DRIFTING))] == [label for _, label in DRIFTING]
+
+
+def plain_notices(words, entries):
+    """Labels and scores of a text: each notice tried at each place, a word at its place or near it."""
+    found = set()
+    for e in entries:
+        for start in range(-len(e["notice"]), len(words)):
+            at = lambda i: words[i] if 0 <= i < len(words) else None
+            if not all(at(start + i) == e["notice"][i] for i in e["needed"]):
+                continue
+            total = 0.0
+            for i, (word, weight) in enumerate(zip(e["notice"], e["weights"])):
+                window = [at(start + i + k) for k in range(-licenses.DRIFT, licenses.DRIFT + 1)]
+                total += weight * (1.0 if at(start + i) == word else licenses.DRIFTED if word in window else 0.0)
+            if total / e["whole"] >= licenses.THRESHOLD:
+                found.add((start, e["label"], round(min(total / e["whole"], 1.0), 9)))
+    return found
+
+
+def test_altered_notices_equal_brute_force(documents):
+    rng, texts = random.Random(5), []
+    for _, notice, _ in licenses.NOTICES:
+        for _ in range(4):
+            words = ["lead"] * rng.randint(0, 6) + notice.split() + ["rest"] * rng.randint(0, 3)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = rng.choice(([], ["new"], [words[0]]))
+            texts.append(" ".join(words))
+    docs = documents(texts)
+    entries = licenses._index(docs.select(licenses.plain_words(docs["text"]).alias("words")), licenses.NOTICES)
+    found = {r["id"]: {(p["at"], p["label"], round(p["score"], 9)) for p in r["notices"]} for r in licenses.scanned(docs).collect()}
+    expected = [plain_notices(t.split(), entries) for t in texts]
+    assert [found[i] for i in range(len(texts))] == expected and sum(map(bool, expected)) > len(texts) / 2
+
+
 def test_licences_base_equals_brute_force(documents, by_id):
     rng, parts = random.Random(2), "cc by general public license all rights reserved BY CC x".split()
     texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(40)]
