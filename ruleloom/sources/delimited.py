@@ -5,6 +5,9 @@ own number is odd, a prefix sum over the splits of a file tells in which state e
 first record. Splits that begin inside a field are rare; their first lines belong to the record before, and only these
 lines are gathered and sent to the task that holds its beginning. Records are parsed by Spark.
 
+Where Spark splits files depends on the files of a scan, on settings and on the cores there are, so one scan must not be
+held against another: the lines are read once and checkpointed, split by split, many to a row, and all steps read these.
+
 Lines end with a line feed, with or without a carriage return before it. Inside quotes nothing is changed: carriage
 returns, line feeds and blanks come back as they are. A field that is nothing is null, two quotes are the empty text.
 A header has to end within the first split of its file.
@@ -25,12 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleloom.schema import ROW, SHEET, SOURCE
+from ruleloom.session import shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
 WRITTEN = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 NOTHING = "\x00nothing\x00"  # stands for a field without characters while a record is parsed; two quotes are not null then
 PARSED = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "lineSep": "\n", "nullValue": NOTHING}
+PACK = 1 << 13  # bytes of lines that are kept as one row
 ASCII_BASED = ("UTF-8", "UTF8", "US-ASCII", "ISO-8859-1")  # quotes and line feeds are bytes of their own, and Spark decodes a line
 
 
@@ -41,15 +46,42 @@ def file_lines(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), line.alias("line"))
 
 
+def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``file, start, lines``: neighbouring lines of a split in one text of about ``PACK`` bytes, or a longer line alone."""
+    lines = batch.column("line")
+    files = pc.dictionary_encode(batch.column("file"))
+    file, start = files.indices.to_numpy(), batch.column("start").to_numpy()
+    size = np.cumsum(pc.binary_length(lines).to_numpy().astype(np.int64) + 1) // PACK
+    edges = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1]) | (size[1:] != size[:-1])) + 1
+    edges = np.concatenate([[0], edges, [len(lines)]]) if len(lines) else np.zeros(1, np.int64)
+    packed = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), lines), "\n")
+    first = pa.array(edges[:-1], pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column("file").take(first), batch.column("start").take(first), packed], names=["file", "start", "lines"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from map(_pack, batches)
+
+
+def _kept_lines(lines: DataFrame) -> DataFrame:
+    """The lines, packed and checkpointed; a split stays in one partition, in order."""
+    spark = lines.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return lines.mapInArrow(_packed, "file string, start long, lines string").checkpoint()
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array, np.ndarray]]:
-    """The stretches of a batch that come from one split, with the number of quotes of each line."""
+    """The stretches of a packed batch that come from one split, with the number of quotes of each line."""
     files = pc.dictionary_encode(batch.column("file"))
     file, start = files.indices.to_numpy(), batch.column("start").to_numpy()
-    quotes = pc.count_substring(batch.column("line"), '"').to_numpy().astype(np.int64)
+    lines = pc.split_pattern(batch.column("lines"), "\n")
     edges = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1
     for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
         if low < high:
-            yield files.dictionary[int(file[low])].as_py(), int(start[low]), batch.column("line").slice(low, high - low), quotes[low:high]
+            own = lines.slice(low, high - low).flatten()
+            quotes = pc.count_substring(own, '"').to_numpy().astype(np.int64)
+            yield files.dictionary[int(file[low])].as_py(), int(start[low]), own, quotes
 
 
 class _Split:
@@ -107,7 +139,7 @@ def _heads(inside: set):
 
 def _first_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = set()
-    for file, start, split, records in _splits(batches, set()):
+    for file, start, split, records in _splits(map(_pack, batches), set()):
         text = "\n".join(split.open_) if records is None else records[0] if len(records) else None
         if file not in seen and start == 0 and text is not None:
             seen.add(file)
@@ -130,7 +162,7 @@ def headers(spark: SparkSession, paths, encoding: str = "UTF-8") -> list[tuple[s
 
 def _continued(lines: DataFrame) -> tuple[set, dict]:
     """The splits that begin inside a field, and what the last record of a split is continued by."""
-    odd = (F.sum(F.char_length("line") - F.char_length(F.replace("line", F.lit('"')))) % 2).alias("odd")
+    odd = (F.sum(F.char_length("lines") - F.char_length(F.replace("lines", F.lit('"')))) % 2).alias("odd")
     own = lines.groupBy("file", "start").agg(odd)
     before = Window.partitionBy("file").orderBy("start")  # a row per split of a file
     state = F.coalesce(F.sum("odd").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
@@ -183,7 +215,7 @@ def _folder_value(file: Column, name: str) -> Column:
 def read_records(spark: SparkSession, path, columns: list[str], encoding: str = "UTF-8", provenance: bool = True) -> DataFrame:
     """The rows of files with those columns as text, then columns that folders name, then, if asked for, the source, an
     empty sheet name, and a number that grows within a file."""
-    lines = file_lines(spark, path, encoding)
+    lines = _kept_lines(file_lines(spark, path, encoding))
     inside, tails = _continued(lines)
     records = lines.mapInArrow(_whole_records(inside, tails, columns), "file string, place long, record string")
     text = F.regexp_replace("record", "\r$", "")

@@ -75,3 +75,35 @@ def test_sources_and_appended_results_keep_blanks(spark, tmp_path):
     for part in ("k = '1'", "k > '1'"):
         K.append_result(df.filter(part), str(tmp_path / "all"), ["k"], key="k", format="csv")
     assert sorted(map(tuple, K.read_result(spark, str(tmp_path / "all")).collect())) == rows
+
+
+def test_splits_that_depend_on_the_files_of_a_scan(spark, tmp_path):
+    """Spark makes smaller splits of fewer bytes; a file without line breaks beside one with them must not matter."""
+    text = "\n".join(f"line {i}" for i in range(300))
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f"{i},plain\n" for i in range(4000)))
+    (tmp_path / "b.csv").write_text("a,b\n" + "".join(f'{i},"{text}"\n' for i in range(4000, 4030)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = C.read_csv(spark, str(tmp_path)).select("a", "b").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((int(r["a"]), r["b"]) for r in rows) == [(i, "plain" if i < 4000 else text) for i in range(4030)]
+
+
+def test_another_number_of_splits_after_reading(spark, tmp_path, split_at):
+    """Rows are asked for when the splits would be others, as with more or fewer cores."""
+    text = "\n".join(f"line {i}" for i in range(50))
+    (tmp_path / "t.csv").write_text("a,b\n" + "".join(f'{i},"{text}"\n' for i in range(100)))
+    split_at(1000)
+    df = C.read_csv(spark, str(tmp_path / "t.csv")).select("a", "b")
+    split_at(3456)
+    assert sorted((int(r["a"]), r["b"]) for r in df.collect()) == [(i, text) for i in range(100)]
+
+
+def test_packs_of_a_few_bytes(spark, tmp_path, split_at, monkeypatch):
+    rows = [(str(i), "\n".join(["x"] * (i % 7)) or None, 'q"\n' * (i % 3) or None) for i in range(60)]
+    K.write_table(spark.createDataFrame(rows, "i string, v string, w string").coalesce(1), str(tmp_path / "o"), "csv")
+    monkeypatch.setattr(D, "PACK", 3)
+    split_at(40)
+    found = C.read_csv(spark, str(tmp_path / "o")).orderBy("_row_idx").select("i", "v", "w").collect()
+    assert list(map(tuple, found)) == rows
