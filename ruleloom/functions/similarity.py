@@ -25,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CACHED_VALUES = 200_000  # memory bound of the per-task cache; it never changes a result
 SHORT_TEXT = 64  # texts up to here are scored in step; the measure itself changes its ways from 200 characters on
 CELLS = 4 << 20  # size of the comparison matrix of one step
+FOLDED_VALUES = 20_000  # the same bound for folded scores, whose batches are of 10 000 rows by default
+SCORES = 1 << 20  # scores of one step, and scores that a task's cache holds
 
 
 def sequence_similarity(a: str, b: str) -> float:
@@ -204,28 +206,33 @@ def score_matrix(values: list[str], targets: list[str], kind: str) -> np.ndarray
     return np.column_stack(columns)
 
 
-def each_once(keys: list, cache: dict, compute) -> list:
-    """Results for the keys of a batch; ``compute`` gets the distinct keys not met before in this task."""
+def each_once(keys: list, cache: dict, compute, step: int | None = None, most: int | None = None) -> list:
+    """Results for the keys of a batch; ``compute`` gets the distinct keys not met before in this task, ``step`` at a
+    time at most. The cache keeps ``most`` results, or those of one batch."""
     fresh = list(dict.fromkeys(k for k in keys if k not in cache))
-    if len(cache) + len(fresh) > CACHED_VALUES:
+    if len(cache) + len(fresh) > (CACHED_VALUES if most is None else most):
         cache.clear()
         fresh = list(dict.fromkeys(keys))
-    if fresh:
-        cache.update(zip(fresh, compute(fresh)))
+    step = step or max(len(fresh), 1)
+    for at in range(0, len(fresh), step):
+        part = fresh[at : at + step]
+        cache.update(zip(part, compute(part)))
     return [cache[k] for k in keys]
 
 
 def fuzzy_scores(targets: list[str], kind: str):
     """UDF: value -> array of its similarity to every target."""
 
-    def compute(values: list[str]) -> list[list[float]]:
-        return score_matrix(values, targets, kind).tolist()
+    step = max(1, SCORES // max(len(targets), 1))
+
+    def compute(values: list[str]) -> np.ndarray:
+        return score_matrix(values, targets, kind)  # a row for each value, 8 bytes a score
 
     @pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, list[float]] = {}
+        cache: dict[str, np.ndarray] = {}
         for values in batches:
-            yield pd.Series(each_once(values.fillna("").tolist(), cache, compute))
+            yield pd.Series(each_once(values.fillna("").tolist(), cache, compute, step, min(CACHED_VALUES, step)))
 
     return score.asNondeterministic()  # scored once: the optimizer must not copy it into a filter
 
@@ -236,10 +243,18 @@ def fuzzy_fold(targets: list[str], codes: list[str], thresholds: list[float], we
     ``codes[i]`` is the code that lets rule i hit outright, empty where it has none.
     """
 
+    step = max(1, SCORES // max(len(targets), 1))
+    rules_of: dict[str, list[int]] = {}
+    for i, code in enumerate(codes):
+        if code != "":
+            rules_of.setdefault(code, []).append(i)
+
     def compute(pairs: list[tuple[str, str]]) -> list[tuple[bool, bool, float]]:
         values, value_codes = zip(*pairs)
         scores = score_matrix(list(values), targets, kind)
-        same = np.array([[c != "" and c == own for c in codes] for own in value_codes])
+        same = np.zeros(scores.shape, bool)
+        for row, own in enumerate(value_codes):
+            same[row, rules_of.get(own, [])] = True
         hits = same | (scores >= np.array(thresholds))
         total = np.zeros(len(pairs))
         for i, weight in enumerate(weights):  # added in rule order
@@ -251,6 +266,6 @@ def fuzzy_fold(targets: list[str], codes: list[str], thresholds: list[float], we
         cache: dict[tuple[str, str], tuple[bool, bool, float]] = {}
         for values, value_codes in batches:
             pairs = list(zip(values.fillna(""), value_codes.fillna("")))
-            yield pd.DataFrame(each_once(pairs, cache, compute), columns=["any", "all", "total"])
+            yield pd.DataFrame(each_once(pairs, cache, compute, step, FOLDED_VALUES), columns=["any", "all", "total"])
 
     return fold.asNondeterministic()

@@ -90,3 +90,29 @@ def test_cache_overflow_changes_nothing(monkeypatch):
     cache = {}
     for keys in (["a", "b", "a"], ["c", "d", "a"], ["e", "f", "g", "h"]):
         assert S.each_once(keys, cache, lambda ks: [k.upper() for k in ks]) == [k.upper() for k in keys]
+
+
+def test_a_step_and_a_cache_are_bounded():
+    """Neither the size of a batch nor the number of values a task has met makes a step or its cache larger."""
+    steps, cache = [], {}
+    compute = lambda ks: [steps.append(len(ks)) or k.upper() for k in ks]
+    for at in range(0, 100, 10):
+        keys = [f"k{i}" for i in range(at, at + 10)] * 2
+        assert S.each_once(keys, cache, compute, step=4, most=15) == [k.upper() for k in keys]
+        assert len(cache) <= 15
+    assert max(steps) == 4 and len(steps) == 100
+
+
+def test_many_rules_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(S, "SCORES", 6)
+    rows = [(f"value {i}", f"{i:03d}") for i in range(20)] + [(None, None)]
+    df = spark.createDataFrame(rows, "v string, c string").coalesce(1)
+    targets, codes = ["value 3", "other", "value"], ["003", "", "007"]
+    folded = df.select("v", "c", S.fuzzy_fold(targets, codes, [0.99, 0.99, 2.0], [1.0, 0.5, 0.25], "sequence")("v", "c").alias("z")).collect()
+    scored = df.select("v", S.fuzzy_scores(targets, "sequence")("v").alias("z")).collect()
+    for r, s in zip(folded, scored):
+        want = [S.sequence_similarity(r["v"] or "", t) for t in targets]
+        assert s["z"] == want
+        same = [c != "" and c == r["c"] for c in codes]
+        assert r["z"]["any"] == (any(same) or max(want[:2]) >= 0.99)
+        assert r["z"]["total"] == pytest.approx(sum(w * (1.0 if e else x) for w, e, x in zip([1.0, 0.5, 0.25], same, want)))
