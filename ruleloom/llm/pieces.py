@@ -188,7 +188,9 @@ class _Table:
         flat, ends = K.byte_column(rows.column("body"))
         base = int(ends[0])
         flat, ends = flat[base : int(ends[-1])], ends - base
-        hashes = _hashes(flat, ends[:-1], ends[1:])
+        parts = ((flat[ends[low] : ends[high]], ends[low : high + 1] - ends[low]) for low, high in K.slices(ends))
+        hashes = [_hashes(part, own[:-1], own[1:]) for part, own in parts]  # in slices: they take 8 bytes a byte, many times
+        hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
         hashes, at = np.unique(hashes, return_index=True)  # of two bodies with one hash, one is held
         self.hashes, self.start, self.size, self.flat = hashes, ends[:-1][at], np.diff(ends)[at], flat
         ids, ends = K.byte_column(rows.column("ids"))

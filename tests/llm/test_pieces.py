@@ -78,3 +78,13 @@ def test_odd_rows_and_an_empty_table(odd, documents):
     assert sorted(r["n_tokens"] for r in pieces.report(odd, PATH).collect())[:3] == [2, 2, 2]
     assert pieces.report(odd, PATH).count() == odd.count()
     assert pieces.report(documents([]), PATH).count() == 0
+
+
+def test_a_table_is_hashed_in_slices(monkeypatch):
+    """Hashing takes many times the bytes of a slice, and keeps powers for the longest one."""
+    monkeypatch.setattr(pieces.K, "_powers", {})
+    bodies = [f"{i:08d}" * 100 for i in range(4000)]
+    table = pieces._Table(pa.table({"body": bodies, "ids": [b"\1\0\0\0"] * len(bodies)}))
+    assert len(pieces.K._powers["up"]) <= 2 * pieces.K.SLICE < len("".join(bodies))
+    part = np.frombuffer("".join(bodies[-2:]).encode(), np.uint8)
+    assert table.found(part, np.array([0, 800]), np.array([800, 1600]))[1].all() and len(table.hashes) == len(bodies)
