@@ -456,3 +456,10 @@ def test_mix_of_odd_rows(odd, documents):
     same = mixing.report(documents(["a b"] * 400 + ["c"], ids=[7] * 400 + [8], sources=["x"] * 400 + ["y"]))
     assert same.count() == 401 and abs(same.groupBy().sum("taken").first()[0] - 801) <= 2
 
+
+
+def test_lines_are_not_shuffled_beside_their_texts(documents):
+    rows = documents(["a b\nc d\na b", "a b", None])
+    plan = line_dedup.cleaned(rows, grown=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "split(" not in plan[plan.index("Join ") :]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.cleaned(rows, grown=True).collect()} == {0: "a b\nc d", 1: "", 2: None}
