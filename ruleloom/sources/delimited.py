@@ -6,7 +6,8 @@ first record. Splits that begin inside a field are rare; their first lines belon
 lines are gathered and sent to the task that holds its beginning. Records are parsed by Spark.
 
 Where Spark splits files depends on the files of a scan, on settings and on the cores there are, so one scan must not be
-held against another: the lines are read once and checkpointed, split by split, many to a row, and all steps read these.
+held against another: where fields hold line breaks, the lines are read once more and checkpointed, split by split, many
+to a row, and all steps read these.
 
 Lines end with a line feed, with or without a carriage return before it. Inside quotes nothing is changed: carriage
 returns, line feeds and blanks come back as they are. A field that is nothing is null, two quotes are the empty text.
@@ -204,6 +205,13 @@ def _whole_records(inside: set, tails: dict, columns: list[str]):
     return run
 
 
+def _plain_records(columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _whole_records(set(), {}, columns)(map(_pack, batches))
+
+    return run
+
+
 def _folder_value(file: Column, name: str) -> Column:
     """What a folder says about a column, as in ``name=value``."""
     found = F.regexp_extract(F.regexp_extract(file, f"/{re.escape(name)}=[^/]*/", 0), "=(.*)/", 1)
@@ -215,9 +223,14 @@ def _folder_value(file: Column, name: str) -> Column:
 def read_records(spark: SparkSession, path, columns: list[str], encoding: str = "UTF-8", provenance: bool = True) -> DataFrame:
     """The rows of files with those columns as text, then columns that folders name, then, if asked for, the source, an
     empty sheet name, and a number that grows within a file."""
-    lines = _kept_lines(file_lines(spark, path, encoding))
-    inside, tails = _continued(lines)
-    records = lines.mapInArrow(_whole_records(inside, tails, columns), "file string, place long, record string")
+    lines = file_lines(spark, path, encoding)
+    record = "file string, place long, record string"
+    if lines.filter((F.char_length("line") - F.char_length(F.replace("line", F.lit('"')))) % 2 == 1).isEmpty():
+        records = lines.mapInArrow(_plain_records(columns), record)  # each line is a record, however files are split
+    else:
+        lines = _kept_lines(lines)
+        inside, tails = _continued(lines)
+        records = lines.mapInArrow(_whole_records(inside, tails, columns), record)
     text = F.regexp_replace("record", "\r$", "")
     records = records.select("file", "place", F.when(F.col("record").endswith("\r"), text).otherwise(F.col("record")).alias("record")).filter("record != ''")
     schema = ", ".join(f"c{i} string" for i in range(len(columns)))

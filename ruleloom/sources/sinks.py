@@ -50,7 +50,12 @@ def with_output_name(df: DataFrame, paths: Sequence[str] = ()) -> DataFrame:
     in the list of paths. The names are joined by file; the table of files is that of the scan's own listing."""
     named = {place_of(p): (number, name) for number, (p, name) in enumerate(output_names(paths).items())}
     rows = []
-    for file in {place_of(f) for f in df.inputFiles()} if named else ():
+    files = {place_of(f) for f in df.inputFiles()} if named else set()
+    # Lines that were checkpointed have lost their scan; its files are listed again.
+    lost = [p for p in paths if not any(f == place_of(p) or f.startswith(f"{place_of(p)}/") for f in files)]
+    if lost and len(lost) == len([p for p in lost if path_exists(df.sparkSession, p)]):
+        files |= {place_of(f) for f in df.sparkSession.read.option("recursiveFileLookup", True).text(lost).inputFiles()}
+    for file in files:
         above = file
         while above and above not in named:
             above = above.rpartition("/")[0]

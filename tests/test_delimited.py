@@ -107,3 +107,13 @@ def test_packs_of_a_few_bytes(spark, tmp_path, split_at, monkeypatch):
     split_at(40)
     found = C.read_csv(spark, str(tmp_path / "o")).orderBy("_row_idx").select("i", "v", "w").collect()
     assert list(map(tuple, found)) == rows
+
+
+def test_sources_with_line_breaks_keep_their_names(spark, tmp_path):
+    paths = []
+    for folder in ("z", "a"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "t.csv").write_text(f'k,v\n{folder},"x\ny"\n')
+        paths.append(str(tmp_path / folder / "t.csv"))
+    named = K.with_output_name(C.read_tables(spark, paths), paths)
+    assert sorted((r["k"], r["v"], r[K.OUTPUT], r[K.NUMBER]) for r in named.collect()) == [("a", "x\ny", "t_2", 1), ("z", "x\ny", "t", 0)]
