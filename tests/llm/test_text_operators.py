@@ -405,6 +405,15 @@ def test_suffix_dedup_of_a_very_long_text(documents, monkeypatch):
     assert [bytes(r["kept"]) for r in found] == cut(texts, 400)
 
 
+def test_passages_below_the_length_stay(documents):
+    """Texts may share an anchor without any string of 400 bytes, so that a shard has nothing to report."""
+    shared = prose(1, 60, 9_000)[:399]
+    texts = [f"{prose(2 * i + 2, 80, 9_000)} {i}{shared}{i} {prose(2 * i + 3, 80, 9_000)}" for i in range(2)]
+    assert {r["n_removed"] for r in suffix_dedup.report(documents(texts)).collect()} == {0}
+    texts = [t.replace(shared, shared + "#") for t in texts]
+    assert [r["n_removed"] for r in suffix_dedup.report(documents(texts)).collect()] == [400, 400]
+
+
 def test_suffix_dedup_of_odd_rows(odd, documents):
     rows = suffix_dedup.report(odd).collect()
     assert len(rows) == 9 and sum(r["n_removed"] for r in rows) == 0 and suffix_dedup.report(documents([])).count() == 0
