@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ruleloom.llm import decontaminate, licenses, line_dedup, minhash, mixing, quality, suffix_dedup
@@ -421,6 +422,33 @@ def test_suffix_dedup_of_odd_rows(odd, documents):
     assert [r["n_removed"] for r in suffix_dedup.report(twice).collect()] == [800, 800]
 
 
+def test_segments_of_a_frequent_anchor_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 100)
+    placed = spark.createDataFrame([(i, 0, 7 if i % 2 else i, i, 0) for i in range(2000)], "id long, key long, anchor long, segment long, start long")
+    repeated = spark.createDataFrame([(7, True, 10), (4, False, 1)], "anchor long, differs boolean, parts long")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in zip(names, ("false", "-1")):
+            spark.conf.set(name, value)
+        rows = suffix_dedup._met(placed, repeated).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted((r["anchor"], r["segment"], r["differs"]) for r in rows) == sorted([(4, 4, False), *((7, i, True) for i in range(1, 2000, 2))])
+    assert len({r["task"] for r in rows if r["anchor"] == 7}) > 1
+
+
+def test_suffix_dedup_of_a_split_anchor_equals_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 2)
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 8)
+    common = prose(1, 12)
+    texts = [f"{i} {common} {prose(i % 5, 20)}" for i in range(20)] + [common * 3] * 2
+    found = sorted(suffix_dedup.cut_out(documents(texts), length=50).collect(), key=lambda r: r["id"])
+    assert [bytes(r["kept"]) for r in found] == cut(texts, 50)
+
+
 # ---------------------------------------------------------------- mixing
 
 
